@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import chat_format, exact_dedup, mixing, packing, token_count
+from casemill.llm import chat_format, exact_dedup, html_extract, media, mixing, packing, token_count, toxicity
 
 TOKENIZERS = {"pieces": "piece_bpe_32k.model", "bytes": "byte_bpe_50k.json"}
 
@@ -130,6 +130,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("bytes"))
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score_toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.documents_as_media(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -137,6 +150,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_exact_dedup": op4_exact_dedup,
         "op6_source_mix": op6_source_mix,
         "op7_packing": op7_packing,
+        "op8_main_text": op8_main_text,
+        "op9_toxicity": op9_toxicity,
+        "op10_media": op10_media,
     }
 
 
