@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import chat_format, exact_dedup, html_extract, media, mixing, packing, token_count, toxicity
+from casemill.llm import chat_format, exact_dedup, html_extract, line_dedup, media, mixing, packing, token_count, toxicity
 
 TOKENIZERS = {"pieces": "piece_bpe_32k.model", "bytes": "byte_bpe_50k.json"}
 
@@ -85,6 +85,13 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select(
+        "doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed")
+    )
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mixed(docs).select(
@@ -148,6 +155,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": op1_token_counts,
         "op3_chat_format": op3_chat_format,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_line_dedup": op5_line_dedup,
         "op6_source_mix": op6_source_mix,
         "op7_packing": op7_packing,
         "op8_main_text": op8_main_text,
