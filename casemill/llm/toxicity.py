@@ -241,3 +241,16 @@ def score_toxicity(
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return source.mapInArrow(run, f"`{id_col}` {id_type}, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, all columns as they were; null texts count as empty."""
+    ship_package(docs.sparkSession)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at)
+            yield batch.filter(pa.array([lexicon.score(t.as_py() or "") < threshold for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
