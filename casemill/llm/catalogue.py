@@ -123,7 +123,7 @@ WITH sized AS (
     FROM weighed WINDOW filling AS (ORDER BY cap / weight ASC, source ASC NULLS LAST)
 ), targets AS (
     SELECT source, source_size,
-        least(CAST(cap AS DOUBLE), coalesce(min(CASE WHEN level * weight <= cap THEN level END) OVER () * weight, cap)) AS target
+        least(CAST(cap AS DOUBLE), coalesce(max(CASE WHEN level * weight <= cap THEN level END) OVER () * weight, cap)) AS target
     FROM leveled
 ), drawn AS (
     SELECT doc_id, size, source_size, target,

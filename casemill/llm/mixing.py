@@ -56,8 +56,8 @@ def source_targets(
         (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0)).cast("double"))
         / F.sum("weight").over(onward).cast("double"),
     )
-    # the level of the first source in filling order that does not fill up
-    open_level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(Window.partitionBy())
+    # the first source in filling order that does not fill up sets the level; those after it would give lower ones
+    open_level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(Window.partitionBy())
     leveled = levels.withColumn("open_level", open_level)
     return leveled.select(
         source_col,
