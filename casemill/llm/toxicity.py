@@ -9,6 +9,7 @@ of the text, go through a logistic curve fitted to the same labelled rows.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -39,6 +40,7 @@ SEED_TERMS = ("idiot", "stupid", "moron", "loser", "scum", "trash", "pathetic",
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "circus clown", "worthless check", "sore loser rule")
 
 SEED_WEIGHT = 4.0
+MOST_EVIDENCE = 50.0
 STEM_LENGTHS = range(4, 8)
 #: Labelled rows the model is fitted on at most; above it a hash of the id picks rows of both labels alike.
 FIT_ROWS = 40_000
@@ -47,6 +49,10 @@ MAX_TERMS = 4_000
 #: Toxic rows that a learned term needs: so many, and this share of all toxic rows.
 LEAST_TOXIC, LEAST_SHARE = 3, 0.004
 LEAST_ODDS = 12.0
+#: And the least product of toxic rows and log-odds.
+LEAST_EVIDENCE = 16.0
+#: A beginning is no term where one whole word makes up this share of its toxic rows.
+ONE_WORD = 0.7
 
 _table = {ord(k): v for k, v in HOMOGLYPHS.items()}
 _substitutes = str.maketrans(SUBSTITUTES)
@@ -76,11 +82,11 @@ def held_out(doc_id: object) -> bool:
 
 @dataclass
 class Lexicon:
-    """Folded terms with weights (a trailing blank: whole word), folded exception phrases and the curve's three coefficients."""
+    """Folded terms with weights (a trailing blank: whole word), folded exception phrases and the curve's coefficients."""
 
     weights: dict[str, float]
     exceptions: tuple[str, ...] = tuple(fold(p) for p in EXCEPTIONS)
-    curve: tuple[float, float, float] = (-4.0, 1.2, 0.2)
+    curve: tuple[float, ...] = (-5.0, 0.5, 0.3, 0.5)
     _automaton: object = field(default=None, repr=False, compare=False)
 
     def __getstate__(self) -> dict:
@@ -99,8 +105,8 @@ class Lexicon:
             self._automaton = found
         return self._automaton
 
-    def evidence(self, text: str) -> tuple[float, float]:
-        """The summed weight of the hits (one, the heaviest, for each word) and the words of the text."""
+    def evidence(self, text: str) -> tuple[float, float, int]:
+        """The summed weight of the hits (one, the heaviest, for each word), the heaviest of all, and the words of the text."""
         folded = f" {fold(text).strip()} "
         best: dict[int, float] = {}
         excused: list[tuple[int, int]] = []
@@ -113,16 +119,16 @@ class Lexicon:
         for start, end in excused:
             for at in [at for at in best if start <= at < end]:
                 del best[at]
-        return sum(best.values()), max(1, folded.count(" ") - 1)
+        return sum(best.values()), max(best.values(), default=0.0), max(1, folded.count(" ") - 1)
 
-    def features(self, text: str) -> tuple[float, float]:
-        total, words = self.evidence(text)
-        return np.log1p(total), np.log1p(1000.0 * total / words)
+    def features(self, text: str) -> tuple[float, float, float]:
+        """The sum, up to MOST_EVIDENCE; the sum by length, as a logarithm; the heaviest hit."""
+        total, most, words = self.evidence(text)
+        return min(total, MOST_EVIDENCE) / 10.0, math.log1p(1000.0 * total / words), most
 
     def score(self, text: str) -> float:
-        a, b, c = self.curve
-        x, y = self.features(text)
-        return float(1.0 / (1.0 + np.exp(-(a + b * x + c * y))))
+        level = self.curve[0] + sum(c * f for c, f in zip(self.curve[1:], self.features(text), strict=True))
+        return 1.0 / (1.0 + math.exp(-max(-500.0, level)))
 
 
 def term_candidates(text: str) -> set[str]:
@@ -135,23 +141,46 @@ def term_candidates(text: str) -> set[str]:
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per batch and term: toxic and clean rows in either half of the rows."""
     for batch in batches:
-        toxic, clean = Counter(), Counter()
-        for text, label in zip(batch["text"], batch["label"], strict=True):
-            (toxic if label else clean).update(term_candidates(text))
-        terms = list(toxic.keys() | clean.keys())
-        yield pd.DataFrame({"term": terms, "toxic": [toxic[t] for t in terms], "clean": [clean[t] for t in terms]})
+        halves = [(Counter(), Counter()), (Counter(), Counter())]
+        for text, label, half in zip(batch["text"], batch["label"], batch["half"], strict=True):
+            halves[half][0 if label else 1].update(term_candidates(text))
+        terms = list({t for pair in halves for counts in pair for t in counts})
+        columns = {f"{kind}{half}": [halves[half][at][t] for t in terms] for half in (0, 1) for at, kind in enumerate(("toxic", "clean"))}
+        yield pd.DataFrame({"term": terms} | columns)
 
 
-def fit_curve(features: np.ndarray, labels: np.ndarray, rounds: int = 60, ridge: float = 1e-2) -> tuple[float, float, float]:
+def weigh(counts: list[tuple[str, int, int]], toxic: int, clean: int, max_terms: int) -> dict[str, float]:
+    """Fixed terms, and of (term, toxic rows, clean rows) those whose log-odds rest on enough rows; the heaviest evidence first."""
+    weights = {fold(t) + " ": SEED_WEIGHT for t in SEED_TERMS}
+    if not toxic or not clean:
+        return weights
+    found = []
+    words = {term: hits for term, hits, _ in counts if term.endswith(" ")}
+    single = {}  # of a beginning, the most toxic rows that one whole word has
+    for word, hits in words.items():
+        for n in STEM_LENGTHS:
+            single[word[:n]] = max(hits, single.get(word[:n], 0))
+    for term, hits, misses in counts:
+        if single.get(term, 0) >= ONE_WORD * hits:
+            continue  # the word speaks for itself
+        odds = ((hits + 0.25) / (toxic + 0.5)) / ((misses + 0.25) / (clean + 0.5))
+        if hits >= max(LEAST_TOXIC, LEAST_SHARE * toxic) and odds >= LEAST_ODDS and hits * np.log(odds) >= LEAST_EVIDENCE:
+            found.append((-hits * np.log(odds), term, float(np.log(odds))))
+    weights.update({term: weight for _, term, weight in sorted(found)[:max_terms]})
+    return weights
+
+
+def fit_curve(features: np.ndarray, labels: np.ndarray, rounds: int = 60, ridge: float = 0.5) -> tuple[float, ...]:
     """Logistic coefficients by Newton steps with a small ridge."""
     x = np.column_stack((np.ones(len(features)), features))
-    w = np.zeros(3)
-    penalty = np.diag([1e-4, ridge, ridge])
+    w = np.zeros(x.shape[1])
+    penalty = np.diag([1e-4, *[ridge] * (len(w) - 1)])
     for _ in range(rounds):
         p = 1.0 / (1.0 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (p - labels) / len(x) + penalty @ w / len(x)
-        hessian = (x * (p * (1 - p))[:, None]).T @ x / len(x) + penalty / len(x) + 1e-9 * np.eye(3)
+        hessian = (x * (p * (1 - p))[:, None]).T @ x / len(x) + penalty / len(x) + 1e-9 * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
         w -= step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-8:
@@ -181,36 +210,33 @@ def fit(
     n = usable.count()
     if n > fit_rows:
         usable = usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * fit_rows / n))
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(usable, "id").select("text", "label")
-    totals = usable.agg(F.sum("label").alias("toxic"), F.count(F.lit(1)).alias("n")).first()
-    toxic, clean = (totals["toxic"] or 0), totals["n"] - (totals["toxic"] or 0)
-    weights = {fold(t) + " ": SEED_WEIGHT for t in SEED_TERMS}
-    if not toxic or not clean:
-        return Lexicon(weights)
-    counts = rows.mapInPandas(_counted, "term string, toxic long, clean long").groupBy("term").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
-    )
-    odds = ((F.col("toxic") + 0.25) / (toxic + 0.5)) / ((F.col("clean") + 0.25) / (clean + 0.5))
-    learned = (
-        counts.where((F.col("toxic") >= max(LEAST_TOXIC, LEAST_SHARE * toxic)) & (odds >= LEAST_ODDS))
-        .select("term", F.log(odds).alias("weight"), "toxic", "clean")
-        .orderBy((F.col("toxic") * F.log(odds)).desc(), "term")
-        .limit(max_terms)
-        .collect()
+    halved = usable.withColumn("half", (F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2))).cast("int"))
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(halved, "id").select("text", "label", "half")
+    totals = {(r["half"], bool(r["label"])): r["n"] for r in halved.groupBy("half", (F.col("label") > 0).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    toxic, clean = ([totals.get((half, kind), 0) for half in (0, 1)] for kind in (True, False))
+    if not sum(toxic) or not sum(clean):
+        return Lexicon(weigh([], 0, 0, 0))
+    names = ["toxic0", "clean0", "toxic1", "clean1"]
+    counts = rows.mapInPandas(_counted, "term string, " + ", ".join(f"{n} long" for n in names)).groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
+    hits, misses = F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1")
+    odds = ((hits + 0.25) / (sum(toxic) + 0.5)) / ((misses + 0.25) / (sum(clean) + 0.5))
+    found = (
+        counts.where((hits >= max(LEAST_TOXIC, LEAST_SHARE * sum(toxic))) & (odds >= LEAST_ODDS))
+        .orderBy((hits * F.log(odds)).desc(), "term").limit(2 * max_terms).collect()
     )
-    weights.update({r["term"]: float(r["weight"]) for r in learned})
-    lexicon = Lexicon(weights)
+    weights = weigh([(r["term"], r["toxic0"] + r["toxic1"], r["clean0"] + r["clean1"]) for r in found], sum(toxic), sum(clean), max_terms)
+    # the curve is fitted on evidence from terms that were learned on the other half of the rows
+    others = [Lexicon(weigh([(r["term"], r[f"toxic{h}"], r[f"clean{h}"]) for r in found], toxic[h], clean[h], max_terms)) for h in (1, 0)]
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs = [lexicon.features(t) for t in batch["text"]]
-            frame = pd.DataFrame(pairs, columns=["x", "y"])
+            pairs = [others[half].features(t) for t, half in zip(batch["text"], batch["half"], strict=True)]
+            frame = pd.DataFrame(pairs, columns=["x", "y", "z"])
             frame["label"] = batch["label"].to_numpy()
             yield frame
 
-    seen = rows.mapInPandas(measured, "x double, y double, label int").toPandas()  # at most about fit_rows rows
-    lexicon.curve = fit_curve(seen[["x", "y"]].to_numpy(), seen["label"].to_numpy(float))
-    return lexicon
+    seen = rows.mapInPandas(measured, "x double, y double, z double, label int").toPandas()  # at most about fit_rows rows
+    return Lexicon(weights, curve=fit_curve(seen[["x", "y", "z"]].to_numpy(), seen["label"].to_numpy(float)))
 
 
 def score_toxicity(
