@@ -1,4 +1,4 @@
-"""Registered queries and their DuckDB oracles."""
+"""Registered queries and their DuckDB oracles, by theme."""
 
 from __future__ import annotations
 
@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casemill.plans.tables import table
+from casemill.plans import retrieval_queries, relational_queries, text_queries
+
+MODULES = (retrieval_queries, text_queries, relational_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Placeholder until retrieval lands: labelled vectors."""
-    return table(spark, sf_dir, "embeddings").groupBy("label").count()
+    """Batch top-k with same-label filter, score list and pivoted suggestions."""
+    return retrieval_queries.suggestion_pivot(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: query for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
