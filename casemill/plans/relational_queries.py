@@ -1,3 +1,279 @@
+"""Relational logic: exclusion, dedup, windows, joins, activity, streaming."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from casemill.functions import text as tx
+from casemill.operators import relational
 from casemill.plans.registry import Registry
+from casemill.plans.tables import table
+from casemill.plans.text_queries import literal_rows, values_sql
+
 register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
+
+_NAMES = [
+    (1, "Norris v A.G. [1983] IESC 3.xml", "Norris v A.G. [1983] IESC 3"), (2, "McLoughlin v O'Brian [1982] UKHL 3.xml", "McLoughlin v O'Brian"),
+    (3, "", "anything"), (4, "Smith & Co.xml", "smith and co"), (5, "Alpha v Beta", "Gamma v Delta"), (6, "The Commissioners of Revenue v Jones", "The Commissioners of Revenue of Kent"),
+]
+
+
+@register(f"SELECT id, id IN (1, 2, 4, 6) AS same FROM {values_sql(_NAMES, 'id, a, b')}")
+def same_case_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return literal_rows(spark, "id int, a string, b string", _NAMES).select("id", tx.same_case(F.col("a"), F.col("b")).alias("same"))
+
+
+@register("SELECT p_partkey, p_name FROM part WHERE lower(trim(p_name)) <> (SELECT lower(trim(p_name)) FROM part ORDER BY p_partkey LIMIT 1) AND NOT starts_with(lower(p_name), 'part 1')")
+def strict_case_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    source = parts.agg(F.min_by("p_name", "p_partkey")).first()[0] or ""
+    name = F.col("p_name")
+    own = (tx.case_name(name) == tx.case_name(F.lit(source))) & F.lit(source != "")
+    return parts.where(~F.coalesce(own, F.lit(False)) & ~F.startswith(F.lower(tx.or_empty(name)), F.lit("part 1"))).select("p_partkey", "p_name")
+
+
+@register("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    # the first of each (source, text): an aggregate, which is combined before the shuffle, gives what the window would
+    return docs.groupBy("source", "text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source")
+
+
+@register("SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY substr(text, 1, 200)")
+def prefix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy(F.substring("text", 1, 200)).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).select("doc_id", "n")
+
+
+@register("SELECT CAST(sum(n) AS BIGINT) AS total_rows, count(*) FILTER (n > 1) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS extra_rows FROM (SELECT count(*) AS n FROM documents GROUP BY source, substr(text, 1, 500))")
+def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.duplicate_report(table(spark, sf_dir, "documents"), [F.col("source"), F.substring("text", 1, 500)])
+
+
+@register("""SELECT o_orderkey, o_orderstatus, year, CAST(place AS INTEGER) AS place, count(*) OVER (PARTITION BY o_orderstatus) AS kept FROM (
+    SELECT o_orderkey, o_orderstatus, year(o_orderdate) AS year, row_number() OVER (PARTITION BY o_orderstatus ORDER BY year(o_orderdate) DESC, o_orderkey) AS place FROM orders) WHERE place <= 50""")
+def quota_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", F.year("o_orderdate").alias("year"))
+    kept = relational.quota(orders, ["o_orderstatus"], [F.col("year").desc(), F.col("o_orderkey").asc()], 50)
+    return kept.withColumn("kept", F.count(F.lit(1)).over(Window.partitionBy("o_orderstatus")))
+
+
+@register("""SELECT event_id, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS sticky, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER w AS carried
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def sticky_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    part, order = ["user_id"], ["ts", "event_id"]
+    kind = F.col("event_type")
+    return events.select(
+        "event_id", relational.sticky(kind == "error", part, order).alias("sticky"), relational.carried(F.when(kind == "signup", F.col("event_id")), part, order).alias("carried")
+    )
+
+
+@register("""SELECT conv_id, turn, last_value(CASE WHEN length(text) >= 200 THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING) AS nearest_before,
+    first_value(CASE WHEN length(text) >= 200 THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 FOLLOWING AND 14 FOLLOWING) AS nearest_after FROM conversations""")
+def nearest_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").withColumn("at", F.col("turn"))
+    return relational.nearest(rows, "conv_id", "turn", "at", F.length("text") >= 200, 14).select("conv_id", "turn", "nearest_before", "nearest_after")
+
+
+@register("""WITH p AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, count(*) OVER (PARTITION BY conv_id) AS n, length(trim(text, ' ' || chr(10))) >= 50 AS ok FROM conversations)
+    SELECT conv_id, CAST(min(p) FILTER (ok AND p >= least(3, n - 1) AND p < least(3, n - 1) + 10) AS BIGINT) AS begin_at,
+    CAST(coalesce(max(p) FILTER (ok AND p < n // 2 AND p >= n // 2 - 19), min(p) FILTER (ok AND p >= n // 2 AND p < n // 2 + 20)) AS BIGINT) AS middle_at,
+    CAST(max(p) FILTER (ok AND p >= n // 2 AND p <= n - 4) AS BIGINT) AS end_at FROM p GROUP BY conv_id""")
+def test_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picks = relational.test_picks(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return picks.select("conv_id", *[F.col(c).cast("long") for c in ("begin_at", "middle_at", "end_at")])
+
+
+_HALF = "CAST(ceil(length(text) / 200.0) AS BIGINT)"
+
+
+@register(f"""WITH s AS (SELECT conv_id, turn, {_HALF} AS n, sum({_HALF}) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM conversations),
+    t AS (SELECT conv_id, CAST(unnest(generate_series(0, CAST(max(upto) + 2 AS BIGINT))) AS BIGINT) AS slot FROM s GROUP BY conv_id)
+    SELECT t.conv_id, t.slot, s.turn FROM t LEFT JOIN s ON s.conv_id = t.conv_id AND t.slot >= s.upto - s.n AND t.slot < s.upto""")
+def sentence_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentence slots to paragraphs by running counts; slots beyond the last have none."""
+    n = F.ceil(F.length("text") / 200.0).cast("long")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", n.alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("conv_id").orderBy("turn"))
+    slots = rows.withColumn("upto", upto).where("n > 0").select("conv_id", "turn", F.explode(F.sequence(F.col("upto") - F.col("n"), F.col("upto") - 1)).alias("slot"))
+    totals = rows.groupBy("conv_id").agg(F.sum("n").alias("total"))
+    wanted = totals.select("conv_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") + 2)).alias("slot"))
+    return wanted.join(slots, ["conv_id", "slot"], "left").select("conv_id", "slot", "turn")
+
+
+@register("""SELECT doc_id, (SELECT coalesce(max(doc_id) + 1, 0) FROM labels) + row_number() OVER (ORDER BY doc_id) - 1 AS next_index FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def incremental_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that are not yet there, numbered on from the largest index (dense numbers over one global order)."""
+    labels = table(spark, sf_dir, "labels")
+    start = labels.agg(F.coalesce(F.max("doc_id") + 1, F.lit(0))).first()[0]
+    fresh = table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left_anti")
+    return fresh.select("doc_id", (F.row_number().over(Window.orderBy("doc_id")) - 1 + F.lit(start)).cast("long").alias("next_index"))
+
+
+@register("""SELECT (SELECT count(*) FROM documents) AS extracted, (SELECT count(*) FROM labels) AS classified, count(*) AS missing, list(doc_id ORDER BY doc_id)[1:10] AS listed FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
+def missing_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id")
+    missing = docs.exceptAll(labels)
+    listed = missing.orderBy("doc_id").limit(10).agg(F.array_sort(F.collect_list("doc_id")).alias("listed"))
+    counts = docs.agg(F.count(F.lit(1)).alias("extracted")).crossJoin(labels.agg(F.count(F.lit(1)).alias("classified"))).crossJoin(missing.agg(F.count(F.lit(1)).alias("missing")))
+    return counts.crossJoin(listed)  # single rows
+
+
+@register("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 1 - quality ELSE quality END AS quality, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS origin FROM labels")
+def row_merge_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit("old").alias("origin"))
+    new = table(spark, sf_dir, "labels").where("doc_id % 3 = 0").select("doc_id", (1 - F.col("quality")).alias("quality"), F.lit("new").alias("origin"))
+    return old.join(new, "doc_id", "left_anti").unionByName(new)
+
+
+_META = [("Donoghue_v_Stevenson", "Donoghue v Stevenson", "1932"), ("McGee v A.G. [1974] IR 284", "McGee v A.G.", "1974")]
+_DOCS = [("Donoghue v Stevenson",), ("McGee v A.G. [1974] IR 284",), ("McGee v A.G. [1999] X",), ("Unknown v Nobody [2000] Y",)]
+
+
+@register("SELECT * FROM (VALUES ('Donoghue v Stevenson', 'Donoghue v Stevenson', '1932'), ('McGee v A.G. [1974] IR 284', 'McGee v A.G.', '1974'), ('McGee v A.G. [1999] X', 'McGee v A.G.', '1974'), ('Unknown v Nobody [2000] Y', 'Unknown v Nobody', '')) AS v(doc_id, short_name, year)")
+def metadata_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By id, by underscored stem, by the name before the bracket; else defaults."""
+    meta = literal_rows(spark, "key string, short_name string, year string", _META)
+    docs = literal_rows(spark, "doc_id string", _DOCS)
+    before = tx.strip(F.substring_index("doc_id", "[", 1))
+    docs = docs.withColumns({"stem": F.replace("doc_id", F.lit(" "), F.lit("_")), "before": before})
+    by_name = meta.groupBy(tx.strip(F.substring_index("key", "[", 1)).alias("before")).agg(F.min(F.struct("key", "short_name", "year")).alias("c"))
+    a = meta.select(F.col("key").alias("doc_id"), F.struct("key", "short_name", "year").alias("a"))
+    b = meta.select(F.col("key").alias("stem"), F.struct("key", "short_name", "year").alias("b"))
+    found = docs.join(a, "doc_id", "left").join(b, "stem", "left").join(by_name, "before", "left").withColumn("m", F.coalesce("a", "b", "c"))
+    return found.select("doc_id", F.coalesce("m.short_name", "before").alias("short_name"), F.coalesce("m.year", F.lit("")).alias("year"))
+
+
+_TARGETS = [("Smith & Co",), ("McLoughlin v O'Brian [1982]",), ("Norris versus Attorney General",), ("Nothing Like It",)]
+_FILES = [("mcloughlin v o'brian [1982] UKHL 3", 1), ("Smith and Co.xml", 2), ("Norris v Attorney General Ireland", 3), ("Other", 4)]
+
+
+@register("SELECT * FROM (VALUES ('Smith & Co', 'Smith and Co.xml', 1), ('McLoughlin v O''Brian [1982]', 'mcloughlin v o''brian [1982] UKHL 3', 2), ('Norris versus Attorney General', 'Norris v Attorney General Ireland', 3)) AS v(target, matched, tier)")
+def fuzzy_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relational.resolve_names(literal_rows(spark, "target string", _TARGETS), literal_rows(spark, "name string, rank int", _FILES))
+
+
+_TITLES = [(1, "Donoghue v Stevenson"), (2, "McGee v The Attorney General"), (3, "Smith v Jones")]
+_WANTED = [(1, "stevenson donoghue 1932"), (2, "attorney general mcgee"), (3, "zzz")]
+
+
+@register("""SELECT q, arg_max(id, {'n': n, 'i': -id}) AS id, max(n) AS n FROM (SELECT w.id AS q, t.id AS id, count(*) AS n FROM (SELECT id, unnest(string_split(text, ' ')) AS w FROM """ + values_sql(_WANTED, "id, text") + """) w
+    JOIN """ + values_sql(_TITLES, "id, title") + """ AS t ON length(w) > 1 AND contains(lower(title), w) GROUP BY ALL) GROUP BY q""".replace(" AS t", ""))
+def best_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = literal_rows(spark, "q int, text string", _WANTED).select("q", F.explode(F.split("text", " ")).alias("w")).where("length(w) > 1")
+    titles = literal_rows(spark, "id int, title string", _TITLES)
+    hits = words.join(titles, F.contains(F.lower("title"), F.col("w"))).groupBy("q", "id").agg(F.count(F.lit(1)).alias("n"))
+    return hits.groupBy("q").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("id"), F.max("n").alias("n"))
+
+
+ORACLES["best_title"] = "SELECT * FROM (VALUES (1, 1, 2), (2, 2, 3)) AS v(q, id, n)"
+
+
+@register("""SELECT c.doc_id, min(d.doc_id) AS repaired_from FROM (SELECT doc_id, source, substr(text, 1, 60) AS head FROM documents WHERE length(text) > 60) c JOIN documents d ON d.source = c.source AND starts_with(d.text, c.head) GROUP BY c.doc_id""")
+def truncation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cut-off text to the first full one that begins with it: an equi-join on source and head."""
+    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 60).select("doc_id", "source", F.substring("text", 1, 60).alias("head"), F.length("text").alias("n"))
+    full = docs.groupBy("source", "head").agg(F.min("doc_id").alias("repaired_from"))
+    return docs.where("n > 60").join(full, ["source", "head"]).select("doc_id", "repaired_from")
+
+
+_GRID = [(1, "Analogous (Verbatim)", "Mostly Analogous", None), (2, "Not Analogous", "Analogous", "Partly Analogous"), (3, " Kinda Analogous ", "Analogous", "Analogous (Verbatim)")]
+
+
+@register("SELECT * FROM (VALUES ('Analogous', 4, 2), ('Mostly Analogous', 1, 0), ('Not Analogous', 1, 0), ('Partly Analogous', 1, 0), ('Kinda Analogous', 1, 0)) AS v(grade, n, verbatim)")
+def grade_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grid = literal_rows(spark, "q int, s1 string, s2 string, s3 string", _GRID).unpivot("q", ["s1", "s2", "s3"], "slot", "cell").where("cell IS NOT NULL")
+    grade = tx.strip(F.regexp_replace("cell", r"\(Verbatim\)", ""))
+    return grid.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains("cell", F.lit("Verbatim"))).alias("verbatim"))
+
+
+_NOW = "2024-06-01 00:00:00"
+
+
+@register(f"""SELECT event_id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || CASE WHEN m = 1 THEN ' minute ago' ELSE ' minutes ago' END WHEN m < 1440 THEN m // 60 || CASE WHEN m // 60 = 1 THEN ' hour ago' ELSE ' hours ago' END
+    WHEN m // 1440 = 1 THEN 'Yesterday' WHEN m < 10080 THEN m // 1440 || ' days ago' WHEN m < 43200 THEN m // 10080 || CASE WHEN m // 10080 = 1 THEN ' week ago' ELSE ' weeks ago' END
+    ELSE m // 43200 || CASE WHEN m // 43200 = 1 THEN ' month ago' ELSE ' months ago' END END AS ago
+    FROM (SELECT event_id, CAST(floor((epoch(TIMESTAMP '{_NOW}') - floor(epoch(ts))) / 60) AS BIGINT) AS m FROM events)""")
+def relative_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", tx.relative_time(F.col("ts"), F.lit(_NOW).cast("timestamp")).alias("ago"))
+
+
+@register("SELECT user_id, event_id, CAST(n AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n <= 5 AND event_type IN ('click', 'purchase')")
+def recent_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest five of each user, and of those the wanted types: fewer than five may remain."""
+    latest = relational.quota(table(spark, sf_dir, "events"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 5)
+    return latest.where(F.col("event_type").isin("click", "purchase")).select("user_id", "event_id", "place")
+
+
+@register("""SELECT e.event_id, upper(substr(e.event_type, 1, 1)) || substr(e.event_type, 2) AS status, coalesce(d.source, 'Untitled') AS title FROM (SELECT * FROM events WHERE event_type IN ('view', 'click') AND user_id IN (SELECT doc_id FROM documents WHERE lang = 'en') ORDER BY ts DESC, event_id DESC LIMIT 5) e
+    LEFT JOIN documents d ON d.doc_id = e.user_id""")
+def queue_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("user_id"), "source", "lang")
+    mine = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click")).join(docs.where("lang = 'en'"), "user_id", "left_semi")
+    latest = mine.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(5)
+    return latest.join(docs, "user_id", "left").select("event_id", F.initcap("event_type").alias("status"), F.coalesce("source", F.lit("Untitled")).alias("title"))
+
+
+@register("SELECT user_id, arg_max(event_type, {'t': ts, 'e': event_id}) AS event_type, arg_max(value, {'t': ts, 'e': event_id}) AS value FROM events GROUP BY user_id")
+def latest_highlight_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").withColumn("version", F.struct("ts", "event_id"))
+    return relational.latest_state(log, "user_id", "version", ["event_type", "value"])
+
+
+@register("""SELECT 'eq' AS kind, count(*) AS n FROM documents WHERE source = 'src1' UNION ALL SELECT 'in', count(*) FROM documents WHERE lang IN ('en', 'de')
+    UNION ALL SELECT 'either', count(*) FROM (SELECT doc_id FROM documents WHERE lang = 'fr' UNION SELECT doc_id FROM documents WHERE source = 'src2') UNION ALL SELECT 'limit', count(*) FROM (SELECT 1 FROM conversations LIMIT 7)""")
+def table_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    either = docs.where("lang = 'fr'").select("doc_id").unionByName(docs.where("source = 'src2'").select("doc_id")).distinct()
+    frames = {"eq": docs.where("source = 'src1'"), "in": docs.where(F.col("lang").isin("en", "de")), "either": either, "limit": table(spark, sf_dir, "conversations").limit(7)}
+    counts = [frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n") for kind, frame in frames.items()]
+    out = counts[0]
+    for other in counts[1:]:
+        out = out.unionByName(other)
+    return out
+
+
+@register(r"SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme, regexp_extract(url, '://([^/]+)/', 1) AS host, regexp_extract(url, '://[^/]+/([^/]+)/', 1) AS folder, substr(trim(regexp_replace(regexp_replace(url, '[\s:/–—\-]+', '_', 'g'), '[\x22''<>|?*]', '', 'g'), '_'), 1, 100) AS stem FROM pages")
+def path_partition_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", F.regexp_extract(url, "^(https?)://", 1).alias("scheme"), F.regexp_extract(url, "://([^/]+)/", 1).alias("host"),
+        F.regexp_extract(url, "://[^/]+/([^/]+)/", 1).alias("folder"), tx.file_stem(url).alias("stem"),
+    )
+
+
+@register("SELECT role, list_sort(list_distinct(list(turn))) AS turns, count(*) AS n FROM conversations GROUP BY role")
+def group_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").groupBy("role").agg(F.array_sort(F.collect_set("turn")).alias("turns"), F.count(F.lit(1)).alias("n"))
+
+
+_CELLS = [(1, ["short", "A v B", "C v D"]), (2, ["none"]), (3, ["x v " + "y" * 300, "E v F"])]
+
+
+@register("SELECT * FROM (VALUES (1, 'A v B'), (2, NULL), (3, 'E v F')) AS v(id, cell)")
+def suggestion_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = F.filter(F.slice("cells", 1, 5), lambda c: F.contains(c, F.lit(" v ")) & (F.length(c) < 200))
+    return literal_rows(spark, "id int, cells array<string>", _CELLS).select("id", F.get(cells, F.lit(0)).alias("cell"))
+
+
+@register("SELECT a.conv_id, count(*) FILTER (a.text = b.text) >= 3 AS resume FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn WHERE a.turn < 5 GROUP BY a.conv_id")
+def resume_prefix_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = table(spark, sf_dir, "conversations").where("turn < 5").select("conv_id", "turn", F.col("text").alias("stored"))
+    current = table(spark, sf_dir, "conversations").where("turn < 5").select("conv_id", "turn", "text")
+    return stored.join(current, ["conv_id", "turn"]).groupBy("conv_id").agg((F.count_if(F.col("stored") == F.col("text")) >= 3).alias("resume"))
+
+
+@register()
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty documents by a seeded hash: the same ones in every run."""
+    return table(spark, sf_dir, "documents").orderBy(F.xxhash64(F.lit(42), "doc_id"), "doc_id").limit(20).select("doc_id")
+
+
+@register()
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events ingested as a bounded stream, once each, into a table."""
+    from casemill.streaming.ingest import ingest_events
+
+    return ingest_events(spark, sf_dir)
