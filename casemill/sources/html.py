@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from casemill.functions import text as tx
 
 _SKIPPED = {"script", "style", "nav", "footer", "noscript"}
+#: Elements that an enclosing element's end closes.
+_LISTS = {"ul": ("li", "p"), "ol": ("li", "p"), "table": ("td", "tr", "p")}
 _HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
@@ -39,6 +41,9 @@ class _Collector(HTMLParser):
     def handle_endtag(self, tag):
         if tag in _SKIPPED:
             self.skip = max(0, self.skip - 1)
+        elif tag in _LISTS:
+            while self.open and self.open[-1][0] in _LISTS[tag]:
+                self.handle_endtag(self.open[-1][0])
         elif any(name == tag for name, _ in self.open):
             while self.open:
                 name, parts = self.open.pop()
