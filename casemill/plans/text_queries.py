@@ -225,7 +225,7 @@ def shorten_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("WITH c AS (" + " UNION ALL ".join(
-    f"SELECT doc_id, {i} AS candidate, round(meaning + paraphrase + length, 4) AS score FROM ({_scores_sql(f'substr(text, 1, CAST(length(text) * {p} // 100 AS INTEGER))')})" for i, p in enumerate((95, 85, 60))
+    f"SELECT doc_id, {i} AS candidate, round(meaning + paraphrase + length, 6) AS score FROM ({_scores_sql(f'substr(text, 1, CAST(length(text) * {p} // 100 AS INTEGER))')})" for i, p in enumerate((95, 85, 60))
 ) + ") SELECT doc_id, arg_max(candidate, score * 10 - candidate) AS candidate, max(score) AS score, max(score) >= 1.5 AS again FROM c GROUP BY doc_id")
 def shorten_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One round: the best of three candidates by the sum of scores, the first of equals; below 1.5 it ends."""
@@ -233,7 +233,7 @@ def shorten_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = docs.select("*", F.posexplode(F.array(F.lit(95), F.lit(85), F.lit(60))).alias("candidate", "p"))
     text, short = F.col("text"), F.substring(F.col("text"), F.lit(1), F.expr("int(length(text) * p div 100)"))
     six = [F.round(f(text, short), 6) for f in (tx.meaning_score, tx.paraphrase_score, tx.length_score)]
-    scored = cut.withColumn("score", F.round(six[0] + six[1] + six[2], 4))
+    scored = cut.withColumn("score", F.round(six[0] + six[1] + six[2], 6))
     best = scored.groupBy("doc_id").agg(F.max_by("candidate", F.struct("score", -F.col("candidate"))).alias("candidate"), F.max("score").alias("score"))
     return best.withColumn("again", F.col("score") >= 1.5)
 
