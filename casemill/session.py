@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Settings every deployment wants; sizes and counts are left to the cluster.
@@ -27,3 +31,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers once per application, so that functions are imported there, not copied."""
+    sc = spark.sparkContext
+    if getattr(sc, "_casemill_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="casemill-code-")
+    archive = Path(folder, "casemill_code.zip")
+    with zipfile.ZipFile(archive, "w") as file:
+        for source in sorted((root / "casemill").rglob("*.py")):
+            file.write(source, source.relative_to(root))
+    sc.addPyFile(str(archive))
+    sc._casemill_shipped = True
