@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casemill.session import ship_package  # noqa: F401  for the operators here
+
 #: Text words: maximal runs of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -49,18 +49,3 @@ def remove(spark: SparkSession, path: str) -> None:
 def text_of(column: str | Column = "text") -> Column:
     """A text column with null as the empty string."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Send this package to the workers once per application, so that functions are imported there, not copied."""
-    sc = spark.sparkContext
-    if getattr(sc, "_casemill_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[2]
-    folder = tempfile.mkdtemp(prefix="casemill-code-")
-    archive = Path(folder, "casemill_code.zip")
-    with zipfile.ZipFile(archive, "w") as file:
-        for source in sorted((root / "casemill").rglob("*.py")):
-            file.write(source, source.relative_to(root))
-    sc.addPyFile(str(archive))
-    sc._casemill_shipped = True
