@@ -33,6 +33,8 @@ COUNTED = 0.4
 BLOCK_TOKENS = 1_000_000
 OWNER_TOKENS = 4_000_000
 STAR_ROUNDS = 4
+#: Hub rounds end once the pairs that share a shingle between components are so many times the postings, or fewer.
+DIRECT_PAIRS = 2
 HUBS = 3
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -285,7 +287,8 @@ def ngram_components(
     grouped = prefixes.groupBy("grp", "n").agg(F.min("sig").alias("rep"), F.max("sig").alias("last"), F.first("toks").alias("toks"))
     posts = grouped.select("grp", "n", "rep", "last", F.explode("toks").alias("tok"))
     shared = posts.groupBy("tok").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("tok")
-    posts, posts_path = written(spark, posts.join(shared, "tok", "left_semi").drop("last"), "posts")
+    posts, _ = written(spark, posts.join(shared, "tok", "left_semi").drop("last"), "posts")
+    n_posts = posts.count()
     alive = posts.select("grp").unionByName(grouped.where("rep <> last").select("grp")).distinct()
     members, _ = written(spark, prefixes.select("sig", "n", "grp").distinct().join(alive, "grp", "left_semi"), "members")
     remove(spark, prefix_path)
@@ -310,6 +313,9 @@ def ngram_components(
             rooted = posts.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
             open_toks = rooted.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tok")
             rooted, _ = written(spark, rooted.join(open_toks, "tok", "left_semi"), "open-posts")
+            sizes = rooted.groupBy("tok").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()
+            if (sizes["pairs"] or 0) <= DIRECT_PAIRS * n_posts:
+                break  # few enough for the last step to take at once
         pairs = _star_pairs(rooted, members, percent, turn).unionByName(pairs) if turn == 0 else _star_pairs(rooted, members, percent, turn)
         found = verify(_ordered(pairs))
         if turn and found.isEmpty():
