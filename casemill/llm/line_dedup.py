@@ -45,52 +45,48 @@ def _position() -> Column:
 
 
 def _with_blocks(lines: DataFrame) -> DataFrame:
-    """One row for each block and role of a line: bucket, check, role (0: as it stands, 1: for shorter partners), start, width."""
-    size = F.length("line")
-
-    def keys(role: int) -> Column:
-        shorter = size - role
-        blocks = F.greatest(F.lit(2), F.ceil(F.sqrt(shorter.cast("double")) / 8).cast("int"))
-        width = F.ceil(shorter / blocks).cast("int")
-
-        def key(block: Column) -> Column:
-            head = F.substring(F.col("line"), F.lit(1), block * width)
-            tail = F.substring(F.col("line"), (block + 1) * width + 1 + role, size)
-            return F.struct(
-                F.xxhash64(block, shorter, head, tail).alias("bucket"),
-                F.xxhash64(F.lit("check"), block, shorter, head, tail).alias("check"),
-                F.lit(role).alias("role"),
-                (block * width).alias("start"),
-                (width + role).alias("width"),
-            )
-
-        return F.transform(F.sequence(F.lit(0), blocks - 1), key)
-
-    return lines.select("*", F.inline(F.concat(keys(0), keys(1))))
+    """One row for each block and role of a line: bucket, head, tail, role (0: as it stands, 1: for shorter partners), start, width.
 
+    Blocks are numbered first and cut in plain columns afterwards, so the keys are computed in generated code.
+    """
 
-def _near_drops(lines: DataFrame, docs_lines: DataFrame, min_near: int) -> DataFrame:
-    """(h1, h2) of lines within one edit of an earlier line."""
+    def blocks(size: Column) -> Column:
+        return F.greatest(F.lit(2), F.ceil(F.sqrt(size.cast("double")) / 8).cast("int"))
+
+    sized = lines.withColumn("size", F.length("line"))
+    sized = sized.withColumns({"blocks_0": blocks(F.col("size")), "blocks_1": blocks(F.col("size") - 1)})
+    numbered = sized.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks_0") + F.col("blocks_1") - 1)))
+    numbered = numbered.withColumn("role", (F.col("k") >= F.col("blocks_0")).cast("int"))
+    numbered = numbered.withColumns({
+        "block": F.when(F.col("role") == 1, F.col("k") - F.col("blocks_0")).otherwise(F.col("k")),
+        "shorter": F.col("size") - F.col("role"),
+    })
+    numbered = numbered.withColumn("step", F.expr("int((shorter + if(role = 1, blocks_1, blocks_0) - 1) div if(role = 1, blocks_1, blocks_0))"))
+    cut = numbered.withColumns({
+        "start": F.col("block") * F.col("step"),
+        "width": F.col("step") + F.col("role"),
+        "head": F.substring("line", F.lit(1), F.col("block") * F.col("step")),
+        "tail": F.substring("line", (F.col("block") + 1) * F.col("step") + 1 + F.col("role"), F.col("size")),
+    })
+    return cut.withColumn("bucket", F.xxhash64("block", "shorter", "head", "tail"))
+
+
+def _near_drops(lines: DataFrame, min_near: int) -> DataFrame:
+    """(h1, h2) of lines within one edit of an earlier line; both lines must be long enough."""
     spark = lines.sparkSession
-    near = lines.where(F.length("line") >= min_near)
-    # a line of exactly min_near - 1 characters is no partner: both lines must be long enough
-    blocks = _with_blocks(near).select(*POSITION, "h1", "h2", "bucket", "role")
-    shared = blocks.groupBy("bucket").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("bucket")
-    hits = blocks.join(shared, "bucket", "left_semi")
+    near = lines.where(F.length("line") >= min_near).withColumn("place", F.xxhash64(*POSITION))
+    keys = _with_blocks(near)
+    shared = keys.groupBy("bucket").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("bucket")
+    shared, _ = written(spark, shared, "line-buckets")
+    # the lines themselves are fetched by a hash of their place: only that travels with the keys. The hints keep
+    # the strategy from changing with the size of the input (the wanted places grow with it) and spare the long
+    # side's sort: of the short side each task holds its share
+    places = keys.select("bucket", "place").join(shared.hint("shuffle_hash"), "bucket", "left_semi").select("place").distinct()
+    suspects, _ = written(spark, near.join(places.hint("shuffle_hash"), "place", "left_semi").drop("place"), "line-suspects")
     # of equal lines the first stands for all
-    firsts = hits.groupBy("bucket", "role", "h1", "h2").agg(F.min(_position()).alias("pos"))
-    firsts, _ = written(spark, firsts.select("bucket", "role", "h1", "h2", "pos.*"), "line-suspects")
-    wanted = firsts.select(*POSITION).distinct()
-    texts = docs_lines.join(
-        wanted, [docs_lines["id"].eqNullSafe(wanted["id"]), docs_lines["text_hash"] == wanted["text_hash"], docs_lines["line_no"] == wanted["line_no"]], "left_semi"
-    )
-    mid = _with_blocks(texts.select(*POSITION, "h1", "h2", "line")).join(
-        firsts.select(F.col("bucket").alias("b"), F.col("role").alias("r"), F.col("h1").alias("x1"), F.col("h2").alias("x2")),
-        (F.col("bucket") == F.col("b")) & (F.col("role") == F.col("r")) & (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2")),
-        "left_semi",
-    )
-    mid = mid.select(
-        _position().alias("pos"), "h1", "h2", "bucket", "check", "role",
+    suspects = suspects.groupBy("h1", "h2").agg(F.min(_position()).alias("pos"), F.first("line").alias("line"))
+    mid = _with_blocks(suspects).join(shared, "bucket", "left_semi").select(
+        "pos", "h1", "h2", "bucket", F.xxhash64(F.lit("check"), "block", "shorter", "head", "tail").alias("check"), "role",
         F.substring(F.col("line"), F.col("start") + 1, F.col("width")).alias("middle"),
     )
     mid, _ = written(spark, mid, "line-blocks")
@@ -133,7 +129,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per document with dropped lines: id, text_hash and the sorted numbers (from 0) of the lines that go."""
     spark = docs.sparkSession
     lines = _lines(docs, id_col, text_col)
-    near, _ = written(spark, _near_drops(lines, lines, min_near), "near-lines")
+    near, _ = written(spark, _near_drops(lines, min_near), "near-lines")
     occurrences = lines.select(*POSITION, "h1", "h2")
     distinct = occurrences.groupBy("h1", "h2").agg(F.min(_position()).alias("first"), F.count(F.lit(1)).alias("n"))
     marked = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 OR near")
@@ -152,7 +148,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     empty table gives no rows; other columns pass through. Equal lines are summed before they are shuffled.
     """
     gone = dropped_lines(docs, id_col, text_col, min_near).withColumnsRenamed({"id": "__id", "text_hash": "__hash", "gone": "__gone"})
-    joined = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__hash"]), "left")
+    joined = docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__hash"]), "left")
     parts = F.split(docs[text_col], "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
     cleaned = F.array_join(F.transform(kept, lambda at: F.get(parts, at)), "\n")
