@@ -56,23 +56,32 @@ ONE_WORD = 0.7
 
 _table = {ord(k): v for k, v in HOMOGLYPHS.items()}
 _substitutes = str.maketrans(SUBSTITUTES)
+_accents = re.compile("[\u0300-\u036f]+")
+_near_digit = re.compile(r"[a-z][0-9@$|€]|[0-9@$|€][a-z]")
 _mixed = re.compile(r"[^\W_]*(?:[a-z][0-9@$|€]|[0-9@$|€][a-z])[\w@$|€]*")
+_near_dot = re.compile(r"[.\-_*·]\w[.\-_*·]")
 _spaced = re.compile(r"(?<!\w)\w(?:([.\-_*·])\w(?:\1\w)+)(?!\w)")
-_long_run = re.compile(r"(.)\1{2,}")
+_runs = tuple(c * 3 for c in "abcdefghijklmnopqrstuvwxyz")
+_long_run = re.compile(r"([a-z])\1{2,}")
 _apart = re.compile(r"[^\w@$|€]+|_+")
+_ascii_apart = {c: " " for c in range(128) if not (chr(c).isalnum() or chr(c) in "@$|")}
 
 
 def fold(text: str) -> str:
     """Lower case, without accents, homoglyphs, digit substitutions, stretched letters or separators between letters; words apart by one blank."""
     if not text.isascii():
-        text = unicodedata.normalize("NFKD", text.casefold().replace("ß", "ss"))
-        text = "".join(c for c in text if not unicodedata.combining(c)) if not text.isascii() else text
-        text = text.translate(_table)
+        text = _accents.sub("", unicodedata.normalize("NFKD", text.casefold()))
+        if not text.isascii():
+            text = text.translate(_table)
     text = text.lower()
-    text = _spaced.sub(lambda m: m[0].replace(m[1], ""), text)
-    text = _mixed.sub(lambda m: m[0].translate(_substitutes), text)
-    text = _long_run.sub(r"\1", _apart.sub(" ", text))
-    return text.replace("l", "i")  # 1 may stand for either
+    if _near_dot.search(text):
+        text = _spaced.sub(lambda m: m[0].replace(m[1], ""), text)
+    if _near_digit.search(text):
+        text = _mixed.sub(lambda m: m[0].translate(_substitutes), text)
+    text = text.translate(_ascii_apart) if text.isascii() else _apart.sub(" ", text)
+    if any(run in text for run in _runs):
+        text = _long_run.sub(r"\1", text)
+    return " ".join(text.split()).replace("l", "i")  # 1 may stand for either
 
 
 def held_out(doc_id: object) -> bool:
@@ -107,7 +116,7 @@ class Lexicon:
 
     def evidence(self, text: str) -> tuple[float, float, int]:
         """The summed weight of the hits (one, the heaviest, for each word), the heaviest of all, and the words of the text."""
-        folded = f" {fold(text).strip()} "
+        folded = f" {fold(text)} "
         best: dict[int, float] = {}
         excused: list[tuple[int, int]] = []
         for end, (length, weight) in self.automaton().iter(folded):
@@ -211,7 +220,8 @@ def fit(
     if n > fit_rows:
         usable = usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * fit_rows / n))
     halved = usable.withColumn("half", (F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2))).cast("int"))
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(halved, "id").select("text", "label", "half")
+    # at most about fit_rows short rows, so the texts stay where they are
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(halved), "id").select("text", "label", "half")
     totals = {(r["half"], bool(r["label"])): r["n"] for r in halved.groupBy("half", (F.col("label") > 0).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = ([totals.get((half, kind), 0) for half in (0, 1)] for kind in (True, False))
     if not sum(toxic) or not sum(clean):
