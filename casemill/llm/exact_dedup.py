@@ -23,6 +23,8 @@ from casemill.llm.shared import ship_package, text_of, written
 ROWS_PER_OWNER = 1_000_000
 #: Rows of one block.
 BLOCK_ROWS = 100_000
+#: Tasks that share the rows of one digest.
+SALTS = 16
 
 
 def rice_encode(gaps: np.ndarray, shift: int) -> bytes:
@@ -163,11 +165,14 @@ def dedup_exact(
     )
     suspect_keys = marks.where("suspect").select("row_key")
     suspect_digests = prints.join(suspect_keys, "row_key", "left_semi").select("digest").distinct()
-    suspects = source.withColumn("digest", F.sha2("text", 256)).join(suspect_digests, "digest", "left_semi")
-    groups = suspects.groupBy("digest").agg(
-        F.max("id").alias("keep_id"),
-        F.count(F.lit(1)).alias("group_size"),
-        (F.min("text") == F.max("text")).alias("same"),
+    # a digest's rows are dealt to SALTS tasks by their ids, so one large group is no single task's work
+    salts = suspect_digests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = source.withColumns({"digest": F.sha2("text", 256), "salt": F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")})
+    parts = salted.join(salts, ["digest", "salt"], "left_semi").groupBy("digest", "salt").agg(
+        F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.min("text").alias("low"), F.max("text").alias("high")
+    )
+    groups = parts.groupBy("digest").agg(
+        F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), (F.min("low") == F.max("high")).alias("same")
     )
     groups, _ = written(spark, groups, "groups")
     plain = prints.join(groups.where("same").drop("same"), "digest", "left")
