@@ -6,8 +6,8 @@
 3. All shingles are ordered: counted ones by ascending frequency, then the others by hash. Two sets that
    meet the threshold share a shingle among the first n - ceil(threshold * n) + 1 of each; shingles that
    occur once join nothing, so most documents end here. Classes with the same prefix and size form a group.
-4. Group pairs that share a prefix shingle and have compatible sizes are filtered, expanded and verified on
-   the sets themselves. First each group meets only a few hubs of its shingles, verified links are merged
+4. Group pairs that share a prefix shingle are filtered by their sizes and by where the shingle stands in either
+   order (what lies before it can't be shared), expanded and verified on the sets themselves. First each group meets only a few hubs of its shingles, verified links are merged
    into components, and this is repeated; the pairs that remain between different components are then all
    verified. Pairs inside a component need no verification, as their link cannot change the result; a group
    of copies of any size costs its length, and no link between components is lost.
@@ -32,10 +32,11 @@ from casemill.llm.shared import remove, ship_package, text_of, written
 COUNTED = 0.4
 BLOCK_TOKENS = 1_000_000
 OWNER_TOKENS = 4_000_000
-STAR_ROUNDS = 4
-#: Hub rounds end once the pairs that share a shingle between components are so many times the postings, or fewer.
-DIRECT_PAIRS = 2
+#: Hub rounds at most (more joined hardly any pair on the trial data; the last step takes all that is left), and hubs a round.
+STAR_ROUNDS = 2
 HUBS = 3
+#: Hub rounds end earlier once the pairs that share a shingle between components are so many times the postings, or fewer.
+DIRECT_PAIRS = 2
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -138,7 +139,7 @@ def _frequent(owners: int, counted: int):
 
 
 def _prefixes(percent: int, counted: int):
-    schema = ["sig", "n", "grp", "toks"]
+    schema = ["sig", "n", "grp", "toks", "places"]
 
     def run(key: tuple, docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         """A block's classes with the shared shingles of their prefixes."""
@@ -165,12 +166,14 @@ def _prefixes(percent: int, counted: int):
         n = docs["n"].to_numpy()
         length = n - -(-percent * n // 100) + 1
         chosen = order[(place < length[doc]) & (often[order] > 1)]
+        at = place[(place < length[doc]) & (often[order] > 1)]
         out, cuts = [], np.searchsorted(doc[chosen], np.arange(len(docs) + 1))
         for row, (sig, size) in enumerate(zip(docs["sig"], n, strict=True)):
-            own = values[chosen[cuts[row] : cuts[row + 1]]].astype(np.int64)
+            own, first = np.unique(values[chosen[cuts[row] : cuts[row + 1]]].astype(np.int64), return_index=True)
             if len(own):
-                grp = xxhash.xxh3_128_digest(np.concatenate(([size], np.sort(own))).tobytes())
-                out.append((sig, size, grp, np.unique(own)))
+                places = at[cuts[row] : cuts[row + 1]][first]
+                grp = xxhash.xxh3_128_digest(np.concatenate(([size], own, places)).tobytes())
+                out.append((sig, size, grp, own, places))
         return pd.DataFrame(out, columns=schema)
 
     return run
@@ -226,8 +229,14 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _sizes_fit(x: Column, y: Column, percent: int) -> Column:
-    return (100 * F.least(x, y) >= percent * F.greatest(x, y))
+def _may_link(n: Column, place: Column, other_n: Column, other_place: Column, percent: int) -> Column:
+    """Whether two sets whose first common shingle stands at these places of their orders can meet the threshold.
+
+    They must share ceil(percent * (n + other_n) / (100 + percent)) shingles, all at or behind the first one.
+    """
+    whole = 100 + percent
+    shared = F.floor((percent * (n + other_n) + whole - 1) / whole)
+    return (n - place >= shared) & (other_n - other_place >= shared) & (100 * F.least(n, other_n) >= percent * F.greatest(n, other_n))
 
 
 def _star_pairs(posts: DataFrame, members: DataFrame, percent: int, turn: int) -> DataFrame:
@@ -237,10 +246,11 @@ def _star_pairs(posts: DataFrame, members: DataFrame, percent: int, turn: int) -
         # bands of sizes that can meet; the offset moves their borders from seed to seed
         band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + F.lit(seed / HUBS))
         banded = posts.withColumn("band", band)
-        hub = F.min(F.struct(F.xxhash64("grp", F.lit(100 * turn + seed)).alias("h"), "grp", "n", "rep", "root")).alias("hub")
+        hub = F.min(F.struct(F.xxhash64("grp", F.lit(100 * turn + seed)).alias("h"), "grp", "n", "place", "rep", "root")).alias("hub")
         hubs = banded.groupBy("tok", "band").agg(hub, F.count(F.lit(1)).alias("size")).where("size > 1")
         met = banded.join(hubs, ["tok", "band"]).where(
-            (F.col("grp") != F.col("hub.grp")) & (F.col("root") != F.col("hub.root")) & _sizes_fit(F.col("n"), F.col("hub.n"), percent)
+            (F.col("grp") != F.col("hub.grp")) & (F.col("root") != F.col("hub.root"))
+            & _may_link(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"), percent)
         )
         shared = met.groupBy("grp", F.col("hub.rep").alias("to")).agg(F.count(F.lit(1)).alias("shared"))
         found.append(shared.groupBy("grp").agg(F.max(F.struct("shared", "to")).alias("best")).select("grp", "best.to"))
@@ -276,7 +286,7 @@ def ngram_components(
     replies = messages.groupBy("owner").applyInPandas(_frequent(owners, counted), "block long, values binary, often binary")
     prefixes = (
         rows.select("block", "n", "sig", "low").groupBy("block").cogroup(replies.groupBy("block"))
-        .applyInPandas(_prefixes(percent, counted), "sig binary, n long, grp binary, toks array<long>")
+        .applyInPandas(_prefixes(percent, counted), "sig binary, n long, grp binary, toks array<long>, places array<long>")
     )
     prefixes, prefix_path = written(spark, prefixes, "prefixes")
     classes, _ = written(spark, rows.select("id", "n", "sig"), "classes")
@@ -284,10 +294,10 @@ def ngram_components(
 
     # groups of classes with the same prefix and size; those that can meet nobody go
     # (a class whose copies lie in several blocks comes once for each)
-    grouped = prefixes.groupBy("grp", "n").agg(F.min("sig").alias("rep"), F.max("sig").alias("last"), F.first("toks").alias("toks"))
-    posts = grouped.select("grp", "n", "rep", "last", F.explode("toks").alias("tok"))
+    grouped = prefixes.groupBy("grp", "n").agg(F.min("sig").alias("rep"), F.max("sig").alias("last"), F.first(F.arrays_zip("toks", "places")).alias("toks"))
+    posts = grouped.select("grp", "n", "rep", F.inline("toks").alias("tok", "place"))
     shared = posts.groupBy("tok").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("tok")
-    posts, _ = written(spark, posts.join(shared, "tok", "left_semi").drop("last"), "posts")
+    posts, _ = written(spark, posts.join(shared, "tok", "left_semi"), "posts")
     n_posts = posts.count()
     alive = posts.select("grp").unionByName(grouped.where("rep <> last").select("grp")).distinct()
     members, _ = written(spark, prefixes.select("sig", "n", "grp").distinct().join(alive, "grp", "left_semi"), "members")
@@ -326,12 +336,12 @@ def ngram_components(
     # all that remains between different components
     rooted = members.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     rooted, _ = written(spark, rooted, "rooted")
-    sides = posts.select("tok", "grp").join(rooted.select("grp", "n", "root").distinct(), "grp")
+    sides = posts.select("tok", "place", "grp").join(rooted.select("grp", "n", "root").distinct(), "grp")
     open_toks = sides.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tok")
     sides, _ = written(spark, sides.join(open_toks, "tok", "left_semi"), "open-sides")
     x, y = sides.alias("x"), sides.alias("y")
     group_pairs = x.join(y, F.col("x.tok") == F.col("y.tok")).where(
-        (F.col("x.root") < F.col("y.root")) & _sizes_fit(F.col("x.n"), F.col("y.n"), percent)
+        (F.col("x.root") < F.col("y.root")) & _may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent)
     )
     within = rooted.select("grp", "root").distinct()
     within = within.alias("x").join(within.alias("y"), F.col("x.grp") == F.col("y.grp")).where(F.col("x.root") < F.col("y.root"))
