@@ -91,7 +91,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select(
+    return line_dedup.dedup_lines(docs, edits=line_dedup.CORPUS_EDITS).select(
         "doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed")
     )
 

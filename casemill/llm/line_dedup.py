@@ -1,16 +1,15 @@
-"""Near-duplicate lines by a deletion-neighbourhood join, in DataFrame functions only.
+"""Near-duplicate lines by a segment join, in DataFrame functions only.
 
 A line goes if an earlier line of the corpus equals it or, for lines of at least ``min_near`` characters,
-lies within one edit of it. Earlier: by document id, then line number. The relation is not chained: a line
-is judged against all earlier lines, also against those that go themselves.
-
-Emitting all one-deletion variants of every line would multiply the corpus by the length of its lines, so
-the neighbourhood is taken in two levels, both lossless. Level one deletes a block: a line of length n has
-about sqrt(n) / 8 blocks (at least two), and for each of them a key of what is left, once as it stands and
-once for partners shorter by one. Two lines within one edit share the key of the block that holds the edit.
-Level two takes only lines that share a key with another line, and emits the one-character deletions of that
-block as hashed keys. Equal variants are joined through the earliest line of each key (no pairs are listed,
-so a key of any size costs its length), and the edit distance of the blocks is verified.
+lies within ``edits`` edits of it. Earlier: by document id, then line number. The relation is not chained: a
+line is judged against all earlier lines, also against those that go themselves.
+
+The filter is lossless for any number k of edits (Pass-Join): the shorter line is cut into k + 1 segments, and
+k edits leave at least one of them whole. Segment j (from 0) of a partner longer by D stands there d places
+further on, where it is enough to look at |d| <= j and |D - d| <= k - j. So a line emits one key for each of
+its own segments and one for each place where a shorter or equally long partner's segment may stand in it
+(4 keys for one edit, 12 for two, 26 for three). Only distinct lines that share a key are listed as pairs, and
+only pairs whose character counts allow k edits are fetched and verified by the edit distance.
 """
 
 from __future__ import annotations
@@ -22,6 +21,10 @@ from casemill.llm.shared import written
 
 MIN_NEAR = 24
 EDITS = 1
+#: The bound of the registered query and of the pipeline's stage.
+CORPUS_EDITS = 2
+#: Characters counted together: an edit changes the counts by two at most, all in all.
+CLASSES = ("ea", "to", "in", "sr", "hd", "lc", "um", " 0123456789")
 
 
 def _line_key(line: Column) -> Column:
@@ -44,39 +47,38 @@ def _position() -> Column:
     return F.struct(*POSITION)
 
 
-def _with_blocks(lines: DataFrame) -> DataFrame:
-    """One row for each block and role of a line: bucket, head, tail, role (0: as it stands, 1: for shorter partners), start, width.
+def _places(edits: int) -> list[tuple[int, int, int]]:
+    """(segment, how much longer the line is than its partner, shift): where a partner's whole segment may stand."""
+    return [
+        (j, longer, shift)
+        for j in range(edits + 1) for longer in range(edits + 1) for shift in range(-j, j + 1)
+        if abs(longer - shift) <= edits - j
+    ]
 
-    Blocks are numbered first and cut in plain columns afterwards, so the keys are computed in generated code.
-    """
 
-    def blocks(size: Column) -> Column:
-        return F.greatest(F.lit(2), F.ceil(F.sqrt(size.cast("double")) / 8).cast("int"))
+def _keys(lines: DataFrame, min_near: int, edits: int) -> DataFrame:
+    """One row for each segment of a line and each place of a partner's segment: bucket, own (the line's own segments).
 
-    sized = lines.withColumn("size", F.length("line"))
-    sized = sized.withColumns({"blocks_0": blocks(F.col("size")), "blocks_1": blocks(F.col("size") - 1)})
-    numbered = sized.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks_0") + F.col("blocks_1") - 1)))
-    numbered = numbered.withColumn("role", (F.col("k") >= F.col("blocks_0")).cast("int"))
-    numbered = numbered.withColumns({
-        "block": F.when(F.col("role") == 1, F.col("k") - F.col("blocks_0")).otherwise(F.col("k")),
-        "shorter": F.col("size") - F.col("role"),
-    })
-    numbered = numbered.withColumn("step", F.expr("int((shorter + if(role = 1, blocks_1, blocks_0) - 1) div if(role = 1, blocks_1, blocks_0))"))
-    cut = numbered.withColumns({
-        "start": F.col("block") * F.col("step"),
-        "width": F.col("step") + F.col("role"),
-        "head": F.substring("line", F.lit(1), F.col("block") * F.col("step")),
-        "tail": F.substring("line", (F.col("block") + 1) * F.col("step") + 1 + F.col("role"), F.col("size")),
+    Places are numbered first and cut in plain columns afterwards, so the keys are computed in generated code.
+    """
+    places = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(longer).alias("longer"), F.lit(shift).alias("shift")) for j, longer, shift in _places(edits)])
+    numbered = lines.withColumn("size", F.length("line")).withColumn("at", F.explode(places))
+    numbered = numbered.select("*", "at.*", (F.col("size") - F.col("at.longer")).alias("shorter")).where(F.col("shorter") >= min_near)
+    numbered = numbered.withColumn("step", F.expr(f"int((shorter + {edits}) div {edits + 1})"))
+    width = F.greatest(F.lit(0), F.least(F.col("step"), F.col("shorter") - F.col("j") * F.col("step")))
+    segment = F.substring("line", F.col("j") * F.col("step") + F.col("shift") + 1, width)
+    return numbered.withColumns({
+        "bucket": F.xxhash64("j", "shorter", segment),
+        "own": (F.col("longer") == 0) & (F.col("shift") == 0),
     })
-    return cut.withColumn("bucket", F.xxhash64("block", "shorter", "head", "tail"))
 
 
-def _near_drops(lines: DataFrame, min_near: int) -> DataFrame:
-    """(h1, h2) of lines within one edit of an earlier line; both lines must be long enough."""
+def _near_drops(lines: DataFrame, min_near: int, edits: int) -> DataFrame:
+    """(h1, h2) of lines within ``edits`` edits of an earlier line; both lines must be long enough."""
     spark = lines.sparkSession
     near = lines.where(F.length("line") >= min_near).withColumn("place", F.xxhash64(*POSITION))
-    keys = _with_blocks(near)
-    shared = keys.groupBy("bucket").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("bucket")
+    keys = _keys(near, min_near, edits)
+    shared = keys.groupBy("bucket").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own")).where("low <> high AND own").select("bucket")
     shared, _ = written(spark, shared, "line-buckets")
     # the lines themselves are fetched by a hash of their place: only that travels with the keys. The hints keep
     # the strategy from changing with the size of the input (the wanted places grow with it) and spare the long
@@ -85,51 +87,31 @@ def _near_drops(lines: DataFrame, min_near: int) -> DataFrame:
     suspects, _ = written(spark, near.join(places.hint("shuffle_hash"), "place", "left_semi").drop("place"), "line-suspects")
     # of equal lines the first stands for all
     suspects = suspects.groupBy("h1", "h2").agg(F.min(_position()).alias("pos"), F.first("line").alias("line"))
-    mid = _with_blocks(suspects).join(shared, "bucket", "left_semi").select(
-        "pos", "h1", "h2", "bucket", F.xxhash64(F.lit("check"), "block", "shorter", "head", "tail").alias("check"), "role",
-        F.substring(F.col("line"), F.col("start") + 1, F.col("width")).alias("middle"),
-    )
-    mid, _ = written(spark, mid, "line-blocks")
-    size = F.length("middle")
-
-    def without(at: Column) -> Column:
-        return F.concat(F.substring(F.col("middle"), F.lit(1), at), F.substring(F.col("middle"), at + 2, size))
-
-    # a key's kind: "gap" joins a shorter line's whole block with a longer line's deletions,
-    # "swap" joins deletions at the same place of lines of equal length
-    whole = F.array(F.struct(F.xxhash64(F.lit("gap"), "bucket", "middle").alias("variant"), F.lit(0).alias("side")))
-    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    swaps = F.transform(places, lambda at: F.struct(F.xxhash64(F.lit("swap"), "bucket", at, without(at)).alias("variant"), F.lit(2).alias("side")))
-    gaps = F.transform(places, lambda at: F.struct(F.xxhash64(F.lit("gap"), "bucket", without(at)).alias("variant"), F.lit(1).alias("side")))
-    variants = mid.select("pos", "bucket", "role", F.inline(F.when(F.col("role") == 0, F.concat(whole, swaps)).otherwise(gaps)))
-    earliest = variants.groupBy("variant").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.min(F.when(F.col("side") == side, F.col("pos"))).alias(f"first_{side}") for side in (0, 1, 2)],
-    ).where("n > 1").drop("n")
-    partner = F.when(F.col("side") == 0, F.col("first_1")).when(F.col("side") == 1, F.col("first_0")).otherwise(F.col("first_2"))
-    met = variants.join(earliest, "variant").select(
-        "pos", "bucket", "role", partner.alias("partner"),
-        F.when(F.col("side") == 2, 0).otherwise(1 - F.col("side")).alias("side_role"),
-    )
-    # side 0 meets the longer role 1, side 1 the shorter role 0, swaps meet role 0
-    met = met.select("pos", "bucket", "role", "partner", F.when(F.col("role") == 1, 0).otherwise(F.col("side_role")).alias("partner_role"))
-    met = met.where(F.col("partner").isNotNull() & (F.col("partner") < F.col("pos"))).distinct()
-    other = mid.select(
-        F.col("pos").alias("partner"), F.col("bucket").alias("bucket"), F.col("role").alias("partner_role"),
-        F.col("check").alias("other_check"), F.col("middle").alias("other_middle"),
-    )
-    verified = met.join(mid, ["pos", "bucket", "role"]).join(other, ["partner", "bucket", "partner_role"])
-    verified = verified.where(
-        (F.col("check") == F.col("other_check")) & (F.levenshtein("middle", "other_middle", EDITS) >= 0)
-    )
-    return verified.select("h1", "h2").distinct()
-
-
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near: int = MIN_NEAR) -> DataFrame:
+    counts = F.array(*[F.length("line") - F.length(F.translate("line", c, "")) for c in CLASSES])
+    suspects, _ = written(spark, suspects.withColumn("counts", counts), "line-distinct")
+    met = _keys(suspects, min_near, edits).join(shared, "bucket", "left_semi").select("bucket", "own", "h1", "h2", "counts")
+    met, _ = written(spark, met, "line-keys")
+    other = met.select("bucket", F.col("own").alias("other_own"), F.col("h1").alias("other_h1"), F.col("h2").alias("other_h2"), F.col("counts").alias("other_counts"))
+    changed = sum((F.abs(F.col("counts")[n] - F.col("other_counts")[n]) for n in range(1, len(CLASSES))), F.abs(F.col("counts")[0] - F.col("other_counts")[0]))
+    distinct = (F.col("h1") != F.col("other_h1")) | (F.col("h2") != F.col("other_h2"))
+    # two lines' own segments meet from both sides: one of them is enough
+    once = ~F.col("other_own") | (F.struct("h1", "h2") < F.struct("other_h1", "other_h2"))
+    pairs = met.where("own").join(other, "bucket").where(distinct & once & (changed <= 2 * edits))
+    pairs = pairs.select("h1", "h2", "other_h1", "other_h2").distinct()
+    first = suspects.select("h1", "h2", "pos", "line")
+    second = suspects.select(F.col("h1").alias("other_h1"), F.col("h2").alias("other_h2"), F.col("pos").alias("other_pos"), F.col("line").alias("other_line"))
+    verified = pairs.join(first, ["h1", "h2"]).join(second, ["other_h1", "other_h2"]).where(F.levenshtein("line", "other_line", edits) >= 0)
+    later = F.col("other_pos") < F.col("pos")
+    return verified.select(
+        F.when(later, F.col("h1")).otherwise(F.col("other_h1")).alias("h1"), F.when(later, F.col("h2")).otherwise(F.col("other_h2")).alias("h2")
+    ).distinct()
+
+
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near: int = MIN_NEAR, edits: int = EDITS) -> DataFrame:
     """Per document with dropped lines: id, text_hash and the sorted numbers (from 0) of the lines that go."""
     spark = docs.sparkSession
     lines = _lines(docs, id_col, text_col)
-    near, _ = written(spark, _near_drops(lines, min_near), "near-lines")
+    near, _ = written(spark, _near_drops(lines, min_near, edits), "near-lines")
     occurrences = lines.select(*POSITION, "h1", "h2")
     distinct = occurrences.groupBy("h1", "h2").agg(F.min(_position()).alias("first"), F.count(F.lit(1)).alias("n"))
     marked = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 OR near")
@@ -138,16 +120,17 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return gone.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near: int = MIN_NEAR) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near: int = MIN_NEAR, edits: int = EDITS) -> DataFrame:
     """``docs`` with the text cleaned, and __lines, __removed (long): how many lines there were and went.
 
     Lines end at newlines; blank lines stay; lines are compared without blanks at their ends; lines under
-    ``min_near`` characters go only when equal to an earlier one. Null texts stay null and empty texts empty,
+    ``min_near`` characters go only when equal to an earlier one, others also when within ``edits`` edits of one
+    that is long enough. Null texts stay null and empty texts empty,
     with 0 removed; a null id comes before all others; rows that repeat an id with the same text are treated
     alike, with other texts by a hash of the text; a document whose lines all go has the empty text; an
     empty table gives no rows; other columns pass through. Equal lines are summed before they are shuffled.
     """
-    gone = dropped_lines(docs, id_col, text_col, min_near).withColumnsRenamed({"id": "__id", "text_hash": "__hash", "gone": "__gone"})
+    gone = dropped_lines(docs, id_col, text_col, min_near, edits).withColumnsRenamed({"id": "__id", "text_hash": "__hash", "gone": "__gone"})
     joined = docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__hash"]), "left")
     parts = F.split(docs[text_col], "\n")
     kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))

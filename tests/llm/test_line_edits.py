@@ -1,0 +1,32 @@
+import random
+
+import pytest
+
+from casemill.llm.line_dedup import dedup_lines
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize(("edits", "least"), [(2, 24), (3, 24), (2, 1)])
+def test_lines_within_several_edits(spark, edits, least):
+    rng, lines = random.Random(edits), []
+    bases = ["".join(rng.choice("abcde é漢") for _ in range(n)).strip() + "x" for n in (2, 5, 23, 24, 26, 40, 90, 210)]
+    for base in bases * 14:
+        for _ in range(rng.choice([0, 1, 2, 2, 3, 4])):
+            at, kind = rng.randrange(len(base) + 1), rng.choice("isd")
+            base = base[:at] + (rng.choice("abz") if kind != "d" else "") + base[at + (kind != "i") :]
+        lines.append(base.strip() or "x")
+    rng.shuffle(lines)
+    frame = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    expected = {
+        n for n, line in enumerate(lines)
+        if any(line == other or (min(len(line), len(other)) >= least and distance(line, other) <= edits) for other in lines[:n])
+    }
+    assert {r.doc_id for r in dedup_lines(frame, min_near=least, edits=edits).collect() if r["__removed"]} == expected
