@@ -136,30 +136,37 @@ def wide_report(hits: DataFrame, slots: int = 10, query: str = "query_id") -> Da
     return hits.groupBy(query).agg(score_list(F.col("score"), F.col("rank")).alias("scores"), top, *cells)
 
 
-def keep_distinct_hits(hits: DataFrame, most: int = 10, query: str = "query_id", candidate_limit: int = 500, core: str = "core") -> DataFrame:
+def keep_distinct_hits(hits: DataFrame, most: int = 10, query: str = "query_id", candidate_limit: int | None = 500, core: str = "core") -> DataFrame:
     """Greedy near-duplicate suppression in rank order: the accepted hits of each query.
 
     A hit is refused if its core is empty, accepted already, begins like an accepted one (the first 130
     characters, at least 80), or shares a shingle with one. The state depends on what was accepted, so a
-    query's hits, at most ``candidate_limit`` (the search's own oversampling), are taken in turn in one task.
+    query's hits, at most ``candidate_limit`` (the search's own oversampling; None: all of them), are taken in
+    turn in one task. They stream through it: it holds what was accepted and one batch.
     """
     once = Window.partitionBy(query, core).orderBy("rank")
-    narrowed = hits.where((F.col("rank") <= candidate_limit) & (F.col(core) != "")).withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
-    narrowed = narrowed.withColumn("__shingles", tx.shingles(F.col(core)))
-    schema = hits.schema
-
-    def accept(group: pd.DataFrame) -> pd.DataFrame:
-        kept, cores, seen = [], [], set()
-        ordered = group.sort_values("rank")
-        for at, (own, parts) in enumerate(zip(ordered[core], ordered["__shingles"], strict=True)):
-            heads = ((min(130, len(own), len(other)), other) for other in cores)
-            if seen.intersection(parts) or any(n >= 80 and own[:n] == other[:n] for n, other in heads):
-                continue
-            kept.append(at)
-            cores.append(own)
-            seen.update(parts)
-            if len(kept) == most:
-                break
-        return ordered.iloc[kept][schema.names]
-
-    return narrowed.groupBy(query).applyInPandas(accept, schema)
+    wanted = F.col(core) != "" if candidate_limit is None else (F.col("rank") <= candidate_limit) & (F.col(core) != "")
+    narrowed = hits.where(wanted).withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
+    names = hits.schema.names
+    in_turn = narrowed.repartition(query).sortWithinPartitions(query, "rank").withColumn("__shingles", tx.shingles(F.col(core)))
+
+    def accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, cores, seen = object(), [], set()
+        for batch in batches:
+            kept = []
+            for at, (key, own, parts) in enumerate(zip(batch[query], batch[core], batch["__shingles"], strict=True)):
+                key = None if pd.isna(key) else key
+                if key != current:
+                    current, cores, seen = key, [], set()
+                if len(cores) == most:
+                    continue
+                heads = ((min(130, len(own), len(other)), other) for other in cores)
+                if seen.intersection(parts) or any(n >= 80 and own[:n] == other[:n] for n, other in heads):
+                    continue
+                kept.append(at)
+                cores.append(own)
+                seen.update(parts)
+            if kept:
+                yield batch.iloc[kept][names]
+
+    return in_turn.mapInPandas(accept, hits.schema)

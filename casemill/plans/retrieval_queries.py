@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions import text as tx
 from casemill.functions import vector as vx
-from casemill.operators import relational, retrieval
+from casemill.operators import retrieval
 from casemill.plans.registry import Registry
 from casemill.plans.tables import table
 
@@ -203,7 +203,7 @@ _full(same_case_verification, 50)
 
 @register()
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of each source, ranked by id, through the greedy near-duplicate filter."""
+    """All documents of each source, ranked by id, through the greedy near-duplicate filter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", tx.core_text(F.col("text")).alias("core"))
-    ranked = relational.quota(docs, ["source"], [F.col("doc_id").asc()], 500).withColumnRenamed("place", "rank")
-    return retrieval.keep_distinct_hits(ranked, 10, "source")
+    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    return retrieval.keep_distinct_hits(ranked, 10, "source", candidate_limit=None)
