@@ -104,6 +104,10 @@ def shingle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.withColumnRenamed("item_id", "a").join(other, "shingle").where("a <= b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
+#: Items without an inner word that are compared with all documents at a time.
+ITEM_BLOCK = 1000
+
+
 @register("SELECT d.doc_id, b.item_id, CASE WHEN starts_with(d.text, b.text) THEN 1 ELSE 2 END AS tier FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which documents hold an item's whole text: item and document meet on a word that begins the item, then are compared."""
@@ -116,8 +120,13 @@ def benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split("text", " "))).alias("key"))
     keys = keyed.where("key IS NOT NULL").select("key").distinct()
     met = tokens.join(keys, "key", "left_semi").join(keyed, "key").where(F.contains("text", "item"))
-    rest = docs.join(F.broadcast(keyed.where("key IS NULL").limit(1000)), F.contains("text", "item"))
-    both = met.select("doc_id", "item_id", "text", "item").unionByName(rest.select("doc_id", "item_id", "text", "item"))
+    both = met.select("doc_id", "item_id", "text", "item")
+    # items without an inner word lie anywhere in a text: all of them are compared, in blocks of about ITEM_BLOCK
+    loose = keyed.where("key IS NULL").select("item_id", "item")
+    blocks = -(-loose.count() // ITEM_BLOCK)
+    for block in range(blocks):
+        part = loose.where(F.pmod(F.xxhash64("item_id", "item"), F.lit(blocks)) == block)
+        both = both.unionByName(docs.join(F.broadcast(part), F.contains("text", "item")).select("doc_id", "item_id", "text", "item"))
     return both.select("doc_id", "item_id", F.when(F.startswith("text", "item"), 1).otherwise(2).alias("tier"))
 
 
