@@ -46,6 +46,13 @@ def prefix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(F.substring("text", 1, 200)).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).select("doc_id", "n")
 
 
+@register("SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY source, substr(text, 1, 2000)")
+def prefix_dedup_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reference's key: source and the first 2000 characters."""
+    keys = [F.col("source"), F.substring("text", 1, 2000)]
+    return table(spark, sf_dir, "documents").groupBy(*keys).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).select("doc_id", "n")
+
+
 @register("SELECT CAST(sum(n) AS BIGINT) AS total_rows, count(*) FILTER (n > 1) AS duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS extra_rows FROM (SELECT count(*) AS n FROM documents GROUP BY source, substr(text, 1, 500))")
 def duplicate_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.duplicate_report(table(spark, sf_dir, "documents"), [F.col("source"), F.substring("text", 1, 500)])
