@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from casemill.functions.text import ABBREVIATIONS
 
 TARGET, LEAST, MOST = 1000, 800, 1200
-EVEN_TARGET, EVEN_LEAST, EVEN_MOST, EVEN_MERGE, EVEN_CAP = 600, 300, 1200, 1250, 600
+EVEN_TARGET, EVEN_LEAST, EVEN_MOST, EVEN_MERGE = 600, 300, 1200, 1250
 _HIDDEN = "\x01"
 
 
@@ -77,7 +77,7 @@ def even(paragraphs: list[str]) -> list[str]:
             out[-1] += " " + piece
         else:
             out.append(piece)
-    return out[:EVEN_CAP]
+    return out
 
 
 def _chunks(df: DataFrame, cut, id_col: str) -> DataFrame:
@@ -97,5 +97,5 @@ def pack_chunks(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def even_chunks(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Chunks of 300 to 1250 characters, about 600, at most 600 of them (the report format's limit)."""
+    """Chunks of 300 to 1250 characters, about 600; a text's whole length."""
     return _chunks(df, even, id_col)
