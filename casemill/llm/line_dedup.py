@@ -1,30 +1,35 @@
-"""Near-duplicate lines by a segment join, in DataFrame functions only.
-
-A line goes if an earlier line of the corpus equals it or, for lines of at least ``min_near`` characters,
-lies within ``edits`` edits of it. Earlier: by document id, then line number. The relation is not chained: a
-line is judged against all earlier lines, also against those that go themselves.
-
-The filter is lossless for any number k of edits (Pass-Join): the shorter line is cut into k + 1 segments, and
-k edits leave at least one of them whole. Segment j (from 0) of a partner longer by D stands there d places
-further on, where it is enough to look at |d| <= j and |D - d| <= k - j. So a line emits one key for each of
-its own segments and one for each place where a shorter or equally long partner's segment may stand in it
-(4 keys for one edit, 12 for two, 26 for three). Only distinct lines that share a key are listed as pairs, and
-only pairs whose character counts allow k edits are fetched and verified by the edit distance.
+"""Near-duplicate lines by a deletion neighbourhood of words, in DataFrame functions only.
+
+A line goes if an earlier line of the corpus equals it or lies within one word edit of it (a word replaced, added or
+left out, whatever the word's length), where one edit may be at most 100 - ``percent`` percent of the longer line's
+words: the bound is one edit from five words on at 80 percent, and none below. Earlier: by document id, then line
+number. The relation is not chained: a line is judged against all earlier lines, also against those that go themselves.
+
+1. Suspects. One edit leaves the first or the second half of the shorter line's words whole, so a line emits its two
+   halves and the two places where a shorter partner's halves may stand in it, as hashed keys; lines whose keys meet
+   no other line have no near copy. This loses nothing and leaves few lines.
+2. Neighbourhood. Each suspect emits every variant within the bound as a hashed key: the words before and behind each
+   left-out word, and, for partners with one word more, those before and behind each gap. A key is the exclusive or of
+   the words' hashes, salted by their places from the front or from the end, so a window yields all keys of a line in
+   one pass. Lines that share a variant are within one edit of each other, so each is compared with the earliest of the
+   variant alone; no pairs inside a family of near copies are made.
+3. A line and the earliest line of each of its variants are verified on their words.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.llm.shared import written
+from casemill.llm.shared import remove, written
 
-MIN_NEAR = 24
-EDITS = 1
-#: The bound of the registered query and of the pipeline's stage.
-CORPUS_EDITS = 2
-#: Characters counted together: an edit changes the counts by two at most, all in all.
-CLASSES = ("ea", "to", "in", "sr", "hd", "lc", "um", " 0123456789")
+#: Words of two lines that must agree, in percent of the longer line's.
+PERCENT = 80
+#: A line is heavy if it is at least one in so many of all lines: at most so many lines are, and only they are broadcast.
+HEAVY_SHARE = 1000
+#: Tasks that share a heavy line's occurrences.
+SALTS = 64
+POSITION = ("id", "text_hash", "line_no")
 
 
 def _line_key(line: Column) -> Column:
@@ -40,104 +45,135 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit("second"), F.col("line"))})
 
 
-POSITION = ("id", "text_hash", "line_no")
-
-
 def _position() -> Column:
     return F.struct(*POSITION)
 
 
-def _places(edits: int) -> list[tuple[int, int, int]]:
-    """(segment, how much longer the line is than its partner, shift): where a partner's whole segment may stand."""
-    return [
-        (j, longer, shift)
-        for j in range(edits + 1) for longer in range(edits + 1) for shift in range(-j, j + 1)
-        if abs(longer - shift) <= edits - j
-    ]
+def least_words(percent: int) -> int:
+    """Words from which one edit is within the bound."""
+    return -(-100 // (100 - percent))
+
+
+def _halves(lines: DataFrame, percent: int) -> DataFrame:
+    """Lines with enough words, one row for each key: bucket, own (a half of the line itself, not the place of a shorter partner's)."""
+    words = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")
+    counted = lines.withColumn("words", words).where(F.col("words") >= least_words(percent) - 1)
+    keys = [
+        F.expr(f"xxhash64({half}, {size}, substring_index(line, ' ', int({count})))")
+        for size in ("words", "words - 1")
+        for half, count in ((0, f"({size} + 1) div 2"), (1, f"-(({size}) div 2)"))
+    ]
+    return counted.select("*", F.posexplode(F.array(*keys)).alias("nth", "bucket")).withColumn("own", F.col("nth") < 2)
+
+
+def _variants(suspects: DataFrame, percent: int) -> DataFrame:
+    """The hashed variants of each distinct line: key, h1, h2."""
+    words = suspects.select("h1", "h2", F.split("line", " ").alias("words"))
+    words = words.select("h1", "h2", F.size("words").alias("n"), F.posexplode("words").alias("at", "word"))
+    salted = words.withColumns({"front": F.xxhash64("word", "at"), "back": F.xxhash64("word", F.col("at") - F.col("n"))}).drop("word")
+    line = Window.partitionBy("h1", "h2").orderBy("at")
+    upto = F.bit_xor(F.col("front").bitwiseXOR(F.col("back"))).over(line.rowsBetween(Window.unboundedPreceding, 0))
+    whole = F.bit_xor("back").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    placed = salted.withColumns({"upto": upto, "whole": whole})
+    behind = F.col("upto").bitwiseXOR(F.col("whole"))  # the words up to here from the front, the others from the end
+    without = F.xxhash64(behind.bitwiseXOR(F.col("front")), "at", "n")
+    keys = F.array(
+        F.when(F.col("n") >= least_words(percent), without),
+        F.xxhash64(behind, F.col("at") + 1, F.col("n") + 1),
+        F.when(F.col("at") == 0, F.xxhash64("whole", F.lit(0), F.col("n") + 1)),
+    )
+    return placed.select("h1", "h2", F.explode(F.array_compact(keys)).alias("key"))
 
 
-def _keys(lines: DataFrame, min_near: int, edits: int) -> DataFrame:
-    """One row for each segment of a line and each place of a partner's segment: bucket, own (the line's own segments).
+def _within_one(line: str, other: str, percent: int) -> Column:
+    """Whether two lines' words differ by one edit that the bound allows."""
+    a, b = F.split(line, " "), F.split(other, " ")
+    longer, apart = F.greatest(F.size(a), F.size(b)), F.abs(F.size(a) - F.size(b))
 
-    Places are numbered first and cut in plain columns afterwards, so the keys are computed in generated code.
-    """
-    places = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(longer).alias("longer"), F.lit(shift).alias("shift")) for j, longer, shift in _places(edits)])
-    numbered = lines.withColumn("size", F.length("line")).withColumn("at", F.explode(places))
-    numbered = numbered.select("*", "at.*", (F.col("size") - F.col("at.longer")).alias("shorter")).where(F.col("shorter") >= min_near)
-    numbered = numbered.withColumn("step", F.expr(f"int((shorter + {edits}) div {edits + 1})"))
-    width = F.greatest(F.lit(0), F.least(F.col("step"), F.col("shorter") - F.col("j") * F.col("step")))
-    segment = F.substring("line", F.col("j") * F.col("step") + F.col("shift") + 1, width)
-    return numbered.withColumns({
-        "bucket": F.xxhash64("j", "shorter", segment),
-        "own": (F.col("longer") == 0) & (F.col("shift") == 0),
-    })
-
-
-def _near_drops(lines: DataFrame, min_near: int, edits: int) -> DataFrame:
-    """(h1, h2) of lines within ``edits`` edits of an earlier line; both lines must be long enough."""
+    def alike(x: Column, y: Column) -> Column:
+        """Words at the beginning that agree; the shorter one's end agrees with nothing."""
+        first = F.array_position(F.zip_with(x, y, lambda v, w: v.eqNullSafe(w)), False)
+        return F.when(first == 0, longer).otherwise(first - 1)
+
+    return (apart <= 1) & (longer >= least_words(percent)) & (alike(a, b) + alike(F.reverse(a), F.reverse(b)) >= longer - 1)
+
+
+def _near_drops(lines: DataFrame, percent: int) -> DataFrame:
+    """(h1, h2) of the lines within one edit of an earlier, different line."""
     spark = lines.sparkSession
-    near = lines.where(F.length("line") >= min_near).withColumn("place", F.xxhash64(*POSITION))
-    keys = _keys(near, min_near, edits)
-    shared = keys.groupBy("bucket").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own")).where("low <> high AND own").select("bucket")
-    shared, _ = written(spark, shared, "line-buckets")
-    # the lines themselves are fetched by a hash of their place: only that travels with the keys. The hints keep
-    # the strategy from changing with the size of the input (the wanted places grow with it) and spare the long
-    # side's sort: of the short side each task holds its share
+    near = lines.withColumn("place", F.xxhash64(*POSITION))
+    keys = _halves(near, percent)
+    shared = keys.groupBy("bucket").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own"))
+    shared, shared_path = written(spark, shared.where("low <> high AND own").select("bucket"), "line-halves")
+    # the lines themselves are fetched by a hash of their place: only that travels with the keys. The hints keep the
+    # strategy from changing with the size of the input and spare the long side's sort
     places = keys.select("bucket", "place").join(shared.hint("shuffle_hash"), "bucket", "left_semi").select("place").distinct()
-    suspects, _ = written(spark, near.join(places.hint("shuffle_hash"), "place", "left_semi").drop("place"), "line-suspects")
+    suspects = near.join(places.hint("shuffle_hash"), "place", "left_semi")
     # of equal lines the first stands for all
     suspects = suspects.groupBy("h1", "h2").agg(F.min(_position()).alias("pos"), F.first("line").alias("line"))
-    counts = F.array(*[F.length("line") - F.length(F.translate("line", c, "")) for c in CLASSES])
-    suspects, _ = written(spark, suspects.withColumn("counts", counts), "line-distinct")
-    met = _keys(suspects, min_near, edits).join(shared, "bucket", "left_semi").select("bucket", "own", "h1", "h2", "counts")
-    met, _ = written(spark, met, "line-keys")
-    other = met.select("bucket", F.col("own").alias("other_own"), F.col("h1").alias("other_h1"), F.col("h2").alias("other_h2"), F.col("counts").alias("other_counts"))
-    changed = sum((F.abs(F.col("counts")[n] - F.col("other_counts")[n]) for n in range(1, len(CLASSES))), F.abs(F.col("counts")[0] - F.col("other_counts")[0]))
-    distinct = (F.col("h1") != F.col("other_h1")) | (F.col("h2") != F.col("other_h2"))
-    # two lines' own segments meet from both sides: one of them is enough
-    once = ~F.col("other_own") | (F.struct("h1", "h2") < F.struct("other_h1", "other_h2"))
-    pairs = met.where("own").join(other, "bucket").where(distinct & once & (changed <= 2 * edits))
-    pairs = pairs.select("h1", "h2", "other_h1", "other_h2").distinct()
-    first = suspects.select("h1", "h2", "pos", "line")
-    second = suspects.select(F.col("h1").alias("other_h1"), F.col("h2").alias("other_h2"), F.col("pos").alias("other_pos"), F.col("line").alias("other_line"))
-    verified = pairs.join(first, ["h1", "h2"]).join(second, ["other_h1", "other_h2"]).where(F.levenshtein("line", "other_line", edits) >= 0)
-    later = F.col("other_pos") < F.col("pos")
-    return verified.select(
-        F.when(later, F.col("h1")).otherwise(F.col("other_h1")).alias("h1"), F.when(later, F.col("h2")).otherwise(F.col("other_h2")).alias("h2")
-    ).distinct()
-
-
-def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near: int = MIN_NEAR, edits: int = EDITS) -> DataFrame:
+    suspects, suspects_path = written(spark, suspects, "line-suspects")
+    remove(spark, shared_path)
+
+    variants = _variants(suspects, percent)
+    met = variants.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
+    met, met_path = written(spark, variants.join(met, "key", "left_semi").join(suspects.select("h1", "h2", "pos"), ["h1", "h2"]), "line-variants")
+    firsts, firsts_path = written(spark, met.groupBy("key").agg(F.min(F.struct("pos", "h1", "h2")).alias("first")), "line-firsts")
+    later = (F.col("h1") != F.col("first.h1")) | (F.col("h2") != F.col("first.h2"))
+    pairs = met.join(firsts, "key").where(later).select("h1", "h2", F.col("first.h1").alias("other_h1"), F.col("first.h2").alias("other_h2")).distinct()
+    first = suspects.select("h1", "h2", "line")
+    second = suspects.select(F.col("h1").alias("other_h1"), F.col("h2").alias("other_h2"), F.col("line").alias("other_line"))
+    verified = pairs.join(first, ["h1", "h2"]).join(second, ["other_h1", "other_h2"]).where(_within_one("line", "other_line", percent))
+    drops, _ = written(spark, verified.select("h1", "h2").distinct(), "near-lines")
+    for path in (suspects_path, met_path, firsts_path):
+        remove(spark, path)
+    return drops
+
+
+def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """Per document with dropped lines: id, text_hash and the sorted numbers (from 0) of the lines that go."""
     spark = docs.sparkSession
     lines = _lines(docs, id_col, text_col)
-    near, _ = written(spark, _near_drops(lines, min_near, edits), "near-lines")
     occurrences = lines.select(*POSITION, "h1", "h2")
-    distinct = occurrences.groupBy("h1", "h2").agg(F.min(_position()).alias("first"), F.count(F.lit(1)).alias("n"))
-    marked = distinct.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left").where("n > 1 OR near")
-    gone = occurrences.join(marked, ["h1", "h2"]).where(F.col("near") | (_position() != F.col("first")))
+    marked = occurrences.groupBy("h1", "h2").agg(F.min(_position()).alias("first"), F.count(F.lit(1)).alias("n"))
+    if percent < 100:
+        near = _near_drops(lines, percent)
+        marked = marked.join(near.withColumn("near", F.lit(True)), ["h1", "h2"], "left")
+    else:
+        marked = marked.withColumn("near", F.lit(None).cast("boolean"))
+    marked, _ = written(spark, marked.where("n > 1 OR near"), "line-marks")
+    # a heavy line's occurrences are dealt to SALTS tasks
+    least = F.lit((marked.agg(F.sum("n")).first()[0] or 0) / HEAVY_SHARE)
+    marked = marked.withColumn("heavy", F.col("n") >= least)
+    heavy = F.broadcast(marked.where("heavy").select("h1", "h2", "heavy"))
+    salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("id", "line_no"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salts = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = occurrences.join(heavy, ["h1", "h2"], "left").select(*POSITION, "h1", "h2", salt.alias("salt"))
+    gone = dealt.join(marked.select("h1", "h2", "first", "near", F.explode(salts).alias("salt")), ["h1", "h2", "salt"])
+    gone = gone.where(F.col("near") | (_position() != F.col("first")))
     # rows that repeat a whole (id, text) stand at one position and keep or lose a line together
     return gone.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set("line_no")).alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_near: int = MIN_NEAR, edits: int = EDITS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """``docs`` with the text cleaned, and __lines, __removed (long): how many lines there were and went.
 
-    Lines end at newlines; blank lines stay; lines are compared without blanks at their ends; lines under
-    ``min_near`` characters go only when equal to an earlier one, others also when within ``edits`` edits of one
-    that is long enough. Null texts stay null and empty texts empty,
+    Lines end at newlines; blank lines stay; lines are compared without blanks at their ends; their words lie between
+    single blanks, so a text without blanks is one word. ``percent`` sets from how many words on one edit is within the
+    bound (100: lines go only when equal to an earlier one). Null texts stay null and empty texts empty,
     with 0 removed; a null id comes before all others; rows that repeat an id with the same text are treated
     alike, with other texts by a hash of the text; a document whose lines all go has the empty text; an
-    empty table gives no rows; other columns pass through. Equal lines are summed before they are shuffled.
+    empty table gives no rows; other columns pass through, but for __lines and __removed, which are replaced.
+    Equal lines are summed before they are shuffled; they are told apart by 128 bits of their hashes, rows of one id by 64.
     """
-    gone = dropped_lines(docs, id_col, text_col, min_near, edits).withColumnsRenamed({"id": "__id", "text_hash": "__hash", "gone": "__gone"})
-    joined = docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["__id"]) & (F.xxhash64(docs[text_col]) == gone["__hash"]), "left")
+    gone = dropped_lines(docs, id_col, text_col, percent).withColumnsRenamed({"id": "__gone_id", "text_hash": "__gone_hash", "gone": "__gone_lines"})
+    joined = docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["__gone_id"]) & (F.xxhash64(docs[text_col]) == gone["__gone_hash"]), "left")
+    numbers = gone["__gone_lines"]
     parts = F.split(docs[text_col], "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__gone"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), numbers)
     cleaned = F.array_join(F.transform(kept, lambda at: F.get(parts, at)), "\n")
-    others = [F.when(F.col("__gone").isNull(), docs[c]).otherwise(cleaned).alias(c) if c == text_col else docs[c] for c in docs.columns]
+    others = [F.when(numbers.isNull(), docs[c]).otherwise(cleaned).alias(c) if c == text_col else docs[c] for c in docs.columns if c not in ("__lines", "__removed")]
     return joined.select(
         *others,
         F.when(docs[text_col].isNull(), 0).otherwise(F.size(parts)).cast("long").alias("__lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__removed"),
+        F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias("__removed"),
     )

@@ -40,15 +40,16 @@ def jaccard_components(rows, words, percent):
     return [(len(s), smallest.get(find(i)) if s else rows[i][0]) for i, s in enumerate(sets)]
 
 
-def within_one_edit(a, b):
-    if abs(len(a) - len(b)) > 1:
+def within_one_word(line, other, percent):
+    """Whether one word replaced, added or left out makes ``other`` of ``line``, at most 100 - percent percent of the longer one's."""
+    a, b = line.split(" "), other.split(" ")
+    if max(len(a), len(b)) * (100 - percent) < 100:
         return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) <= 1
     if len(a) > len(b):
         a, b = b, a
-    at = 0
-    while at < len(a) and a[at] == b[at]:
-        at += 1
-    return a[at + 1 :] == b[at + 1 :] if len(a) == len(b) else a[at:] == b[at + 1 :]
+    return any(a == b[:at] + b[at + 1 :] for at in range(len(b)))
 
 
 def near_copies(seed=3, bases=6, copies=6):
