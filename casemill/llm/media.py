@@ -14,8 +14,9 @@ import struct
 import time
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -158,26 +159,40 @@ class ByteRange(InputPartition):
         self.archive, self.size, self.start, self.stop = archive, size, start, stop
 
 
-def read_member(open_file, entry: zipfile.ZipInfo, attempts: int = ATTEMPTS, wait_s: float = 0.2) -> bytes:
-    """One stored member by its offset, its header and checksum verified; read again, alone, if that fails."""
-    for attempt in range(1, attempts + 1):
+#: What a damaged or cut-off read of an archive raises.
+READ_ERRORS = (OSError, EOFError, struct.error, zipfile.BadZipFile)
+
+
+def retried(read: Callable[[], Any], what: str, attempts: int = ATTEMPTS, wait_s: float = 0.2) -> Any:
+    """``read()``, again after a growing wait while it fails on the archive's bytes; OSError after the last attempt."""
+    for attempt in range(1, attempts):
         try:
-            with open_file() as file:
-                file.seek(entry.header_offset)
-                head = file.read(30)
-                if len(head) < 30 or head[:4] != b"PK\x03\x04":
-                    raise OSError("no member at this offset")
-                names, extra = struct.unpack_from("<HH", head, 26)
-                file.seek(entry.header_offset + 30 + names + extra)
-                data = file.read(entry.compress_size)
-            if len(data) != entry.file_size or zlib.crc32(data) != entry.CRC:
-                raise OSError("damaged member")
-            return data
-        except OSError as error:
-            if attempt == attempts:
-                raise OSError(f"{entry.filename} at {entry.header_offset}: {error}, {attempts} attempts") from error
+            return read()
+        except READ_ERRORS:
             time.sleep(wait_s * 2 ** (attempt - 1))
-    raise AssertionError("unreachable")
+    try:
+        return read()
+    except READ_ERRORS as error:
+        raise OSError(f"{what}: {error}, {attempts} attempts") from error
+
+
+def read_member(open_file, entry: zipfile.ZipInfo, attempts: int = ATTEMPTS, wait_s: float = 0.2) -> bytes:
+    """One stored member by its offset, its header and checksum verified; read again, alone, if that fails."""
+
+    def read() -> bytes:
+        with open_file() as file:
+            file.seek(entry.header_offset)
+            head = file.read(30)
+            if len(head) < 30 or head[:4] != b"PK\x03\x04":
+                raise OSError("no member at this offset")
+            names, extra = struct.unpack_from("<HH", head, 26)
+            file.seek(entry.header_offset + 30 + names + extra)
+            data = file.read(entry.compress_size)
+        if len(data) != entry.file_size or zlib.crc32(data) != entry.CRC:
+            raise OSError("damaged member")
+        return data
+
+    return retried(read, f"{entry.filename} at {entry.header_offset}", attempts, wait_s)
 
 
 class ArchiveReader(DataSourceReader):
@@ -206,8 +221,11 @@ class ArchiveReader(DataSourceReader):
         def open_file():
             return filesystem.open_input_file(partition.archive)
 
-        with open_file() as file, zipfile.ZipFile(file) as archive:
-            entries = [e for e in archive.infolist() if partition.start <= e.header_offset < partition.stop]
+        def directory() -> list[zipfile.ZipInfo]:
+            with open_file() as file, zipfile.ZipFile(file) as archive:
+                return [e for e in archive.infolist() if partition.start <= e.header_offset < partition.stop]
+
+        entries = retried(directory, f"directory of {partition.archive}", self.attempts)
         names = ["archive", "offset", "member", "media"]
 
         def batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -1,4 +1,5 @@
 import hashlib
+import struct
 import zipfile
 import zlib
 from pathlib import Path
@@ -59,3 +60,21 @@ def test_a_member_is_read_again_alone(tmp_path):
     with pytest.raises(OSError, match="damaged"):
         media.read_member(lambda: open(path, "rb"), entries[0], attempts=2, wait_s=0)
     assert media.read_member(lambda: open(path, "rb"), entries[1], wait_s=0) == b"second"
+
+
+def test_a_damaged_directory_is_read_again(tmp_path):
+    path, calls = tmp_path / "a.zip", []
+    with zipfile.ZipFile(path, "w") as file:
+        file.writestr("one", b"first")
+
+    def directory():
+        calls.append(1)
+        if len(calls) == 1:
+            raise zipfile.BadZipFile("cut off")
+        if len(calls) == 2:
+            raise struct.error("short read")
+        return zipfile.ZipFile(path).namelist()
+
+    assert media.retried(directory, "directory", attempts=4, wait_s=0) == ["one"] and len(calls) == 3
+    with pytest.raises(OSError, match="2 attempts"):
+        media.retried(lambda: zipfile.ZipFile(__file__), "directory", attempts=2, wait_s=0)
