@@ -24,7 +24,7 @@ MARK = "▁"
 #: Piece kinds of the model format (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Entries of a worker's segment cache; beyond it segments are counted anew.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 250_000
 CACHED_CHARS = 40
 
 
@@ -75,9 +75,9 @@ class PieceModel:
                 normalizer = dict(_fields(value))
         if normalizer.get(2) or not normalizer.get(3, 1) or normalizer.get(4, 1):
             raise ValueError("only identity normalisation with a dummy prefix and kept white space is supported")
-        if any(kind == USER_DEFINED for _, _, kind in pieces):
-            raise ValueError("models with user-defined pieces are not supported")
-        usable = [(text, score) for text, score, kind in pieces if kind in (NORMAL, UNUSED)]
+        if any(kind in (USER_DEFINED, UNUSED) for _, _, kind in pieces):  # the library splits unused pieces again
+            raise ValueError("models with user-defined or unused pieces are not supported")
+        usable = [(text, score) for text, score, kind in pieces if kind == NORMAL]
         self.known = {text for text, _ in usable if len(text) == 1}
         order = sorted((p for p in usable if len(p[0]) > 1), key=lambda p: -p[1])
         self.rank = {text: at for at, (text, _) in enumerate(order)}
