@@ -6,7 +6,7 @@ words: the bound is one edit from five words on at 80 percent, and none below. E
 number. The relation is not chained: a line is judged against all earlier lines, also against those that go themselves.
 
 1. Suspects. One edit leaves the first or the second half of the shorter line's words whole, so a line emits its two
-   halves and the two places where a shorter partner's halves may stand in it, as hashed keys; lines whose keys meet
+   halves and the places where a shorter partner's halves may stand in it, as hashed keys; lines whose keys meet
    no other line have no near copy. This loses nothing and leaves few lines.
 2. Neighbourhood. Each suspect emits every variant within the bound as a hashed key: the words before and behind each
    left-out word, and, for partners with one word more, those before and behind each gap. A key is the exclusive or of
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casemill.llm.shared import remove, written
+from casemill.llm.shared import only_possible, remove, written
 
 #: Words of two lines that must agree, in percent of the longer line's.
 PERCENT = 80
@@ -32,9 +32,14 @@ SALTS = 64
 POSITION = ("id", "text_hash", "line_no")
 
 
+#: What is taken off the ends of a line.
+BLANKS = " \t\r\x0b\x0c"
+
+
 def _line_key(line: Column) -> Column:
-    """What is compared: the line without blanks at its ends."""
-    return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
+    """What is compared: the line without blanks at its ends; few lines have any, and looking is cheaper than trimming."""
+    ends = [line.startswith(b) | line.endswith(b) for b in BLANKS]
+    return F.when(ends[0] | ends[1] | ends[2] | ends[3] | ends[4], F.btrim(line, F.lit(BLANKS))).otherwise(line)
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -55,15 +60,21 @@ def least_words(percent: int) -> int:
 
 
 def _halves(lines: DataFrame, percent: int) -> DataFrame:
-    """Lines with enough words, one row for each key: bucket, own (a half of the line itself, not the place of a shorter partner's)."""
+    """Lines with enough words, one row for each key: bucket, h1, own (a half of the line itself).
+
+    The first half has a word more where the words are odd. In a line with one word more, a partner's halves stand
+    where the line's own do, but for one: its first half is a word shorter if the line's words are odd, its second
+    half is if they are even.
+    """
     words = (F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1).cast("int")
-    counted = lines.withColumn("words", words).where(F.col("words") >= least_words(percent) - 1)
-    keys = [
-        F.expr(f"xxhash64({half}, {size}, substring_index(line, ' ', int({count})))")
-        for size in ("words", "words - 1")
-        for half, count in ((0, f"({size} + 1) div 2"), (1, f"-(({size}) div 2)"))
-    ]
-    return counted.select("*", F.posexplode(F.array(*keys)).alias("nth", "bucket")).withColumn("own", F.col("nth") < 2)
+    counted = lines.select("line", "h1", words.alias("words")).where(F.col("words") >= least_words(percent) - 1)
+    halves = (
+        "xxhash64(0, substring_index(line, ' ', int((words + 1) div 2)))",
+        "xxhash64(1, substring_index(line, ' ', -int(words div 2)))",
+        "xxhash64(1 - words % 2, substring_index(line, ' ', if(words % 2 = 1, int(words div 2), 1 - int(words div 2))))",
+    )
+    keys = counted.select("h1", F.posexplode(F.array(*map(F.expr, halves))).alias("nth", "bucket"))
+    return keys.select("bucket", "h1", (F.col("nth") < 2).alias("own"))
 
 
 def _variants(suspects: DataFrame, percent: int) -> DataFrame:
@@ -101,18 +112,15 @@ def _within_one(line: str, other: str, percent: int) -> Column:
 def _near_drops(lines: DataFrame, percent: int) -> DataFrame:
     """(h1, h2) of the lines within one edit of an earlier, different line."""
     spark = lines.sparkSession
-    near = lines.withColumn("place", F.xxhash64(*POSITION))
-    keys = _halves(near, percent)
+    keys, keys_path = written(spark, _halves(lines, percent), "line-halves")
     shared = keys.groupBy("bucket").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own"))
-    shared, shared_path = written(spark, shared.where("low <> high AND own").select("bucket"), "line-halves")
-    # the lines themselves are fetched by a hash of their place: only that travels with the keys. The hints keep the
-    # strategy from changing with the size of the input and spare the long side's sort
-    places = keys.select("bucket", "place").join(shared.hint("shuffle_hash"), "bucket", "left_semi").select("place").distinct()
-    suspects = near.join(places.hint("shuffle_hash"), "place", "left_semi")
+    shared = shared.where("low <> high AND own").select("bucket")
+    wanted, wanted_path = written(spark, keys.join(shared, "bucket", "left_semi").select("h1").distinct(), "line-wanted")
+    remove(spark, keys_path)
     # of equal lines the first stands for all
-    suspects = suspects.groupBy("h1", "h2").agg(F.min(_position()).alias("pos"), F.first("line").alias("line"))
-    suspects, suspects_path = written(spark, suspects, "line-suspects")
-    remove(spark, shared_path)
+    possible = only_possible(lines, F.col("h1"), wanted, wanted.count()).groupBy("h1", "h2").agg(F.min(_position()).alias("pos"), F.first("line").alias("line"))
+    suspects, suspects_path = written(spark, possible.join(wanted, "h1", "left_semi"), "line-suspects")
+    remove(spark, wanted_path)
 
     variants = _variants(suspects, percent)
     met = variants.groupBy("key").agg(F.min("h1").alias("low"), F.max("h1").alias("high")).where("low <> high").select("key")
@@ -147,7 +155,7 @@ def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heavy = F.broadcast(marked.where("heavy").select("h1", "h2", "heavy"))
     salt = F.when(F.col("heavy"), F.pmod(F.xxhash64("id", "line_no"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     salts = F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    dealt = occurrences.join(heavy, ["h1", "h2"], "left").select(*POSITION, "h1", "h2", salt.alias("salt"))
+    dealt = only_possible(occurrences, F.col("h1"), marked.select("h1"), marked.count()).join(heavy, ["h1", "h2"], "left").select(*POSITION, "h1", "h2", salt.alias("salt"))
     gone = dealt.join(marked.select("h1", "h2", "first", "near", F.explode(salts).alias("salt")), ["h1", "h2", "salt"])
     gone = gone.where(F.col("near") | (_position() != F.col("first")))
     # rows that repeat a whole (id, text) stand at one position and keep or lose a line together
@@ -174,6 +182,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     others = [F.when(numbers.isNull(), docs[c]).otherwise(cleaned).alias(c) if c == text_col else docs[c] for c in docs.columns if c not in ("__lines", "__removed")]
     return joined.select(
         *others,
-        F.when(docs[text_col].isNull(), 0).otherwise(F.size(parts)).cast("long").alias("__lines"),
+        F.coalesce(F.octet_length(docs[text_col]) - F.octet_length(F.replace(docs[text_col], F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("__lines"),
         F.coalesce(F.size(numbers), F.lit(0)).cast("long").alias("__removed"),
     )

@@ -46,6 +46,31 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Bits of a filter at most: 16 MB are broadcast, however many keys there are.
+FILTER_BITS = 1 << 27
+_CHUNK = 32768
+
+
+def only_possible(frame: DataFrame, key: Column, wanted: DataFrame, count: int) -> DataFrame:
+    """The rows of ``frame`` whose 64-bit ``key`` may be among the ``count`` keys of ``wanted`` (one column), before anything is shuffled.
+
+    A bitmap of the wanted keys' residues is broadcast; its size is bounded by FILTER_BITS. No wanted row is lost;
+    others pass too, the more the fuller the bitmap is, so an exact join or grouping must follow.
+    """
+    bits = max(_CHUNK, min(FILTER_BITS, 1 << (64 * max(1, count) - 1).bit_length()))
+
+    def slot(hashed: Column) -> list[Column]:
+        place = F.pmod(hashed, F.lit(bits))
+        return [F.floor(place / _CHUNK).alias("__chunk"), (place % _CHUNK).alias("__bit")]
+
+    # one row a key goes to its chunk's task, so partial bitmaps don't travel
+    bitmap = wanted.select(*slot(F.col(wanted.columns[0]))).repartition("__chunk").groupBy("__chunk").agg(F.bitmap_construct_agg("__bit").alias("__bitmap"))
+    met = frame.select("*", *slot(key)).join(F.broadcast(bitmap), "__chunk")
+    byte = F.conv(F.hex(F.substring("__bitmap", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    has = F.expr("shiftleft(1, int(__bit % 8))").bitwiseAND(byte) != 0
+    return met.where(has).select(*[met[c] for c in frame.columns])
+
+
 def text_of(column: str | Column = "text") -> Column:
     """A text column with null as the empty string."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
