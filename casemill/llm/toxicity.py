@@ -3,8 +3,9 @@
 Folding undoes case, compatibility forms, accents, homoglyphs and digit substitutions, so that disguised
 spellings meet the plain ones; both the text and the lexicon are folded. Terms are whole words or word
 beginnings with log-odds weights, learned from labelled rows beside a small list of fixed terms. A hit
-inside an exception phrase does not count. The weights of the hits, as a sum and normalised by the length
-of the text, go through a logistic curve fitted to the same labelled rows.
+inside an exception phrase does not count; beside fixed ones, phrases of a hit's word and a neighbour that
+speak for clean rows as clearly as terms speak for toxic ones are learned, whatever the language. The weights of
+the hits, as a sum and normalised by the length of the text, go through a logistic curve fitted to the same labelled rows.
 """
 
 from __future__ import annotations
@@ -40,12 +41,9 @@ SEED_TERMS = ("idiot", "stupid", "moron", "loser", "scum", "trash", "pathetic",
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "circus clown", "worthless check", "sore loser rule")
 
 SEED_WEIGHT = 4.0
-MOST_EVIDENCE = 50.0
 STEM_LENGTHS = range(4, 8)
 #: Labelled rows the model is fitted on at most; above it a hash of the id picks rows of both labels alike.
 FIT_ROWS = 40_000
-#: Learned terms at most: bounds what is sent to the workers.
-MAX_TERMS = 4_000
 #: Toxic rows that a learned term needs: so many, and this share of all toxic rows.
 LEAST_TOXIC, LEAST_SHARE = 3, 0.004
 LEAST_ODDS = 12.0
@@ -114,9 +112,8 @@ class Lexicon:
             self._automaton = found
         return self._automaton
 
-    def evidence(self, text: str) -> tuple[float, float, int]:
-        """The summed weight of the hits (one, the heaviest, for each word), the heaviest of all, and the words of the text."""
-        folded = f" {fold(text)} "
+    def hits(self, folded: str) -> dict[int, float]:
+        """Where terms begin in a folded text between blanks, outside exception phrases, with the heaviest weight at each place."""
         best: dict[int, float] = {}
         excused: list[tuple[int, int]] = []
         for end, (length, weight) in self.automaton().iter(folded):
@@ -125,15 +122,40 @@ class Lexicon:
                 excused.append((start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-        for start, end in excused:
-            for at in [at for at in best if start <= at < end]:
-                del best[at]
+        if not excused or not best:
+            return best
+        excused.sort()
+        kept, at, reach = {}, 0, -1  # phrases that begin at or before the place, and how far they reach
+        for place in sorted(best):
+            while at < len(excused) and excused[at][0] <= place:
+                reach = max(reach, excused[at][1])
+                at += 1
+            if place >= reach:  # a phrase's last blank may begin a term of its own
+                kept[place] = best[place]
+        return kept
+
+    def evidence(self, text: str) -> tuple[float, float, int]:
+        """The summed weight of the hits (one, the heaviest, for each word), the heaviest of all, and the words of the text."""
+        folded = f" {fold(text)} "
+        best = self.hits(folded)
         return sum(best.values()), max(best.values(), default=0.0), max(1, folded.count(" ") - 1)
 
     def features(self, text: str) -> tuple[float, float, float]:
-        """The sum, up to MOST_EVIDENCE; the sum by length, as a logarithm; the heaviest hit."""
+        """The sum; the sum by length, as a logarithm; the heaviest hit."""
         total, most, words = self.evidence(text)
-        return min(total, MOST_EVIDENCE) / 10.0, math.log1p(1000.0 * total / words), most
+        return total / 10.0, math.log1p(1000.0 * total / words), most
+
+    def phrases(self, text: str) -> set[str]:
+        """Each hit's word with the word before it and with the word behind it."""
+        folded = f" {fold(text)} "
+        found = set()
+        for place in self.hits(folded):
+            stop = folded.index(" ", place + 1)
+            if place:
+                found.add(folded[folded.rindex(" ", 0, place) + 1 : stop])
+            if stop + 1 < len(folded):
+                found.add(folded[place + 1 : folded.index(" ", stop + 1)])
+        return found
 
     def score(self, text: str) -> float:
         level = self.curve[0] + sum(c * f for c, f in zip(self.curve[1:], self.features(text), strict=True))
@@ -160,12 +182,11 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": terms} | columns)
 
 
-def weigh(counts: list[tuple[str, int, int]], toxic: int, clean: int, max_terms: int) -> dict[str, float]:
-    """Fixed terms, and of (term, toxic rows, clean rows) those whose log-odds rest on enough rows; the heaviest evidence first."""
+def weigh(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
+    """Fixed terms, and of (term, toxic rows, clean rows) those whose log-odds rest on enough rows."""
     weights = {fold(t) + " ": SEED_WEIGHT for t in SEED_TERMS}
     if not toxic or not clean:
         return weights
-    found = []
     words = {term: hits for term, hits, _ in counts if term.endswith(" ")}
     single = {}  # of a beginning, the most toxic rows that one whole word has
     for word, hits in words.items():
@@ -176,8 +197,7 @@ def weigh(counts: list[tuple[str, int, int]], toxic: int, clean: int, max_terms:
             continue  # the word speaks for itself
         odds = ((hits + 0.25) / (toxic + 0.5)) / ((misses + 0.25) / (clean + 0.5))
         if hits >= max(LEAST_TOXIC, LEAST_SHARE * toxic) and odds >= LEAST_ODDS and hits * np.log(odds) >= LEAST_EVIDENCE:
-            found.append((-hits * np.log(odds), term, float(np.log(odds))))
-    weights.update({term: weight for _, term, weight in sorted(found)[:max_terms]})
+            weights[term] = float(np.log(odds))
     return weights
 
 
@@ -204,49 +224,61 @@ def fit(
     text_col: str = "text",
     label_col: str = "toxic",
     fit_rows: int = FIT_ROWS,
-    max_terms: int = MAX_TERMS,
 ) -> Lexicon:
     """A lexicon learned from labelled rows outside the held-out quarter.
 
-    At most about ``fit_rows`` rows are used, picked by a hash of the id; rows with a null label or id teach
-    nothing, and without any usable label the fixed terms and a fixed curve remain. Terms are counted where
-    the rows are; counts of a term are summed before they are shuffled, and at most ``max_terms`` reach the driver.
+    At most about ``fit_rows`` labelled ids are used, picked by a hash of the id: that bounds all that is learned, sent to
+    the driver or broadcast. An id with several labels counts as toxic if any is; rows that repeat an id teach terms each,
+    and the curve once. Rows with a null label or id teach nothing, and without any usable label the fixed terms and a
+    fixed curve remain. Terms are counted where the rows are, and counts of a term are summed before they are shuffled.
     """
     ship_package(docs.sparkSession)
-    usable = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(
+    usable = labels.select(F.col(id_col).alias("id"), (F.col(label_col).cast("int") > 0).cast("int").alias("label")).where(
         F.col("id").isNotNull() & F.col("label").isNotNull() & (F.crc32(F.col("id").cast("string")) % 4 != 2)
     )
-    n = usable.count()
+    n = usable.agg(F.count_distinct("id")).first()[0]
     if n > fit_rows:
         usable = usable.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < int(1_000_003 * fit_rows / n))
-    halved = usable.withColumn("half", (F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2))).cast("int"))
+    halved = usable.groupBy("id").agg(F.max("label").alias("label")).withColumn("half", (F.pmod(F.xxhash64(F.lit("half"), "id"), F.lit(2))).cast("int"))
     # at most about fit_rows short rows, so the texts stay where they are
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(halved), "id").select("text", "label", "half")
-    totals = {(r["half"], bool(r["label"])): r["n"] for r in halved.groupBy("half", (F.col("label") > 0).cast("int").alias("label")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).join(F.broadcast(halved), "id")
+    totals = {(r["half"], bool(r["label"])): r["n"] for r in halved.groupBy("half", "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = ([totals.get((half, kind), 0) for half in (0, 1)] for kind in (True, False))
     if not sum(toxic) or not sum(clean):
-        return Lexicon(weigh([], 0, 0, 0))
+        return Lexicon(weigh([], 0, 0))
     names = ["toxic0", "clean0", "toxic1", "clean1"]
-    counts = rows.mapInPandas(_counted, "term string, " + ", ".join(f"{n} long" for n in names)).groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
+    texts = rows.select("text", "label", "half")
+    counts = texts.mapInPandas(_counted, "term string, " + ", ".join(f"{n} long" for n in names)).groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
     hits, misses = F.col("toxic0") + F.col("toxic1"), F.col("clean0") + F.col("clean1")
     odds = ((hits + 0.25) / (sum(toxic) + 0.5)) / ((misses + 0.25) / (sum(clean) + 0.5))
-    found = (
-        counts.where((hits >= max(LEAST_TOXIC, LEAST_SHARE * sum(toxic))) & (odds >= LEAST_ODDS))
-        .orderBy((hits * F.log(odds)).desc(), "term").limit(2 * max_terms).collect()
-    )
-    weights = weigh([(r["term"], r["toxic0"] + r["toxic1"], r["clean0"] + r["clean1"]) for r in found], sum(toxic), sum(clean), max_terms)
+    found = counts.where((hits >= max(LEAST_TOXIC, LEAST_SHARE * sum(toxic))) & (odds >= LEAST_ODDS) & (hits * F.log(odds) >= LEAST_EVIDENCE / 2)).collect()
+    weights = weigh([(r["term"], r["toxic0"] + r["toxic1"], r["clean0"] + r["clean1"]) for r in found], sum(toxic), sum(clean))
+
+    def spoken(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plain = Lexicon(weights)
+        for batch in batches:
+            seen = (Counter(), Counter())
+            for text, label in zip(batch["text"], batch["label"], strict=True):
+                seen[0 if label else 1].update(plain.phrases(text))
+            phrases = list(seen[0].keys() | seen[1].keys())
+            yield pd.DataFrame({"phrase": phrases, "toxic": [seen[0][p] for p in phrases], "clean": [seen[1][p] for p in phrases]})
+
+    phrases = texts.mapInPandas(spoken, "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    harmless = ((F.col("clean") + 0.25) / (sum(clean) + 0.5)) / ((F.col("toxic") + 0.25) / (sum(toxic) + 0.5))
+    learned = phrases.where((F.col("clean") >= LEAST_TOXIC) & (harmless >= LEAST_ODDS) & (F.col("clean") * F.log(harmless) >= LEAST_EVIDENCE)).collect()
+    exceptions = tuple(sorted({*Lexicon({}).exceptions, *(r["phrase"] for r in learned)}))
     # the curve is fitted on evidence from terms that were learned on the other half of the rows
-    others = [Lexicon(weigh([(r["term"], r[f"toxic{h}"], r[f"clean{h}"]) for r in found], toxic[h], clean[h], max_terms)) for h in (1, 0)]
+    others = [Lexicon(weigh([(r["term"], r[f"toxic{h}"], r[f"clean{h}"]) for r in found], toxic[h], clean[h]), exceptions) for h in (1, 0)]
 
     def measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pairs = [others[half].features(t) for t, half in zip(batch["text"], batch["half"], strict=True)]
-            frame = pd.DataFrame(pairs, columns=["x", "y", "z"])
-            frame["label"] = batch["label"].to_numpy()
-            yield frame
+            frame = pd.DataFrame([others[half].features(t) for t, half in zip(batch["text"], batch["half"], strict=True)], columns=["x", "y", "z"])
+            yield frame.assign(label=batch["label"].to_numpy(), id=batch["id"].to_numpy())
 
-    seen = rows.mapInPandas(measured, "x double, y double, z double, label int").toPandas()  # at most about fit_rows rows
-    return Lexicon(weights, curve=fit_curve(seen[["x", "y", "z"]].to_numpy(), seen["label"].to_numpy(float)))
+    id_type = halved.schema["id"].dataType.simpleString()
+    features = rows.mapInPandas(measured, f"x double, y double, z double, label int, id {id_type}")
+    seen = features.groupBy("id").agg(F.min(F.struct("x", "y", "z", "label")).alias("row")).select("row.*").toPandas()  # one row for each sampled id
+    return Lexicon(weights, exceptions, fit_curve(seen[["x", "y", "z"]].to_numpy(), seen["label"].to_numpy(float)))
 
 
 def score_toxicity(
@@ -256,7 +288,7 @@ def score_toxicity(
 
     Null and empty texts score as texts without hits; null ids are kept and hashed as the empty string;
     repeated rows are scored each; an empty table gives no rows; other columns are ignored. A narrow plan:
-    the lexicon goes with the task (at most MAX_TERMS terms), texts are scored whole and one at a time.
+    the lexicon goes with the task (its size is bounded by the sample it was learned from), texts are scored whole and one at a time.
     """
     ship_package(docs.sparkSession)
     source = docs.select(F.col(id_col), text_of(text_col).alias("__text"))
