@@ -2,41 +2,49 @@
 
 1. Every text becomes a set of hashed word shingles. Texts of equal sets are one class (128-bit digest).
 2. Shingles whose hash lies in the lowest ``COUNTED`` part of the hash range are counted over all documents:
-   blocks of documents send owners their sorted hashes as packed gaps and get back the frequent ones.
+   blocks of documents send owners their distinct hashes as packed gaps, with a count for each that the block
+   repeats, and get back the frequent ones.
 3. All shingles are ordered: counted ones by ascending frequency, then the others by hash. Two sets that
    meet the threshold share a shingle among the first n - ceil(threshold * n) + 1 of each; shingles that
    occur once join nothing, so most documents end here. Classes with the same prefix and size form a group.
-4. Group pairs that share a prefix shingle are filtered by their sizes and by where the shingle stands in either
-   order (what lies before it can't be shared), expanded and verified on the sets themselves. First each group meets only a few hubs of its shingles, verified links are merged
-   into components, and this is repeated; the pairs that remain between different components are then all
-   verified. Pairs inside a component need no verification, as their link cannot change the result; a group
-   of copies of any size costs its length, and no link between components is lost.
+4. A pair of groups meets at its first common shingle alone and is filtered by sizes, by where that shingle
+   stands in either order (what lies before it can't be shared) and by parity masks: a set's shingles each flip
+   one of ``PARITY_BITS`` bits, so two sets differ in at least as many shingles as their masks differ in bits; of a
+   group the bits count that all its members have alike. No filter loses a link. Pairs that are left are
+   expanded to members, filtered by the members' own masks and verified on the sets.
+
+:func:`ngram_links` verifies all pairs. :func:`ngram_components` needs fewer: first each group meets only a few
+hubs of its shingles and verified links are merged into components; the pairs that remain between different
+components are then all verified. Pairs inside a component need no verification, as their link cannot change the
+result; a group of copies of any size costs its length, and no link between components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel, TaskContext
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm.components import components
-from casemill.llm.shared import remove, ship_package, text_of, written
+from casemill.llm.shared import only_possible, remove, ship_package, text_of, written
 
 #: Part of the hash range whose shingles are counted; any value gives the same result.
 COUNTED = 0.4
 BLOCK_TOKENS = 1_000_000
 OWNER_TOKENS = 4_000_000
-#: Hub rounds at most (more joined hardly any pair on the trial data; the last step takes all that is left), and hubs a round.
-STAR_ROUNDS = 2
+#: Hubs that a group meets before the pairs that are left are taken.
 HUBS = 3
-#: Hub rounds end earlier once the pairs that share a shingle between components are so many times the postings, or fewer.
-DIRECT_PAIRS = 2
+#: Bits of a set's parity mask, in 64-bit words.
+MASK_WORDS = 8
+PARITY_BITS = 64 * MASK_WORDS
 _ODD, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -69,14 +77,20 @@ def unpacked(data: bytes, width: int) -> np.ndarray:
     return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
 
 
+def mask(found: np.ndarray) -> bytes:
+    """One bit for each residue of the hashes: whether an odd number of them has it."""
+    odd = np.bincount((found % np.uint64(PARITY_BITS)).astype(np.int64), minlength=PARITY_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _sender(words: int, percent: int, counted: int):
-    """Documents to (id, n, sig, block, low): low holds the counted shingles, or the first of the order if they are more."""
+    """Documents to (id, n, sig, block, low, mask): low holds the counted shingles, or the first of the order if they are more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
         held = 0
         for batch in batches:
-            columns: list[list] = [[], [], [], []]
+            columns: list[list] = [[], [], [], [], []]
             for text in batch.column(1):
                 found = shingles(text.as_py(), words)
                 low = (found >> np.uint64(32)).astype(np.uint64)
@@ -86,11 +100,11 @@ def _sender(words: int, percent: int, counted: int):
                 if held > BLOCK_TOKENS:
                     block, held = block + 1, keep
                 sig = xxhash.xxh3_128_digest(found.tobytes()) if n else None
-                for column, value in zip(columns, (n, sig, block, packed(low[:keep], 4)), strict=True):
+                for column, value in zip(columns, (n, sig, block, packed(low[:keep], 4), mask(found)), strict=True):
                     column.append(value)
-            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary())
+            kinds = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "n", "sig", "block", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], ["id", "n", "sig", "block", "low", "mask"])
 
     return run
 
@@ -105,16 +119,18 @@ def _messages(owners: int, counted: int):
                 low.setdefault(block, []).append(unpacked(data.as_py(), 4))
             rows = []
             for block, parts in low.items():
-                values = np.sort(np.concatenate(parts))
-                values = values[: np.searchsorted(values, counted)]
+                values, counts = np.unique(np.concatenate(parts), return_counts=True)
                 cuts = np.searchsorted(values, np.arange(owners + 1, dtype=np.uint64) * np.uint64(span))
+                cuts = np.minimum(cuts, np.searchsorted(values, counted))
                 for owner in np.flatnonzero(np.diff(cuts)):
-                    part = values[cuts[owner] : cuts[owner + 1]] - np.uint64(int(owner) * span)
-                    rows.append((int(owner), block, packed(part, 4)))
-            yield pa.RecordBatch.from_pylist(
-                [dict(zip(("owner", "block", "coded"), r, strict=True)) for r in rows],
-                schema=pa.schema([("owner", pa.int64()), ("block", pa.int64()), ("coded", pa.binary())]),
-            )
+                    own = slice(cuts[owner], cuts[owner + 1])
+                    again = np.flatnonzero(counts[own] > 1)
+                    coded = packed(values[own] - np.uint64(int(owner) * span), 4)
+                    rows.append((int(owner), block, coded, again.astype("<u4").tobytes(), counts[own][again].astype("<u4").tobytes()))
+            names = ("owner", "block", "coded", "again", "counts")
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            columns = zip(*rows, strict=True) if rows else ([] for _ in names)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], list(names))
 
     return run
 
@@ -126,23 +142,28 @@ def _frequent(owners: int, counted: int):
         """One owner's answer: per message its hashes that occur more than once, with their frequencies."""
         base = np.uint64(int(sent["owner"].iloc[0]) * span)
         parts = [unpacked(data, 4) for data in sent["coded"]]
-        values, counts = np.unique(np.concatenate(parts), return_counts=True)
-        values, counts = values[counts > 1], np.minimum(counts[counts > 1], 65535).astype("<u2")
-        found, often = [], []
+        weights = [np.ones(len(part), np.int64) for part in parts]
+        for weight, again, counts in zip(weights, sent["again"], sent["counts"], strict=True):
+            weight[np.frombuffer(again, "<u4")] = np.frombuffer(counts, "<u4")
+        values, place = np.unique(np.concatenate(parts), return_inverse=True)
+        totals = np.bincount(place, np.concatenate(weights), len(values))
+        often = np.minimum(totals, 65535).astype("<u2")[place]
+        found, frequencies, at = [], [], 0
         for part in parts:
-            own = np.isin(values, part, assume_unique=False)
-            found.append(packed(values[own] + base, 4))
-            often.append(counts[own].tobytes())
-        return pd.DataFrame({"block": sent["block"], "values": found, "often": often})
+            own = often[at : at + len(part)]
+            at += len(part)
+            found.append(packed(part[own > 1] + base, 4))
+            frequencies.append(own[own > 1].tobytes())
+        return pd.DataFrame({"block": sent["block"], "values": found, "often": frequencies})
 
     return run
 
 
 def _prefixes(percent: int, counted: int):
-    schema = ["sig", "n", "grp", "toks", "places"]
+    schema = ["sig", "n", "grp", "toks", "places", "mask"]
 
     def run(key: tuple, docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        """A block's classes with the shared shingles of their prefixes."""
+        """A block's classes with the shared shingles of their prefixes, in their order."""
         docs = docs[docs["n"] > 0].drop_duplicates("sig")
         if not len(docs):
             return pd.DataFrame(columns=schema)
@@ -165,15 +186,16 @@ def _prefixes(percent: int, counted: int):
         place = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         n = docs["n"].to_numpy()
         length = n - -(-percent * n // 100) + 1
-        chosen = order[(place < length[doc]) & (often[order] > 1)]
-        at = place[(place < length[doc]) & (often[order] > 1)]
-        out, cuts = [], np.searchsorted(doc[chosen], np.arange(len(docs) + 1))
-        for row, (sig, size) in enumerate(zip(docs["sig"], n, strict=True)):
-            own, first = np.unique(values[chosen[cuts[row] : cuts[row + 1]]].astype(np.int64), return_index=True)
-            if len(own):
-                places = at[cuts[row] : cuts[row + 1]][first]
-                grp = xxhash.xxh3_128_digest(np.concatenate(([size], own, places)).tobytes())
-                out.append((sig, size, grp, own, places))
+        wanted = (place < length[doc]) & (often[order] > 1)
+        # a value that a set holds twice (shingles of equal 32 bits) counts where it stands first
+        wanted[1:] &= (values[order][1:] != values[order][:-1]) | (doc[1:] != doc[:-1])
+        chosen, at = values[order[wanted]].astype(np.uint32).view(np.int32), place[wanted].astype(np.int32)
+        out, cuts = [], np.searchsorted(doc[wanted], np.arange(len(docs) + 1))
+        for row, (sig, size, bits) in enumerate(zip(docs["sig"], n, docs["mask"], strict=True)):
+            own = slice(cuts[row], cuts[row + 1])
+            if cuts[row] < cuts[row + 1]:
+                grp = xxhash.xxh3_128_digest(np.concatenate(([size], chosen[own], at[own])).tobytes())
+                out.append((sig, size, grp, chosen[own], at[own], np.frombuffer(bits, ">i8").astype(np.int64)))
         return pd.DataFrame(out, columns=schema)
 
     return run
@@ -186,7 +208,7 @@ def _sets(words: int):
             for text in batch.column(0):
                 found = shingles(text.as_py(), words)
                 if len(found):
-                    rows.append({"sig": xxhash.xxh3_128_digest(found.tobytes()), "set": packed(found >> np.uint64(16), 6)})
+                    rows.append({"sig": xxhash.xxh3_128_digest(found.tobytes()), "set": packed(found, 8)})
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("sig", pa.binary()), ("set", pa.binary())]))
 
     return run
@@ -197,7 +219,7 @@ def _linked(percent: int):
         for batch in batches:
             keep = []
             for left, right in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = unpacked(left.as_py(), 6), unpacked(right.as_py(), 6)
+                a, b = unpacked(left.as_py(), 8), unpacked(right.as_py(), 8)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
@@ -229,47 +251,36 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _may_link(n: Column, place: Column, other_n: Column, other_place: Column, percent: int) -> Column:
-    """Whether two sets whose first common shingle stands at these places of their orders can meet the threshold.
-
-    They must share ceil(percent * (n + other_n) / (100 + percent)) shingles, all at or behind the first one.
-    """
+def _least_shared(n: Column, other_n: Column, percent: int) -> Column:
+    """Shingles that two sets of these sizes must share: ceil(percent * (n + other_n) / (100 + percent))."""
     whole = 100 + percent
-    shared = F.floor((percent * (n + other_n) + whole - 1) / whole)
+    return F.floor((percent * (n + other_n) + whole - 1) / whole)
+
+
+def _may_link(n: Column, place: Column, other_n: Column, other_place: Column, percent: int) -> Column:
+    """Whether two sets whose first common shingle stands at these places of their orders can meet the threshold: all they share stands at or behind it."""
+    shared = _least_shared(n, other_n, percent)
     return (n - place >= shared) & (other_n - other_place >= shared) & (100 * F.least(n, other_n) >= percent * F.greatest(n, other_n))
 
 
-def _star_pairs(posts: DataFrame, members: DataFrame, percent: int, turn: int) -> DataFrame:
-    """Each member with the representative of the hub that its group shares most shingles with, per seed."""
-    found = []
-    for seed in range(HUBS):
-        # bands of sizes that can meet; the offset moves their borders from seed to seed
-        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + F.lit(seed / HUBS))
-        banded = posts.withColumn("band", band)
-        hub = F.min(F.struct(F.xxhash64("grp", F.lit(100 * turn + seed)).alias("h"), "grp", "n", "place", "rep", "root")).alias("hub")
-        hubs = banded.groupBy("tok", "band").agg(hub, F.count(F.lit(1)).alias("size")).where("size > 1")
-        met = banded.join(hubs, ["tok", "band"]).where(
-            (F.col("grp") != F.col("hub.grp")) & (F.col("root") != F.col("hub.root"))
-            & _may_link(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"), percent)
-        )
-        shared = met.groupBy("grp", F.col("hub.rep").alias("to")).agg(F.count(F.lit(1)).alias("shared"))
-        found.append(shared.groupBy("grp").agg(F.max(F.struct("shared", "to")).alias("best")).select("grp", "best.to"))
-    best = found[0]
-    for other in found[1:]:
-        best = best.unionByName(other)
-    return members.join(best.distinct(), "grp").select(F.col("sig").alias("a"), F.col("to").alias("b"))
+def _alike_enough(differing: list[Column], n: Column, other_n: Column, percent: int) -> Column:
+    """Whether the bits in which the masks surely differ are no more than the shingles in which linked sets may differ."""
+    bits = sum((F.bit_count(word) for word in differing[1:]), F.bit_count(differing[0]))
+    return bits <= n + other_n - 2 * _least_shared(n, other_n, percent)
 
 
-def ngram_components(
-    docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """Per row: id, n_shingles, component_id (the smallest id reachable by links, its own included).
+@dataclass
+class _Tables:
+    """What both joins start from, all written: one row a document, a class, a group and a posting of a group."""
 
-    Texts link when 100 * intersection >= percent * union of their shingle sets. Null, empty and blank texts
-    have no shingles and link with nothing: their component is their own id. Null ids are kept and are never
-    a component's smallest id where another exists; rows that repeat an id or a text are each returned; an
-    empty table gives no rows; other columns are ignored. The set of a text is compared by 48-bit hashes.
-    """
+    classes: DataFrame  # id, n, sig
+    members: DataFrame  # sig, n, grp, mask
+    groups: DataFrame  # grp, n, ones, mixed: the bits that all members have set, and those in which they differ
+    posts: DataFrame  # tok, place, nth, grp, n, rep
+    verify: _Verifier
+
+
+def _tables(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> _Tables:
     spark = docs.sparkSession
     ship_package(spark)
     counted = int(COUNTED * (1 << 32))
@@ -277,16 +288,16 @@ def ngram_components(
     source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     rows, rows_path = written(
         spark,
-        source.mapInArrow(_sender(words, percent, counted), f"id {id_type}, n long, sig binary, block long, low binary"),
+        source.mapInArrow(_sender(words, percent, counted), f"id {id_type}, n long, sig binary, block long, low binary, mask binary"),
         "shingled",
     )
     total = rows.agg(F.sum("n")).first()[0] or 0
     owners = max(spark.sparkContext.defaultParallelism, int(total * COUNTED) // OWNER_TOKENS + 1)
-    messages = rows.select("block", "low").mapInArrow(_messages(owners, counted), "owner long, block long, coded binary")
+    messages = rows.select("block", "low").mapInArrow(_messages(owners, counted), "owner long, block long, coded binary, again binary, counts binary")
     replies = messages.groupBy("owner").applyInPandas(_frequent(owners, counted), "block long, values binary, often binary")
     prefixes = (
-        rows.select("block", "n", "sig", "low").groupBy("block").cogroup(replies.groupBy("block"))
-        .applyInPandas(_prefixes(percent, counted), "sig binary, n long, grp binary, toks array<long>, places array<long>")
+        rows.select("block", "n", "sig", "low", "mask").groupBy("block").cogroup(replies.groupBy("block"))
+        .applyInPandas(_prefixes(percent, counted), "sig binary, n long, grp binary, toks array<int>, places array<int>, mask array<long>")
     )
     prefixes, prefix_path = written(spark, prefixes, "prefixes")
     classes, _ = written(spark, rows.select("id", "n", "sig"), "classes")
@@ -294,65 +305,137 @@ def ngram_components(
 
     # groups of classes with the same prefix and size; those that can meet nobody go
     # (a class whose copies lie in several blocks comes once for each)
-    grouped = prefixes.groupBy("grp", "n").agg(F.min("sig").alias("rep"), F.max("sig").alias("last"), F.first(F.arrays_zip("toks", "places")).alias("toks"))
-    posts = grouped.select("grp", "n", "rep", F.inline("toks").alias("tok", "place"))
+    words_of = range(MASK_WORDS)
+    sides = [F.bit_and(F.col("mask")[w]).alias(f"one{w}") for w in words_of] + [F.bit_or(F.col("mask")[w]).alias(f"any{w}") for w in words_of]
+    grouped = prefixes.groupBy("grp", "n").agg(F.min("sig").alias("rep"), F.max("sig").alias("last"), F.first(F.struct("toks", "places")).alias("at"), *sides)
+    grouped, grouped_path = written(spark, grouped, "grouped")
+    posts = grouped.select("grp", "n", "rep", F.posexplode(F.arrays_zip("at.toks", "at.places")).alias("nth", "post"))
+    posts = posts.select(F.col("post.toks").alias("tok"), F.col("post.places").alias("place"), "nth", "grp", "n", "rep")
     shared = posts.groupBy("tok").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("tok")
     posts, _ = written(spark, posts.join(shared, "tok", "left_semi"), "posts")
-    n_posts = posts.count()
     alive = posts.select("grp").unionByName(grouped.where("rep <> last").select("grp")).distinct()
-    members, _ = written(spark, prefixes.select("sig", "n", "grp").distinct().join(alive, "grp", "left_semi"), "members")
+    members, _ = written(spark, prefixes.select("sig", "n", "grp", "mask").dropDuplicates(["sig"]).join(alive, "grp", "left_semi"), "members")
+    groups = grouped.join(alive, "grp", "left_semi").select(
+        "grp", "n", F.array(*[f"one{w}" for w in words_of]).alias("ones"),
+        F.array(*[F.col(f"one{w}").bitwiseXOR(F.col(f"any{w}")) for w in words_of]).alias("mixed"),
+    )
+    groups, _ = written(spark, groups, "groups")
     remove(spark, prefix_path)
+    remove(spark, grouped_path)
 
-    # the sets of the classes that can meet somebody, once for each class, kept by class for the joins
-    wanted = classes.join(members.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("wanted")).select("wanted").distinct()
-    texts = source.join(wanted, source["id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
+    # the sets of the classes that can meet somebody, once for each class
+    wanted = classes.join(members.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("wanted")).select("wanted").distinct()
+    wanted, wanted_path = written(spark, wanted, "wanted")
+    possible = only_possible(source, F.xxhash64("id"), wanted.select(F.xxhash64("wanted")), wanted.count())
+    texts = possible.join(wanted, possible["id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
     sets = texts.mapInArrow(_sets(words), "sig binary, set binary").groupBy("sig").agg(F.first("set").alias("set"))
     sets, _ = written(spark, sets, "sets")
-    sets = sets.repartition("sig").persist(StorageLevel.DISK_ONLY)
-    verify = _Verifier(sets, percent)
+    remove(spark, wanted_path)
+    return _Tables(classes, members, groups, posts, _Verifier(sets, percent))
+
+
+def _member_pairs(tables: _Tables, rooted: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of different roots that may link: groups are paired, filtered, then expanded.
+
+    ``rooted`` has the members (sig, n, grp, mask, root). Groups meet on the shingles whose groups have more than one root.
+    """
+    spark = rooted.sparkSession
+    roots = rooted.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    sides = tables.posts.select("tok", "place", "grp", "n").join(roots, "grp")
+    open_toks = sides.groupBy("tok").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x <> y").select("tok")
+    sides, _ = written(spark, sides.join(open_toks, "tok", "left_semi"), "open-sides")
+    # what pairs of different roots have in common are open shingles: only they can stand before another
+    ordered = sides.select("grp", "n", "low", "high", "place", "tok").groupBy("grp", "n", "low", "high").agg(F.array_sort(F.collect_list(F.struct("place", "tok"))).alias("posts"))
+    posted = ordered.join(tables.groups.drop("n"), "grp").select(*ordered.columns, "ones", "mixed", F.col("posts.tok").alias("toks"), F.posexplode("posts").alias("nth", "post"))
+    posted = posted.select("grp", "n", "low", "high", "ones", "mixed", "post.tok", "post.place", F.slice("toks", F.lit(1), F.col("nth")).alias("before"))
+    x, y = posted.alias("x"), posted.alias("y")
+
+    def differing(one: str, ones: str, *mixed: str) -> list[Column]:
+        """Bits in which every member of one side differs from every member of the other, word by word."""
+        unsure = [[F.col(m)[w] for m in mixed] for w in range(MASK_WORDS)]
+        words = [F.col(one)[w].bitwiseXOR(F.col(ones)[w]) for w in range(MASK_WORDS)]
+        return [word.bitwiseAND(F.bitwise_not(reduce(Column.bitwiseOR, some))) if some else word for word, some in zip(words, unsure, strict=True)]
+
+    one_root = (F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))
+    met = x.join(y, F.col("x.tok") == F.col("y.tok")).where(
+        (F.col("x.grp") < F.col("y.grp")) & ~one_root
+        & _may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent)
+        & _alike_enough(differing("x.ones", "y.ones", "x.mixed", "y.mixed"), F.col("x.n"), F.col("y.n"), percent)
+        & ~F.arrays_overlap("x.before", "y.before")
+    )  # a pair of groups meets once, by its first common shingle
+    met = met.select(F.col("x.grp").alias("xg"), F.col("y.grp").alias("yg"), F.col("y.ones").alias("ones"), F.col("y.mixed").alias("mixed"), F.col("y.n").alias("yn"))
+    # members of one group may belong to different roots too
+    own = tables.groups.join(roots.where("low <> high"), "grp").select(F.col("grp").alias("xg"), F.col("grp").alias("yg"), "ones", "mixed", F.col("n").alias("yn"))
+    lefts = rooted.select(F.col("grp").alias("xg"), F.col("root").alias("ar"), F.col("sig").alias("a"), F.col("n").alias("an"), F.col("mask").alias("am"))
+    rights = rooted.select(F.col("grp").alias("yg"), F.col("root").alias("br"), F.col("sig").alias("b"), F.col("mask").alias("bm"))
+    half = met.unionByName(own).join(lefts, "xg").where(_alike_enough(differing("am", "ones", "mixed"), F.col("an"), F.col("yn"), percent))
+    pairs = half.select("a", "ar", "an", "am", "yg", "yn").join(rights, "yg").where((F.col("ar") != F.col("br")) & _alike_enough(differing("am", "bm"), F.col("an"), F.col("yn"), percent))
+    return pairs.select("a", "b")
+
+
+def _hub_pairs(posts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Each member with the representative of the hub that its group shares most shingles with, for each of HUBS seeds."""
+    found = []
+    for seed in range(HUBS):
+        # bands of sizes that can meet; the offset moves their borders from seed to seed
+        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + F.lit(seed / HUBS))
+        banded = posts.withColumn("band", band)
+        # a set that has few shingles rarer than this one is near the middle of its family
+        few = F.floor(F.col("place") / 4**seed)
+        hub = F.min(F.struct(few.alias("few"), F.xxhash64("grp", F.lit(seed)).alias("h"), "grp", "n", "place", "rep")).alias("hub")
+        hubs = banded.groupBy("tok", "band").agg(hub, F.count(F.lit(1)).alias("size")).where("size > 1")
+        met = banded.join(hubs, ["tok", "band"]).where(
+            (F.col("grp") != F.col("hub.grp")) & _may_link(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"), percent)
+        )
+        shared = met.groupBy("grp", F.col("hub.rep").alias("to")).agg(F.count(F.lit(1)).alias("shared"))
+        found.append(shared.groupBy("grp").agg(F.max(F.struct("shared", "to")).alias("best")).select("grp", "best.to"))
+    best = found[0]
+    for other in found[1:]:
+        best = best.unionByName(other)
+    return members.join(best.distinct(), "grp").select(F.col("sig").alias("a"), F.col("to").alias("b"))
+
+
+def ngram_links(
+    docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """All links: pairs (a, b) of class digests, a < b, and the membership (id, n_shingles, class).
+
+    A class is a set of shingles; rows of one class link with each other and with all rows of linked classes, so
+    copies are not expanded. Every pair of classes that may meet the threshold is verified. Rows without shingles
+    have a null class; null ids, repeated rows, other columns and an empty table as in :func:`ngram_components`.
+    """
+    tables = _tables(docs, words, percent, id_col, text_col)
+    rooted = tables.members.withColumn("root", F.col("sig"))
+    links = tables.verify(_ordered(_member_pairs(tables, rooted, percent)))
+    return links, tables.classes.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("sig").alias("class"))
+
+
+def ngram_components(
+    docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """Per row: id, n_shingles, component_id (the smallest id reachable by links, its own included).
+
+    Texts link when 100 * intersection >= percent * union of their shingle sets. Null, empty and blank texts
+    have no shingles and link with nothing: their component is their own id. Null ids are kept and are never
+    a component's smallest id where another exists; rows that repeat an id or a text are each returned; an
+    empty table gives no rows; other columns are ignored. Shingles are compared by 64-bit hashes, classes by 128.
+    """
+    spark = docs.sparkSession
+    tables = _tables(docs, words, percent, id_col, text_col)
+    members, classes = tables.members, tables.classes
 
     # members meet the representative of their group, groups meet hubs
     inner = members.groupBy("grp").agg(F.min("sig").alias("b"))
     pairs = members.join(inner, "grp").select(F.col("sig").alias("a"), "b")
-    roots: DataFrame | None = None
-    links: DataFrame | None = None
-    for turn in range(STAR_ROUNDS):
-        if roots is None:
-            rooted = posts.withColumn("root", F.col("rep"))
-        else:
-            rooted = posts.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-            open_toks = rooted.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tok")
-            rooted, _ = written(spark, rooted.join(open_toks, "tok", "left_semi"), "open-posts")
-            sizes = rooted.groupBy("tok").agg(F.count(F.lit(1)).alias("n")).agg(F.sum(F.expr("n * (n - 1) div 2")).alias("pairs")).first()
-            if (sizes["pairs"] or 0) <= DIRECT_PAIRS * n_posts:
-                break  # few enough for the last step to take at once
-        pairs = _star_pairs(rooted, members, percent, turn).unionByName(pairs) if turn == 0 else _star_pairs(rooted, members, percent, turn)
-        found = verify(_ordered(pairs))
-        if turn and found.isEmpty():
-            break
-        links = found if links is None else links.unionByName(found)
-        roots = components(links)
+    links = tables.verify(_ordered(pairs.unionByName(_hub_pairs(tables.posts, members, percent))))
+    roots = components(links)
 
     # all that remains between different components
     rooted = members.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     rooted, _ = written(spark, rooted, "rooted")
-    sides = posts.select("tok", "place", "grp").join(rooted.select("grp", "n", "root").distinct(), "grp")
-    open_toks = sides.groupBy("tok").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tok")
-    sides, _ = written(spark, sides.join(open_toks, "tok", "left_semi"), "open-sides")
-    x, y = sides.alias("x"), sides.alias("y")
-    group_pairs = x.join(y, F.col("x.tok") == F.col("y.tok")).where(
-        (F.col("x.root") < F.col("y.root")) & _may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent)
-    )
-    within = rooted.select("grp", "root").distinct()
-    within = within.alias("x").join(within.alias("y"), F.col("x.grp") == F.col("y.grp")).where(F.col("x.root") < F.col("y.root"))
-    columns = [F.col("x.grp").alias("xg"), F.col("x.root").alias("xr"), F.col("y.grp").alias("yg"), F.col("y.root").alias("yr")]
-    group_pairs = group_pairs.select(*columns).unionByName(within.select(*columns)).distinct()
-    lefts = rooted.select(F.col("grp").alias("xg"), F.col("root").alias("xr"), F.col("sig").alias("a"))
-    rights = rooted.select(F.col("grp").alias("yg"), F.col("root").alias("yr"), F.col("sig").alias("b"))
-    found = verify(_ordered(group_pairs.join(lefts, ["xg", "xr"]).join(rights, ["yg", "yr"]).select("a", "b")))
+    found = tables.verify(_ordered(_member_pairs(tables, rooted, percent)))
     if not found.isEmpty():
         roots = components(links.unionByName(found))
-    sets.unpersist()
 
     labelled = classes.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     smallest = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component"))
