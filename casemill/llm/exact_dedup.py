@@ -4,8 +4,9 @@
    a bounded run of one task's rows.
 2. Each block sends every owner (a range of hash values) its sorted hashes as a Golomb-Rice code of the
    gaps. An owner merges what it got and returns to each block a bitmap of the hashes seen more than once.
-3. Rows whose bit is set are suspects: only their texts are shuffled. Per digest the smallest and the
-   largest text are compared byte by byte; digests whose texts differ are grouped by the text itself.
+3. Rows whose bit is set are suspects. A bitmap of their hashes, bounded in size, lets the scan pass their texts
+   (and few others) to the shuffle; the texts of a digest are compared byte by byte, and digests whose texts differ
+   are grouped by the text itself.
 
 What an owner holds is bounded by the number of owners, which follows the number of rows.
 """
@@ -17,15 +18,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.shared import ship_package, text_of, written
+from casemill.llm.shared import only_possible, remove, ship_package, text_of, written
 
 #: Hashes an owner sees on average; sets the number of owners.
 ROWS_PER_OWNER = 1_000_000
 #: Rows of one block.
 BLOCK_ROWS = 100_000
-#: Tasks that share the rows of one digest.
-SALTS = 16
-
 
 def rice_encode(gaps: np.ndarray, shift: int) -> bytes:
     """Golomb-Rice code of non-negative gaps with divisor 2**shift: unary quotient, then the remainder's bits."""
@@ -110,12 +108,13 @@ def _suspects(owners: int):
     span = (1 << 64) // owners + 1
 
     def mark(key: tuple, rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        distinct, place = np.unique(_as_unsigned(rows["hash"]), return_inverse=True)
+        """A block's distinct hashes whose bit is set."""
+        distinct = np.unique(_as_unsigned(rows["hash"]))
         flags = np.zeros(len(distinct), bool)
         starts = np.searchsorted((distinct // np.uint64(span)).astype(np.int64), replies["owner"].to_numpy())
         for start, n, bitmap in zip(starts, replies["n"], replies["bitmap"], strict=True):
             flags[start : start + n] = np.unpackbits(np.frombuffer(bitmap, np.uint8))[:n].astype(bool)
-        return pd.DataFrame({"row_key": rows["row_key"], "suspect": flags[place]})
+        return pd.DataFrame({"hash": distinct[flags].view(np.int64)})
 
     return mark
 
@@ -133,23 +132,22 @@ def dedup_exact(
     and equal to other empty texts. Null ids sort below all others; of rows that repeat an id and a text
     every copy with the largest id is marked kept and all count in group_size. An empty table gives no
     rows; other columns are ignored. Groups are summed before they are shuffled, so a group of a third of
-    all rows costs no more than another, and no list of members is built.
+    all rows sends one row a task, and no list of members is built.
     """
     spark = docs.sparkSession
     ship_package(spark)
     text = text_of(normalise if normalise is not None else text_col)
     source = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+    # blocks: runs of a task's rows; written once, so that blocks stay as they are
     hashed = source.select(
-        "id", F.sha2("text", 256).alias("digest"), F.xxhash64("text").alias("hash"),
-        F.monotonically_increasing_id().alias("row_key"),
+        "id", F.unhex(F.sha2("text", 256)).alias("digest"), F.xxhash64("text").alias("hash"),
+        F.floor(F.monotonically_increasing_id() / BLOCK_ROWS).alias("block"),
     )
-    # blocks: runs of a task's rows; written once, so that keys and blocks stay as they are
-    hashed = hashed.withColumn("block", F.floor(F.col("row_key") / BLOCK_ROWS))
     prints, _ = written(spark, hashed, "fingerprints")
     if owners is None:
         owners = max(spark.sparkContext.defaultParallelism, -(-prints.count() // ROWS_PER_OWNER))
     # a block's rows lie in one file, but readers may split it: gather them by block
-    by_block = prints.select("block", "row_key", "hash")
+    by_block = prints.select("block", "hash")
     sent = (
         by_block.groupBy("block")
         .applyInPandas(
@@ -158,29 +156,22 @@ def dedup_exact(
         )
     )
     replies = sent.groupBy("owner").applyInPandas(_reply, "owner long, block long, n long, bitmap binary")
-    marks = (
-        by_block.groupBy("block")
-        .cogroup(replies.groupBy("block"))
-        .applyInPandas(_suspects(owners), "row_key long, suspect boolean")
-    )
-    suspect_keys = marks.where("suspect").select("row_key")
-    suspect_digests = prints.join(suspect_keys, "row_key", "left_semi").select("digest").distinct()
-    # a digest's rows are dealt to SALTS tasks by their ids, so one large group is no single task's work
-    salts = suspect_digests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = source.withColumns({"digest": F.sha2("text", 256), "salt": F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")})
-    parts = salted.join(salts, ["digest", "salt"], "left_semi").groupBy("digest", "salt").agg(
-        F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("n"), F.min("text").alias("low"), F.max("text").alias("high")
-    )
-    groups = parts.groupBy("digest").agg(
-        F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), (F.min("low") == F.max("high")).alias("same")
+    marks = by_block.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_suspects(owners), "hash long")
+    marks, marks_path = written(spark, marks.distinct(), "suspects")
+    suspects = only_possible(source, F.xxhash64("text"), marks, marks.count())
+    # a digest's rows are summed, and equal texts become one, before they are shuffled
+    groups = suspects.groupBy(F.unhex(F.sha2("text", 256)).alias("digest")).agg(
+        F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.collect_set("text").alias("texts")
     )
+    groups = groups.where("group_size > 1").select("digest", "keep_id", "group_size", (F.size("texts") == 1).alias("same"))
     groups, _ = written(spark, groups, "groups")
-    plain = prints.join(groups.where("same").drop("same"), "digest", "left")
+    remove(spark, marks_path)
+    plain = prints.join(groups.where("same").drop("same"), "digest", "left").select("id", "digest", "keep_id", "group_size")
     clashing = groups.where(~F.col("same")).select("digest")
     if not clashing.isEmpty():  # different texts of one digest: group by the text itself
-        theirs = source.withColumn("digest", F.sha2("text", 256)).join(clashing, "digest", "left_semi")
+        theirs = source.withColumn("digest", F.unhex(F.sha2("text", 256))).join(clashing, "digest", "left_semi")
         exact = theirs.groupBy("text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        plain = plain.join(clashing, "digest", "left_anti").select("id", "digest", "keep_id", "group_size").unionByName(
+        plain = plain.join(clashing, "digest", "left_anti").unionByName(
             theirs.join(exact, "text").select("id", "digest", "keep_id", "group_size")
         )
     single = F.col("group_size").isNull()
@@ -190,5 +181,5 @@ def dedup_exact(
         keep.alias("keep_id"),
         F.when(single, F.lit(1)).otherwise(F.col("group_size")).cast("long").alias("group_size"),
         keep.eqNullSafe(F.col("id")).alias("kept"),
-        F.col("digest").alias("text_sha256"),
+        F.lower(F.hex("digest")).alias("text_sha256"),
     )
