@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from casemill.plans import retrieval_queries, relational_queries, text_queries
+from casemill.plans import case_queries, relational_queries, retrieval_queries, text_queries
 
-MODULES = (retrieval_queries, text_queries, relational_queries)
+MODULES = (retrieval_queries, text_queries, relational_queries, case_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

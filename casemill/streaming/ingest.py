@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _shared(spark: SparkSession) -> str:
@@ -47,3 +48,26 @@ def ingest_events(spark: SparkSession, sf_dir: str, target: str | None = None, c
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/event[s].parquet")  # a glob, so that one file will do as well
     ingest_once(spark, stream, target, checkpoint, "event_id")
     return spark.read.schema(schema).parquet(f"{target}/batch=*").select("event_id", "user_id", "event_type")
+
+
+def upsert_highlights(spark: SparkSession, sf_dir: str, buckets: int = 16) -> DataFrame:
+    """Every event as a highlight that is inserted without a summary and then updated; returns the latest state of each.
+
+    The stream appends both versions to a log that is partitioned by a hash of the key, a batch overwriting its own
+    folder; the state is the last version of each key, so a replayed batch changes nothing.
+    """
+    base = f"{_shared(spark)}/casemill-highlights-{uuid.uuid4().hex}"
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/event[s].parquet")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        failed = F.col("event_type") == "error"
+        inserted = batch.select("user_id", "event_id", F.lit(0).alias("version"), F.lit(None).cast("string").alias("summarization"), F.lit(False).alias("summarized"))
+        updated = batch.select("user_id", "event_id", F.lit(1).alias("version"), F.when(failed, "Error: failed").otherwise(F.col("event_type")).alias("summarization"), (~failed).alias("summarized"))
+        both = inserted.unionByName(updated).withColumn("bucket", F.pmod(F.xxhash64("event_id"), F.lit(buckets)))
+        both.write.mode("overwrite").partitionBy("bucket").parquet(f"{base}/log/batch={batch_id}")
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    log = spark.read.option("basePath", f"{base}/log").parquet(f"{base}/log/batch=*")
+    return log.groupBy("user_id", "event_id").agg(F.max_by(F.struct("summarization", "summarized"), "version").alias("s")).select("user_id", "event_id", "s.*")

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry_module
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = os.environ.get("CASEMILL_TEST_TABLES", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the driver's tables")
 
 
