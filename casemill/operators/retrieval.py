@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemill.functions import text as tx
 from casemill.functions import vector as vx
 
-#: Query vectors scored together; more are taken in blocks of this size.
-QUERY_BLOCK = 512
+#: Vectors of one block of queries and of one block of the corpus: what a task holds of each at a time.
+QUERY_BLOCK, CORPUS_BLOCK = 512, 2048
 
 
 def rank_hits(scored: DataFrame, k: int, query: str = "query_id", score: str = "score", id_col: str = "id") -> DataFrame:
@@ -41,58 +42,86 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "ip", thr
           drop_self: bool = True) -> DataFrame:
     """Batch search: (query_id, id, score, rank) of the k best rows of each query.
 
-    Queries are taken in blocks of QUERY_BLOCK, so what travels to the tasks is bounded; each task multiplies
-    its Arrow batches with the block and keeps k candidates a query, and only those are shuffled. ``same``
-    names a column that must agree (a filter below the top-k); ``drop_self`` leaves out the query's own id.
-    Rows and queries with a null vector are left out.
+    Queries and corpus are packed into blocks where they lie, and every block of the one meets every block of the other
+    (Spark broadcasts the queries only if it knows them to be small, and pairs partitions otherwise): nothing passes the driver, and a task
+    holds a block of each and k candidates a query. Only those are shuffled. ``same`` names a column that must agree (a filter
+    below the top-k); ``drop_self`` leaves out the query's own id. Rows and queries with a null vector are left out;
+    ids may be of any type, null query ids are one query.
     """
-    extra = [same] if same else []
-    wanted = queries.where(F.col(vector_col).isNotNull()).select(query_col, vector_col, *extra)
-    blocks: list[list] = [[]]
-    for row in wanted.orderBy(query_col).toLocalIterator():
-        if len(blocks[-1]) == QUERY_BLOCK:
-            blocks.append([])
-        blocks[-1].append(row)
-    source = corpus.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"), *[F.col(c).alias("s") for c in extra])
-    found: DataFrame | None = None
-    for block in blocks:
-        keys = np.array([r[0] for r in block], np.int64)
-        matrix = np.array([r[1] for r in block], np.float64).reshape(len(block), -1)
-        labels = np.array([r[2] for r in block]) if same else None
-
-        def search(batches: Iterator[pd.DataFrame], keys=keys, matrix=matrix, labels=labels) -> Iterator[pd.DataFrame]:
-            best: pd.DataFrame | None = None
-            for batch in batches:
-                if not len(batch) or not len(keys):
-                    continue
-                rows = np.stack(batch["v"].to_numpy()).astype(np.float64)
-                scores = rows @ matrix.T
+    id_type, query_type = corpus.schema[id_col].dataType.simpleString(), queries.schema[query_col].dataType.simpleString()
+    label = (lambda frame: F.col(same).cast("string")) if same else (lambda frame: F.lit(""))
+    rows = _blocks(corpus, F.col(id_col), F.col(vector_col), label(corpus), CORPUS_BLOCK, id_type)
+    wanted = _blocks(queries, F.col(query_col), F.col(vector_col), label(queries), QUERY_BLOCK, query_type).withColumnsRenamed({c: f"q_{c}" for c in ("ids", "vectors", "labels")})
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
+        for batch in batches:
+            for ids, vectors, labels, q_ids, q_vectors, q_labels in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                one, two = (np.frombuffer(v, "<f8").reshape(len(i), -1) for v, i in ((vectors, ids), (q_vectors, q_ids)))
+                scores = one @ two.T
                 if metric == "cosine":
-                    below = np.linalg.norm(rows, axis=1)[:, None] * np.linalg.norm(matrix, axis=1)[None, :]
+                    below = np.linalg.norm(one, axis=1)[:, None] * np.linalg.norm(two, axis=1)[None, :]
                     scores = np.divide(scores, below, out=np.full_like(scores, np.nan), where=below > 0)
-                ids = batch["id"].to_numpy()
                 allowed = ~np.isnan(scores)
                 if drop_self:
-                    allowed &= ids[:, None] != keys[None, :]
-                if labels is not None:
-                    allowed &= batch["s"].to_numpy()[:, None] == labels[None, :]
+                    place = {key: n for n, key in enumerate(ids)}
+                    for n, key in enumerate(q_ids):
+                        if key in place:
+                            allowed[place[key], n] = False
+                if same:
+                    allowed &= np.array(labels, object)[:, None] == np.array([x if x is not None else object() for x in q_labels], object)[None, :]
                 if metric == "cosine" and threshold is not None:
                     allowed &= scores > threshold
+                scores = np.where(allowed, scores, -np.inf)
+                if len(ids) > k:  # at least the k best of each query, with all that equal the last of them
+                    allowed &= scores >= np.partition(scores, len(ids) - k, axis=0)[len(ids) - k][None, :]
                 at, which = np.nonzero(allowed)
-                frame = pd.DataFrame({"query_id": keys[which], "id": ids[at], "score": scores[at, which]})
-                frame = frame if best is None else pd.concat([best, frame])
-                best = frame.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
-            if best is not None:
-                yield best
+                found += zip((q_ids[n] for n in which), (ids[n] for n in at), scores[at, which].tolist(), strict=True)
+            found = _best(found, k)
+        arrays = list(zip(*found, strict=True)) or [(), (), ()]
+        kinds = (batch_type(query_type), batch_type(id_type), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(arrays, kinds, strict=True)], ["query_id", "id", "score"])
+
+    def batch_type(name: str) -> pa.DataType:
+        return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(name, pa.int64())
+
+    scored = rows.crossJoin(wanted).mapInArrow(search, f"query_id {query_type}, id {id_type}, score double")  # a stated query set against all rows, in blocks
+    return rank_hits(scored, k)
+
+
+def _best(found: list[tuple], k: int) -> list[tuple]:
+    """The k best of (query, id, score) for each query, ties by id."""
+    kept, taken = [], {}
+    for row in sorted(found, key=lambda r: (-r[2], r[1] is not None, r[1])):
+        taken[row[0]] = taken.get(row[0], 0) + 1
+        if taken[row[0]] <= k:
+            kept.append(row)
+    return kept
+
 
-        part = source.mapInPandas(search, "query_id long, id long, score double")
-        found = part if found is None else found.unionByName(part)
-    return rank_hits(found, k)
+def _blocks(frame: DataFrame, key: Column, vector: Column, label: Column, size: int, key_type: str) -> DataFrame:
+    """Rows with a vector in blocks of at most ``size``: ids, vectors (doubles, one after the other), labels. No shuffle."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, size):
+                ids, vectors, labels = (column.slice(start, size) for column in batch.columns)
+                flat = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+                columns = [pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([flat.astype("<f8").tobytes()], pa.binary()), pa.array([labels.to_pylist()], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(columns, ["ids", "vectors", "labels"])
+
+    given = frame.where(vector.isNotNull()).select(key.alias("key"), vector.alias("vector"), label.alias("label"))
+    return given.mapInArrow(pack, f"ids array<{key_type}>, vectors binary, labels array<string>")
 
 
 EMPTY_UNIT = {"id": -1, "text": ""}
 
 
+def _places(units: DataFrame, id_col: str, keys: tuple[str, ...], index: str, text_col: str) -> DataFrame:
+    """One unit (the smallest id) for each place."""
+    return units.groupBy(*keys, F.col(index).alias("__at")).agg(F.min(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).alias("unit"))
+
+
 def context(units: DataFrame, hits: DataFrame, offset: int, id_col: str = "id", keys: tuple[str, ...] = ("doc_id", "section_title"),
             index: str = "sentence_index", text_col: str = "text") -> DataFrame:
     """For each hit (a row of ``units`` by id): the unit ``offset`` places on, by index and not by neighbourhood.
@@ -100,21 +129,29 @@ def context(units: DataFrame, hits: DataFrame, offset: int, id_col: str = "id",
     Gaps and ends give the empty unit (id -1, empty text); of duplicates the smallest id counts.
     """
     own = units.select(F.col(id_col).alias("hit_id"), *[F.col(k) for k in keys], (F.col(index) + offset).alias("__at"))
-    place = units.groupBy(*keys, F.col(index).alias("__at")).agg(F.min(F.struct(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).alias("unit"))
     wanted = own.join(hits.select(F.col(id_col).alias("hit_id")).distinct(), "hit_id", "left_semi")
-    return wanted.join(place, [*keys, "__at"], "left").select(
+    return wanted.join(_places(units, id_col, keys, index, text_col), [*keys, "__at"], "left").select(
         "hit_id", F.coalesce("unit.id", F.lit(EMPTY_UNIT["id"]).cast("long")).alias("unit_id"), F.coalesce("unit.text", F.lit(EMPTY_UNIT["text"])).alias("unit_text")
     )
 
 
-def with_context(units: DataFrame, hits: DataFrame, offset: int = 0, **columns: object) -> DataFrame:
-    """hit_id, target (``offset`` places on) and the units before and after the target."""
-    target = context(units, hits, offset, **columns).select("hit_id", F.col("unit_id").alias("target_id"), F.col("unit_text").alias("target_text"))
-    near = target.select(F.col("target_id").alias("id")).where("id >= 0").distinct()
-    for name, step in (("previous", -1), ("next", 1)):
-        side = context(units, near, step, **columns).select(F.col("hit_id").alias("target_id"), F.col("unit_id").alias(f"{name}_id"), F.col("unit_text").alias(f"{name}_text"))
-        target = target.join(side, "target_id", "left").fillna({f"{name}_id": -1, f"{name}_text": ""})
-    return target.select("hit_id", "target_id", "target_text", "previous_id", "previous_text", "next_id", "next_text")
+def with_context(units: DataFrame, hits: DataFrame, offset: int = 0, id_col: str = "id", keys: tuple[str, ...] = ("doc_id", "section_title"),
+                 index: str = "sentence_index", text_col: str = "text") -> DataFrame:
+    """hit_id, target (``offset`` places on) and the units before and after the target.
+
+    A hit asks for three places, which meet the units once; a target that is not there has no neighbours.
+    """
+    asked = units.join(hits.select(F.col(id_col)).distinct(), id_col, "left_semi").select(
+        F.col(id_col).alias("hit_id"), *[F.col(k) for k in keys], F.explode(F.array(*[F.lit(step) for step in (-1, 0, 1)])).alias("step"), F.col(index).alias("__own")
+    ).withColumn("__at", F.col("__own") + offset + F.col("step"))
+    met = asked.join(_places(units, id_col, keys, index, text_col), [*keys, "__at"], "left")
+    found = met.groupBy("hit_id").agg(*[F.max(F.when(F.col("step") == step, F.col("unit"))).alias(name) for name, step in (("previous", -1), ("target", 0), ("next", 1))])
+    there = F.col("target").isNotNull()
+    cells = []
+    for name in ("target", "previous", "next"):
+        unit = F.when(there, F.col(name))
+        cells += [F.coalesce(unit["id"], F.lit(EMPTY_UNIT["id"]).cast("long")).alias(f"{name}_id"), F.coalesce(unit["text"], F.lit(EMPTY_UNIT["text"])).alias(f"{name}_text")]
+    return found.select("hit_id", *cells)
 
 
 def score_list(score: Column, rank: Column) -> Column:
