@@ -2,25 +2,20 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.functions.text import ABBREVIATIONS
+from casemill.functions import text as tx
 
 TARGET, LEAST, MOST = 1000, 800, 1200
 EVEN_TARGET, EVEN_LEAST, EVEN_MOST, EVEN_MERGE = 600, 300, 1200, 1250
-_HIDDEN = "\x01"
 
 
-def split_sentences(text: str, least: int = 1) -> list[str]:
-    for a in ABBREVIATIONS:
-        text = text.replace(a, a[:-2] + _HIDDEN + a[-1])
-    parts = (s.replace(_HIDDEN, ".").strip() for s in re.split(r"(?<=[.!?])\s+", text))
-    return [s for s in parts if len(s) >= least]
+#: A paragraph and, of long ones only, its sentences.
+Part = tuple[str, list[str]]
 
 
 def _fill(parts: list[str], most: int) -> list[str]:
@@ -34,13 +29,13 @@ def _fill(parts: list[str], most: int) -> list[str]:
     return out
 
 
-def packed(paragraphs: list[str]) -> list[str]:
+def packed(parts: list[Part]) -> list[str]:
     """Long paragraphs are cut at sentences; short ones are merged until TARGET is reached, never over MOST."""
     out: list[str] = []
     waiting = ""
-    for part in filter(None, (p.strip() for p in paragraphs)):
+    for part, sentences in parts:
         if len(part) > MOST:
-            out += [waiting] * bool(waiting) + _fill(split_sentences(part, 10), MOST)
+            out += [waiting] * bool(waiting) + _fill([s for s in sentences if len(s) >= 10], MOST)
             waiting = ""
             continue
         if waiting and len(waiting) + 1 + len(part) + 1 > MOST:
@@ -56,14 +51,14 @@ def packed(paragraphs: list[str]) -> list[str]:
     return out + [waiting] * bool(waiting)
 
 
-def even(paragraphs: list[str]) -> list[str]:
+def even(parts: list[Part]) -> list[str]:
     """Cut over EVEN_MOST at sentences (a longer sentence at words), merge towards EVEN_TARGET, then join what is still short."""
     pieces: list[str] = []
-    for part in filter(None, (p.strip() for p in paragraphs)):
+    for part, sentences in parts:
         if len(part) <= EVEN_MOST:
             pieces.append(part)
             continue
-        for sentence in _fill(split_sentences(part), EVEN_TARGET):
+        for sentence in _fill(sentences, EVEN_TARGET):
             pieces += _fill(sentence.split(), EVEN_MOST) if len(sentence) > EVEN_MOST else [sentence]
     merged: list[str] = []
     for piece in pieces:
@@ -83,11 +78,16 @@ def even(paragraphs: list[str]) -> list[str]:
 def _chunks(df: DataFrame, cut, id_col: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["chunks"] = [cut([] if p is None else [x or "" for x in p]) for p in batch["paragraphs"]]
+            batch["chunks"] = [cut([(p["text"], list(p["sentences"])) for p in parts]) for parts in batch["parts"]]
             yield batch[[id_col, "chunks"]]
 
+    least = min(MOST, EVEN_MOST)
+    stripped = F.filter(F.transform(F.coalesce("paragraphs", F.array().cast("array<string>")), lambda p: tx.strip(tx.or_empty(p))), lambda p: p != "")
+    parts = F.transform(
+        stripped, lambda p: F.struct(p.alias("text"), F.when(F.length(p) > least, tx.sentences(p, 1)).otherwise(F.array().cast("array<string>")).alias("sentences"))
+    )
     id_type = df.schema[id_col].dataType.simpleString()
-    cutted = df.select(id_col, "paragraphs").mapInPandas(run, f"`{id_col}` {id_type}, chunks array<string>")
+    cutted = df.select(id_col, parts.alias("parts")).mapInPandas(run, f"`{id_col}` {id_type}, chunks array<string>")
     return cutted.select(id_col, F.posexplode("chunks").alias("chunk_index", "chunk"))
 
 

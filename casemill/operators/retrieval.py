@@ -89,6 +89,38 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "ip", thr
     return rank_hits(scored, k)
 
 
+def best_per_label(corpus: DataFrame, queries: DataFrame, label: str, id_col: str = "id", vector_col: str = "embedding", query_col: str = "query_id") -> DataFrame:
+    """query, label, best: the highest cosine of each query among the rows of each label, its own id left out.
+
+    In blocks as :func:`top_k`; a task keeps one number for each query and label it has seen, and these are shuffled.
+    """
+    id_type, query_type, label_type = (frame.schema[c].dataType.simpleString() for frame, c in ((corpus, id_col), (queries, query_col), (corpus, label)))
+    rows = _blocks(corpus, F.col(id_col), F.col(vector_col), F.col(label).cast("string"), CORPUS_BLOCK, id_type)
+    wanted = _blocks(queries, F.col(query_col), F.col(vector_col), F.lit(""), QUERY_BLOCK, query_type).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, float] = {}
+        for batch in batches:
+            for ids, vectors, labels, q_ids, q_vectors in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                one, two = (np.frombuffer(v, "<f8").reshape(len(i), -1) for v, i in ((vectors, ids), (q_vectors, q_ids)))
+                below = np.linalg.norm(one, axis=1)[:, None] * np.linalg.norm(two, axis=1)[None, :]
+                scores = np.divide(one @ two.T, below, out=np.full((len(ids), len(q_ids)), np.nan), where=below > 0)
+                scores[np.array(ids, object)[:, None] == np.array(q_ids, object)[None, :]] = np.nan
+                kinds = np.array([x or "" for x in labels])
+                for kind in set(labels):
+                    own = scores[np.array([x == kind for x in labels]) if kind is None else kinds == kind]
+                    top = np.max(np.where(np.isnan(own), -np.inf, own), axis=0)
+                    for key, value in zip(q_ids, top.tolist(), strict=True):
+                        if value > best.get((key, kind), -np.inf):
+                            best[key, kind] = value
+        columns = [[k[0] for k in best], [k[1] for k in best], list(best.values())]
+        kinds = (pa.int64() if query_type == "bigint" else pa.string(), pa.string(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "label", "best"])
+
+    scored = rows.crossJoin(wanted).mapInArrow(search, f"query_id {'bigint' if query_type == 'bigint' else 'string'}, label string, best double")
+    return scored.groupBy("query_id", F.col("label").cast(label_type).alias(label)).agg(F.max("best").alias("best"))
+
+
 def _best(found: list[tuple], k: int) -> list[tuple]:
     """The k best of (query, id, score) for each query, ties by id."""
     kept, taken = [], {}

@@ -370,3 +370,52 @@ def highlight_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casemill.streaming.ingest import upsert_highlights
 
     return upsert_highlights(spark, sf_dir)
+
+
+_FLAT = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+_MARKDOWN = """'# Case ' || conv_id || chr(10) || chr(10) || '**Court:** Supreme Court of Testing' || chr(10) || '**Date:** March ' || (conv_id % 28 + 1) || ', 1999' || chr(10) || chr(10)
+    || '## Headnotes' || chr(10) || '**[1] Note of ' || conv_id || '**' || chr(10) || chr(10) || 'In short.' || chr(10) || chr(10) || '## Sections' || chr(10)
+    || string_agg('### Part ' || turn || chr(10) || chr(10) || substr(body, 1, 4000) || chr(10) || chr(10), '' ORDER BY turn)"""
+
+
+@register(f"""SELECT conv_id, {_MARKDOWN} AS markdown, ['[1999] AC ' || conv_id, '[1999] UKSC ' || conv_id] AS citations, string_agg(body, ' ' ORDER BY turn) AS majority_opinion, count(*) AS parts
+    FROM (SELECT conv_id, turn, {_FLAT.format('text')} AS body FROM {_DENSE}) WHERE body <> '' GROUP BY conv_id""")
+def publisher_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publisher's pages, made of conversations, read back and written as markdown."""
+    from casemill.sources.publisher import publisher_cases
+
+    rows = _dense(spark, sf_dir).where(tx.collapse(F.col("text")) != "").withColumn("id", F.col("conv_id").cast("string"))
+    part = F.concat(F.lit('<h1 class="organization">Part '), F.col("turn").cast("string"), F.lit("</h1><div><p>"), tx.escape_markup(F.col("text")), F.lit("</p></div>"))
+    whole = rows.groupBy("conv_id", "id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p"), "text"))), lambda x: x["p"]), "\n").alias("body"),
+                                              F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.lit("").alias("p"), "text"))), lambda x: x["text"]), "\n").alias("all"))
+    head = F.concat(F.lit('<html><head><title>Case '), "id", F.lit(', Court Opinion 7</title></head><body><div class="citation-group"><span class="cite">[1999] UKSC '), "id",
+                    F.lit('</span><span class="cite">[1999] AC '), "id", F.lit('</span></div><div id="content_document"><center>Supreme Court of Testing</center><center>Decided March '),
+                    (F.col("conv_id") % 28 + 1).cast("string"), F.lit(', 1999.</center><div class="headnotesContainer"><div class="headnote"><b class="headnoteSlug">Note of '), "id",
+                    F.lit('</b><p class="headnote_text">In short.</p></div></div>'))
+    pages = whole.select("conv_id", F.concat(head, "body", F.lit('<div class="end"></div></div></body></html>')).alias("html"),
+                         F.concat(F.lit('<div id="contentMajOp">'), tx.escape_markup(F.col("all")), F.lit("</div>")).alias("opinion"))
+    found = publisher_cases(pages, "conv_id")
+    majority = publisher_cases(pages.select("conv_id", F.col("opinion").alias("html")), "conv_id").select("conv_id", "majority_opinion")
+    written = jd.case_markdown(F.col("case_name"), F.col("court"), F.col("date"), F.col("headnotes"), F.col("sections"))
+    return found.drop("majority_opinion").join(majority, "conv_id").select("conv_id", written.alias("markdown"), "citations", "majority_opinion", F.size("sections").cast("long").alias("parts"))
+
+
+@register(r"""SELECT o_orderkey, 'Order of A & B' AS short_name, strftime(o_orderdate, '%B %-d, %Y') AS dated, o_orderpriority AS bare, 'x ' || o_orderkey AS cleaned FROM orders""")
+def name_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Short names from titles or file stems, long dates, quotes off, and a paragraph without its numbers."""
+    key = F.col("o_orderkey").cast("string")
+    title = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("Order of A & B  [1999] UKSC "), key)).otherwise(F.lit("A [1999]"))
+    dated = F.concat(F.lit("Decided on "), F.date_format("o_orderdate", "MMMM d, yyyy"), F.lit(" at noon"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", tx.short_case_name(F.lit("Order_of_A_&_B_[1999]_(2)"), title).alias("short_name"), tx.long_date(dated).alias("dated"),
+        tx.strip_quotes(F.concat(F.lit('"'), "o_orderpriority", F.lit('"'))).alias("bare"), tx.clean_paragraph(F.concat(F.lit(" 12. x  "), key)).alias("cleaned"),
+    )
+
+
+@register(r"""SELECT doc_id, CAST(length(regexp_replace(text, '\s', '', 'g')) AS BIGINT) AS chars FROM documents WHERE regexp_replace(text, '\s', '', 'g') <> ''""")
+def rechunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even chunks lose nothing but white space."""
+    from casemill.operators.chunking import even_chunks
+
+    chunks = even_chunks(table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("paragraphs")))
+    return chunks.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("chunk", r"\s", ""))).alias("chars"))

@@ -36,9 +36,10 @@ def strict_case_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    # the first of each (source, text): an aggregate, which is combined before the shuffle, gives what the window would
-    return docs.groupBy("source", "text").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.sha2("text", 256).alias("digest"))
+    # the first of each (source, text): an aggregate, which is combined before the shuffle, gives what the window would;
+    # a text travels as its SHA-256 digest
+    return docs.groupBy("source", "digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source")
 
 
 @register("SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY substr(text, 1, 200)")
@@ -112,11 +113,11 @@ def sentence_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""SELECT doc_id, (SELECT coalesce(max(doc_id) + 1, 0) FROM labels) + row_number() OVER (ORDER BY doc_id) - 1 AS next_index FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def incremental_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that are not yet there, numbered on from the largest index (dense numbers over one global order)."""
+    """Rows that are not yet there, numbered on from the largest index."""
     labels = table(spark, sf_dir, "labels")
     start = labels.agg(F.coalesce(F.max("doc_id") + 1, F.lit(0))).first()[0]
     fresh = table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left_anti")
-    return fresh.select("doc_id", (F.row_number().over(Window.orderBy("doc_id")) - 1 + F.lit(start)).cast("long").alias("next_index"))
+    return relational.numbered(fresh, "doc_id", start).select("doc_id", F.col("number").alias("next_index"))
 
 
 @register("""SELECT (SELECT count(*) FROM documents) AS extracted, (SELECT count(*) FROM labels) AS classified, count(*) AS missing, list(doc_id ORDER BY doc_id)[1:10] AS listed FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
@@ -162,22 +163,6 @@ def fuzzy_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.resolve_names(literal_rows(spark, "target string", _TARGETS), literal_rows(spark, "name string, rank int", _FILES))
 
 
-_TITLES = [(1, "Donoghue v Stevenson"), (2, "McGee v The Attorney General"), (3, "Smith v Jones")]
-_WANTED = [(1, "stevenson donoghue 1932"), (2, "attorney general mcgee"), (3, "zzz")]
-
-
-@register("""SELECT q, arg_max(id, {'n': n, 'i': -id}) AS id, max(n) AS n FROM (SELECT w.id AS q, t.id AS id, count(*) AS n FROM (SELECT id, unnest(string_split(text, ' ')) AS w FROM """ + values_sql(_WANTED, "id, text") + """) w
-    JOIN """ + values_sql(_TITLES, "id, title") + """ AS t ON length(w) > 1 AND contains(lower(title), w) GROUP BY ALL) GROUP BY q""".replace(" AS t", ""))
-def best_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = literal_rows(spark, "q int, text string", _WANTED).select("q", F.explode(F.split("text", " ")).alias("w")).where("length(w) > 1")
-    titles = literal_rows(spark, "id int, title string", _TITLES)
-    hits = words.join(titles, F.contains(F.lower("title"), F.col("w"))).groupBy("q", "id").agg(F.count(F.lit(1)).alias("n"))
-    return hits.groupBy("q").agg(F.max_by("id", F.struct("n", -F.col("id"))).alias("id"), F.max("n").alias("n"))
-
-
-ORACLES["best_title"] = "SELECT * FROM (VALUES (1, 1, 2), (2, 2, 3)) AS v(q, id, n)"
-
-
 @register("""SELECT c.doc_id, min(d.doc_id) AS repaired_from FROM (SELECT doc_id, source, substr(text, 1, 60) AS head FROM documents WHERE length(text) > 60) c JOIN documents d ON d.source = c.source AND starts_with(d.text, c.head) GROUP BY c.doc_id""")
 def truncation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A cut-off text to the first full one that begins with it: an equi-join on source and head."""
@@ -265,20 +250,14 @@ def suggestion_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     return literal_rows(spark, "id int, cells array<string>", _CELLS).select("id", F.get(cells, F.lit(0)).alias("cell"))
 
 
-@register("SELECT a.conv_id, count(*) FILTER (a.text = b.text) >= 3 AS resume FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn WHERE a.turn < 5 GROUP BY a.conv_id")
-def resume_prefix_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = table(spark, sf_dir, "conversations").where("turn < 5").select("conv_id", "turn", F.col("text").alias("stored"))
-    current = table(spark, sf_dir, "conversations").where("turn < 5").select("conv_id", "turn", "text")
-    return stored.join(current, ["conv_id", "turn"]).groupBy("conv_id").agg((F.count_if(F.col("stored") == F.col("text")) >= 3).alias("resume"))
-
-
-@register()
+@register("SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 20")
 def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty documents by a seeded hash: the same ones in every run."""
-    return table(spark, sf_dir, "documents").orderBy(F.xxhash64(F.lit(42), "doc_id"), "doc_id").limit(20).select("doc_id")
+    drawn = F.md5(F.concat(F.lit("42|"), F.col("doc_id").cast("string")))
+    return table(spark, sf_dir, "documents").orderBy(drawn, "doc_id").limit(20).select("doc_id")
 
 
-@register()
+@register("SELECT DISTINCT event_id, user_id, event_type FROM events")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events ingested as a bounded stream, once each, into a table."""
     from casemill.streaming.ingest import ingest_events

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +23,9 @@ def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def _queries(corpus: DataFrame, n: int | None) -> DataFrame:
-    """The first ``n`` ids, or every twentieth of all: a set that grows with the table."""
-    return corpus.where(F.col("id") % 20 == 0 if n is None else F.col("id") < n).withColumnRenamed("id", "query_id")
+def _queries(corpus: DataFrame) -> DataFrame:
+    """Every twentieth id: a set that grows with the table."""
+    return corpus.where(F.col("id") % 20 == 0).withColumnRenamed("id", "query_id")
 
 
 def _first_vector(corpus: DataFrame) -> list[float]:
@@ -46,39 +44,39 @@ def knn_cosine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.top_k_one(corpus, _first_vector(corpus), 20, "cosine", 0.2).select("id", "label", F.round("score", 6).alias("score"))
 
 
-def _ranked_sql(extra: str = "", k: int = 10, n: int = 8) -> str:
+def _ranked_sql(extra: str = "", k: int = 10) -> str:
     return f"""SELECT q.vec_id AS query_id, c.vec_id AS id, c.label AS label, q.label AS query_label, {_DOT} AS score,
         row_number() OVER (PARTITION BY q.vec_id ORDER BY {_DOT} DESC, c.vec_id) AS rank
-        FROM embeddings q, embeddings c WHERE q.vec_id < {n} AND c.vec_id <> q.vec_id {extra} QUALIFY rank <= {k}"""
+        FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id {extra} QUALIFY rank <= {k}"""
 
 
 @register(f"SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({_ranked_sql()})")
-def knn_batch_topk(spark: SparkSession, sf_dir: str, n: int | None = 8) -> DataFrame:
+def knn_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _vectors(spark, sf_dir)
-    return retrieval.top_k(corpus, _queries(corpus, n), 10).withColumn("score", F.round("score", 6))
+    return retrieval.top_k(corpus, _queries(corpus), 10).withColumn("score", F.round("score", 6))
 
 
-def _oversampled(corpus: DataFrame, n: int | None, candidates: int) -> DataFrame:
+def _oversampled(corpus: DataFrame, candidates: int) -> DataFrame:
     """Candidates of each query with their own and the query's label."""
-    hits = retrieval.top_k(corpus, _queries(corpus, n), candidates)
-    labels = _queries(corpus, n).select("query_id", F.col("label").alias("query_label"))
-    return hits.join(corpus.select("id", "label"), "id").join(labels if n is None else F.broadcast(labels), "query_id")  # n query rows
+    hits = retrieval.top_k(corpus, _queries(corpus), candidates)
+    labels = _queries(corpus).select("query_id", F.col("label").alias("query_label"))
+    return hits.join(corpus.select("id", "label"), "id").join(labels, "query_id")
 
 
 @register(f"""SELECT query_id, id, score, CAST(place AS INTEGER) AS rank FROM (
     SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place
     FROM ({_ranked_sql(k=300)}) WHERE label = query_label) WHERE place <= 10""")
-def knn_label_filtered(spark: SparkSession, sf_dir: str, n: int | None = 8) -> DataFrame:
+def knn_label_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The label filter after an oversample of 300: fewer than ten may remain."""
-    same = _oversampled(_vectors(spark, sf_dir), n, 300).where("label = query_label")
+    same = _oversampled(_vectors(spark, sf_dir), 300).where("label = query_label")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return same.withColumn("rank", place).where("rank <= 10").select("query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @register(f"SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM ({_ranked_sql('AND c.label = q.label')})")
-def knn_prefiltered(spark: SparkSession, sf_dir: str, n: int | None = 8) -> DataFrame:
+def knn_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _vectors(spark, sf_dir)
-    return retrieval.top_k(corpus, _queries(corpus, n), 10, same="label").withColumn("score", F.round("score", 6))
+    return retrieval.top_k(corpus, _queries(corpus), 10, same="label").withColumn("score", F.round("score", 6))
 
 
 @register(f"""SELECT c.vec_id AS id, round({_DOT} / ({_NORM.format('c')} * {_NORM.format('q')} + 1e-9), 6) AS score, 0.0 AS zero_score
@@ -90,25 +88,23 @@ def cosine_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.select("id", F.round(vx.cosine(F.col("embedding"), query, 1e-9), 6).alias("score"), zero.alias("zero_score"))
 
 
-@register(f"SELECT q.vec_id AS query_id, c.label, round(greatest(max({_COSINE}), 0.0), 4) AS best FROM embeddings q, embeddings c WHERE q.vec_id < 8 AND c.vec_id <> q.vec_id GROUP BY ALL")
-def best_match_per_group(spark: SparkSession, sf_dir: str, n: int | None = 8) -> DataFrame:
+@register(f"SELECT q.vec_id AS query_id, c.label, round(greatest(max({_COSINE}), 0.0), 4) AS best FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id GROUP BY ALL")
+def best_match_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _vectors(spark, sf_dir)
-    queries = _queries(corpus, n).select("query_id", F.col("embedding").alias("q"))
-    queries = queries if n is None else F.broadcast(queries)  # eight rows
-    scored = corpus.join(queries, F.col("id") != F.col("query_id")).withColumn("s", vx.cosine(F.col("embedding"), F.col("q")))
-    return scored.groupBy("query_id", "label").agg(F.round(F.greatest(F.max("s"), F.lit(0.0)), 4).alias("best"))
+    best = retrieval.best_per_label(corpus, _queries(corpus), "label")
+    return best.select("query_id", "label", F.round(F.greatest("best", F.lit(0.0)), 4).alias("best"))
 
 
 def _units(spark: SparkSession, sf_dir: str, least: int = 0) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").where(F.length(tx.or_empty(F.col("text"))) >= least)
     return rows.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("conv_id").alias("doc_id"), F.lit("Main").alias("section_title"),
+        (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), F.col("conv_id").alias("doc_id"), F.lit("Main").alias("section_title"),
         F.col("turn").alias("sentence_index"), "text",
     )
 
 
 def _context_sql(offset: int, least: int) -> str:
-    return f"""WITH u AS (SELECT conv_id * 1000 + turn AS id, conv_id AS doc_id, turn AS i, text FROM conversations WHERE length(text) >= {least}),
+    return f"""WITH u AS (SELECT conv_id * 1000000 + turn AS id, conv_id AS doc_id, turn AS i, text FROM conversations WHERE length(text) >= {least}),
     t AS (SELECT h.id AS hit_id, coalesce(u.id, -1) AS target_id, coalesce(u.text, '') AS target_text, u.doc_id, u.i
         FROM u h LEFT JOIN u ON u.doc_id = h.doc_id AND u.i = h.i + {offset})
     SELECT hit_id, target_id, target_text, coalesce(p.id, -1) AS previous_id, coalesce(p.text, '') AS previous_text,
@@ -134,9 +130,9 @@ def context_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.with_context(units, units.select("id"))
 
 
-def _report_hits(spark: SparkSession, sf_dir: str, n: int | None = 8) -> DataFrame:
+def _report_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _vectors(spark, sf_dir)
-    hits = retrieval.top_k(corpus, _queries(corpus, n), 10, same="label")
+    hits = retrieval.top_k(corpus, _queries(corpus), 10, same="label")
     return hits.withColumns({"text": F.concat(F.lit("unit\t"), F.col("id").cast("string")), "citation": F.concat(F.lit("case "), F.col("id").cast("string"))})
 
 
@@ -146,61 +142,45 @@ _SCORES = "string_agg(printf('%.4f', score), ', ' ORDER BY rank) AS scores"
 
 @register(f"""SELECT query_id, {_SCORES}, max(CASE WHEN rank = 1 THEN 'unit' || chr(9) || id || ' (case ' || id || ')' END) AS top_suggestion, {_CELLS}
     FROM ({_ranked_sql('AND c.label = q.label')}) GROUP BY query_id""")
-def suggestion_pivot(spark: SparkSession, sf_dir: str, n: int | None = 8) -> DataFrame:
-    return retrieval.wide_report(_report_hits(spark, sf_dir, n))
+def suggestion_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.wide_report(_report_hits(spark, sf_dir))
 
 
 @register(f"SELECT query_id, {_SCORES} FROM ({_ranked_sql()}) GROUP BY query_id")
-def score_list(spark: SparkSession, sf_dir: str, n: int | None = 8) -> DataFrame:
+def score_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _vectors(spark, sf_dir)
-    hits = retrieval.top_k(corpus, _queries(corpus, n), 10)
+    hits = retrieval.top_k(corpus, _queries(corpus), 10)
     return hits.groupBy("query_id").agg(retrieval.score_list(F.col("score"), F.col("rank")).alias("scores"))
 
 
 @register(f"""WITH h AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {_COSINE} AS score, row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, c.vec_id) AS rank
-    FROM embeddings q, embeddings c WHERE q.vec_id < 40 AND c.vec_id <> q.vec_id AND {_COSINE} > 0.35 QUALIFY rank <= 10)
+    FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND {_COSINE} > 0.35 QUALIFY rank <= 10)
     SELECT query_id, count(*) AS hits, CASE WHEN count(*) = 10 THEN {_SCORES.removesuffix(' AS scores')} END AS scores FROM h GROUP BY query_id""")
-def completeness_gate(spark: SparkSession, sf_dir: str, n: int | None = 40) -> DataFrame:
+def completeness_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores are filled only where all ten hits are there."""
     corpus = _vectors(spark, sf_dir)
-    hits = retrieval.top_k(corpus, _queries(corpus, n), 10, "cosine", 0.35)
+    hits = retrieval.top_k(corpus, _queries(corpus), 10, "cosine", 0.35)
     full = F.count("score") == 10
     return hits.groupBy("query_id").agg(
         F.count("score").alias("hits"), F.when(full, retrieval.score_list(F.col("score"), F.col("rank"))).alias("scores")
     )
 
 
-@register(f"""SELECT query_id, bool_or(id % 50 = query_id % 50) AS any_same_case FROM ({_ranked_sql(n=50)}) GROUP BY query_id""")
-def same_case_verification(spark: SparkSession, sf_dir: str, n: int | None = 50) -> DataFrame:
+@register(f"""SELECT query_id, bool_or(id % 50 = query_id % 50) AS any_same_case FROM ({_ranked_sql()}) GROUP BY query_id""")
+def same_case_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _vectors(spark, sf_dir)
-    hits = retrieval.top_k(corpus, _queries(corpus, n), 10)
+    hits = retrieval.top_k(corpus, _queries(corpus), 10)
     return hits.groupBy("query_id").agg(F.bool_or(F.col("id") % 50 == F.col("query_id") % 50).alias("any_same_case"))
 
 
 @register(f"SELECT query_id, id, pct, CASE WHEN pct <= 20 THEN 'very-low' WHEN pct <= 40 THEN 'low' WHEN pct <= 60 THEN 'moderate' WHEN pct <= 80 THEN 'high' ELSE 'very-high' END AS ui_band, CASE WHEN score >= 0.75 THEN 'top' WHEN score >= 0.65 THEN 'second' WHEN score >= 0.55 THEN 'third' ELSE 'bottom' END AS eval_band FROM (SELECT *, CAST(floor(round(score, 6) * 100 + 0.5) AS INTEGER) AS pct FROM ({_ranked_sql(k=100)}))")
-def similarity_bands(spark: SparkSession, sf_dir: str, n: int | None = 8) -> DataFrame:
+def similarity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _vectors(spark, sf_dir)
-    hits = retrieval.top_k(corpus, _queries(corpus, n), 100)
+    hits = retrieval.top_k(corpus, _queries(corpus), 100)
     scored = hits.withColumn("pct", tx.percent(F.round("score", 6)))
     return scored.select("query_id", "id", "pct", tx.similarity_band(F.col("pct")).alias("ui_band"), tx.score_band(F.col("score")).alias("eval_band"))
 
 
-def _full(query: Callable[..., DataFrame], n: int) -> None:
-    """The same search for every twentieth id against all rows, beside the one for the first ``n`` ids."""
-
-    def search(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return query(spark, sf_dir, None)
-
-    search.__name__ = f"{query.__name__}_full"
-    register(ORACLES[query.__name__].replace(f"q.vec_id < {n} ", "q.vec_id % 20 = 0 "))(search)
-
-
-for _query in (knn_batch_topk, knn_label_filtered, knn_prefiltered, best_match_per_group, suggestion_pivot, score_list, similarity_bands):
-    _full(_query, 8)
-_full(completeness_gate, 40)
-_full(same_case_verification, 50)
-
-
 @register()
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents of each source, ranked by id, through the greedy near-duplicate filter."""

@@ -9,9 +9,11 @@ from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casemill.functions import text as tx
+
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _HEX = re.compile(r"\\'([0-9a-fA-F]{2})")
 _UNICODE = re.compile(r"\\u(-?\d+)\s?\??")
@@ -76,6 +78,13 @@ def paragraphs(files: DataFrame, kind: str) -> DataFrame:
     return found.select("doc_id", F.posexplode("found").alias("position", "text"))
 
 
+def sentences(files: DataFrame, kind: str = "docx", least: int = 10) -> DataFrame:
+    """doc_id, position, text: the sentences of at least ``least`` characters of each paragraph, without regard to abbreviations."""
+    rows = paragraphs(files, kind).select("doc_id", "position", F.posexplode(tx.sentences(F.col("text"), least, protect=False)).alias("at", "text"))
+    order = Window.partitionBy("doc_id").orderBy("position", "at")
+    return rows.select("doc_id", (F.row_number().over(order) - 1).alias("position"), "text")
+
+
 def unzipped(files: DataFrame, suffixes: tuple[str, ...] = (".html", ".htm")) -> DataFrame:
     """path, name, content of the members of archives."""
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from casemill import models
 from casemill.functions import text as tx
-from casemill.operators import chunking, relational, retrieval
+from casemill.operators import cases, chunking, relational, retrieval
 from casemill.streaming import ingest
 
 
@@ -51,14 +51,41 @@ def test_sticky_dissent_and_carry(spark):
     assert [found[(1, n)] for n in range(8, 12)] == [0, 1, 1, 1] and [found[(2, n)] for n in range(8, 12)] == [0] * 4
 
 
-def test_chunks_keep_text_and_bounds():
+def test_chunks_keep_text_and_bounds(spark):
     sentence = "This is a sentence of some length that goes on. "
-    paragraphs = [sentence * 60, "tiny", "", "  ", sentence * 3, "w" * 50, sentence * 30, "x" * 1300]
-    for cut in (chunking.packed, chunking.even):
-        chunks = cut(paragraphs)
-        assert "".join("".join(chunks).split()) == "".join("".join(paragraphs).split())
-        assert all(len(c) <= chunking.EVEN_MERGE for c in chunks if " " in c)
-    assert chunking.packed([]) == [] == chunking.even([])
+    paragraphs = [sentence * 60, "tiny", "", "  ", None, sentence * 3, "w" * 50, sentence * 30, "x" * 1300]
+    frame = spark.createDataFrame([(1, paragraphs), (2, []), (3, None)], "doc_id int, paragraphs array<string>")
+    for cut in (chunking.pack_chunks, chunking.even_chunks):
+        rows = cut(frame).orderBy("doc_id", "chunk_index").collect()
+        assert {r.doc_id for r in rows} == {1}
+        assert "".join("".join(r.chunk for r in rows).split()) == "".join("".join(p or "" for p in paragraphs).split())
+        assert all(len(r.chunk) <= chunking.EVEN_MERGE for r in rows if " " in r.chunk)
+
+
+def test_sentences_end_at_no_abbreviation(spark):
+    text = "Held in A v. B by Mr. Smith, e.g. there. It was p. 4! Was it?  Yes v.\nNo. 5 is one. Co. X"
+    found = spark.createDataFrame([(text,)], "t string").select(tx.sentences(F.col("t"), 1).alias("s")).first().s
+    assert found == ["Held in A v. B by Mr. Smith, e.g. there.", "It was p. 4!", "Was it?", "Yes v.", "No.", "5 is one. Co. X"]
+
+
+def test_names_match_by_prefix_without_a_shared_first_word(spark):
+    targets = spark.createDataFrame([("Smithson",), ("Zz",)], "target string")
+    names = spark.createDataFrame([("Smithsonian v X", 1), ("Other", 2)], "name string, rank int")
+    assert [tuple(r) for r in relational.resolve_names(targets, names).collect()] == [("Smithson", "Smithsonian v X", 2)]
+
+
+def test_documents_match_by_name(spark):
+    names = spark.createDataFrame([("The long case name v Other [2001] AC 1",), ("short",), ("none of these at all",)], "name string")
+    documents = spark.createDataFrame([("x the long case name v other [2001] ac 1 and more", 2), ("Short", 1), ("The Long  Case Name v Other", 3)], "document string, rank int")
+    found = {r.name: r.document for r in cases.matched_documents(names, documents).collect()}
+    assert found == {"The long case name v Other [2001] AC 1": "x the long case name v other [2001] ac 1 and more", "short": "Short"}
+
+
+def test_numbers_are_dense_over_ranges(spark):
+    frame = spark.range(0, 1000, 7).repartition(5)
+    rows = relational.numbered(frame, "id", 50).orderBy("id").collect()
+    assert [r.number for r in rows] == list(range(50, 50 + len(rows)))
+    assert relational.numbered(frame.limit(0), "id").count() == 0
 
 
 def test_shortener_stops_and_never_mixes_rows(spark):

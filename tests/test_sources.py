@@ -3,7 +3,8 @@ import zipfile
 
 import pytest
 
-from casemill.sources import feed, html, office, tables, xml
+from casemill.functions import judgments
+from casemill.sources import feed, html, office, publisher, tables, xml
 
 JUDGMENT = """<akomaNtoso xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0"><judgment><body>
 <paragraph><num>1.</num><content><p>First <b>bold</b> paragraph.</p></content></paragraph><paragraph><content><p>short</p></content></paragraph>
@@ -103,3 +104,41 @@ def test_feed_follows_pages(spark, tmp_path):
     assert feed.fetch("u", lambda _: next(answers), pause=waits.append) == b"ok" and waits == [60, 30]
     with pytest.raises(OSError):
         feed.fetch("u", lambda _: (404, b""))
+
+
+def test_publisher_pages():
+    page = (
+        "<html><head><title>A v. B, Court Opinion 3</title></head><body><input id='doc_id' value='X1'><div class='citation-group'><i class='cite'>2 U.S. 1</i><i class='cite'>1 U.S.\n 9</i></div>"
+        "<div id='content_document'><center>Supreme Court</center><center>March 3, 1999</center><div class='headnotesContainer'><p class='headnote_text'>Only text.</p></div>"
+        "<h1 class='organization'>Facts</h1><p>one</p><p>two</p><h1 class='organization'>Empty</h1><h1 class='organization'>Held</h1><div>three</div><div id='contentMajOp'>four</div></div></body></html>"
+    )
+    found = publisher.parse_case(page)
+    assert (found["doc_id"], found["case_name"], found["court"], found["date"]) == ("X1", "A v. B", "Supreme Court", "March 3, 1999")
+    assert found["citations"] == ["1 U.S. 9", "2 U.S. 1"] and found["headnotes"] == [{"slug": "", "text": "Only text."}]
+    assert found["sections"] == [{"title": "Facts", "text": "one two"}, {"title": "Held", "text": "three four"}] and found["majority_opinion"] == "four"
+    assert publisher.parse_case("")["sections"] == [{"title": "Opinion", "text": ""}] and publisher.parse_case(None)["case_name"] is None
+
+
+def test_sinks_can_be_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([("A", "uksc", "majority", 2, "x < y"), ("A", "uksc", "majority", 1, "first"), ("B", "eat", "concurring", 1, "other")], "doc_id string, court string, decision string, position int, text string")
+    tables.write_partitioned(rows, str(tmp_path / "parts"))
+    again = spark.read.parquet(str(tmp_path / "parts"))
+    assert again.where("court = 'eat'").count() == 1 and sorted(p.name for p in (tmp_path / "parts").iterdir() if p.is_dir()) == ["court=eat", "court=uksc"]
+    tables.write_metadata(rows.select("doc_id", "court"), str(tmp_path / "meta"))
+    assert sorted(r.court for r in spark.read.json(str(tmp_path / "meta")).collect()) == ["eat", "uksc", "uksc"]
+    simple = {r.doc_id: r.xml for r in xml.to_simple_xml(rows).collect()}
+    assert [text for _, text in xml.simple_paragraphs(simple["A"])] == ["first", "x < y"]
+
+
+def test_docx_sentences(spark):
+    body = "<w:p><w:r><w:t>One sentence stands here. Short. Another one stands v. here too!</w:t></w:r></w:p><w:p><w:r><w:t>The next paragraph goes on.</w:t></w:r></w:p>"
+    files = spark.createDataFrame([("d", bytearray(docx(body)))], "doc_id string, content binary")
+    assert [(r.position, r.text) for r in office.sentences(files).orderBy("position").collect()] == [(0, "One sentence stands here."), (1, "Another one stands v."), (2, "here too!")][:2] + [(2, "The next paragraph goes on.")]
+
+
+def test_court_configuration(spark):
+    config = judgments.CourtConfig.from_json('{"courts": [{"name": "High Court", "code": "EWHC", "structure": "unitary", "pattern": "EWHC \\\\d+"}], "settings": {"country_code": "EW"}}')
+    frame = spark.createDataFrame([("[2001] EWHC 5",), ("[2001] UKSC 5",)], "t string")
+    assert [r.c and r.c.code for r in frame.select(config.court_of(frame.t).alias("c")).collect()] == ["EWHC", None]
+    assert [r.c and r.c.code for r in frame.select(judgments.CourtConfig().court_of(frame.t).alias("c")).collect()] == [None, "UKSC"]
+    assert config.settings == {"country_code": "EW", "citation_style": "neutral"} and config.judge_header == judgments.JUDGE_HEADER
