@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -34,6 +35,28 @@ def open_local(url: str) -> tuple[int, bytes]:
     return (200, path.read_bytes()) if path.is_file() else (404, b"")
 
 
+def open_web(url: str) -> tuple[int, bytes]:
+    """A page over the network: its status and body, errors of the server included."""
+    from urllib.error import HTTPError
+    from urllib.request import urlopen
+
+    try:
+        with urlopen(url, timeout=60) as answer:  # noqa: S310  the feed's own address
+            return answer.status, answer.read()
+    except HTTPError as error:
+        return error.code, b""
+
+
+def best_entry(found: list[tuple[str, str, str, str]], query: str) -> tuple[tuple[str, str, str, str] | None, int]:
+    """The entry whose title holds most words of the query, the first of equals, and how many; none if no title holds any."""
+    words = [w for w in re.split(r"\W+", query.lower()) if len(w) > 1]
+    if not found or not words:
+        return (found[0] if found else None), 0
+    counts = [sum(w in entry[1].lower() for w in words) for entry in found]
+    most = max(counts)
+    return (found[counts.index(most)], most) if most else (None, 0)
+
+
 def entries(url: str, most: int, opener: Callable[[str], tuple[int, bytes]] = open_local, pacing_s: float = 0.0) -> Iterator[tuple[str, str, str, str]]:
     """(id, title, updated, link) from the first page on, following rel=next."""
     seen = 0
@@ -59,16 +82,21 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.urls = [u for u in options["path"].split(",") if u]
         self.most = int(options.get("maxEntries", 2000))
+        self.pacing_s = float(options.get("pacingSeconds", 0.5))
+        self.local = options.get("opener", "local") == "local"
 
     def partitions(self) -> list[_Feed]:
         return [_Feed(url) for url in self.urls]
 
     def read(self, partition: _Feed) -> Iterator[tuple]:
-        yield from entries(partition.url, self.most)
+        yield from entries(partition.url, self.most, open_local if self.local else open_web, 0.0 if self.local else self.pacing_s)
 
 
 class AtomSource(DataSource):
-    """``spark.read.format("casemill_atom").load("file:///feed.xml,...")``: a partition for each feed, pages in turn."""
+    """``spark.read.format("casemill_atom").load("file:///feed.xml,...")``: a partition for each feed, pages in turn.
+
+    Options: maxEntries, opener (local or web) and pacingSeconds, the wait between pages of the web.
+    """
 
     @classmethod
     def name(cls) -> str:

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 
 def _shared(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named, as in tests."""
+    """The cluster's shared folder; a temporary one only where none is named and the master is local, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     return (named or "file://" + tempfile.mkdtemp(prefix="casemill-stream-")).rstrip("/")
 
 

@@ -112,3 +112,37 @@ def test_stream_ingests_each_key_once(spark, tmp_path):
         stream = spark.readStream.schema("k int, v string").parquet(source)
         ingest.ingest_once(spark, stream, target, mark, "k")
     assert sorted(r.k for r in spark.read.parquet(f"{target}/batch=*").collect()) == [1, 2, 3]
+
+
+def test_roles_in_batches(spark):
+    texts = ["The appeal is dismissed", "The plaintiff fell\nover 2. Facts", None, "x" * 500 + " principle", "a duty of care"] * 9
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = {r.id: r.role for r in models.classified(frame).collect()}
+    wanted = {r.id: r.r for r in frame.select("id", models.role_of(F.substring(F.coalesce("text", F.lit("")), 1, 400)).alias("r")).collect()}
+    assert found == wanted
+    assert models.parsed_roles("1. facts here\n2) nonsense\n1. the Judgment", 3) == ["Judgment", "Reasoning", "Reasoning"]
+    assert models.corrected(["a", "b", "c"], "[1]\none two\n[2] zwei") == ["one two", "zwei", "c"]
+    fixed = models.without_typos(frame.limit(7), lambda prompt: prompt.replace("appeal", "APPEAL")).collect()
+    assert all(r.corrected == (r.text or "").replace("appeal", "APPEAL").strip() for r in fixed)
+
+
+def test_providers_take_turns():
+    waits, calls = [], []
+
+    def busy(prompt):
+        calls.append(prompt)
+        raise models.Busy
+
+    def broken(prompt):
+        raise OSError("gone")
+
+    ask = models.first_that_answers(busy, broken, str.upper, pause=waits.append)
+    assert ask("yes") == "YES" and waits == [5.0, 10.0, 20.0] and calls == ["yes"] * 3
+    with pytest.raises(RuntimeError):
+        models.first_that_answers(broken)("x")
+
+
+def test_similarity_of_documents(spark):
+    pairs = spark.createDataFrame([(1, "a b c", "a b c"), (2, "a b", "c d"), (3, "", "a"), (4, "w " * 5000, "w " * 3000)], "id int, left string, right string")
+    found = {r.id: r.similarity for r in models.document_similarity(pairs, models.HashingEmbedder(512)).collect()}
+    assert found[1] == 1.0 and found[2] < 0.5 and found[3] is None and found[4] == 1.0

@@ -4,7 +4,7 @@ import zipfile
 import pytest
 
 from casemill.functions import judgments
-from casemill.sources import feed, html, office, publisher, tables, xml
+from casemill.sources import feed, html, office, publisher, storage, tables, xml
 
 JUDGMENT = """<akomaNtoso xmlns="http://docs.oasis-open.org/legaldocml/ns/akn/3.0"><judgment><body>
 <paragraph><num>1.</num><content><p>First <b>bold</b> paragraph.</p></content></paragraph><paragraph><content><p>short</p></content></paragraph>
@@ -142,3 +142,25 @@ def test_court_configuration(spark):
     assert [r.c and r.c.code for r in frame.select(config.court_of(frame.t).alias("c")).collect()] == ["EWHC", None]
     assert [r.c and r.c.code for r in frame.select(judgments.CourtConfig().court_of(frame.t).alias("c")).collect()] == [None, "UKSC"]
     assert config.settings == {"country_code": "EW", "citation_style": "neutral"} and config.judge_header == judgments.JUDGE_HEADER
+
+
+def test_tables_columns_and_versions(spark, tmp_path):
+    name = "units_for_test"
+    try:
+        for _ in range(2):
+            storage.create_table(spark, name, {c: storage.UNITS[c] for c in ("doc_id", "text", "court")}, f"file://{tmp_path}/units", by=("court",))
+        spark.sql(f"INSERT INTO {name} VALUES ('a', 'text', 'UKSC')")
+        assert storage.add_missing_columns(spark, name, {"embedding": "ARRAY<FLOAT>", "text": "STRING"}) == ["embedding"]
+        assert storage.add_missing_columns(spark, name, storage.UNITS)[:1] == ["section_title"] and spark.table(name).first().embedding is None
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.createDataFrame([(1, "A"), (2, None)], "id int, text string").write.parquet(f"{tmp_path}/cells/v=0")
+    for _ in range(2):
+        after = storage.rewritten(spark, f"{tmp_path}/cells", 1, lambda rows: rows.fillna({"text": "?"}))
+    assert sorted(tuple(r) for r in after.collect()) == [(1, "A"), (2, "?")] and spark.read.parquet(f"{tmp_path}/cells/v=0").where("text IS NULL").count() == 1
+
+
+def test_feed_search_picks_the_best_title():
+    found = [("1", "Smith v Jones", "", ""), ("2", "Donoghue v Stevenson", "", ""), ("3", "Stevenson", "", "")]
+    assert feed.best_entry(found, "Stevenson, Donoghue 1932") == (found[1], 2)
+    assert feed.best_entry(found, "zzz") == (None, 0) and feed.best_entry([], "x") == (None, 0) and feed.best_entry(found, "a") == (found[0], 0)
