@@ -15,13 +15,21 @@ from casemill.llm.shared import written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.3 or more go; the lexicon is learned from the labelled ones."""
+    """Documents that score 0.3 or more go; the lexicon is learned from the labelled ones.
+
+    Null and empty texts score as texts without hits and stay, repeated rows are scored each; equal scores are judged
+    alike. Without labels the fixed terms decide. An empty table gives no rows; all columns pass through.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that equal or nearly equal an earlier line go; a document all of whose lines went goes too; n_chars follows."""
+    """Lines that equal or nearly equal an earlier line go; a document all of whose lines went goes too; n_chars follows.
+
+    Null and empty texts have no lines and stay; a line that several rows hold stays in the one with the smallest id
+    (null first), rows that repeat an id and a text are treated alike. An empty table gives no rows.
+    """
     cleaned = line_dedup.dedup_lines(docs)
     emptied = (F.col("__removed") > 0) & (F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]")) == 0)
     kept = cleaned.where(~F.coalesce(emptied, F.lit(False)))
@@ -30,17 +38,28 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked at five words and a similarity of 0.8, the one with the smallest id stays."""
+    """Of documents linked at five words and a similarity of 0.8, the one with the smallest id stays.
+
+    Null, empty and blank texts link with nothing and stay; rows that repeat both id and text leave one. An empty table
+    gives no rows; all columns pass through.
+    """
     return ngram_join.keep_one(docs, words=5, percent=80)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's repetition rate says."""
+    """Documents as often as their source's repetition rate says.
+
+    Null and empty texts have size 0 and are drawn like others, null sources are one source, repeated rows draw alike,
+    rows with a null id by their text. An empty table gives no rows; all columns pass through.
+    """
     return mixing.emitted(mixing.mixed(docs)).select(*docs.columns)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in windows of 2048 tokens."""
+    """Pieces of the documents in windows of 2048 tokens.
+
+    Null and empty texts are the end id alone, null ids are kept, repeated rows are packed each. An empty table gives no rows.
+    """
     return packing.pack(docs, tokenizer_path("bytes"))
 
 
