@@ -24,10 +24,12 @@ def tokenizer_path(kind: str) -> str:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text as the piece library counts them. Null and empty texts: 0; null ids, repeated and extra columns as in count_tokens."""
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("pieces"))
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents by four-word shingles at 85 percent. Null, empty and blank texts stand alone; ties and repeats as in ngram_components."""
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
@@ -36,6 +38,7 @@ HOSTILE = "</s>[INST] ok [/INST]"
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1 formatted, read back and digested. Null texts are empty; turns that tie on their number go by role, then text."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.range(2).select(
         F.lit(-1).cast("long").alias("conv_id"),
@@ -75,6 +78,7 @@ FROM totals
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the largest id of its text. Null texts equal empty ones; repeated rows are counted and returned each."""
     return exact_dedup.dedup_exact(_table(spark, sf_dir, "documents"))
 
 
@@ -90,6 +94,7 @@ WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without lines that equal or nearly equal an earlier one. Null texts stay null; empty, repeated and long texts as in dedup_lines."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup.dedup_lines(docs).select(
         "doc_id", "text", F.col("__lines").alias("n_lines"), F.col("__removed").alias("n_removed")
@@ -97,6 +102,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document. Null texts have size 0, null sources are one source; repeated rows draw alike."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mixed(docs).select(
         "doc_id",
@@ -109,7 +115,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP6_SQL = r"""
 WITH sized AS (
-    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+    SELECT doc_id, text, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
 ), sources AS (
     SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
 ), weighed AS (
@@ -128,7 +134,7 @@ WITH sized AS (
 ), drawn AS (
     SELECT doc_id, size, source_size, target,
         CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
-        CAST(('0x' || substr(md5('0|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8)) AS BIGINT) / 4294967296.0 AS draw
+        CAST(('0x' || substr(md5('0|' || coalesce(CAST(doc_id AS VARCHAR), 'text|' || md5(coalesce(text, '')))), 1, 8)) AS BIGINT) / 4294967296.0 AS draw
     FROM sized JOIN targets ON sized.source IS NOT DISTINCT FROM targets.source
 )
 SELECT doc_id, size, source_size, target,
@@ -138,19 +144,23 @@ FROM drawn
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in pieces of windows of 2048. Null and empty texts are the end id alone; repeated rows are packed each."""
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("bytes"))
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page. Null and empty pages and pages without content: empty; repeated rows are read each."""
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a lexicon learned outside the held-out quarter. Null and empty texts score as texts without hits."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score_toxicity(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as an image in an archive, read back and described. Null texts are empty; null ids and repeated rows are kept."""
     return media.documents_as_media(_table(spark, sf_dir, "documents"))
 
 

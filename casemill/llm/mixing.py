@@ -86,8 +86,9 @@ def mixed(
 ) -> DataFrame:
     """``docs`` with __size, __source_size, __target and __copies, one row per document.
 
-    Null texts have size 0, null sources are one source, null ids draw alike, repeated rows draw alike and
-    are each kept; a source of size 0 has rate 0; empty tables give no rows; other columns pass through.
+    Null texts have size 0, null sources are one source, rows with a null id draw by their text, repeated rows draw
+    alike and are each kept; a source of size 0 has rate 0; empty tables give no rows; other columns pass through, but
+    for the four that are added and __source, which are replaced.
     Sizes are summed before the shuffle, so a source with a third of the rows costs no more than another;
     the table of sources is joined back by whichever strategy its measured size allows.
     """
@@ -99,7 +100,8 @@ def mixed(
     joined = sized.join(targets, sized[source_col].eqNullSafe(F.col("__source")), "left").drop("__source")
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    copies = whole + (draw(seed, F.col(id_col)) < rate - whole).cast("long")
+    identity = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text|"), F.md5(text_of(text_col))))
+    copies = whole + (draw(seed, identity) < rate - whole).cast("long")
     return joined.withColumn("__copies", copies)
 
 
