@@ -164,3 +164,13 @@ def test_feed_search_picks_the_best_title():
     found = [("1", "Smith v Jones", "", ""), ("2", "Donoghue v Stevenson", "", ""), ("3", "Stevenson", "", "")]
     assert feed.best_entry(found, "Stevenson, Donoghue 1932") == (found[1], 2)
     assert feed.best_entry(found, "zzz") == (None, 0) and feed.best_entry([], "x") == (None, 0) and feed.best_entry(found, "a") == (found[0], 0)
+
+
+def test_rows_of_another_database(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/store;create=true"
+    try:
+        spark.range(100).withColumnRenamed("id", "K").write.format("jdbc").options(url=url, dbtable="UNITS").save()
+    except Exception as error:  # noqa: BLE001  Spark's own copy of the driver may be missing
+        pytest.skip(f"no driver: {type(error).__name__}")
+    rows = storage.read_sql(spark, url, "UNITS", key="K", bounds=(0, 100), parts=4)
+    assert rows.rdd.getNumPartitions() == 4 and sorted(r.K for r in rows.collect()) == list(range(100))
