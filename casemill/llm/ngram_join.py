@@ -21,7 +21,7 @@ result; a group of copies of any size costs its length, and no link between comp
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
@@ -34,12 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemill.llm.components import components
-from casemill.llm.shared import only_possible, remove, ship_package, text_of, written
+from casemill.llm.shared import give_back, only_possible, remove, ship_package, tidied, text_of, written
 
 #: Part of the hash range whose shingles are counted; any value gives the same result.
 COUNTED = 0.4
-BLOCK_TOKENS = 1_000_000
-OWNER_TOKENS = 4_000_000
+BLOCK_TOKENS = 500_000
+OWNER_TOKENS = 1_000_000
 #: Hubs that a group meets before the pairs that are left are taken.
 HUBS = 3
 #: Bits of a set's parity mask, in 64-bit words.
@@ -83,6 +83,10 @@ def mask(found: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def _tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    return lambda batches: tidied(run(batches))
+
+
 def _sender(words: int, percent: int, counted: int):
     """Documents to (id, n, sig, block, low, mask): low holds the counted shingles, or the first of the order if they are more."""
 
@@ -154,6 +158,8 @@ def _frequent(owners: int, counted: int):
             at += len(part)
             found.append(packed(part[own > 1] + base, 4))
             frequencies.append(own[own > 1].tobytes())
+        parts = weights = values = place = totals = often = own = part = None
+        give_back()
         return pd.DataFrame({"block": sent["block"], "values": found, "often": frequencies})
 
     return run
@@ -196,6 +202,8 @@ def _prefixes(percent: int, counted: int):
             if cuts[row] < cuts[row + 1]:
                 grp = xxhash.xxh3_128_digest(np.concatenate(([size], chosen[own], at[own])).tobytes())
                 out.append((sig, size, grp, chosen[own], at[own], np.frombuffer(bits, ">i8").astype(np.int64)))
+        lows = values = often = late = doc = order = place = wanted = chosen = at = None
+        give_back()
         return pd.DataFrame(out, columns=schema)
 
     return run
@@ -243,7 +251,7 @@ class _Verifier:
         left = self.sets.select(F.col("sig").alias("a"), F.col("set").alias("left"))
         right = self.sets.select(F.col("sig").alias("b"), F.col("set").alias("right"))
         loaded = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-        links = loaded.mapInArrow(_linked(self.percent), "a binary, b binary")
+        links = loaded.mapInArrow(_tidy(_linked(self.percent)), "a binary, b binary")
         return written(spark, links, "links")[0]
 
 
@@ -288,12 +296,12 @@ def _tables(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     source = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     rows, rows_path = written(
         spark,
-        source.mapInArrow(_sender(words, percent, counted), f"id {id_type}, n long, sig binary, block long, low binary, mask binary"),
+        source.mapInArrow(_tidy(_sender(words, percent, counted)), f"id {id_type}, n long, sig binary, block long, low binary, mask binary"),
         "shingled",
     )
     total = rows.agg(F.sum("n")).first()[0] or 0
     owners = max(spark.sparkContext.defaultParallelism, int(total * COUNTED) // OWNER_TOKENS + 1)
-    messages = rows.select("block", "low").mapInArrow(_messages(owners, counted), "owner long, block long, coded binary, again binary, counts binary")
+    messages = rows.select("block", "low").mapInArrow(_tidy(_messages(owners, counted)), "owner long, block long, coded binary, again binary, counts binary")
     replies = messages.groupBy("owner").applyInPandas(_frequent(owners, counted), "block long, values binary, often binary")
     prefixes = (
         rows.select("block", "n", "sig", "low", "mask").groupBy("block").cogroup(replies.groupBy("block"))
@@ -328,7 +336,7 @@ def _tables(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     wanted, wanted_path = written(spark, wanted, "wanted")
     possible = only_possible(source, F.xxhash64("id"), wanted.select(F.xxhash64("wanted")), wanted.count())
     texts = possible.join(wanted, possible["id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_sets(words), "sig binary, set binary").groupBy("sig").agg(F.first("set").alias("set"))
+    sets = texts.mapInArrow(_tidy(_sets(words)), "sig binary, set binary").groupBy("sig").agg(F.first("set").alias("set"))
     sets, _ = written(spark, sets, "sets")
     remove(spark, wanted_path)
     return _Tables(classes, members, groups, posts, _Verifier(sets, percent))
@@ -438,7 +446,8 @@ def ngram_components(
         roots = components(links.unionByName(found))
 
     labelled = classes.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    smallest = labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component"))
+    # written, so that Spark can split the join of a component that a large part of all rows belongs to
+    smallest, _ = written(spark, labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component")), "smallest")
     return labelled.join(smallest, "root", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id")
     )
@@ -450,6 +459,9 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "
     Documents without shingles stay, rows that repeat both id and text leave one, other columns pass through.
     """
     found = ngram_components(docs, words, percent, id_col, text_col)
-    chosen = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept")).distinct()
-    kept = docs.join(chosen, docs[id_col].eqNullSafe(chosen["__kept"]), "left_semi")
-    return kept.withColumn("__text", F.xxhash64(text_col)).dropDuplicates([id_col, "__text"]).drop("__text")
+    chosen = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__kept_id")).distinct()
+    kept = docs.join(chosen, docs[id_col].eqNullSafe(chosen["__kept_id"]), "left_semi")
+    # of rows that repeat both id and text one stays, whatever their other columns are called
+    row = F.struct(*[docs[c] for c in docs.columns])
+    whole = kept.select(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__hash"), row.alias("__row"))
+    return whole.dropDuplicates(["__id", "__hash"]).select("__row.*")

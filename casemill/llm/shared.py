@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +19,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a temporary one where it is unset, as in tests."""
+    """The cluster's shared folder (spark.checkpoint.dir); on a local master a temporary one where it is unset, as in tests.
+
+    On a cluster the setting is needed: executors don't see each other's temporary folders.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -23,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the whole cluster shares")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="casemill-"))
     return sc.getCheckpointDir()
 
@@ -46,6 +55,24 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def give_back() -> None:
+    """Return a Python worker's free memory to the system: idle workers outlive their stage and count for their executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task's function, with :func:`give_back` when it ends."""
+    try:
+        yield from batches
+    finally:
+        give_back()
+
+
 #: Bits of a filter at most: 16 MB are broadcast, however many keys there are.
 FILTER_BITS = 1 << 27
 _CHUNK = 32768

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.shared import ship_package, text_of
+from casemill.llm.shared import give_back, ship_package, text_of, tidied
 
 #: Look-alikes of Latin letters in other scripts (fixed values).
 HOMOGLYPHS = {
@@ -180,6 +180,8 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         terms = list({t for pair in halves for counts in pair for t in counts})
         columns = {f"{kind}{half}": [halves[half][at][t] for t in terms] for half in (0, 1) for at, kind in enumerate(("toxic", "clean"))}
         yield pd.DataFrame({"term": terms} | columns)
+        del terms, columns, halves
+    give_back()
 
 
 def weigh(counts: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[str, float]:
@@ -308,7 +310,7 @@ def score_toxicity(
             )
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {id_type}, held_out boolean, score double, predicted int")
+    return source.mapInArrow(lambda batches: tidied(run(batches)), f"`{id_col}` {id_type}, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
@@ -321,4 +323,4 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.3, text_c
             texts = batch.column(at)
             yield batch.filter(pa.array([lexicon.score(t.as_py() or "") < threshold for t in texts], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda batches: tidied(run(batches)), docs.schema)
