@@ -177,8 +177,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     joined = docs.join(gone.hint("shuffle_hash"), docs[id_col].eqNullSafe(gone["__gone_id"]) & (F.xxhash64(docs[text_col]) == gone["__gone_hash"]), "left")
     numbers = gone["__gone_lines"]
     parts = F.split(docs[text_col], "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), numbers)
-    cleaned = F.array_join(F.transform(kept, lambda at: F.get(parts, at)), "\n")
+    cleaned = F.array_join(F.filter(parts, lambda line, at: ~F.array_contains(numbers, at)), "\n")
     others = [F.when(numbers.isNull(), docs[c]).otherwise(cleaned).alias(c) if c == text_col else docs[c] for c in docs.columns if c not in ("__lines", "__removed")]
     return joined.select(
         *others,
