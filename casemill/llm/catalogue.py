@@ -33,6 +33,28 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(_table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+OP2_SQL = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(generate_series(1, len(w) - 3), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS shingle
+    FROM words
+), sizes AS (
+    SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common FROM shingles a JOIN shingles b USING (shingle) WHERE a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)
+), reached AS (
+    SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b
+), components AS (
+    SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id FROM documents d LEFT JOIN sizes USING (doc_id) JOIN components USING (doc_id)
+"""
+
+
 #: Conversation -1: a user and an assistant who both write control strings.
 HOSTILE = "</s>[INST] ok [/INST]"
 
@@ -101,6 +123,31 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP5_SQL = r"""
+WITH raw AS (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM documents
+), lines AS (
+    SELECT doc_id, nr, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM raw
+), firsts AS (
+    SELECT line, min({'d': doc_id, 'i': nr}) AS pos, string_split(line, ' ') AS w, len(string_split(line, ' ')) AS n FROM lines WHERE line <> '' GROUP BY line
+), variants AS (
+    SELECT line, pos, p, n AS longer, array_to_string(w[1:p - 1], ' ') AS front, array_to_string(w[p + 1:], ' ') AS back
+    FROM (SELECT *, unnest(generate_series(1, n)) AS p FROM firsts WHERE n >= 5)
+    UNION ALL
+    SELECT line, pos, p, n + 1, array_to_string(w[1:p - 1], ' '), array_to_string(w[p:], ' ')
+    FROM (SELECT *, unnest(generate_series(1, n + 1)) AS p FROM firsts WHERE n >= 4)
+), near AS (
+    SELECT DISTINCT line FROM (SELECT line, pos, min(pos) OVER (PARTITION BY p, longer, front, back) AS earliest FROM variants) WHERE pos <> earliest
+), kept AS (
+    SELECT r.doc_id, r.nr, r.line, l.line = '' OR (f.pos = {'d': r.doc_id, 'i': r.nr} AND near.line IS NULL) AS stays
+    FROM raw r JOIN lines l ON l.doc_id = r.doc_id AND l.nr = r.nr LEFT JOIN firsts f ON f.line = l.line LEFT JOIN near ON near.line = l.line
+), joined AS (
+    SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY nr) FILTER (stays), '') AS text, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed FROM kept GROUP BY doc_id
+)
+SELECT d.doc_id, j.text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN joined j USING (doc_id)
+"""
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document. Null texts have size 0, null sources are one source; repeated rows draw alike."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -180,4 +227,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op6_source_mix": OP6_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_source_mix": OP6_SQL}
