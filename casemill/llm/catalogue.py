@@ -200,6 +200,21 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
 
 
+#: These tables' pages hold their content in one article element, so SQL can take it by its tags.
+OP8_SQL = r"""
+WITH inner_html AS (
+    SELECT page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '<br>', ' ', 'g') AS body FROM pages
+), cut AS (
+    SELECT page_id, url, regexp_replace(regexp_replace(body, '</?(?:h[1-6]|p|ul|ol|li|div|blockquote|table|tr|td)(?:\s[^>]*)?>', chr(2), 'g'), '<[^>]*>', '', 'g') AS body FROM inner_html
+), plain AS (
+    SELECT page_id, url, regexp_replace(replace(replace(replace(replace(replace(body, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&nbsp;', ' '), '&amp;?', '&', 'g') AS body FROM cut
+), blocks AS (
+    SELECT page_id, url, list_filter(list_transform(string_split(body, chr(2)), lambda b: trim(regexp_replace(b, '\s+', ' ', 'g'))), lambda b: b <> '') AS b FROM plain
+)
+SELECT page_id, url, array_to_string(b, chr(10)) AS text, CAST(length(array_to_string(b, chr(10))) AS BIGINT) AS n_chars FROM blocks
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a lexicon learned outside the held-out quarter. Null and empty texts score as texts without hits."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -227,4 +242,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_source_mix": OP6_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_source_mix": OP6_SQL, "op8_main_text": OP8_SQL}
