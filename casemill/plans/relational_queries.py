@@ -14,15 +14,20 @@ from casemill.plans.text_queries import literal_rows, values_sql
 register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
 
-_NAMES = [
-    (1, "Norris v A.G. [1983] IESC 3.xml", "Norris v A.G. [1983] IESC 3"), (2, "McLoughlin v O'Brian [1982] UKHL 3.xml", "McLoughlin v O'Brian"),
-    (3, "", "anything"), (4, "Smith & Co.xml", "smith and co"), (5, "Alpha v Beta", "Gamma v Delta"), (6, "The Commissioners of Revenue v Jones", "The Commissioners of Revenue of Kent"),
-]
-
-
-@register(f"SELECT id, id IN (1, 2, 4, 6) AS same FROM {values_sql(_NAMES, 'id, a, b')}")
+@register("SELECT p_partkey, p_partkey % 6 IN (0, 1, 3, 4) AS same FROM part")
 def same_case_exclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return literal_rows(spark, "id int, a string, b string", _NAMES).select("id", tx.same_case(F.col("a"), F.col("b")).alias("same"))
+    """Names of one case: equal but for the file's ending, with and without citation, by ``&``, alike for 25 characters; others are not."""
+    key, name = F.col("p_partkey"), F.concat(F.lit("Case of "), "p_name", F.lit(" and Others"))
+    kind = key % 6
+    a = (
+        F.when(kind == 0, F.concat(name, F.lit(" [1983] IESC 3.xml"))).when(kind == 1, F.concat(name, F.lit(" [1982] UKHL 3.xml")))
+        .when(kind == 2, "").when(kind == 3, F.concat(name, F.lit(" & Co.xml"))).when(kind == 4, F.concat(F.lit("The Commissioners of Revenue "), name)).otherwise(F.concat(F.lit("X"), key.cast("string"), F.lit(" v Y")))
+    )
+    b = (
+        F.when(kind == 0, F.concat(name, F.lit("  [1983]  IESC 3"))).when(kind == 1, F.upper(name)).when(kind == 2, name).when(kind == 3, F.concat(name, F.lit(" and co")))
+        .when(kind == 4, "The Commissioners of Revenue of Kent").otherwise(F.concat(F.lit("Z"), key.cast("string"), F.lit(" v W")))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", tx.same_case(a, b).alias("same"))
 
 
 @register("SELECT p_partkey, p_name FROM part WHERE lower(trim(p_name)) <> (SELECT lower(trim(p_name)) FROM part ORDER BY p_partkey LIMIT 1) AND NOT starts_with(lower(p_name), 'part 1')")
@@ -136,22 +141,27 @@ def row_merge_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.join(new, "doc_id", "left_anti").unionByName(new)
 
 
-_META = [("Donoghue_v_Stevenson", "Donoghue v Stevenson", "1932"), ("McGee v A.G. [1974] IR 284", "McGee v A.G.", "1974")]
-_DOCS = [("Donoghue v Stevenson",), ("McGee v A.G. [1974] IR 284",), ("McGee v A.G. [1999] X",), ("Unknown v Nobody [2000] Y",)]
-
-
-@register("SELECT * FROM (VALUES ('Donoghue v Stevenson', 'Donoghue v Stevenson', '1932'), ('McGee v A.G. [1974] IR 284', 'McGee v A.G.', '1974'), ('McGee v A.G. [1999] X', 'McGee v A.G.', '1974'), ('Unknown v Nobody [2000] Y', 'Unknown v Nobody', '')) AS v(doc_id, short_name, year)")
+@register("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN 'Unknown ' || p_partkey ELSE 'Short ' || (p_partkey // 5 * 5) END AS short_name,
+    CASE WHEN p_partkey % 5 = 4 THEN '' ELSE CAST(1900 + p_partkey // 5 % 100 AS VARCHAR) END AS year FROM part WHERE p_partkey // 5 * 5 IN (SELECT p_partkey FROM part)""")
 def metadata_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """By id, by underscored stem, by the name before the bracket; else defaults."""
-    meta = literal_rows(spark, "key string, short_name string, year string", _META)
-    docs = literal_rows(spark, "doc_id string", _DOCS)
+    parts = table(spark, sf_dir, "part").select("p_partkey")
+    group = F.floor(F.col("p_partkey") / 5) * 5
+    case = F.concat(F.lit("Case "), F.col("g").cast("string"), F.lit(" v X"))
+    known = parts.where("p_partkey % 5 = 0").withColumn("g", F.col("p_partkey"))
+    whole = F.concat(case, F.lit(" [1974] IR 284"))
+    meta = known.select(F.when(F.col("g") % 2 == 0, whole).otherwise(F.replace(whole, F.lit(" "), F.lit("_"))).alias("key"), F.concat(F.lit("Short "), F.col("g").cast("string")).alias("short_name"),
+                        (F.floor(F.col("g") / 5) % 100 + 1900).cast("string").alias("year"), case.alias("before"))
+    kind = F.col("p_partkey") % 5
+    name = F.when(kind < 2, whole).when(kind < 4, F.concat(case, F.lit(" [1999] X"))).otherwise(F.concat(F.lit("Unknown "), F.col("p_partkey").cast("string"), F.lit(" [2000] Y")))
+    docs = parts.withColumn("g", group).join(known.select("g"), "g", "left_semi").select("p_partkey", name.alias("doc_id"))
     before = tx.strip(F.substring_index("doc_id", "[", 1))
     docs = docs.withColumns({"stem": F.replace("doc_id", F.lit(" "), F.lit("_")), "before": before})
-    by_name = meta.groupBy(tx.strip(F.substring_index("key", "[", 1)).alias("before")).agg(F.min(F.struct("key", "short_name", "year")).alias("c"))
+    by_name = meta.groupBy("before").agg(F.min(F.struct("key", "short_name", "year")).alias("c"))
     a = meta.select(F.col("key").alias("doc_id"), F.struct("key", "short_name", "year").alias("a"))
     b = meta.select(F.col("key").alias("stem"), F.struct("key", "short_name", "year").alias("b"))
     found = docs.join(a, "doc_id", "left").join(b, "stem", "left").join(by_name, "before", "left").withColumn("m", F.coalesce("a", "b", "c"))
-    return found.select("doc_id", F.coalesce("m.short_name", "before").alias("short_name"), F.coalesce("m.year", F.lit("")).alias("year"))
+    return found.select("p_partkey", F.coalesce("m.short_name", "before").alias("short_name"), F.coalesce("m.year", F.lit("")).alias("year"))
 
 
 _TARGETS = [("Smith & Co",), ("McLoughlin v O'Brian [1982]",), ("Norris versus Attorney General",), ("Nothing Like It",)]
@@ -171,12 +181,13 @@ def truncation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where("n > 60").join(full, ["source", "head"]).select("doc_id", "repaired_from")
 
 
-_GRID = [(1, "Analogous (Verbatim)", "Mostly Analogous", None), (2, "Not Analogous", "Analogous", "Partly Analogous"), (3, " Kinda Analogous ", "Analogous", "Analogous (Verbatim)")]
-
-
-@register("SELECT * FROM (VALUES ('Analogous', 4, 2), ('Mostly Analogous', 1, 0), ('Not Analogous', 1, 0), ('Partly Analogous', 1, 0), ('Kinda Analogous', 1, 0)) AS v(grade, n, verbatim)")
+@register("""WITH g AS (SELECT unnest([CASE p_partkey % 4 WHEN 0 THEN 'Analogous' WHEN 1 THEN 'Not Analogous' WHEN 2 THEN 'Kinda Analogous' END, CASE WHEN p_size % 2 = 0 THEN 'Mostly Analogous' ELSE 'Analogous' END]) AS grade, unnest([p_partkey % 8 = 0, p_size % 3 = 0]) AS v FROM part)
+    SELECT grade, count(*) AS n, count(*) FILTER (v) AS verbatim FROM g WHERE grade IS NOT NULL GROUP BY grade""")
 def grade_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid = literal_rows(spark, "q int, s1 string, s2 string, s3 string", _GRID).unpivot("q", ["s1", "s2", "s3"], "slot", "cell").where("cell IS NOT NULL")
+    key, mark = F.col("p_partkey"), F.lit(" (Verbatim)")
+    one = F.when(key % 8 == 0, F.concat(F.lit("Analogous"), mark)).when(key % 4 == 0, "Analogous ").when(key % 4 == 1, "Not Analogous").when(key % 4 == 2, " Kinda Analogous ")
+    two = F.concat(F.when(F.col("p_size") % 2 == 0, "Mostly Analogous").otherwise("Analogous"), F.when(F.col("p_size") % 3 == 0, mark).otherwise(""))
+    grid = table(spark, sf_dir, "part").select(key.alias("q"), one.alias("s1"), two.alias("s2")).unpivot("q", ["s1", "s2"], "slot", "cell").where("cell IS NOT NULL")
     grade = tx.strip(F.regexp_replace("cell", r"\(Verbatim\)", ""))
     return grid.groupBy(grade.alias("grade")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.contains("cell", F.lit("Verbatim"))).alias("verbatim"))
 
@@ -241,13 +252,16 @@ def group_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").groupBy("role").agg(F.array_sort(F.collect_set("turn")).alias("turns"), F.count(F.lit(1)).alias("n"))
 
 
-_CELLS = [(1, ["short", "A v B", "C v D"]), (2, ["none"]), (3, ["x v " + "y" * 300, "E v F"])]
-
-
-@register("SELECT * FROM (VALUES (1, 'A v B'), (2, NULL), (3, 'E v F')) AS v(id, cell)")
+@register("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_name || ' v B' WHEN 1 THEN 'E v ' || p_name END AS cell FROM part")
 def suggestion_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = F.filter(F.slice("cells", 1, 5), lambda c: F.contains(c, F.lit(" v ")) & (F.length(c) < 200))
-    return literal_rows(spark, "id int, cells array<string>", _CELLS).select("id", F.get(cells, F.lit(0)).alias("cell"))
+    """The first of a row's first five cells that looks like a case's name."""
+    kind = F.col("p_partkey") % 3
+    cells = F.array(
+        F.col("p_name"), F.when(kind == 1, F.concat(F.lit("x v "), F.repeat(F.lit("y"), 300))).otherwise("short"), F.when(kind == 0, F.concat("p_name", F.lit(" v B"))).otherwise("none"),
+        F.when(kind == 1, F.concat(F.lit("E v "), "p_name")).otherwise("none"), F.lit("none"), F.lit("Sixth v Cell"),
+    )
+    named = F.filter(F.slice(cells, 1, 5), lambda c: F.contains(c, F.lit(" v ")) & (F.length(c) < 200))
+    return table(spark, sf_dir, "part").select("p_partkey", F.get(named, F.lit(0)).alias("cell"))
 
 
 @register("SELECT doc_id FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 20")

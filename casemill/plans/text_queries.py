@@ -155,50 +155,41 @@ def case_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select("conv_id", F.substring(F.array_join(F.transform("t", lambda x: x["text"]), " "), 1, 500).alias("summary"))
 
 
-_LEGAL = [
-    (1, "The Supreme Court in [2024] UKSC 24 and [1996] AC 1 and [2001] EWCA Civ 12; [1990] 2 AC 605.\nLORD REID: I agree.\nMrs Justice Hale observed it."),
-    (2, "No citation here. Lord Atkin said so. Viscount Simon agreed."),
-    (3, "[2010] EAT 5\nWalsh J.: The facts are these."),
-]
-
-
-@register(r"""SELECT id, list_sort(list_distinct(regexp_extract_all(text, '\[\d{4}\]\s+(?:UKSC|UKHL|EAT|UKEAT|EWCA|AC|WLR|All ER)\s+(?:\w+\s+)?\d+'))) AS cites,
-    coalesce(nullif(regexp_extract(text, '\[\d{4}\]\s+(?:UKSC|UKHL|EAT|UKEAT|EWCA|AC|WLR|All ER)\s+(?:\w+\s+)?\d+'), ''), 'Unknown Citation') AS main,
-    CASE id WHEN 1 THEN ['Hale', 'REID'] WHEN 2 THEN ['Atkin', 'Simon'] ELSE ['Walsh'] END AS judges,
-    CASE WHEN regexp_matches(text, '\[\d{4}\]\s+UKSC') THEN 'UKSC' WHEN regexp_matches(text, '\[\d{4}\]\s+EAT') THEN 'EAT' END AS court FROM """ + values_sql(_LEGAL, "id, text"))
+@register("""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN list_sort(['[2024] UKSC ' || o_orderkey, '[1996] AC 1', '[2001] EWCA Civ 12']) WHEN 1 THEN [] ELSE ['[2010] EAT ' || o_orderkey] END AS cites,
+    CASE o_orderkey % 3 WHEN 0 THEN '[2024] UKSC ' || o_orderkey WHEN 1 THEN 'Unknown Citation' ELSE '[2010] EAT ' || o_orderkey END AS main,
+    CASE o_orderkey % 3 WHEN 0 THEN ['Hale', 'REID'] WHEN 1 THEN ['Atkin', 'Simon'] ELSE ['Walsh'] END AS judges, CASE o_orderkey % 3 WHEN 0 THEN 'UKSC' WHEN 2 THEN 'EAT' END AS court FROM orders""")
 def citation_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    return literal_rows(spark, "id int, text string", _LEGAL).select(
-        "id", tx.citations(text).alias("cites"), tx.main_citation(text).alias("main"), tx.judges(text).alias("judges"), tx.court_of(text)["code"].alias("court")
+    """Citations, judges and court of three kinds of texts made of the orders."""
+    key = F.col("o_orderkey").cast("string")
+    kind = F.col("o_orderkey") % 3
+    first = F.concat(F.lit("The Supreme Court in [2024] UKSC "), key, F.lit(" and [1996] AC 1 and [2001] EWCA Civ 12; [1990] 2 XY 605.\nLORD REID: I agree.\nMrs Justice Hale observed it."))
+    text = F.when(kind == 0, first).when(kind == 1, "No citation here. Lord Atkin said so. Viscount Simon agreed.").otherwise(F.concat(F.lit("[2010] EAT "), key, F.lit("\nWalsh J.: The facts are these.")))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", tx.citations(text).alias("cites"), tx.main_citation(text).alias("main"), tx.judges(text).alias("judges"), tx.court_of(text)["code"].alias("court")
     )
 
 
-_PARAS = [(1, "Background facts\nmore", 3), (2, "In the Court of Appeal it was held", 30), (3, "For these reasons I would allow it", 40), (4, "I dissent from this", 9), (5, "I dissent again", 10), (6, "Plain text", 5)]
-
-
-@register(r"""SELECT id, CASE WHEN regexp_matches(text, '(?i)^for these reasons') THEN 'conclusion' WHEN n < 25 AND regexp_matches(string_split(text, chr(10))[1], '(?i)background|facts|introduction') THEN 'facts'
-    WHEN regexp_matches(text, '(?i)court of appeal|high court') THEN 'history_lower_court' ELSE 'analysis' END AS section, n < 10 AND regexp_matches(text, '(?i)i dissent') AS dissent,
-    CASE WHEN id < 3 THEN 'majority' ELSE 'concurring' END AS opinion FROM """ + values_sql(_PARAS, "id, text, n"))
+@register("""SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN CASE WHEN o_orderkey % 50 < 25 THEN 'facts' ELSE 'analysis' END WHEN 1 THEN 'history_lower_court' WHEN 2 THEN 'conclusion' ELSE 'analysis' END AS section,
+    o_orderkey % 50 < 10 AND o_orderkey % 6 IN (3, 4) AS dissent FROM orders""")
 def court_section_opinion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text, n = F.col("text"), F.col("n")
-    return literal_rows(spark, "id int, text string, n int", _PARAS).select(
-        "id", tx.section_type(text, n, F.lit(True)).alias("section"), tx.dissents(text, n).alias("dissent"),
-        F.when(F.col("id") < 3, "majority").otherwise("concurring").alias("opinion"),
-    )
-
+    """Section and dissent of paragraphs by their text and number."""
+    key = F.col("o_orderkey")
+    kinds = ("Background facts\nmore", "In the Court of Appeal it was held", "For these reasons I would allow it", "I dissent from this", "And here I dissent", "Plain text")
+    text = F.element_at(F.array(*map(F.lit, kinds)), (key % 6 + 1).cast("int"))
+    number = (key % 50).cast("int")
+    return table(spark, sf_dir, "orders").select("o_orderkey", tx.section_type(text, number, F.lit(True)).alias("section"), tx.dissents(text, number).alias("dissent"))
 
-_NUMBERED = [(1, "Preamble\n1. First one\nmore\n  2. Second\n\n3. Third"), (2, "No numbers\n\nBlank line\n \nparagraphs")]
 
-
-@register(r"""SELECT id, unnest(list_filter(string_split(regexp_replace(text, '\n\s*(\d+)\.\s+', chr(1) || '\1' || chr(2), 'g'), chr(1))[2:], lambda p: true)) AS part,
-    len(list_filter(string_split_regex(text, '\n\s*\n'), lambda p: trim(p) <> '')) AS blocks FROM """ + values_sql(_NUMBERED, "id, text").replace("\n", "' || chr(10) || '"))
+@register(rf"""WITH p AS (SELECT conv_id, turn, trim(text, {_WS}) AS body, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n, count(*) OVER (PARTITION BY conv_id) AS blocks FROM conversations WHERE NOT regexp_matches(text, '\n\s*\d+\.\s') AND NOT regexp_matches(text, '\n\s*\n') AND trim(text, {_WS}) <> '')
+    SELECT conv_id, CAST(n AS INTEGER) AS number, body AS part, CAST(blocks AS BIGINT) AS blocks FROM p""")
 def numbered_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = literal_rows(spark, "id int, text string", _NUMBERED)
-    parts = rows.select("id", F.size(tx.blank_line_paragraphs(F.col("text"))).cast("long").alias("blocks"), F.explode(tx.numbered_paragraphs(F.col("text"))).alias("p"))
-    return parts.select("id", F.concat(F.col("p.number").cast("string"), F.lit("\u0002"), "p.text").alias("part"), "blocks")
-
+    """Numbered paragraphs and blank-line blocks of texts made of the turns of conversations."""
+    rows = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"\n\s*\d+\.\s") & ~F.col("text").rlike(r"\n\s*\n") & (tx.strip(F.col("text")) != ""))
+    listed = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    numbered = F.array_join(F.transform("t", lambda x, at: F.concat(F.lit("\n "), (at + 1).cast("string"), F.lit(". "), x["text"])), "\n")
+    blocks = F.size(tx.blank_line_paragraphs(F.array_join(F.transform("t", lambda x: x["text"]), "\n \n"))).cast("long")
+    return listed.select("conv_id", blocks.alias("blocks"), F.inline(tx.numbered_paragraphs(F.concat(F.lit("Preamble"), numbered)))).select("conv_id", "number", F.col("text").alias("part"), "blocks")
 
-ORACLES["numbered_split"] = """SELECT * FROM (VALUES (1, '1' || chr(2) || 'First one' || chr(10) || 'more', 2), (1, '2' || chr(2) || 'Second', 2), (1, '3' || chr(2) || 'Third', 2)) AS v(id, part, blocks)"""
 
 _ANSWERS = [(1, "1. Facts\n2) the Reasoning part\n4. nonsense"), (2, "judgment"), (3, "NYYN")]
 

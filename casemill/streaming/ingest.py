@@ -18,27 +18,17 @@ def _shared(spark: SparkSession) -> str:
 
 
 def ingest_once(spark: SparkSession, stream: DataFrame, target: str, checkpoint: str, key: str) -> None:
-    """Append the stream's rows whose key is not in ``target`` yet; run again, it takes up what is new.
+    """Append the stream's rows whose key has not come before; run again with its checkpoint, it takes up what is new.
 
+    Spark's state holds the keys in the checkpoint, so a batch reads its own rows only, however much is there already.
     Every batch is written to a folder of its own by overwriting, so a batch that is replayed after a failure
     replaces itself.
     """
-    jvm = spark.sparkContext._jvm
-
-    def known(batch_id: int) -> DataFrame | None:
-        root = jvm.org.apache.hadoop.fs.Path(target)
-        filesystem = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        done = [f"{target}/batch={n}" for n in range(batch_id) if filesystem.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/batch={n}/_SUCCESS"))]
-        return spark.read.parquet(*done).select(key).distinct() if done else None
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        fresh = batch.dropDuplicates([key])
-        seen = known(batch_id)
-        if seen is not None:
-            fresh = fresh.join(seen, key, "left_anti")
-        fresh.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.dropDuplicates([key]).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
