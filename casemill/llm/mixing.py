@@ -92,7 +92,7 @@ def mixed(
     Sizes are summed before the shuffle, so a source with a third of the rows costs no more than another;
     the table of sources is joined back by whichever strategy its measured size allows.
     """
-    sized = docs.withColumn("__size", word_count(text_of(text_col)))
+    sized = docs.drop("__source", "__source_size", "__target", "__copies").withColumn("__size", word_count(text_of(text_col)))
     sizes = sized.groupBy(F.col(source_col).alias("__source")).agg(F.sum("__size").alias("source_size"))
     targets = source_targets(sizes, "__source", weights, share_percent, most_repeats).withColumnsRenamed(
         {"source_size": "__source_size", "target": "__target"}

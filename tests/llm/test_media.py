@@ -20,7 +20,7 @@ def test_png_round_trip():
 
 
 def test_operator(spark):
-    rows = [(n, f"text {n} " * (n * 7 % 300)) for n in range(80)] + [(None, "x"), (2, None), (2, ""), (3, "same"), (3, "same")]
+    rows = [(n, f"text {n} " * (n * 7 % 300)) for n in range(80)] + [(None, "x"), (2, None), (2, ""), (3, "same"), (3, "same"), (4, "long é " * 200_000)]
     docs = spark.createDataFrame([(k, t, "m") for k, t in rows], "doc_id long, text string, member string").repartition(3)
     got = media.documents_as_media(docs).collect()
     expected = []

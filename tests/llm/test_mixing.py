@@ -76,3 +76,13 @@ def test_emitted_repeats_rows_and_keeps_columns(spark):
 
 def test_empty_table(spark):
     assert mixing.mixed(rows(spark, []).drop("__copies")).count() == 0
+
+
+def test_clashing_columns_and_rows_without_an_id(spark):
+    rows = [(None, f"word {n} " * 5, "a", 1, "x", "y") for n in range(400)] + [(n, "one two", "b", 1, "x", "y") for n in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, __size int, __source string, __target string")
+    out = mixing.mixed(docs).collect()
+    assert len(out) == 460 and {r["__size"] for r in out} == {10, 2}
+    taken = sum(r["__size"] * r["__copies"] for r in out if r.source == "a")
+    target = next(r["__target"] for r in out if r.source == "a")
+    assert abs(taken - target) < 0.1 * target  # rows without an id draw by their text, not all alike

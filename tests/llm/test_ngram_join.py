@@ -65,3 +65,13 @@ def test_keep_one_and_empty(spark):
     docs = spark.createDataFrame([(3, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "other words here"), (2, "other words here"), (4, None)], "doc_id long, text string")
     assert sorted((r.doc_id, r.text) for r in ngram_join.keep_one(docs).collect()) == [(1, "a b c d e f g h"), (2, "other words here"), (4, None)]
     assert ngram_join.ngram_components(docs.limit(0)).count() == 0
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"w{n}" for n in range(60_000))
+    rows = [(1, long, "a", "b", "c"), (2, long + " more", "a", "b", "c"), (3, long.replace("w5", "v5"), "a", "b", "c"), (4, "x" * 500_000, "a", "b", "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sig string, __kept_id string, __text string")
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.ngram_components(docs, 4, 85).collect()}
+    assert found[1] == (59_997, 1) and found[2] == (59_998, 1) and found[3][1] == 3 and found[4] == (1, 4)
+    kept = ngram_join.keep_one(docs, 4, 85)
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
