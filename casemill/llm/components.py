@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.shared import written
+from casemill.llm.shared import remove, written
 
 
 def _once(edges: DataFrame) -> DataFrame:
@@ -22,11 +22,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     round's tables are written to the shared folder, so lineage stays short.
     """
     spark = edges.sparkSession
-    current, _ = written(
+    current, current_path = written(
         spark, _once(edges.select(F.col(a).alias("a"), F.col(b).alias("b"))), "edges"
     )
     labels: DataFrame | None = None
-    turn = 0
+    labels_path, turn = "", 0
     while not current.isEmpty():
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         degree = both.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
@@ -40,18 +40,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         parent = best.select("a", F.when(above, F.col("to.b")).otherwise(F.col("a")).alias("p"))
         step = parent.select(F.col("a").alias("p"), F.col("p").alias("q"))
         parent = parent.join(step, "p").select("a", F.col("q").alias("p"))
-        parent, _ = written(spark, parent, "parents")
+        parent, parent_path = written(spark, parent, "parents")
         if labels is None:
             labels = parent.select(F.col("a").alias("node"), F.col("p").alias("root"))
         else:
             moved = parent.select(F.col("a").alias("root"), "p")
             labels = labels.join(moved, "root", "left").select("node", F.coalesce("p", "root").alias("root"))
-        labels, _ = written(spark, labels, "labels")
+        before, (labels, labels_path) = labels_path, written(spark, labels, "labels")
         first = parent.select("a", F.col("p").alias("x"))
         second = parent.select(F.col("a").alias("b"), F.col("p").alias("y"))
         current = current.join(first, "a").join(second, "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        current, _ = written(spark, _once(current), "edges")
+        read, (current, current_path) = current_path, written(spark, _once(current), "edges")
+        for path in filter(None, (before, parent_path, read)):
+            remove(spark, path)
         turn += 1
     if labels is None:
         return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    remove(spark, current_path)
     return labels

@@ -240,19 +240,22 @@ class _Verifier:
 
     def __init__(self, sets: DataFrame, percent: int):
         self.sets, self.percent, self.tried = sets, percent, None
+        self.paths: list[str] = []
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
         """The linked ones of distinct pairs (a < b)."""
         spark = pairs.sparkSession
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs, _ = written(spark, pairs, "pairs")
+        pairs, pairs_path = written(spark, pairs, "pairs")
         self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
         left = self.sets.select(F.col("sig").alias("a"), F.col("set").alias("left"))
         right = self.sets.select(F.col("sig").alias("b"), F.col("set").alias("right"))
         loaded = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
         links = loaded.mapInArrow(_tidy(_linked(self.percent)), "a binary, b binary")
-        return written(spark, links, "links")[0]
+        links, links_path = written(spark, links, "links")
+        self.paths += [pairs_path, links_path]
+        return links
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -286,6 +289,7 @@ class _Tables:
     groups: DataFrame  # grp, n, ones, mixed: the bits that all members have set, and those in which they differ
     posts: DataFrame  # tok, place, nth, grp, n, rep
     verify: _Verifier
+    paths: list[str]  # of all but the classes
 
 
 def _tables(docs: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> _Tables:
@@ -320,14 +324,14 @@ def _tables(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     posts = grouped.select("grp", "n", "rep", F.posexplode(F.arrays_zip("at.toks", "at.places")).alias("nth", "post"))
     posts = posts.select(F.col("post.toks").alias("tok"), F.col("post.places").alias("place"), "nth", "grp", "n", "rep")
     shared = posts.groupBy("tok").agg(F.min("grp").alias("x"), F.max("grp").alias("y")).where("x <> y").select("tok")
-    posts, _ = written(spark, posts.join(shared, "tok", "left_semi"), "posts")
+    posts, posts_path = written(spark, posts.join(shared, "tok", "left_semi"), "posts")
     alive = posts.select("grp").unionByName(grouped.where("rep <> last").select("grp")).distinct()
-    members, _ = written(spark, prefixes.select("sig", "n", "grp", "mask").dropDuplicates(["sig"]).join(alive, "grp", "left_semi"), "members")
+    members, members_path = written(spark, prefixes.select("sig", "n", "grp", "mask").dropDuplicates(["sig"]).join(alive, "grp", "left_semi"), "members")
     groups = grouped.join(alive, "grp", "left_semi").select(
         "grp", "n", F.array(*[f"one{w}" for w in words_of]).alias("ones"),
         F.array(*[F.col(f"one{w}").bitwiseXOR(F.col(f"any{w}")) for w in words_of]).alias("mixed"),
     )
-    groups, _ = written(spark, groups, "groups")
+    groups, groups_path = written(spark, groups, "groups")
     remove(spark, prefix_path)
     remove(spark, grouped_path)
 
@@ -337,9 +341,9 @@ def _tables(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     possible = only_possible(source, F.xxhash64("id"), wanted.select(F.xxhash64("wanted")), wanted.count())
     texts = possible.join(wanted, possible["id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
     sets = texts.mapInArrow(_tidy(_sets(words)), "sig binary, set binary").groupBy("sig").agg(F.first("set").alias("set"))
-    sets, _ = written(spark, sets, "sets")
+    sets, sets_path = written(spark, sets, "sets")
     remove(spark, wanted_path)
-    return _Tables(classes, members, groups, posts, _Verifier(sets, percent))
+    return _Tables(classes, members, groups, posts, _Verifier(sets, percent), [posts_path, members_path, groups_path, sets_path])
 
 
 def _member_pairs(tables: _Tables, rooted: DataFrame, percent: int) -> DataFrame:
@@ -351,7 +355,8 @@ def _member_pairs(tables: _Tables, rooted: DataFrame, percent: int) -> DataFrame
     roots = rooted.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     sides = tables.posts.select("tok", "place", "grp", "n").join(roots, "grp")
     open_toks = sides.groupBy("tok").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x <> y").select("tok")
-    sides, _ = written(spark, sides.join(open_toks, "tok", "left_semi"), "open-sides")
+    sides, sides_path = written(spark, sides.join(open_toks, "tok", "left_semi"), "open-sides")
+    tables.paths.append(sides_path)
     # what pairs of different roots have in common are open shingles: only they can stand before another
     ordered = sides.select("grp", "n", "low", "high", "place", "tok").groupBy("grp", "n", "low", "high").agg(F.array_sort(F.collect_list(F.struct("place", "tok"))).alias("posts"))
     posted = ordered.join(tables.groups.drop("n"), "grp").select(*ordered.columns, "ones", "mixed", F.col("posts.tok").alias("toks"), F.posexplode("posts").alias("nth", "post"))
@@ -440,10 +445,12 @@ def ngram_components(
 
     # all that remains between different components
     rooted = members.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    rooted, _ = written(spark, rooted, "rooted")
+    rooted, rooted_path = written(spark, rooted, "rooted")
     found = tables.verify(_ordered(_member_pairs(tables, rooted, percent)))
     if not found.isEmpty():
         roots = components(links.unionByName(found))
+    for path in (*tables.paths, *tables.verify.paths, rooted_path):
+        remove(spark, path)
 
     labelled = classes.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     # written, so that Spark can split the join of a component that a large part of all rows belongs to
