@@ -9,7 +9,14 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import DataFrame
 
+#: Ids and classes on the publisher's pages, and what ends a title (fixed values).
+CONTENT, DOC_ID, CASE_NAME, MAJORITY = "content_document", "doc_id", "hidden_case_name", "contentMajOp"
+HEADNOTES, HEADNOTE, NOTE_TEXT, NOTE_TOGGLE, NOTE_TOGGLED = "headnotesContainer", "headnote", "headnote_text", "headnoteToggle", "headnoteText"
+NOTE_NAMES = ("headnoteSlug", "headnoteDescriptor")
+SECTION, CITES, CITE, CRUMBS, CRUMB = "organization", "citation-group", "cite", "breadCrumbTitleRow", "title"
+TITLE_END = ", Court Opinion"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: A date in long form (fixed value).
 DATE = re.compile(r"(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+\d{4}")
 SCHEMA = (
     "doc_id string, case_name string, court string, date string, citations array<string>, headnotes array<struct<slug: string, text: string>>, "
@@ -87,20 +94,20 @@ def _value(node: Node | None) -> str | None:
 
 
 def _headnotes(content: Node) -> list[dict[str, str]]:
-    box = content.first(cls="headnotesContainer")
+    box = content.first(cls=HEADNOTES)
     if box is None:
         return []
     found = []
-    for note in box.every(cls="headnote"):
-        name = next((t for c in ("headnoteSlug", "headnoteDescriptor") if (n := note.first(cls=c)) and (t := n.text())), "")
-        body = note.first(cls="headnote_text") or next((n for t in note.every(cls="headnoteToggle") if (n := t.first(cls="headnoteText"))), None)
+    for note in box.every(cls=HEADNOTE):
+        name = next((t for c in NOTE_NAMES if (n := note.first(cls=c)) and (t := n.text())), "")
+        body = note.first(cls=NOTE_TEXT) or next((n for t in note.every(cls=NOTE_TOGGLE) if (n := t.first(cls=NOTE_TOGGLED))), None)
         found.append({"slug": name, "text": body.text() if body else ""})
-    found = found or [{"slug": "", "text": n.text()} for n in box.every(cls="headnote_text")]
+    found = found or [{"slug": "", "text": n.text()} for n in box.every(cls=NOTE_TEXT)]
     return [n for n in found if n["slug"] or n["text"]]
 
 
 def _sections(content: Node) -> list[dict[str, str]]:
-    heads = [n for n in content.every(name="h1") if "organization" in n.classes()]
+    heads = [n for n in content.every(name="h1") if SECTION in n.classes()]
     if not heads:
         return [{"title": "Opinion", "text": content.text()}]
     found = []
@@ -121,20 +128,20 @@ def _sections(content: Node) -> list[dict[str, str]]:
 def parse_case(html: str) -> dict:
     """One page's record; what a page lacks is null or empty, and a page without a content element is read whole."""
     root = tree(html)
-    content = root.first(id_="content_document")
-    named = _value(root.first(name="input", id_="hidden_case_name"))
+    content = root.first(id_=CONTENT)
+    named = _value(root.first(name="input", id_=CASE_NAME))
     if not named:
-        crumb = next((n for row in root.every(cls="breadCrumbTitleRow") if (n := row.first(cls="title"))), None) or root.first(name="title")
-        named = crumb.text(" ").split(", Court Opinion")[0].strip() if crumb else None
+        crumb = next((n for row in root.every(cls=CRUMBS) if (n := row.first(cls=CRUMB))), None) or root.first(name="title")
+        named = crumb.text(" ").split(TITLE_END)[0].strip() if crumb else None
     court = date = None
     for line in [n.text(" ") for n in (content.every(name="center") if content else ())][:6]:
         court = court or (line if "U.S." in line or "Court" in line else None)
         date = date or next((m[0] for m in [DATE.search(line)] if m), None)
-    cites = {n.text(" ") for group in root.every(cls="citation-group") for n in group.every(cls="cite")}
+    cites = {n.text(" ") for group in root.every(cls=CITES) for n in group.every(cls=CITE)}
     body = content or root.first(name="body") or root
-    majority = body.first(id_="contentMajOp")
+    majority = body.first(id_=MAJORITY)
     return {
-        "doc_id": _value(root.first(id_="doc_id")), "case_name": named, "court": court, "date": date, "citations": sorted(c for c in cites if c),
+        "doc_id": _value(root.first(id_=DOC_ID)), "case_name": named, "court": court, "date": date, "citations": sorted(c for c in cites if c),
         "headnotes": _headnotes(body), "sections": _sections(body), "majority_opinion": (majority.text() or None) if majority else None,
     }
 
