@@ -231,8 +231,8 @@ def fit(
 
     At most about ``fit_rows`` labelled ids are used, picked by a hash of the id: that bounds all that is learned, sent to
     the driver or broadcast. An id with several labels counts as toxic if any is; rows that repeat an id teach terms each,
-    and the curve once. Rows with a null label or id teach nothing, and without any usable label the fixed terms and a
-    fixed curve remain. Terms are counted where the rows are, and counts of a term are summed before they are shuffled.
+    and the curve once. Rows with a null label or id teach nothing, and without any usable label, or without its document,
+    the fixed terms and a fixed curve remain. Terms are counted where the rows are, and counts of a term are summed before they are shuffled.
     """
     ship_package(docs.sparkSession)
     usable = labels.select(F.col(id_col).alias("id"), (F.col(label_col).cast("int") > 0).cast("int").alias("label")).where(
@@ -280,6 +280,8 @@ def fit(
     id_type = halved.schema["id"].dataType.simpleString()
     features = rows.mapInPandas(measured, f"x double, y double, z double, label int, id {id_type}")
     seen = features.groupBy("id").agg(F.min(F.struct("x", "y", "z", "label")).alias("row")).select("row.*").toPandas()  # one row for each sampled id
+    if seen.empty:  # the labels are of other documents
+        return Lexicon(weights, exceptions)
     return Lexicon(weights, exceptions, fit_curve(seen[["x", "y", "z"]].to_numpy(), seen["label"].to_numpy(float)))
 
 

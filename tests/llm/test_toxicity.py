@@ -114,3 +114,12 @@ def test_learned_exceptions_and_repeated_ids(spark):
     assert lexicon.score("galo " * 200_000 + "kötermist") < lexicon.score("galo kötermist")
     ties = toxicity.score_toxicity(docs, lexicon).groupBy("doc_id").agg(F.count_distinct("score").alias("n")).where("n > 1")
     assert ties.count() == 0
+
+
+def test_labels_of_other_documents(spark):
+    labels = spark.createDataFrame([(n, n % 2) for n in range(40)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(1000, "you idiot moron, you stupid clown"), (1001, None)], "doc_id long, text string")
+    for given in (docs, docs.limit(0)):
+        lexicon = toxicity.fit(given, labels)
+        assert lexicon.score("") < 0.3
+    assert [r.predicted for r in toxicity.score_toxicity(docs, toxicity.fit(docs, labels)).orderBy("doc_id").collect()] == [1, 0]
