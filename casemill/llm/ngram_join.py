@@ -452,11 +452,17 @@ def ngram_components(
     for path in (*tables.paths, *tables.verify.paths, rooted_path):
         remove(spark, path)
 
-    labelled = classes.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    # written, so that Spark can split the join of a component that a large part of all rows belongs to
-    smallest, _ = written(spark, labelled.where("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("component")), "smallest")
-    return labelled.join(smallest, "root", "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("root").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id")
+    # classes are summed before they meet their roots, and both right sides are written, so that Spark can split the joins
+    # of a class or a component that a large part of all rows belongs to
+    firsts = classes.where("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("first"))
+    labelled = firsts.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+    labelled, labelled_path = written(spark, labelled, "labelled")
+    smallest, smallest_path = written(spark, labelled.groupBy("root").agg(F.min("first").alias("component")), "smallest")
+    answers, _ = written(spark, labelled.join(smallest, "root").select("sig", "component"), "answers")
+    remove(spark, labelled_path)
+    remove(spark, smallest_path)
+    return classes.join(answers, "sig", "left").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id")
     )
 
 
