@@ -88,11 +88,14 @@ def mixed(
 
     Null texts have size 0, null sources are one source, rows with a null id draw by their text, repeated rows draw
     alike and are each kept; a source of size 0 has rate 0; empty tables give no rows; other columns pass through, but
-    for the four that are added and __source, which are replaced.
+    for the four that are added, __source and __draw, which are replaced or dropped.
     Sizes are summed before the shuffle, so a source with a third of the rows costs no more than another;
     the table of sources is joined back by whichever strategy its measured size allows.
     """
     sized = docs.drop("__source", "__source_size", "__target", "__copies").withColumn("__size", word_count(text_of(text_col)))
+    # drawn before the join, so that the text needn't travel with its row
+    identity = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text|"), F.md5(text_of(text_col))))
+    sized = sized.withColumn("__draw", draw(seed, identity))
     sizes = sized.groupBy(F.col(source_col).alias("__source")).agg(F.sum("__size").alias("source_size"))
     targets = source_targets(sizes, "__source", weights, share_percent, most_repeats).withColumnsRenamed(
         {"source_size": "__source_size", "target": "__target"}
@@ -100,9 +103,8 @@ def mixed(
     joined = sized.join(targets, sized[source_col].eqNullSafe(F.col("__source")), "left").drop("__source")
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    identity = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text|"), F.md5(text_of(text_col))))
-    copies = whole + (draw(seed, identity) < rate - whole).cast("long")
-    return joined.withColumn("__copies", copies)
+    copies = whole + (F.col("__draw") < rate - whole).cast("long")
+    return joined.withColumn("__copies", copies).drop("__draw")
 
 
 def emitted(chosen: DataFrame) -> DataFrame:
