@@ -114,9 +114,11 @@ def _near_drops(lines: DataFrame, percent: int) -> DataFrame:
     spark = lines.sparkSession
     keys, keys_path = written(spark, _halves(lines, percent), "line-halves")
     shared = keys.groupBy("bucket").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("own"))
-    shared = shared.where("low <> high AND own").select("bucket")
+    # written, so that Spark can split the join of a half that a large part of all lines has
+    shared, shared_path = written(spark, shared.where("low <> high AND own").select("bucket"), "line-shared")
     wanted, wanted_path = written(spark, keys.join(shared, "bucket", "left_semi").select("h1").distinct(), "line-wanted")
     remove(spark, keys_path)
+    remove(spark, shared_path)
     # of equal lines the first stands for all
     possible = only_possible(lines, F.col("h1"), wanted, wanted.count()).groupBy("h1", "h2").agg(F.min(_position()).alias("pos"), F.first("line").alias("line"))
     suspects, suspects_path = written(spark, possible.join(wanted, "h1", "left_semi"), "line-suspects")
