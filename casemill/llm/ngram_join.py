@@ -336,7 +336,8 @@ def _tables(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     remove(spark, grouped_path)
 
     # the sets of the classes that can meet somebody, once for each class
-    wanted = classes.join(members.select("sig"), "sig", "left_semi").groupBy("sig").agg(F.min("id").alias("wanted")).select("wanted").distinct()
+    firsts = classes.where("sig IS NOT NULL").groupBy("sig").agg(F.min("id").alias("wanted"))
+    wanted = firsts.join(members.select("sig"), "sig", "left_semi").select("wanted").distinct()
     wanted, wanted_path = written(spark, wanted, "wanted")
     possible = only_possible(source, F.xxhash64("id"), wanted.select(F.xxhash64("wanted")), wanted.count())
     texts = possible.join(wanted, possible["id"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
