@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemill.llm import chat_format, exact_dedup, html_extract, line_dedup, media, mixing, ngram_join, packing, token_count, toxicity
+from casemill.llm import (
+    chat_format, exact_dedup, html_extract, language_id, lexical_search, line_dedup, media, mixing, ngram_join, packing, token_count, toxicity, vector_codes,
+)
 
 TOKENIZERS = {"pieces": "piece_bpe_32k.model", "bytes": "byte_bpe_50k.json"}
 
@@ -226,6 +228,74 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.documents_as_media(_table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item's ten best documents. Null and empty texts have no terms; null ids, ties, repeated rows and extra columns as in search."""
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
+OP11_SQL = r"""
+WITH d AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), held AS (
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n, w FROM d WHERE len(w) > 0
+), totals AS (
+    SELECT count(*) AS total_docs, CAST(sum(n) AS BIGINT) AS total_terms FROM held
+), postings AS (
+    SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM held) GROUP BY ALL
+), asked AS (
+    SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * total_docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals WHERE term IN (SELECT term FROM asked) GROUP BY term, total_docs
+), scored AS (
+    SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * total_docs) // total_terms)))) AS BIGINT) AS score
+    FROM asked JOIN weights USING (term) JOIN postings USING (term), totals GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language by samples from outside the held-out quarter. Null texts and texts without letters: und; null ids, repeats and extra columns as in identify."""
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.fit(docs))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code. Null vectors and vectors with null or non-finite components are dropped; null ids and labels, ties and repeats as in encode."""
+    return vector_codes.encode(_table(spark, sf_dir, "embeddings"))
+
+
+def _op13_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    floored = "({0} - (({0} % {1}) + {1}) % {1}) // {1}"
+    step = """a{n} AS MATERIALIZED (
+    SELECT vec_id, p, arg_min(e, {{'d': d, 'e': e}}) AS e, min(d) AS d FROM (
+        SELECT v.vec_id, v.p, b.e, list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM cut v JOIN b{n} b USING (p)) GROUP BY ALL
+)"""
+    update = """, u{n} AS (SELECT p, e, i, sum(x)::BIGINT AS s, count(*) AS c FROM (SELECT p, a.e, unnest(v.x) AS x, generate_subscripts(v.x, 1) AS i FROM a{n} a JOIN cut v USING (vec_id, p)) GROUP BY ALL
+), m{n} AS (SELECT p, e, list({floored} ORDER BY i) AS x FROM u{n} GROUP BY ALL
+), b{m} AS MATERIALIZED (SELECT p, e, coalesce(m{n}.x, b{n}.x) AS x FROM b{n} LEFT JOIN m{n} USING (p, e)
+), """
+    body = "".join(step.format(n=n) + update.format(n=n, m=n + 1, floored=floored.format("s", "c")) for n in range(rounds)) + step.format(n=rounds)
+    return f"""
+WITH kept AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), cut AS MATERIALIZED (
+    SELECT vec_id, p, x[p * (len(x) // {parts}) + 1:(p + 1) * (len(x) // {parts})] AS x FROM kept, range({parts}) r(p)
+), b0 AS MATERIALIZED (
+    SELECT p, e, x FROM cut JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept QUALIFY e < {entries}) USING (vec_id)
+), {body}, coded AS (
+    SELECT vec_id, string_agg(lpad(lower(to_hex(e)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id
+), digest AS (
+    SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM b{rounds}
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (vec_id), digest
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -238,8 +308,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_main_text": op8_main_text,
         "op9_toxicity": op9_toxicity,
         "op10_media": op10_media,
+        "op11_lexical_search": op11_lexical_search,
+        "op12_language_id": op12_language_id,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_ngram_join": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_source_mix": OP6_SQL, "op8_main_text": OP8_SQL}
+    return {"op2_ngram_join": OP2_SQL, "op3_chat_format": OP3_SQL, "op4_exact_dedup": OP4_SQL, "op5_line_dedup": OP5_SQL, "op6_source_mix": OP6_SQL, "op8_main_text": OP8_SQL, "op11_lexical_search": OP11_SQL, "op13_vector_codes": OP13_SQL}
