@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from casemill.functions import text as tx
 from casemill.functions import vector as vx
@@ -45,105 +46,147 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "ip", thr
     Queries and corpus are packed into blocks where they lie, and every block of the one meets every block of the other
     (Spark broadcasts the queries only if it knows them to be small, and pairs partitions otherwise): nothing passes the driver, and a task
     holds a block of each and k candidates a query. Only those are shuffled. ``same`` names a column that must agree (a filter
-    below the top-k); ``drop_self`` leaves out the query's own id. Rows and queries with a null vector are left out;
-    ids may be of any type, null query ids are one query.
+    below the top-k); ``drop_self`` leaves out the query's own id. Rows and queries with a null vector are left out, and a
+    query meets only rows whose vector is as long as its own; a score that is not a number is none. Ids may be of any type that
+    Spark orders and keep it; null query ids are one query, and a null id is nobody's own.
     """
-    id_type, query_type = corpus.schema[id_col].dataType.simpleString(), queries.schema[query_col].dataType.simpleString()
-    label = (lambda frame: F.col(same).cast("string")) if same else (lambda frame: F.lit(""))
-    rows = _blocks(corpus, F.col(id_col), F.col(vector_col), label(corpus), CORPUS_BLOCK, id_type)
-    wanted = _blocks(queries, F.col(query_col), F.col(vector_col), label(queries), QUERY_BLOCK, query_type).withColumnsRenamed({c: f"q_{c}" for c in ("ids", "vectors", "labels")})
+    rows = vector_blocks(corpus, id_col, vector_col, F.col(same) if same else F.lit(""), CORPUS_BLOCK)
+    wanted = vector_blocks(queries, query_col, vector_col, F.col(same) if same else F.lit(""), QUERY_BLOCK)
+    met = rows.crossJoin(wanted.withColumnsRenamed({c: f"q_{c}" for c in wanted.columns}))  # a stated query set against all rows, in blocks
+    return rank_hits(block_search(met, k, metric, threshold, bool(same), drop_self), k)
+
+
+def block_search(met: DataFrame, k: int, metric: str = "ip", threshold: float | None = None, same: bool = False, drop_self: bool = True) -> DataFrame:
+    """query_id, id, score: the k best of each query among the pairs of blocks that a task holds."""
+    id_type, query_type = (met.schema[c].dataType.elementType for c in ("ids", "q_ids"))
+    empty = {"query_id": to_arrow_type(query_type), "id": to_arrow_type(id_type), "score": pa.float64()}
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple] = []
+        best = pa.schema(empty.items()).empty_table()
         for batch in batches:
-            for ids, vectors, labels, q_ids, q_vectors, q_labels in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                one, two = (np.frombuffer(v, "<f8").reshape(len(i), -1) for v, i in ((vectors, ids), (q_vectors, q_ids)))
-                scores = one @ two.T
-                if metric == "cosine":
-                    below = np.linalg.norm(one, axis=1)[:, None] * np.linalg.norm(two, axis=1)[None, :]
-                    scores = np.divide(scores, below, out=np.full_like(scores, np.nan), where=below > 0)
-                allowed = ~np.isnan(scores)
-                if drop_self:
-                    place = {key: n for n, key in enumerate(ids)}
-                    for n, key in enumerate(q_ids):
-                        if key in place:
-                            allowed[place[key], n] = False
-                if same:
-                    allowed &= np.array(labels, object)[:, None] == np.array([x if x is not None else object() for x in q_labels], object)[None, :]
-                if metric == "cosine" and threshold is not None:
-                    allowed &= scores > threshold
-                scores = np.where(allowed, scores, -np.inf)
-                if len(ids) > k:  # at least the k best of each query, with all that equal the last of them
-                    allowed &= scores >= np.partition(scores, len(ids) - k, axis=0)[len(ids) - k][None, :]
-                at, which = np.nonzero(allowed)
-                found += zip((q_ids[n] for n in which), (ids[n] for n in at), scores[at, which].tolist(), strict=True)
-            found = _best(found, k)
-        arrays = list(zip(*found, strict=True)) or [(), (), ()]
-        kinds = (batch_type(query_type), batch_type(id_type), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(arrays, kinds, strict=True)], ["query_id", "id", "score"])
-
-    def batch_type(name: str) -> pa.DataType:
-        return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(name, pa.int64())
-
-    scored = rows.crossJoin(wanted).mapInArrow(search, f"query_id {query_type}, id {id_type}, score double")  # a stated query set against all rows, in blocks
-    return rank_hits(scored, k)
+            found = [best]
+            for at in range(batch.num_rows):
+                found.append(block_hits({n: c[at] for n, c in zip(batch.schema.names, batch.columns, strict=True)}, k, metric, threshold, same, drop_self))
+            best = best_hits(pa.concat_tables([t.cast(best.schema) for t in found if t is not None]), k)
+        yield from best.combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], best.schema)]
+
+    return met.mapInArrow(search, f"query_id {query_type.simpleString()}, id {id_type.simpleString()}, score double")
+
+
+def block_hits(row: dict[str, pa.Scalar], k: int, metric: str, threshold: float | None, same: bool, drop_self: bool) -> pa.Table | None:
+    """query_id, id, score of a block of queries among a block of rows: the k best of each with all that equal the last of them."""
+    ids, q_ids, dim = row["ids"].values, row["q_ids"].values, row["dim"].as_py()
+    if dim != row["q_dim"].as_py():
+        return None
+    scores = block_scores(row, metric)
+    allowed = ~np.isnan(scores)
+    if drop_self:
+        allowed &= ~_equal(ids, q_ids)
+    if same:
+        allowed &= _equal(row["labels"].values, row["q_labels"].values)
+    if metric == "cosine" and threshold is not None:
+        allowed &= scores > threshold
+    if len(ids) > k:
+        ranked = np.where(allowed, scores, -np.inf)
+        allowed &= ranked >= np.partition(ranked, len(ids) - k, axis=0)[len(ids) - k][None, :]
+    at, which = np.nonzero(allowed)
+    return pa.table({"query_id": q_ids.take(pa.array(which)), "id": ids.take(pa.array(at)), "score": scores[at, which]})
+
+
+def block_scores(row: dict[str, pa.Scalar], metric: str) -> np.ndarray:
+    """Scores of a block's rows (down) and queries (across); cosine with a zero vector is not a number."""
+    dim = row["dim"].as_py()
+    one, two = (np.frombuffer(row[name].as_buffer(), "<f8").reshape(len(row[key].values), dim) for name, key in (("vectors", "ids"), ("q_vectors", "q_ids")))
+    scores = one @ two.T
+    if metric != "cosine":
+        return scores
+    below = np.linalg.norm(one, axis=1)[:, None] * np.linalg.norm(two, axis=1)[None, :]
+    return np.divide(scores, below, out=np.full_like(scores, np.nan), where=below > 0)
+
+
+def _equal(down: pa.Array, across: pa.Array) -> np.ndarray:
+    """Which values of two arrays are equal; null equals nothing. Values of different types are compared as texts."""
+    if down.type != across.type:
+        down, across = down.cast(pa.string()), across.cast(pa.string())
+    codes = pa.concat_arrays([down, across]).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    one, two = codes[: len(down)], codes[len(down) :]
+    return (one[:, None] == two[None, :]) & (one >= 0)[:, None]
+
+
+def best_hits(found: pa.Table, k: int) -> pa.Table:
+    """The k best rows of each query, ties by id (null first)."""
+    order = pc.sort_indices(found, sort_keys=[("query_id", "ascending"), ("score", "descending"), ("id", "ascending")], null_placement="at_start")
+    ranked = found.take(order).combine_chunks()
+    codes = ranked["query_id"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    begins = np.flatnonzero(np.diff(codes, prepend=-1))
+    place = np.arange(len(codes)) - np.repeat(begins, np.diff(np.append(begins, len(codes))))
+    return ranked.filter(pa.array(place < k))
 
 
 def best_per_label(corpus: DataFrame, queries: DataFrame, label: str, id_col: str = "id", vector_col: str = "embedding", query_col: str = "query_id") -> DataFrame:
     """query, label, best: the highest cosine of each query among the rows of each label, its own id left out.
 
-    In blocks as :func:`top_k`; a task keeps one number for each query and label it has seen, and these are shuffled.
+    In blocks as :func:`top_k`; a task keeps one number for each query and label it has seen, and these are shuffled. A null
+    label is a label.
     """
-    id_type, query_type, label_type = (frame.schema[c].dataType.simpleString() for frame, c in ((corpus, id_col), (queries, query_col), (corpus, label)))
-    rows = _blocks(corpus, F.col(id_col), F.col(vector_col), F.col(label).cast("string"), CORPUS_BLOCK, id_type)
-    wanted = _blocks(queries, F.col(query_col), F.col(vector_col), F.lit(""), QUERY_BLOCK, query_type).select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    rows = vector_blocks(corpus, id_col, vector_col, F.col(label), CORPUS_BLOCK)
+    wanted = vector_blocks(queries, query_col, vector_col, F.lit(""), QUERY_BLOCK)
+    query_type, label_type = queries.schema[query_col].dataType, corpus.schema[label].dataType
+    empty = {"query_id": to_arrow_type(query_type), "label": pa.string(), "best": pa.float64()}
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[tuple, float] = {}
+        best = pa.schema(empty.items()).empty_table()
         for batch in batches:
-            for ids, vectors, labels, q_ids, q_vectors in zip(*(column.to_pylist() for column in batch.columns), strict=True):
-                one, two = (np.frombuffer(v, "<f8").reshape(len(i), -1) for v, i in ((vectors, ids), (q_vectors, q_ids)))
-                below = np.linalg.norm(one, axis=1)[:, None] * np.linalg.norm(two, axis=1)[None, :]
-                scores = np.divide(one @ two.T, below, out=np.full((len(ids), len(q_ids)), np.nan), where=below > 0)
-                scores[np.array(ids, object)[:, None] == np.array(q_ids, object)[None, :]] = np.nan
-                kinds = np.array([x or "" for x in labels])
-                for kind in set(labels):
-                    own = scores[np.array([x == kind for x in labels]) if kind is None else kinds == kind]
-                    top = np.max(np.where(np.isnan(own), -np.inf, own), axis=0)
-                    for key, value in zip(q_ids, top.tolist(), strict=True):
-                        if value > best.get((key, kind), -np.inf):
-                            best[key, kind] = value
-        columns = [[k[0] for k in best], [k[1] for k in best], list(best.values())]
-        kinds = (pa.int64() if query_type == "bigint" else pa.string(), pa.string(), pa.float64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["query_id", "label", "best"])
-
-    scored = rows.crossJoin(wanted).mapInArrow(search, f"query_id {'bigint' if query_type == 'bigint' else 'string'}, label string, best double")
+            found = [best]
+            for at in range(batch.num_rows):
+                row = {n: c[at] for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+                if row["dim"] != row["q_dim"]:
+                    continue
+                scores = block_scores(row, "cosine")
+                scores = np.where(np.isnan(scores) | _equal(row["ids"].values, row["q_ids"].values), -np.inf, scores)
+                labels = row["labels"].values.dictionary_encode(null_encoding="encode")
+                codes = labels.indices.to_numpy(zero_copy_only=False)
+                top = np.full((len(labels.dictionary), scores.shape[1]), -np.inf)
+                np.maximum.at(top, codes, scores)
+                which, query = np.nonzero(top > -np.inf)
+                found.append(pa.table({"query_id": row["q_ids"].values.take(pa.array(query)), "label": labels.dictionary.take(pa.array(which)), "best": top[which, query]}))
+            merged = pa.concat_tables([t.cast(best.schema) for t in found]).group_by(["query_id", "label"]).aggregate([("best", "max")])
+            best = merged.rename_columns({"best_max": "best"}).select(["query_id", "label", "best"])
+        yield from best.combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], best.schema)]
+
+    met = rows.crossJoin(wanted.withColumnsRenamed({c: f"q_{c}" for c in wanted.columns}))
+    scored = met.mapInArrow(search, f"query_id {query_type.simpleString()}, label string, best double")
     return scored.groupBy("query_id", F.col("label").cast(label_type).alias(label)).agg(F.max("best").alias("best"))
 
 
-def _best(found: list[tuple], k: int) -> list[tuple]:
-    """The k best of (query, id, score) for each query, ties by id."""
-    kept, taken = [], {}
-    for row in sorted(found, key=lambda r: (-r[2], r[1] is not None, r[1])):
-        taken[row[0]] = taken.get(row[0], 0) + 1
-        if taken[row[0]] <= k:
-            kept.append(row)
-    return kept
+def vector_blocks(frame: DataFrame, id_col: str, vector_col: str, label: Column, size: int, key: str | None = None) -> DataFrame:
+    """Rows with a vector in blocks of at most ``size``: ids, dim, vectors (doubles, one after the other), labels. No shuffle.
 
-
-def _blocks(frame: DataFrame, key: Column, vector: Column, label: Column, size: int, key_type: str) -> DataFrame:
-    """Rows with a vector in blocks of at most ``size``: ids, vectors (doubles, one after the other), labels. No shuffle."""
+    A block holds vectors of one length, and with ``key`` (an integer column) rows of one key, which it then carries;
+    rows that stand together come into one block.
+    """
+    id_type = frame.schema[id_col].dataType
+    group = F.col(key).cast("long") if key else F.lit(0).cast("long")
+    given = frame.where(F.col(vector_col).isNotNull()).select(
+        group.alias("group"), F.size(vector_col).alias("dim"), F.col(id_col).alias("key"), F.col(vector_col).cast("array<double>").alias("vector"), label.cast("string").alias("label")
+    )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, size):
-                ids, vectors, labels = (column.slice(start, size) for column in batch.columns)
-                flat = vectors.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
-                columns = [pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([flat.astype("<f8").tobytes()], pa.binary()), pa.array([labels.to_pylist()], pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, ["ids", "vectors", "labels"])
-
-    given = frame.where(vector.isNotNull()).select(key.alias("key"), vector.alias("vector"), label.alias("label"))
-    return given.mapInArrow(pack, f"ids array<{key_type}>, vectors binary, labels array<string>")
+            groups, dims = (batch.column(n).to_numpy(zero_copy_only=False) for n in (0, 1))
+            order = np.lexsort((dims, groups))
+            new = np.flatnonzero((np.diff(groups[order], prepend=groups[order][:1] - 1) != 0) | (np.diff(dims[order], prepend=dims[order][:1] - 1) != 0))
+            for begin, end in zip(new, np.append(new[1:], len(order)), strict=True):
+                for start in range(begin, end, size):
+                    part = batch.take(pa.array(order[start : min(start + size, end)]))
+                    flat = part.column(3).flatten().to_numpy(zero_copy_only=False)
+                    yield pa.RecordBatch.from_pydict({
+                        "group": pa.array([groups[order[start]]], pa.int64()), "ids": pa.array([part.column(2).to_pylist()], pa.list_(part.column(2).type)), "dim": pa.array([dims[order[start]]], pa.int32()),
+                        "vectors": pa.array([flat.astype("<f8").tobytes()], pa.binary()), "labels": pa.array([part.column(4).to_pylist()], pa.list_(pa.string())),
+                    })
+
+    blocks = given.mapInArrow(pack, f"group bigint, ids array<{id_type.simpleString()}>, dim int, vectors binary, labels array<string>")
+    return blocks.withColumnRenamed("group", key) if key else blocks.drop("group")
 
 
 EMPTY_UNIT = {"id": -1, "text": ""}
@@ -203,39 +246,3 @@ def wide_report(hits: DataFrame, slots: int = 10, query: str = "query_id") -> Da
         ]
     top = F.max(F.when(F.col("rank") == 1, F.concat("text", F.lit(" ("), "citation", F.lit(")")))).alias("top_suggestion")
     return hits.groupBy(query).agg(score_list(F.col("score"), F.col("rank")).alias("scores"), top, *cells)
-
-
-def keep_distinct_hits(hits: DataFrame, most: int = 10, query: str = "query_id", candidate_limit: int | None = 500, core: str = "core") -> DataFrame:
-    """Greedy near-duplicate suppression in rank order: the accepted hits of each query.
-
-    A hit is refused if its core is empty, accepted already, begins like an accepted one (the first 130
-    characters, at least 80), or shares a shingle with one. The state depends on what was accepted, so a
-    query's hits, at most ``candidate_limit`` (the search's own oversampling; None: all of them), are taken in
-    turn in one task. They stream through it: it holds what was accepted and one batch.
-    """
-    once = Window.partitionBy(query, core).orderBy("rank")
-    wanted = F.col(core) != "" if candidate_limit is None else (F.col("rank") <= candidate_limit) & (F.col(core) != "")
-    narrowed = hits.where(wanted).withColumn("__n", F.row_number().over(once)).where("__n = 1").drop("__n")
-    names = hits.schema.names
-    in_turn = narrowed.repartition(query).sortWithinPartitions(query, "rank").withColumn("__shingles", tx.shingles(F.col(core)))
-
-    def accept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, cores, seen = object(), [], set()
-        for batch in batches:
-            kept = []
-            for at, (key, own, parts) in enumerate(zip(batch[query], batch[core], batch["__shingles"], strict=True)):
-                key = None if pd.isna(key) else key
-                if key != current:
-                    current, cores, seen = key, [], set()
-                if len(cores) == most:
-                    continue
-                heads = ((min(130, len(own), len(other)), other) for other in cores)
-                if seen.intersection(parts) or any(n >= 80 and own[:n] == other[:n] for n, other in heads):
-                    continue
-                kept.append(at)
-                cores.append(own)
-                seen.update(parts)
-            if kept:
-                yield batch.iloc[kept][names]
-
-    return in_turn.mapInPandas(accept, hits.schema)

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from casemill.functions import text as tx
 from casemill.functions import vector as vx
-from casemill.operators import retrieval
+from casemill.operators import greedy, retrieval, vector_index
 from casemill.plans.registry import Registry
 from casemill.plans.tables import table
+from casemill.scratch import fresh
 
 register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
@@ -183,7 +184,26 @@ def similarity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register()
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents of each source, ranked by id, through the greedy near-duplicate filter."""
+    """All documents of each source, in the order of their ids, through the greedy near-duplicate filter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", tx.core_text(F.col("text")).alias("core"))
-    ranked = docs.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    return retrieval.keep_distinct_hits(ranked, 10, "source", candidate_limit=None)
+    return greedy.keep_distinct_hits(docs, 10, "source", candidate_limit=None, rank="doc_id")
+
+
+def _built(spark: SparkSession, sf_dir: str) -> tuple[vector_index.VectorIndex, DataFrame]:
+    corpus = _vectors(spark, sf_dir)
+    return vector_index.build(corpus, fresh(spark, "index")), _queries(corpus)
+
+
+@register()
+def knn_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every twentieth id by the inverted-file index, with as many lists as it has set itself."""
+    index, queries = _built(spark, sf_dir)
+    return vector_index.search(index, queries, 10).withColumn("score", F.round("score", 6))
+
+
+@register(f"""SELECT q.vec_id AS query_id, c.vec_id AS id, round({_COSINE}, 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_COSINE} DESC, c.vec_id) AS INTEGER) AS rank
+    FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id QUALIFY rank <= 10""")
+def knn_index_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same index with all lists probed: what it holds is whole, and its ranking exact."""
+    index, queries = _built(spark, sf_dir)
+    return vector_index.search(index, queries, 10, probes=len(index.centroids)).withColumn("score", F.round("score", 6))

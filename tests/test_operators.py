@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from casemill import models
 from casemill.functions import text as tx
-from casemill.operators import cases, chunking, relational, retrieval
+from casemill.operators import cases, chunking, greedy, relational, retrieval
 from casemill.streaming import ingest
 
 
@@ -39,7 +39,7 @@ def test_greedy_filter_invariants(spark):
     base = "the quick brown fox jumps over the lazy dog and then runs far away into the deep dark forest of the north " * 3
     rows = [(1, n, text) for n, text in enumerate([base, base, base[:150] + "x" * 200, "y" * 100, base[30:], "", "short one", "short two"], 1)]
     hits = spark.createDataFrame(rows, "query_id int, rank int, core string")
-    kept = [r["rank"] for r in retrieval.keep_distinct_hits(hits, 3).orderBy("rank").collect()]
+    kept = [r["rank"] for r in greedy.keep_distinct_hits(hits, 3).orderBy("rank").collect()]
     assert kept == [1, 4, 7]
 
 
