@@ -11,6 +11,8 @@ from casemill.models import VARIANTS
 from casemill.operators import cases, relational
 from casemill.plans.registry import Registry
 from casemill.plans.tables import table
+from casemill.plans.text_queries import PARAGRAPHS_SQL
+from casemill.sources.html import extracted_paragraphs
 
 register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
@@ -51,13 +53,13 @@ def case_context_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", jd.context_tag(F.coalesce("short_name", "source"), F.col("year"), F.col("judges"), F.col("text")).alias("tag"))
 
 
-@register(f"""WITH s AS (SELECT conv_id, arg_min(text, turn) AS summary FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id), r AS (
+@register(f"""WITH s AS (SELECT conv_id, arg_min(text, turn) AS summary FROM conversations GROUP BY conv_id), r AS (
     SELECT d.doc_id, '[' || CASE WHEN l.quality = 1 THEN 'Reasoning' ELSE 'Facts' END || '] ' AS role, trim(d.text, {_WS}) AS t, {_TAG} AS tag, s.summary
     FROM {_META} d JOIN labels l USING (doc_id) LEFT JOIN s ON s.conv_id = d.doc_id)
     SELECT doc_id, unnest(['v1', 'v2', 'v3', 'v4']) AS variant, unnest([role || t, role || tag || ' ' || t, role || CASE WHEN summary IS NULL THEN '' ELSE summary || ' ' END || t, role || tag || ' ' || t]) AS query FROM r""")
 def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the four retrieval variants embed: role, context tag or summary (the first row of a case), and the paragraph."""
-    first = table(spark, sf_dir, "conversations").where("conv_id % 2 = 0").groupBy(F.col("conv_id").alias("doc_id")).agg(F.min_by("text", "turn").alias("summary"))
+    first = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.min_by("text", "turn").alias("summary"))
     rows = _with_metadata(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id").join(first, "doc_id", "left")
     role, text = F.when(F.col("quality") == 1, "Reasoning").otherwise("Facts"), tx.strip(F.col("text"))
     tag = jd.context_tag(F.coalesce("short_name", "source"), F.col("year"), F.col("judges"), F.col("text"))
@@ -65,14 +67,15 @@ def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.inline(forms))
 
 
+_CITED = r"\s*\(([^)]+)\)\s*$"
 _SUGGESTED = "text || ' (' || CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'src ' || source END || ')' || CASE WHEN doc_id % 3 = 0 THEN '  ' ELSE '' END"
 
 
-@register(f"""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN trim({_SUGGESTED}, {_WS}) ELSE trim(text, {_WS}) END AS text, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'src ' || source END AS citation,
-    CASE WHEN doc_id % 4 = 0 THEN source ELSE rtrim(substr(text, 1, 20)) || ' ' || source END AS draft FROM documents WHERE NOT contains(text, ')')""")
+@register(f"""SELECT doc_id, trim(regexp_replace({_SUGGESTED}, '{_CITED}', ''), {_WS}) AS text, trim(regexp_extract({_SUGGESTED}, '{_CITED}', 1), {_WS}) AS citation,
+    CASE WHEN doc_id % 4 = 0 THEN source ELSE rtrim(substr(text, 1, 20)) || ' ' || source END AS draft FROM documents""")
 def suggestion_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suggestion cells back to text and citation, and a draft that takes one up."""
-    docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit(")")))
+    docs = table(spark, sf_dir, "documents")
     cite = F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.concat(F.lit("src "), F.col("source")))
     cell = F.concat(jd.suggestion(F.col("text"), cite), F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(""))
     back = jd.suggested(cell)
@@ -267,17 +270,19 @@ def content_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(r"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9_]+'), 1) AS nth,
-        unnest(regexp_extract_all(text, '([^A-Za-z0-9_]*)[A-Za-z0-9_]+', 1)) AS gap FROM conversations WHERE turn = 0)
-    SELECT conv_id, CAST(nth - 1 AS INTEGER) AS nth, word, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY conv_id ORDER BY nth) - length(word) AS BIGINT) AS start, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY conv_id ORDER BY nth) AS BIGINT) AS stop FROM w""")
+        unnest(regexp_extract_all(text, '([^A-Za-z0-9_]*)[A-Za-z0-9_]+', 1)) AS gap FROM conversations)
+    SELECT conv_id, turn, CAST(nth - 1 AS INTEGER) AS nth, word, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY conv_id, turn ORDER BY nth) - length(word) AS BIGINT) AS start, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY conv_id, turn ORDER BY nth) AS BIGINT) AS stop FROM w""")
 def word_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cases.word_offsets(table(spark, sf_dir, "conversations").where("turn = 0"), "conv_id", "text")
+    return cases.word_offsets(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
 
 
-@register(r"""SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?s)<p>([^<]*)</p>', 1), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS sentences FROM pages""")
+@register(f"SELECT page_id, coalesce(list(text ORDER BY position) FILTER (text <> ''), []) AS sentences FROM (SELECT * FROM ({PARAGRAPHS_SQL}) UNION ALL SELECT page_id, -1, '' FROM pages) GROUP BY page_id")
 def page_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sentences of a page that has one to a paragraph, as a list."""
-    found = F.regexp_extract_all("html", F.lit("(?s)<p>([^<]*)</p>"), 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.filter(F.transform(found, tx.collapse), lambda s: s != "").alias("sentences"))
+    """The sentences of a page that has one to a paragraph, as a list; a page without paragraphs has none."""
+    pages = table(spark, sf_dir, "pages")
+    rows = extracted_paragraphs(pages, least=1).unionByName(pages.select("page_id", F.lit(-1).alias("position"), F.lit(None).cast("string").alias("text")))
+    listed = F.array_sort(F.collect_list(F.when(F.col("text").isNotNull(), F.struct("position", "text"))))
+    return rows.groupBy("page_id").agg(listed.alias("t")).select("page_id", F.transform("t", lambda x: x["text"]).alias("sentences"))
 
 
 @register(f"""SELECT conv_id, count(*) AS given, count(*) FILTER (turn % 3 <> 2) AS kept, list_sort(list_distinct(list({_ROLE_OF}) FILTER (turn % 3 <> 2))) AS roles FROM conversations WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> '' GROUP BY conv_id""")

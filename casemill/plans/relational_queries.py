@@ -9,7 +9,6 @@ from casemill.functions import text as tx
 from casemill.operators import relational
 from casemill.plans.registry import Registry
 from casemill.plans.tables import table
-from casemill.plans.text_queries import literal_rows, values_sql
 
 register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
@@ -47,11 +46,6 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("source", "digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "source")
 
 
-@register("SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY substr(text, 1, 200)")
-def prefix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(F.substring("text", 1, 200)).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")).select("doc_id", "n")
-
-
 @register("SELECT min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY source, substr(text, 1, 2000)")
 def prefix_dedup_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reference's key: source and the first 2000 characters."""
@@ -164,21 +158,44 @@ def metadata_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("p_partkey", F.coalesce("m.short_name", "before").alias("short_name"), F.coalesce("m.year", F.lit("")).alias("year"))
 
 
-_TARGETS = [("Smith & Co",), ("McLoughlin v O'Brian [1982]",), ("Norris versus Attorney General",), ("Nothing Like It",)]
-_FILES = [("mcloughlin v o'brian [1982] UKHL 3", 1), ("Smith and Co.xml", 2), ("Norris v Attorney General Ireland", 3), ("Other", 4)]
+_WS = "' ' || chr(10) || chr(9) || chr(13)"
 
 
-@register("SELECT * FROM (VALUES ('Smith & Co', 'Smith and Co.xml', 1), ('McLoughlin v O''Brian [1982]', 'mcloughlin v o''brian [1982] UKHL 3', 2), ('Norris versus Attorney General', 'Norris v Attorney General Ireland', 3)) AS v(target, matched, tier)")
-def fuzzy_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relational.resolve_names(literal_rows(spark, "target string", _TARGETS), literal_rows(spark, "name string, rank int", _FILES))
+def _name_sql(column: str) -> str:
+    """A case name for comparison, in SQL."""
+    bare = f"lower(regexp_replace(replace(trim(trim({column}, {_WS}), '()'), '.xml', ''), '\\s+', ' ', 'g'))"
+    return f"trim(regexp_replace(replace({bare}, '&', ' and '), '\\s+', ' ', 'g'))"
 
 
-@register("""SELECT c.doc_id, min(d.doc_id) AS repaired_from FROM (SELECT doc_id, source, substr(text, 1, 60) AS head FROM documents WHERE length(text) > 60) c JOIN documents d ON d.source = c.source AND starts_with(d.text, c.head) GROUP BY c.doc_id""")
-def truncation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cut-off text to the first full one that begins with it: an equi-join on source and head."""
-    docs = table(spark, sf_dir, "documents").where(F.length("text") >= 60).select("doc_id", "source", F.substring("text", 1, 60).alias("head"), F.length("text").alias("n"))
-    full = docs.groupBy("source", "head").agg(F.min("doc_id").alias("repaired_from"))
-    return docs.where("n > 60").join(full, ["source", "head"]).select("doc_id", "repaired_from")
+_RESOLVED = """SELECT target, t, list_slice(string_split(t, ' '), 1, 5) AS words, string_split(t, ' ')[1] AS w FROM (SELECT target, {t} AS t FROM (SELECT DISTINCT target FROM targets))"""
+
+
+@register(f"""WITH targets AS (SELECT substr(text, 1, CAST(8 + doc_id % 40 AS INTEGER)) AS target FROM documents WHERE doc_id % 5 = 0 UNION ALL SELECT substr(text, 1, 60) FROM benchmark),
+    t AS ({_RESOLVED.format(t=_name_sql('target'))}), c AS (SELECT doc_id AS rank, name, {_name_sql('name')} AS c FROM (SELECT doc_id, substr(text, 1, 50) || '.xml' AS name FROM documents)),
+    m AS (SELECT target, name, rank, CASE WHEN t = c THEN 1 WHEN length(t) >= 8 AND (starts_with(c, substr(t, 1, 30)) OR length(c) >= 8 AND starts_with(t, substr(c, 1, 30))) THEN 2
+        WHEN w = string_split(c, ' ')[1] AND len(list_filter(words, lambda x: contains(c, x))) >= 2 THEN 3 END AS tier FROM t, c)
+    SELECT target, arg_min(name, rank) AS matched, CAST(arg_min(tier, rank) AS INTEGER) AS tier FROM m WHERE tier IS NOT NULL GROUP BY target""")
+def fuzzy_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cut-off beginnings of every fifth document and of all benchmark items, resolved to the documents' file names."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    own = docs.where("doc_id % 5 = 0").select(F.substring("text", F.lit(1), (F.lit(8) + F.col("doc_id") % 40).cast("int")).alias("target"))
+    targets = own.unionByName(table(spark, sf_dir, "benchmark").select(F.substring("text", 1, 60).alias("target")))
+    names = docs.select(F.concat(F.substring("text", 1, 50), F.lit(".xml")).alias("name"), F.col("doc_id").alias("rank"))
+    return relational.resolve_names(targets, names)
+
+
+_CORE = "trim(regexp_replace(regexp_replace({0}, '\\s*\\[\\d{{4}}\\][^\\]]*\\]?\\s*', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@register(f"""WITH l AS (SELECT source, a, {_CORE.format('a')} AS x FROM (SELECT source, {_name_sql('source')} AS a FROM (SELECT DISTINCT substr(text, 1, CAST(4 + item_id % 9 AS INTEGER)) || CASE WHEN item_id % 2 = 0 THEN ' [1999] AC ' || item_id ELSE '' END AS source FROM benchmark))),
+    r AS (SELECT name, b, {_CORE.format('b')} AS y FROM (SELECT name, {_name_sql('name')} AS b FROM (SELECT DISTINCT substr(text, 1, 40) || CASE WHEN doc_id % 3 = 0 THEN ' [2001] UKSC 4' ELSE '' END AS name FROM documents)))
+    SELECT source, count(*) AS n, min(name) AS first FROM l, r WHERE source <> '' AND name <> '' AND (a = b OR x <> '' AND y <> '' AND (contains(y, x) OR contains(x, y) OR length(x) >= 10 AND length(y) >= 10 AND substr(x, 1, 25) = substr(y, 1, 25))) GROUP BY source""")
+def same_case_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that short beginnings of the benchmark's items would exclude as their own case."""
+    cited = F.when(F.col("item_id") % 2 == 0, F.concat(F.lit(" [1999] AC "), F.col("item_id").cast("string"))).otherwise("")
+    sources = table(spark, sf_dir, "benchmark").select(F.concat(F.substring("text", F.lit(1), (F.lit(4) + F.col("item_id") % 9).cast("int")), cited).alias("source"))
+    names = table(spark, sf_dir, "documents").select(F.concat(F.substring("text", 1, 40), F.when(F.col("doc_id") % 3 == 0, " [2001] UKSC 4").otherwise("")).alias("name"))
+    return relational.same_case_pairs(sources, names).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.min("name").alias("first"))
 
 
 @register("""WITH g AS (SELECT unnest([CASE p_partkey % 4 WHEN 0 THEN 'Analogous' WHEN 1 THEN 'Not Analogous' WHEN 2 THEN 'Kinda Analogous' END, CASE WHEN p_size % 2 = 0 THEN 'Mostly Analogous' ELSE 'Analogous' END]) AS grade, unnest([p_partkey % 8 = 0, p_size % 3 = 0]) AS v FROM part)

@@ -9,6 +9,7 @@ from casemill.functions import text as tx
 from casemill.operators import relational
 from casemill.plans.registry import Registry
 from casemill.plans.tables import table
+from casemill.sources.html import ENDS, OPENS, extracted_paragraphs
 
 register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
@@ -191,16 +192,19 @@ def numbered_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listed.select("conv_id", blocks.alias("blocks"), F.inline(tx.numbered_paragraphs(F.concat(F.lit("Preamble"), numbered)))).select("conv_id", "number", F.col("text").alias("part"), "blocks")
 
 
-_ANSWERS = [(1, "1. Facts\n2) the Reasoning part\n4. nonsense"), (2, "judgment"), (3, "NYYN")]
+_NAMED = "CASE (conv_id * 7 + turn) % 6 WHEN 0 THEN 'INTRODUCTION' WHEN 1 THEN 'the facts' WHEN 2 THEN 'Judgment or reasoning' WHEN 3 THEN 'Doctrine and Policy' WHEN 4 THEN 'authority' ELSE '' END"
+_GIVEN = f"'1. ' || substr(text, 1, 30) || chr(10) || '2) ' || {_NAMED} || ' ' || substr(text, 31, 20)"
 
 
-@register(f"""SELECT id, CASE WHEN contains(lower(text), 'introduction') THEN 'Introduction' WHEN contains(lower(text), 'facts') THEN 'Facts' WHEN contains(lower(text), 'reasoning') THEN 'Reasoning'
-    WHEN contains(lower(text), 'judgment') THEN 'Judgment' ELSE 'Reasoning' END AS role, regexp_extract(text, '2[.)]\\s*(.+)', 1) AS second, substr(text, 3, 1) = 'Y' AS third FROM {values_sql(_ANSWERS, 'id, text')}""")
+@register(rf"""SELECT conv_id, turn, CASE WHEN contains(lower(a), 'introduction') THEN 'Introduction' WHEN contains(lower(a), 'facts') THEN 'Facts' WHEN contains(lower(a), 'authority') THEN 'Authority' WHEN contains(lower(a), 'doctrine and policy') THEN 'Doctrine and Policy'
+    WHEN contains(lower(a), 'reasoning') THEN 'Reasoning' WHEN contains(lower(a), 'judgment') THEN 'Judgment' ELSE 'Reasoning' END AS role, regexp_extract(a, '\n2[.)]\s*([^\n]+)', 1) AS second,
+    substr(a, 4, 1) = upper(substr(a, 4, 1)) AS third FROM (SELECT conv_id, turn, {_GIVEN} AS a FROM conversations)""")
 def response_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.col("text")
-    return literal_rows(spark, "id int, text string", _ANSWERS).select(
-        "id", F.coalesce(tx.canonical_role(text), F.lit("Reasoning")).alias("role"), F.regexp_extract(text, r"2[.)]\s*(.+)", 1).alias("second"),
-        (F.substring(text, 3, 1) == "Y").alias("third"),
+    """Classifiers' answers about every turn: the first role that they name, else the default; their second line and a letter."""
+    text = F.expr(_GIVEN.replace("chr(10)", "char(10)"))
+    initial = F.substring(text, 4, 1)
+    return table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.coalesce(tx.canonical_role(text), F.lit("Reasoning")).alias("role"), F.regexp_extract(text, r"\n2[.)]\s*([^\n]+)", 1).alias("second"), (initial == F.upper(initial)).alias("third"),
     )
 
 
@@ -247,19 +251,34 @@ def highlight_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("tokens"), F.coalesce(F.try_element_at(found, F.lit(1)), F.lit("")).alias("first"))
 
 
-_SPANS = [(1, 3, 6), (1, 10, 14), (1, 14, 15), (2, 0, 4)]
+_WORDS_OF = """SELECT {0}, unnest(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS word, generate_subscripts(regexp_extract_all(text, '[A-Za-z0-9_]+'), 1) AS nth,
+        unnest(regexp_extract_all(text, '([^A-Za-z0-9_]*)[A-Za-z0-9_]+', 1)) AS gap FROM {1}"""
 
 
-@register(f"""WITH s AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY doc ORDER BY s), 0) AS p, row_number() OVER (PARTITION BY doc ORDER BY s DESC) AS r FROM {values_sql(_SPANS, 'doc, s, e')})
-    SELECT doc, s AS a, e AS b, true AS lit FROM s UNION ALL SELECT doc, p, s, false FROM s WHERE s > p UNION ALL SELECT doc, e, 20, false FROM s WHERE r = 1 AND e < 20""")
+@register(f"""WITH w AS ({_WORDS_OF.format('doc_id', 'documents')}), b AS ({_WORDS_OF.format('item_id', 'benchmark')}),
+    marks AS (SELECT DISTINCT word, next FROM (SELECT word, lead(word) OVER (PARTITION BY item_id ORDER BY nth) AS next FROM b) WHERE next IS NOT NULL),
+    o AS (SELECT doc_id, nth, word, CAST(sum(length(gap) + length(word)) OVER (PARTITION BY doc_id ORDER BY nth) AS BIGINT) AS stop FROM w),
+    s AS (SELECT o.doc_id, o.stop - length(o.word) AS a, n.stop AS b FROM o JOIN o n ON n.doc_id = o.doc_id AND n.nth = o.nth + 1 JOIN marks m ON m.word = o.word AND m.next = n.word),
+    r AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
+    g AS (SELECT *, count(*) FILTER (reach IS NULL OR a > reach) OVER (PARTITION BY doc_id ORDER BY a, b) AS island FROM r),
+    i AS (SELECT doc_id, min(a) AS a, max(b) AS b FROM g GROUP BY doc_id, island UNION ALL SELECT doc_id, length(text), length(text) FROM documents WHERE length(text) > 0),
+    p AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a, b), 0) AS before FROM i),
+    c AS (SELECT doc_id, a, b, true AS lit FROM p WHERE b > a UNION ALL SELECT doc_id, before, a, false FROM p WHERE a > before)
+    SELECT doc_id, CAST(a AS INTEGER) AS begin, CAST(b AS INTEGER) AS end, lit, md5(substr(text, a + 1, b - a)) AS segment FROM c JOIN documents USING (doc_id)""")
 def highlight_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spans = literal_rows(spark, "doc int, s int, e int", _SPANS)
-    order = Window.partitionBy("doc").orderBy("s")
-    spans = spans.withColumns({"p": F.coalesce(F.lag("e").over(order), F.lit(0)), "r": F.lead("s").over(order)})
-    lit = spans.select("doc", F.col("s").alias("a"), F.col("e").alias("b"), F.lit(True).alias("lit"))
-    gaps = spans.where("s > p").select("doc", F.col("p").alias("a"), F.col("s").alias("b"), F.lit(False).alias("lit"))
-    ends = spans.where("r IS NULL AND e < 20").select("doc", F.col("e").alias("a"), F.lit(20).alias("b"), F.lit(False).alias("lit"))
-    return lit.unionByName(gaps).unionByName(ends)
+    """Documents cut at the benchmark's pairs of words, which overlap and touch; every text is covered once."""
+    from casemill.operators.cases import highlight_segments as segments
+    from casemill.operators.cases import word_offsets
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def paired(words: DataFrame, key: str) -> DataFrame:
+        order = Window.partitionBy(key).orderBy("nth")
+        return words.withColumns({"next": F.lead("word").over(order), "end": F.lead("stop").over(order)}).where("next IS NOT NULL")
+
+    marks = paired(word_offsets(table(spark, sf_dir, "benchmark").select("item_id", "text"), "item_id", "text"), "item_id").select("word", "next").distinct()
+    spans = paired(word_offsets(docs, "doc_id", "text"), "doc_id").join(marks, ["word", "next"], "left_semi").select("doc_id", "start", F.col("end").alias("stop"))
+    return segments(docs, spans, "doc_id", "text").withColumn("segment", F.md5("segment"))
 
 
 _JUNK = [(1, "[ Home ] [ Databases ] something long enough"), (2, "Times New Roman; Default Paragraph Font; normal"), (3, "THE SUPREME COURT"), (4, "A real paragraph of the judgment, long enough to be kept as context here."), (5, "short"), (6, "As was held in Donoghue v."), (7, "the passage cited above at p.")]
@@ -282,11 +301,16 @@ def html_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"))
 
 
-@register(r"""WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '<p[^>]*>([^<]*)</p>', 1)) AS raw FROM pages)
-    SELECT page_id, count(*) AS paragraphs, CAST(sum(length(raw)) AS BIGINT) AS chars, max(replace(replace(replace(raw, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM p WHERE length(raw) >= 10 GROUP BY page_id""")
+#: page_id, position, text of every opened paragraph.
+PARAGRAPHS_SQL = rf"""SELECT page_id, position, trim(regexp_replace(regexp_replace(regexp_replace(p, '{ENDS}', ''), '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM (
+    SELECT page_id, unnest(string_split_regex(html, '{OPENS}')[2:]) AS p, generate_subscripts(string_split_regex(html, '{OPENS}')[2:], 1) - 1 AS position FROM pages)"""
+
+
+@register(f"""SELECT page_id, count(*) AS paragraphs, CAST(sum(length(text)) AS BIGINT) AS chars, max(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS escaped FROM ({PARAGRAPHS_SQL}) WHERE length(text) >= 10 GROUP BY page_id""")
 def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<p[^>]*>([^<]*)</p>"), 1)).alias("raw")).where(F.length("raw") >= 10)
-    return raw.groupBy("page_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.length("raw")).alias("chars"), F.max(tx.escape_markup(F.col("raw"))).alias("escaped"))
+    """Every paragraph of every page, with tags inside it or without an end tag too."""
+    rows = extracted_paragraphs(table(spark, sf_dir, "pages"))
+    return rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("paragraphs"), F.sum(F.length("text")).alias("chars"), F.max(tx.escape_markup(F.col("text"))).alias("escaped"))
 
 
 @register()

@@ -120,9 +120,24 @@ def classified_paragraphs(pages: DataFrame, id_col: str = "page_id", html_col: s
     return rows.select(id_col, tx.collapse(F.regexp_replace("p", "<[^>]+>", "")).alias("text"), role.alias("role")).where("role IS NOT NULL")
 
 
+#: Tags before which an open paragraph ends, besides its own end tag.
+ENDS_PARAGRAPH = (
+    "address", "article", "aside", "blockquote", "body", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
+    "header", "hr", "html", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul",
+)
+OPENS, ENDS = r"(?i)<p(?:\s[^>]*)?>", rf"(?is)</?(?:{'|'.join(ENDS_PARAGRAPH)})(?:[\s/>].*)?$"
+
+
 def extracted_paragraphs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", least: int = 10) -> DataFrame:
-    p = F.posexplode(F.regexp_extract_all(html_col, F.lit(r"(?s)<p\b[^>]*>(.*?)</p>"), 1)).alias("position", "p")
-    return pages.select(id_col, p).select(id_col, "position", tx.collapse(tx.strip_tags(F.col("p"))).alias("text")).where(F.length("text") >= least)
+    """id, position, text of every paragraph of at least ``least`` characters, with or without an end tag.
+
+    A paragraph runs from its tag to its end tag or to the next tag that can't stand in one; tags inside it are blanks.
+    Positions count the page's paragraph tags from 0. Null and empty pages have none.
+    """
+    pieces = F.split(html_col, OPENS)
+    p = F.posexplode(F.slice(pieces, F.lit(2), F.size(pieces))).alias("position", "p")
+    rows = pages.where(F.col(html_col).isNotNull()).select(id_col, p)
+    return rows.select(id_col, "position", tx.collapse(tx.strip_tags(F.regexp_replace("p", ENDS, ""))).alias("text")).where(F.length("text") >= least)
 
 
 def classified_html(rows: DataFrame, id_col: str = "doc_id", order: str = "position") -> DataFrame:
