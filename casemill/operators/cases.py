@@ -67,11 +67,13 @@ def repaired_texts(cut: DataFrame, sentences: DataFrame, cell: str = "cell", doc
     ``cut`` has one row for each cell and its document. Earlier sentences come first; "begins alike" compares the first 80
     characters of the normalised texts. All sentences of a document are compared with its cells: they meet on the document.
     """
-    c = tx.strip(F.col(cell))
-    starts = F.startswith(F.col(sentence), c) | F.contains(F.col(sentence), c) & F.startswith(F.col(sentence), F.substring(c, 1, 50))
-    alike = F.startswith(tx.normalize(F.col(sentence)), F.substring(tx.normalize(c), 1, 80))
-    tier = F.when(starts, 1).when(F.contains(F.col(sentence), c), 2).when(alike, 3)
-    met = cut.select(cell, document).distinct().join(sentences.select(document, sentence, position), document).withColumn("tier", tier).where("tier IS NOT NULL")
+    alike = lambda c: F.substring(tx.normalize(c), 1, 80)  # noqa: E731  formed once a row, not once a pair
+    asked = cut.select(cell, document).distinct().select(cell, document, tx.strip(F.col(cell)).alias("__c"), alike(tx.strip(F.col(cell))).alias("__asked"))
+    held = sentences.select(document, sentence, position, alike(F.col(sentence)).alias("__held"))
+    begins, holds = F.startswith(F.col(sentence), F.col("__c")), F.contains(F.col(sentence), F.col("__c"))
+    starts = begins | holds & F.startswith(F.col(sentence), F.substring("__c", 1, 50))
+    tier = F.when(starts, 1).when(holds, 2).when(F.startswith("__held", "__asked"), 3)
+    met = asked.join(held, document).withColumn("tier", tier).where("tier IS NOT NULL")
     return met.groupBy(cell, document).agg(F.min(F.struct("tier", position, sentence)).alias("m")).select(cell, document, F.col(f"m.{sentence}").alias("repaired"), "m.tier")
 
 

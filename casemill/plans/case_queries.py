@@ -154,10 +154,11 @@ def sentence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = texts.select("doc_id", parts.alias("s"))
     cells = F.filter(F.array(F.substring(F.get("s", F.lit(0)), 1, 30), tx.strip(F.substring(F.get("s", F.lit(1)), 6, 30)), F.replace(F.substring(F.get("s", F.lit(2)), 1, 35), F.lit(" "), F.lit("  "))), lambda c: c.isNotNull())
     named = cut.select(F.concat(F.lit("The Reported Case Number "), F.col("doc_id").cast("string"), F.lit(" (UK)")).alias("document"), "doc_id", "s", cells.alias("cells"))
-    wanted = named.select(F.explode("cells").alias("cell"), F.lower(F.concat(F.col("document"), F.lit("  [1999] AC 1"))).alias("name"))
+    name = F.lower(F.concat(F.col("document"), F.lit("  [1999] AC 1"))).alias("name")
+    wanted = named.select(F.explode("cells").alias("cell"), name)
     sentences = named.select("document", F.posexplode("s").alias("position", "sentence"))
     documents = named.select("document", F.col("doc_id").alias("rank"))
-    found = wanted.join(cases.matched_documents(wanted, documents), "name").select("cell", "document")
+    found = wanted.join(cases.matched_documents(named.select(name), documents), "name").select("cell", "document")
     repaired = cases.repaired_texts(found, sentences)
     return repaired.join(named.select("document", "doc_id"), "document").select("doc_id", "cell", "repaired", "tier")
 
