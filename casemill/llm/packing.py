@@ -1,12 +1,12 @@
 """Packing documents into fixed windows by the sum-of-squares rule.
 
-A document's tokens are cut into full windows and a remainder. Each remainder goes to the fill level that
-makes the sum of squared counts of partially filled windows smallest, where a level array holds how many
-windows stand at each level; a window of level 0 is a new one. As documents may be cut, a level is also open to a
-remainder that is longer than what is missing there: it fills the window, which leaves the array, and what is left
-over is placed next. ``cut_cost`` is added to the cost of such a placement: at 0 a window is always filled before another
-one is opened, from 2 on whole remainders wait in many open windows for an exact fit. When a task ends, the windows
-that are still open are cut into sequences of powers of two, which need no padding; no window is emptied again.
+A document's tokens are cut into full windows and a remainder. Each remainder goes whole to the fill level that
+makes the sum of squared counts of partially filled windows smallest, where a level array holds how many windows stand at
+each level and a window of level 0 is a new one: of the levels that can hold it, the one whose windows are many
+while those at the level it leads to are few. Many windows stand open at a time; one leaves the array when a remainder fills it.
+Documents are cut in two cases only: where they are longer than a window, and where open windows are closed,
+which happens when a task ends or more than ``MOST_OPEN`` stand open. Then their pieces are strung together and cut
+into full windows; what is left at a task's end is cut into sequences of powers of two, so nothing is padded.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from bisect import insort
 from collections.abc import Iterator
 from itertools import islice
 
@@ -37,14 +36,22 @@ OUT_TOKENS = 500_000
 LOCAL_BITS = 36
 
 
+#: Windows that a task holds open at most (some 32 MB of ids).
+MOST_OPEN = 4096
+_NEVER = np.int64(1) << 60
+
+
 class Packer:
     """Windows of one task; ``put`` and ``flush`` return finished pieces (id, start, ids, tokens, sequence, offset)."""
 
-    def __init__(self, first_sequence: int, window: int = WINDOW, cut_cost: int = 0):
-        self.window, self.cut_cost = window, cut_cost
-        self.counts = [0] * window  # the level array
-        self.used: list[int] = []  # its levels that are not empty, rising
-        self.at_level: list[list[tuple[int, list]]] = [[] for _ in range(window)]
+    def __init__(self, first_sequence: int, window: int = WINDOW, most_open: int = MOST_OPEN):
+        self.window, self.most_open = window, most_open
+        self.counts = np.zeros(window, np.int64)  # the level array: open windows at each level
+        self.leave = np.full(window, _NEVER)  # what the sum of squares changes by if a window leaves a level
+        self.reach = np.ones(window + 1, np.int64)  # and if one reaches it; a full window leaves the array
+        self.reach[window] = 0
+        self.at_level: list[list[list]] = [[] for _ in range(window)]
+        self.open = 0
         self.next = first_sequence
 
     def _sequence(self) -> int:
@@ -52,72 +59,85 @@ class Packer:
         return self.next - 1
 
     def level_for(self, size: int) -> int:
-        """The level whose use for an item of ``size`` leaves the smallest sum of squares; the fullest of equals.
-
-        An item that is longer than what is missing at its level leaves a window of the rest.
-        """
-        if not self.used:
+        """The level that holds an item of ``size`` and whose use leaves the smallest sum of squares; the fullest of equals."""
+        costs = self.leave[1 : self.window - size + 1] + self.reach[1 + size :]
+        if not len(costs):
             return 0
-        counts, window = self.counts, self.window
-
-        def cost(level: int) -> int:
-            reached = level + size
-            one_less = 1 - 2 * counts[level] if level else 0
-            # one more at the level that is reached, or at the level of the rest; none if the window is filled
-            one_more = 0 if reached == window else 2 * counts[reached % window] + 1
-            return one_less + one_more + (self.cut_cost if reached > window else 0)
-
-        best, least = 0, cost(0)
-        for level in self.used:
-            if (now := cost(level)) <= least:
-                best, least = level, now
-        return best
+        best = len(costs) - 1 - int(costs[::-1].argmin())
+        return best + 1 if costs[best] <= self.reach[size] else 0
 
     def _move(self, level: int, by: int) -> None:
-        self.counts[level] += by
-        if by > 0 and self.counts[level] == 1:
-            insort(self.used, level)
-        elif not self.counts[level]:
-            self.used.remove(level)
+        now = self.counts[level] = self.counts[level] + by
+        self.leave[level] = 1 - 2 * now if now else _NEVER
+        self.reach[level] = 2 * now + 1
+        self.open += by
 
     def put(self, doc: object, ids: np.ndarray) -> list[tuple]:
         total, start, done = len(ids), 0, []
         while total - start >= self.window:
             done.append((doc, start, ids[start : start + self.window], total, self._sequence(), 0))
             start += self.window
-        while start < total:
-            level = self.level_for(total - start)
-            if level:
-                sequence, pieces = self.at_level[level].pop()
-                self._move(level, -1)
-            else:
-                sequence, pieces = self._sequence(), []
-            part = ids[start : start + self.window - level]
-            pieces.append((doc, start, part, total, sequence, level))
-            start, level = start + len(part), level + len(part)
-            if level == self.window:
-                done += pieces
-            else:
-                self.at_level[level].append((sequence, pieces))
-                self._move(level, 1)
+        if start == total:
+            return done
+        level = self.level_for(total - start)
+        pieces = []
+        if level:
+            pieces = self.at_level[level].pop()
+            self._move(level, -1)
+        pieces.append((doc, start, ids[start:], total))
+        level += total - start
+        if level == self.window:
+            done += self._placed(pieces)
+        else:
+            self.at_level[level].append(pieces)
+            self._move(level, 1)
+            if self.open > self.most_open:
+                done += self._closed()
+        return done
+
+    def _placed(self, pieces: list[tuple]) -> list[tuple]:
+        """Pieces one behind the other in a sequence of their own."""
+        done, sequence, offset = [], self._sequence(), 0
+        for doc, start, ids, total in pieces:
+            done.append((doc, start, ids, total, sequence, offset))
+            offset += len(ids)
+        return done
+
+    def _closed(self) -> list[tuple]:
+        """All open windows strung together, the fullest first, and cut into full ones; what is left stays open."""
+        done, held, level = [], [], 0
+        for windows in reversed(self.at_level):
+            for doc, start, ids, total in (piece for pieces in windows for piece in pieces):
+                while len(ids):
+                    part = ids[: self.window - level]
+                    held.append((doc, start, part, total))
+                    ids, start, level = ids[len(part) :], start + len(part), level + len(part)
+                    if level == self.window:
+                        done += self._placed(held)
+                        held, level = [], 0
+            windows.clear()
+        self.counts[:], self.leave[:], self.reach[:-1], self.open = 0, _NEVER, 1, 0
+        if level:
+            self.at_level[level].append(held)
+            self._move(level, 1)
         return done
 
     def flush(self) -> list[tuple]:
-        """Close all open windows, each cut into sequences of falling powers of two."""
-        done = []
+        """Close all open windows; the last one is cut into sequences of falling powers of two."""
+        done = self._closed()
         for level, windows in enumerate(self.at_level):
-            for _, pieces in windows:
-                left, room, sequence, offset = level, 0, -1, 0
-                for doc, start, ids, total, _, _ in pieces:
+            for pieces in windows:
+                left, held, room = level, [], 1 << (level.bit_length() - 1)
+                for doc, start, ids, total in pieces:
                     while len(ids):
-                        if not room:
-                            room, sequence, offset = 1 << (left.bit_length() - 1), self._sequence(), 0
                         part = ids[:room]
-                        done.append((doc, start, part, total, sequence, offset))
-                        ids, start, offset = ids[len(part) :], start + len(part), offset + len(part)
-                        left, room = left - len(part), room - len(part)
+                        held.append((doc, start, part, total))
+                        ids, start, left, room = ids[len(part) :], start + len(part), left - len(part), room - len(part)
+                        if not room:
+                            done += self._placed(held)
+                            held, room = [], 1 << (left.bit_length() - 1) if left else 0
+                self._move(level, -1)
             windows.clear()
-        self.counts, self.used = [0] * self.window, []
         return done
 
 
@@ -224,7 +244,6 @@ def pack(
     window: int = WINDOW,
     end_id: int = END_ID,
     with_ids: bool = False,
-    cut_cost: int = 0,
 ) -> DataFrame:
     """Pieces: id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if asked for).
 
@@ -238,7 +257,7 @@ def pack(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer_path)
-        packer = Packer(TaskContext.get().partitionId() << LOCAL_BITS, window, cut_cost)
+        packer = Packer(TaskContext.get().partitionId() << LOCAL_BITS, window)
         tail = np.array([end_id], "<u4").tobytes()
         id_arrow = None
 

@@ -44,10 +44,10 @@ def packed(packer, sizes):
     return docs, placed, packer.flush()
 
 
-@pytest.mark.parametrize("cut_cost", [0, 2])
-def test_packer_places_every_id_once(cut_cost):
+@pytest.mark.parametrize("most_open", [3, 50, 4096])
+def test_packer_places_every_id_once(most_open):
     rng = random.Random(4)
-    docs, placed, rest = packed(Packer(0, 64, cut_cost), [rng.choice([1, 5, 30, 63, 64, 65, 200]) for _ in range(400)])
+    docs, placed, rest = packed(Packer(0, 64, most_open), [rng.choice([1, 5, 30, 63, 64, 65, 200]) for _ in range(400)])
     parts, windows = defaultdict(list), defaultdict(list)
     for doc, start, ids, total, sequence, offset in placed + rest:
         assert total == len(docs[doc])
@@ -61,34 +61,66 @@ def test_packer_places_every_id_once(cut_cost):
             assert offset == at
             at += length
         assert at <= 64 and at & (at - 1) == 0  # full, or a power of two: nothing is padded
+    assert sum(len(p[2]) for p in placed + rest) == sum(map(len, docs.values()))
+
+
+def lengths(n, seed=9):
+    rng = random.Random(seed)
+    return [int(rng.lognormvariate(6, 1)) + 1 for _ in range(n)]
+
+
+def test_many_windows_are_open_and_documents_are_cut_only_at_the_end():
+    sizes, packer, most, placed = lengths(10_000), Packer(0), 0, []
+    for doc, size in enumerate(sizes):
+        placed += packer.put(doc, np.zeros(size, "<u4"))
+        most = max(most, packer.open)
+    assert most > 200
+    whole = defaultdict(int)
+    for doc, *_ in placed:
+        whole[doc] += 1
+    assert all(n <= -(-sizes[doc] // 2048) for doc, n in whole.items())  # cut where longer than a window, nowhere else
+
+
+def test_windows_that_never_fit_are_closed_within_bounds():
+    packer, most = Packer(0, 64, 20), 0
+    for doc in range(500):
+        packer.put(doc, np.zeros(40, "<u4"))
+        most = max(most, packer.open)
+    assert most <= 20 and len(packer.flush()) > 0 and packer.open == 0
 
 
 @pytest.mark.parametrize("tasks", [8, 32, 211])
-def test_few_tokens_are_left_to_the_end_of_a_task(tasks):
-    rng = random.Random(9)
-    sizes = [int(rng.lognormvariate(6, 1)) + 1 for _ in range(10_000)]
-    left = sum(len(p[2]) for task in range(tasks) for p in packed(Packer(0), sizes[task::tasks])[2])
-    assert left < 0.05 * sum(sizes)
+def test_few_tokens_are_in_short_sequences(tasks):
+    sizes = lengths(10_000)
+    short = 0
+    for task in range(tasks):
+        windows = defaultdict(int)
+        for _, _, ids, _, sequence, _ in packed(Packer(0), sizes[task::tasks])[2]:
+            windows[sequence] += len(ids)
+        short += sum(n for n in windows.values() if n < 2048)
+    assert short < tasks * 2048 < 0.1 * sum(sizes)
 
 
 def test_level_choice_minimises_the_sum_of_squares():
     rng = random.Random(6)
     for _ in range(600):
-        packer = Packer(0, 16, rng.choice([0, 1, 3]))
-        packer.counts[1:] = [rng.choice([0, 0, 1, 2, 5]) for _ in range(15)]
-        packer.used = [level for level in range(1, 16) if packer.counts[level]]
+        packer = Packer(0, 16)
+        for level in range(1, 16):
+            for _ in range(rng.choice([0, 0, 1, 2, 5])):
+                packer._move(level, 1)
         size = rng.randint(1, 15)
 
         def cost(level):
             counts = list(packer.counts)
             if level:
                 counts[level] -= 1
-            if (level + size) % 16:
-                counts[(level + size) % 16] += 1
-            return sum(n * n for n in counts[1:]) + packer.cut_cost * (level + size > 16)
+            if level + size < 16:
+                counts[level + size] += 1
+            return sum(n * n for n in counts[1:])
 
-        choices = [level for level in range(16) if level == 0 or packer.counts[level]]
-        assert cost(packer.level_for(size)) == min(map(cost, choices))
+        choices = [level for level in range(16) if (level == 0 or packer.counts[level]) and level + size <= 16]
+        chosen = packer.level_for(size)
+        assert chosen in choices and cost(chosen) == min(map(cost, choices))
 
 
 def test_operator(spark, library):
