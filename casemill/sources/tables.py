@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casemill.functions import text as tx
+from casemill.session import ship_package
+from casemill.sources import records
 
 METADATA = T.MapType(T.StringType(), T.StructType([T.StructField("short_name", T.StringType()), T.StructField("year", T.StringType()), T.StructField("judges", T.ArrayType(T.StringType())), T.StructField("title", T.StringType())]))
 #: Fields of a simplified query file (fixed values).
@@ -30,13 +32,17 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(~(header & F.lower("file_name").startswith("file")) & (F.concat(*QUERY_FIELDS) != ""))
 
 
-def read_records(spark: SparkSession, path: str, starts: tuple[str, ...] = ("UKSC", "Tribunal"), fields: int = 10, least: int = 6) -> DataFrame:
-    """Records that begin at a newline and a court name, whose fields may hold newlines; padded to ``fields`` columns."""
-    whole = spark.read.text(path, wholetext=True)
-    marked = F.regexp_replace(F.regexp_replace("value", r"\s+$", ""), r"\r?\n(?=(?:" + "|".join(starts) + r")\t)", "\u0001")
-    records = whole.select(F.posexplode(F.split(marked, "\u0001")).alias("record", "line")).where("record > 0")
-    cells = F.split("line", "\t")
-    return records.where(F.size(cells) >= least).select("record", *[F.coalesce(F.get(cells, F.lit(n)), F.lit("")).alias(f"c{n}") for n in range(fields)])
+def read_records(spark: SparkSession, path: str, starts: tuple[str, ...] = ("UKSC", "Tribunal"), fields: int = 10, least: int = 6, range_bytes: int = records.RANGE_BYTES) -> DataFrame:
+    """file, at, c0, c1...: records that begin at a newline and a court name, whose fields may hold newlines; padded to ``fields`` columns.
+
+    Files are read by byte ranges, each task finishing the records that begin in its own; ``at`` is a record's first
+    byte, so it orders a file's records. Records of fewer than ``least`` fields are left out.
+    """
+    ship_package(spark)
+    records.register(spark)
+    rows = spark.read.format("casemill_records").option("starts", "|".join(starts)).option("rangeBytes", range_bytes).load(path)
+    cells = F.split("record", "\t")
+    return rows.where(F.size(cells) >= least).select("file", "at", *[F.coalesce(F.get(cells, F.lit(n)), F.lit("")).alias(f"c{n}") for n in range(fields)])
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
