@@ -294,3 +294,21 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from casemill.streaming.ingest import ingest_events
 
     return ingest_events(spark, sf_dir)
+
+
+@register("SELECT DISTINCT event_id, user_id, event_type FROM events")
+def stream_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events ingested as a bounded stream, at most once each, with state that expires."""
+    from casemill.streaming.ingest import recent_events
+
+    return recent_events(spark, sf_dir)
+
+
+@register("""SELECT event_id AS highlight_id, CASE event_type WHEN 'purchase' THEN 'purchase of ' || event_id WHEN 'error' THEN 'Error: error of ' || event_id ELSE CASE WHEN epoch_ms(ts) + 600000 < last - 300000 THEN 'Error: timed out' END END AS summarization,
+    CAST(CASE event_type WHEN 'purchase' THEN 180000 WHEN 'error' THEN 60000 END AS BIGINT) AS after_ms
+    FROM events, (SELECT max(epoch_ms(ts) + CASE event_type WHEN 'purchase' THEN 180000 WHEN 'error' THEN 60000 WHEN 'view' THEN 1800000 ELSE 0 END) AS last FROM events)""")
+def highlight_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highlights through keyed state with timers: answered, failed, answered too late or never."""
+    from casemill.streaming.ingest import event_highlights
+
+    return event_highlights(spark, sf_dir)

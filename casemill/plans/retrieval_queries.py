@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from casemill.functions import text as tx
 from casemill.functions import vector as vx
-from casemill.operators import greedy, retrieval, vector_index
+from casemill.operators import greedy, retrieval, table_functions, vector_index
 from casemill.plans.registry import Registry
 from casemill.plans.tables import table
 from casemill.scratch import fresh
@@ -207,3 +207,12 @@ def knn_index_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same index with all lists probed: what it holds is whole, and its ranking exact."""
     index, queries = _built(spark, sf_dir)
     return vector_index.search(index, queries, 10, probes=len(index.centroids)).withColumn("score", F.round("score", 6))
+
+
+@register(f"SELECT query_id, id, label, round(score, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM ({_ranked_sql()})")
+def match_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch search as a table function that SQL calls laterally for every twentieth id."""
+    _vectors(spark, sf_dir).createOrReplaceTempView("casemill_units")
+    table_functions.register_match(spark, "match_units", "casemill_units", "ip")
+    return spark.sql("""SELECT q.id AS query_id, m.id, m.label, round(m.similarity, 6) AS similarity, m.rank
+        FROM casemill_units q, LATERAL match_units(CAST(q.embedding AS ARRAY<DOUBLE>), NULL, 10, q.id) m WHERE q.id % 20 = 0""")
