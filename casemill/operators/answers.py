@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casemill.session import ship_package
+from casemill.sources.records import file_system
 
 #: Digits of a digest that prompts of one group share at least, and prompts that are asked before they are stored.
 GROUP_DIGITS, STORED = 2, 16
@@ -71,22 +72,16 @@ def stored(spark, store: str) -> DataFrame:
 
 
 def _read(spark, store: str) -> DataFrame:
-    system, path = _system(store)
+    system, path = file_system(store)
     system.create_dir(path, recursive=True)
     return spark.read.schema(_TABLE).option("recursiveFileLookup", "true").json(store)
 
 
-def _system(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if ":" in uri.split("/")[0] else (fs.LocalFileSystem(), uri)
-
-
 def _store(store: str, prompts: list[tuple[str, str]], ask: Callable[[str], str]) -> None:
     """Ask what no file of this group holds yet, and store it as one file whose name the prompts fix."""
     from pyarrow import fs
 
-    system, path = _system(store)
+    system, path = file_system(store)
     name = hashlib.sha256("".join(key for key, _ in prompts).encode()).hexdigest()
     target = f"{path.rstrip('/')}/{prompts[0][0][:GROUP_DIGITS]}/{name}.json"
     if system.get_file_info(target).type == fs.FileType.File:

@@ -211,10 +211,11 @@ def context(units: DataFrame, hits: DataFrame, offset: int, id_col: str = "id",
 
 
 def with_context(units: DataFrame, hits: DataFrame, offset: int = 0, id_col: str = "id", keys: tuple[str, ...] = ("doc_id", "section_title"),
-                 index: str = "sentence_index", text_col: str = "text") -> DataFrame:
+                 index: str = "sentence_index", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """hit_id, target (``offset`` places on) and the units before and after the target.
 
-    A hit asks for three places, which meet the units once; a target that is not there has no neighbours.
+    A hit asks for three places, which meet the units once; a target that is not there has no neighbours. With ``carry`` each row of
+    ``hits`` gets its own row with these columns of it (the query, the similarity, the rank); without, each id one.
     """
     asked = units.join(hits.select(F.col(id_col)).distinct(), id_col, "left_semi").select(
         F.col(id_col).alias("hit_id"), *[F.col(k) for k in keys], F.explode(F.array(*[F.lit(step) for step in (-1, 0, 1)])).alias("step"), F.col(index).alias("__own")
@@ -226,7 +227,8 @@ def with_context(units: DataFrame, hits: DataFrame, offset: int = 0, id_col: str
     for name in ("target", "previous", "next"):
         unit = F.when(there, F.col(name))
         cells += [F.coalesce(unit["id"], F.lit(EMPTY_UNIT["id"]).cast("long")).alias(f"{name}_id"), F.coalesce(unit["text"], F.lit(EMPTY_UNIT["text"])).alias(f"{name}_text")]
-    return found.select("hit_id", *cells)
+    whole = found.select("hit_id", *cells)
+    return whole.join(hits.select(F.col(id_col).alias("hit_id"), *carry), "hit_id") if carry else whole
 
 
 def score_list(score: Column, rank: Column) -> Column:

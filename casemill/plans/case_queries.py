@@ -318,15 +318,17 @@ def numbered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", jd.numbered_page(title, F.split("text", "\n")).alias("html"))
 
 
-@register("""SELECT page_id, 'ok' AS status, regexp_replace(url, '^https?://', '') || '.txt' AS out_text, CAST(length(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS BIGINT) AS chars FROM pages WHERE html <> ''
-    UNION ALL SELECT page_id, 'error: empty page', '', 0 FROM pages WHERE html = ''""")
+@register(f"""WITH p AS (SELECT page_id, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) AS paragraphs FROM ({PARAGRAPHS_SQL}) WHERE length(text) >= 10 GROUP BY page_id)
+    SELECT page_id, CASE WHEN paragraphs > 0 THEN 'ok' WHEN coalesce(html, '') = '' THEN 'error: empty page' ELSE 'error: no paragraphs' END AS status,
+        CASE WHEN paragraphs > 0 THEN regexp_replace(url, '^https?://', '') || '.txt' ELSE '' END AS out_text, coalesce(chars, 0) AS chars, coalesce(paragraphs, 0) AS paragraphs FROM pages LEFT JOIN p USING (page_id)""")
 def extraction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The log of an extraction: file, result, characters and status."""
-    title = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
-    ok = F.coalesce(F.col("html") != "", F.lit(False))
-    return table(spark, sf_dir, "pages").select(
-        "page_id", F.when(ok, "ok").otherwise("error: empty page").alias("status"),
-        F.when(ok, F.concat(F.regexp_replace("url", "^https?://", ""), F.lit(".txt"))).otherwise("").alias("out_text"), F.when(ok, F.length(title)).otherwise(0).cast("long").alias("chars"),
+    """The log of an extraction of all pages' paragraphs: file, result, characters and status."""
+    pages = table(spark, sf_dir, "pages")
+    found = extracted_paragraphs(pages).groupBy("page_id").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("paragraphs"))
+    ok, empty = F.coalesce(F.col("paragraphs") > 0, F.lit(False)), tx.or_empty(F.col("html")) == ""
+    return pages.join(found, "page_id", "left").select(
+        "page_id", F.when(ok, "ok").when(empty, "error: empty page").otherwise("error: no paragraphs").alias("status"),
+        F.when(ok, F.concat(F.regexp_replace("url", "^https?://", ""), F.lit(".txt"))).otherwise("").alias("out_text"), F.coalesce("chars", F.lit(0)).alias("chars"), F.coalesce("paragraphs", F.lit(0)).alias("paragraphs"),
     )
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casemill.functions import text as tx
 from casemill.functions import vector as vx
-from casemill.operators import greedy, retrieval, table_functions, vector_index
+from casemill.operators import answers, greedy, retrieval, service, table_functions, vector_index
 from casemill.plans.registry import Registry
 from casemill.plans.tables import table
 from casemill.scratch import fresh
+from casemill.sources import tables
 
 register = Registry()
 QUERIES, ORACLES = register.queries, register.oracles
@@ -29,20 +31,22 @@ def _queries(corpus: DataFrame) -> DataFrame:
     return corpus.where(F.col("id") % 20 == 0).withColumnRenamed("id", "query_id")
 
 
-def _first_vector(corpus: DataFrame) -> list[float]:
-    return list(corpus.where("id = 0").first()["embedding"])
+def _single_sql(score: str, k: int, above: str = "") -> str:
+    return f"""SELECT q.vec_id AS query_id, c.vec_id AS id, round({score}, 6) AS score, CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {score} DESC, c.vec_id) AS INTEGER) AS rank
+        FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 {above} QUALIFY rank <= {k}"""
 
 
-@register(f"SELECT c.vec_id AS id, c.label, round({_DOT}, 6) AS score FROM embeddings c, embeddings q WHERE q.vec_id = 0 ORDER BY {_DOT} DESC, c.vec_id LIMIT 10")
+@register(_single_sql(_DOT, 10))
 def knn_inner_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector against all rows, its own included."""
     corpus = _vectors(spark, sf_dir)
-    return retrieval.top_k_one(corpus, _first_vector(corpus), 10).select("id", "label", F.round("score", 6).alias("score"))
+    return retrieval.top_k(corpus, _queries(corpus), 10, drop_self=False).withColumn("score", F.round("score", 6))
 
 
-@register(f"SELECT c.vec_id AS id, c.label, round({_COSINE}, 6) AS score FROM embeddings c, embeddings q WHERE q.vec_id = 0 AND {_COSINE} > 0.2 ORDER BY {_COSINE} DESC, c.vec_id LIMIT 20")
+@register(_single_sql(_COSINE, 20, f"AND {_COSINE} > 0.2"))
 def knn_cosine_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = _vectors(spark, sf_dir)
-    return retrieval.top_k_one(corpus, _first_vector(corpus), 20, "cosine", 0.2).select("id", "label", F.round("score", 6).alias("score"))
+    return retrieval.top_k(corpus, _queries(corpus), 20, "cosine", 0.2, drop_self=False).withColumn("score", F.round("score", 6))
 
 
 def _ranked_sql(extra: str = "", k: int = 10) -> str:
@@ -81,12 +85,13 @@ def knn_prefiltered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""SELECT c.vec_id AS id, round({_DOT} / ({_NORM.format('c')} * {_NORM.format('q')} + 1e-9), 6) AS score, 0.0 AS zero_score
-    FROM embeddings c, embeddings q WHERE q.vec_id = 0""")
+    FROM embeddings c JOIN embeddings q ON q.vec_id = c.vec_id + 1""")
 def cosine_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector with the next one, by the cosine that can't divide by zero."""
     corpus = _vectors(spark, sf_dir)
-    query = F.array(*[F.lit(float(x)) for x in _first_vector(corpus)])
+    following = corpus.select((F.col("id") - 1).alias("id"), F.col("embedding").alias("next"))
     zero = vx.safe_score(vx.cosine(F.col("embedding"), vx.zero_vector(64)))
-    return corpus.select("id", F.round(vx.cosine(F.col("embedding"), query, 1e-9), 6).alias("score"), zero.alias("zero_score"))
+    return corpus.join(following, "id").select("id", F.round(vx.cosine(F.col("embedding"), F.col("next"), 1e-9), 6).alias("score"), zero.alias("zero_score"))
 
 
 @register(f"SELECT q.vec_id AS query_id, c.label, round(greatest(max({_COSINE}), 0.0), 4) AS best FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id GROUP BY ALL")
@@ -216,3 +221,43 @@ def match_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     table_functions.register_match(spark, "match_units", "casemill_units", "ip")
     return spark.sql("""SELECT q.id AS query_id, m.id, m.label, round(m.similarity, 6) AS similarity, m.rank
         FROM casemill_units q, LATERAL match_units(CAST(q.embedding AS ARRAY<DOUBLE>), NULL, 10, q.id) m WHERE q.id % 20 = 0""")
+
+
+_LETTERS = "list_transform(range(97, 123), lambda i: CAST(length({0}.text) - length(replace({0}.text, chr(CAST(i AS INTEGER)), '')) AS DOUBLE))"
+
+
+def letter_counts(texts: pd.Series) -> pd.Series:
+    """An embedder that needs no model: how often a text holds each letter from a to z."""
+    return pd.Series([[float((t or "").count(chr(c))) for c in range(97, 123)] for t in texts])
+
+
+@register(f"""WITH u AS (SELECT conv_id * 1000000 + turn AS id, conv_id, turn, role, text, {_LETTERS.format('conversations')} AS v FROM conversations),
+    q AS (SELECT item_id, {_LETTERS.format('benchmark')} AS v FROM benchmark),
+    h AS (SELECT q.item_id, u.*, list_cosine_similarity(u.v, q.v) AS s FROM q, u WHERE u.role = 'assistant' AND list_cosine_similarity(u.v, q.v) > 0.5),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY round(s, 9) DESC, id) AS INTEGER) AS rank FROM h QUALIFY rank <= 5)
+    SELECT r.item_id AS query_id, r.id AS hit_id, r.rank, round(r.s, 6) AS similarity, r.text AS target, coalesce(p.text, '') AS previous, coalesce(n.text, '') AS next
+    FROM r LEFT JOIN u p ON p.conv_id = r.conv_id AND p.turn = r.turn - 1 LEFT JOIN u n ON n.conv_id = r.conv_id AND n.turn = r.turn + 1""")
+def retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in, hits out in one call: the benchmark's items against the assistants' turns, with neighbours and similarities."""
+    units = _units(spark, sf_dir).join(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), F.col("role").alias("label")), "id")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = service.retrieve(asked, units, letter_counts, 5, label="assistant", threshold=0.5)
+    return found.select("query_id", "hit_id", "rank", F.round("similarity", 6).alias("similarity"), F.col("target_text").alias("target"), F.col("previous_text").alias("previous"), F.col("next_text").alias("next"))
+
+
+@register("SELECT conv_id, turn, CAST(length(substr(text, 1, 60 + turn % 3)) AS VARCHAR) AS answer FROM conversations")
+def answers_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A provider's answers about every turn; equal prompts are asked once."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr("substr(text, 1, int(60 + turn % 3))").alias("prompt"))
+    return answers.answered_once(rows, "prompt", lambda prompt: str(len(prompt)), fresh(spark, "answers")).select("conv_id", "turn", "answer")
+
+
+@register("""SELECT doc_id, translate(source, chr(9), ' ') AS source, md5(translate(text, chr(9) || chr(13), '  ')) AS digest FROM documents""")
+def records_by_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as records whose fields hold newlines, and read back by ranges of 64 KB."""
+    cell = lambda c: F.translate(F.col(c), "\t\r", "  ")
+    line = F.concat(F.lit("\nUKSC\t"), F.col("doc_id").cast("string"), F.lit("\t"), cell("source"), F.lit("\t"), cell("text"), F.lit("\tx\ty"))
+    folder = fresh(spark, "records")
+    table(spark, sf_dir, "documents").select(line.alias("value")).write.text(folder)
+    rows = tables.read_records(spark, folder, range_bytes=64 << 10)
+    return rows.select(F.col("c1").cast("long").alias("doc_id"), F.col("c2").alias("source"), F.md5("c3").alias("digest"))

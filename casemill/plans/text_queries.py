@@ -234,9 +234,9 @@ def shorten_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shorten_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One round: the best of three candidates by the sum of scores, the first of equals; below 1.5 it ends."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    cut = docs.select("*", F.posexplode(F.array(F.lit(95), F.lit(85), F.lit(60))).alias("candidate", "p"))
+    cut = docs.select("*", tx.distinct_words(F.col("text")).alias("words"), F.posexplode(F.array(F.lit(95), F.lit(85), F.lit(60))).alias("candidate", "p"))
     text, short = F.col("text"), F.substring(F.col("text"), F.lit(1), F.expr("int(length(text) * p div 100)"))
-    six = [F.round(f(text, short), 6) for f in (tx.meaning_score, tx.paraphrase_score, tx.length_score)]
+    six = [F.round(score, 6) for score in (tx.meaning_of(F.col("words"), short), tx.paraphrase_score(text, short), tx.length_score(text, short))]
     scored = cut.withColumn("score", F.round(six[0] + six[1] + six[2], 6))
     best = scored.groupBy("doc_id").agg(F.max_by("candidate", F.struct("score", -F.col("candidate"))).alias("candidate"), F.max("score").alias("score"))
     return best.withColumn("again", F.col("score") >= 1.5)

@@ -75,13 +75,14 @@ class _Reader(DataSourceReader):
     def read(self, partition: _Range) -> Iterator[tuple[str, int, str]]:
         if not partition.path:
             return
-        system, path = _system(partition.path)
+        system, path = file_system(partition.path)
         with system.open_input_file(path) as file:
             for at, record in records_between(file, partition.start, partition.end, self.words):
                 yield partition.path, at, record.decode("utf-8", "replace")
 
 
-def _system(uri: str):
+def file_system(uri: str):
+    """Arrow's file system of an address, and the path in it."""
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
@@ -92,7 +93,7 @@ def _files(uris: list[str]) -> Iterator[tuple[str, int]]:
     from pyarrow import fs
 
     for uri in uris:
-        system, path = _system(uri)
+        system, path = file_system(uri)
         info = system.get_file_info(path)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(uri)

@@ -32,7 +32,11 @@ def add_missing_columns(spark: SparkSession, name: str, columns: dict[str, str])
 
 
 def rewritten(spark: SparkSession, path: str, version: int, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Version ``version`` of a table as a change of the one before; no version is changed in place, and a replay overwrites its own."""
+    """Version ``version`` of a table as a change of the one before; no version is changed in place, and a replay overwrites its own.
+
+    Any change, of one row too, rewrites the whole table: Parquet files can't be changed. Small changes are better gathered
+    into one.
+    """
     before = spark.read.parquet(f"{path}/v={version - 1}")
     change(before).write.mode("overwrite").parquet(f"{path}/v={version}")
     return spark.read.parquet(f"{path}/v={version}")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,3 +73,34 @@ def split_valid(rows: DataFrame, dim: int, vector: str = "embedding") -> tuple[D
     cleaned = rows.withColumn("text", F.translate("text", "\x00", " ")) if "text" in rows.columns else rows
     good: Column = F.coalesce(F.size(F.col(vector)) == dim, F.lit(False))
     return cleaned.where(good), cleaned.where(~good)
+
+
+def write_jsonl(rows: DataFrame, path: str) -> None:
+    """One JSON object a line, nulls included."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_files(rows: DataFrame, folder: str, name: str, text: str, ending: str = ".md") -> int:
+    """One file a row: its column ``text`` under the safe stem of ``name``, overwriting; how many were written.
+
+    Tasks write their own rows by Arrow's file systems, each file whole or not at all; of rows with one stem one file is left, that of the
+    larger text. Rows without a name or a text are left out.
+    """
+    ship_package(rows.sparkSession)
+    given = rows.select(tx.file_stem(F.col(name).cast("string")).alias("stem"), F.col(text).alias("text")).where("stem <> '' AND text IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, path = records.file_system(folder)
+        system.create_dir(path, recursive=True)
+        written = 0
+        for batch in batches:
+            for stem, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                target = f"{path.rstrip('/')}/{stem}{ending}"
+                with system.open_output_stream(f"{target}.part") as file:
+                    file.write(body.encode())
+                system.move(f"{target}.part", target)
+                written += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([written], pa.int64())})
+
+    whole = given.groupBy("stem").agg(F.max("text").alias("text"))
+    return whole.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
