@@ -5,8 +5,10 @@ that are open, their class, id and role names, and whether it is link text. Thes
 regression fitted to labelled pages, and the score is the log-odds of standing in the labelled content; a tag
 always costs, and more where tags are seldom in content. One linear scan finds all maximal subsequences
 (Ruzzo and Tompa); the best one is the content region, with those that stand in the same article or score
-a good part of it (content that a list of links, say, cuts in two). Words of the regions that score above zero are
-the text, joined block by block. Only what HTML never shows is left out without a score.
+a good part of it (content that a list of links, say, cuts in two). Where the region stands in an article element, what
+lies outside it is not its text, whatever it is called and in whatever language: remarks and notices behind the article, articles
+inside it (readers' comments, by the HTML standard), and other articles that score little beside it. Words of the regions that score
+above zero are the text, joined block by block. Only what HTML never shows is left out without a score.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ REGION_SHARE = 0.2
 
 @dataclass(slots=True)
 class Run:
-    """A tag (words 0) or a text run of a page: score of a word or of the tag, words, text, block, the article it stands in (0: none), label, features."""
+    """A tag (words 0) or a text run of a page: score of a word or of the tag, words, text, block, the innermost article or main element it stands in (0: none), label, features, the one around that, and whether it stands in an h1."""
 
     score: float
     words: int
@@ -69,6 +71,8 @@ class Run:
     main: int
     inside: bool
     features: tuple[str, ...] = ()
+    around: int = 0
+    title: bool = False
 
 
 @dataclass(frozen=True)
@@ -111,7 +115,8 @@ def runs(html: str, weights: Weights = Weights(), labelled: bool = False) -> lis
     ``labelled`` keeps each run's features, for fitting.
     """
     found: list[Run] = []
-    stack: list[tuple[str, bool, int, tuple[str, ...]]] = []  # name, unseen, main, features
+    stack: list[tuple[str, bool, int, tuple[str, ...]]] = []  # name, unseen, the main before it, features
+    around = [0]  # of each main the one it stands in
     open_at: dict[str, list[int]] = defaultdict(list)  # the depths at which a name is open
     blocks_at: list[int] = []  # the depths of open blocks
     active: dict[str, int] = defaultdict(int)
@@ -133,14 +138,15 @@ def runs(html: str, weights: Weights = Weights(), labelled: bool = False) -> lis
             blocks_at.append(len(stack))
         stack.append((name, hidden, main, features))
         unseen += hidden
-        if name in MAIN and not main:
+        if name in MAIN and (name == "article" or not main):
             mains += 1
+            around.append(main)
             main = mains
 
     def pop_to(depth: int) -> None:
         nonlocal level, unseen, main
         while len(stack) > depth:
-            name, hidden, main, features = stack.pop()
+            name, hidden, main, features = stack.pop()  # main: back to what was around
             open_at[name].pop()
             if name in BLOCKS:
                 blocks_at.pop()
@@ -152,7 +158,7 @@ def runs(html: str, weights: Weights = Weights(), labelled: bool = False) -> lis
                     level -= weights.of.get(feature, 0.0)
 
     def add(score: float, words: int, text: str) -> None:
-        found.append(Run(score, words, text, block, main, inside, tuple(active) if labelled else ()))
+        found.append(Run(score, words, text, block, main, inside, tuple(active) if labelled else (), around[main], bool(open_at["h1"])))
 
     def add_text(raw: str) -> None:
         if not unseen and raw:
@@ -273,21 +279,50 @@ def content_regions(page: Sequence[Run]) -> list[tuple[int, int]]:
     if not regions:
         return []
     start, stop, best = max(regions, key=lambda region: (region[2], -region[0]))
-    mains = {run.main for run in page[start:stop] if run.words} - {0}
+    mains = {run.around or run.main for run in page[start:stop] if run.words} - {0}
     return [
         (first, last) for first, last, score in regions
-        if score >= REGION_SHARE * best or any(run.main in mains for run in page[first:last] if run.words)
+        if score >= REGION_SHARE * best or any((run.around or run.main) in mains for run in page[first:last] if run.words)
     ]
 
 
+def content_runs(page: Sequence[Run]) -> list[Run]:
+    """The runs of the content regions that are text of the page, and the tags among them.
+
+    An article (or a main element) is the text's own if it has the page's title, an h1 inside it or before it in the main element around
+    it, and REGION_SHARE of what the regions score, or if it has half of that without one. Others beside it with REGION_SHARE of
+    its score are text too, and so is what the main element around it holds before it begins; what comes behind, stands
+    outside or is an article inside it is not. Without such an element all of the regions is text.
+    """
+    kept = [(at, page[at]) for start, stop in content_regions(page) for at in range(start, stop)]
+    scores: dict[int, float] = defaultdict(float)
+    begins: dict[int, int] = {}
+    for at, run in kept:
+        if run.score > 0 and run.words:
+            scores[run.main] += run.score * run.words
+            begins.setdefault(run.main, at)
+    parents = {run.main: run.around for _, run in kept}
+    titles = [(at, run.main) for at, run in kept if run.title and run.words]
+    whole = sum(scores.values())
+
+    def titled(main: int) -> bool:
+        return any(scope == main or (scope and scope == parents[main] and at < begins[main]) for at, scope in titles)
+
+    own = [main for main, score in scores.items() if main and (2 * score >= whole or score >= REGION_SHARE * whole and titled(main))]
+    if not own:
+        return [run for _, run in kept]
+    best = max(own, key=lambda main: (titled(main), scores[main] * (1 + bool(parents[main])), -main))  # an inner one counts twice
+    chosen = {main for main, score in scores.items() if main and score >= REGION_SHARE * scores[best]}
+    chosen = {main for main in chosen if main == best or not (parents[main] == best or parents[best] == main)}
+    return [run for at, run in kept if run.main in chosen or (run.main and run.main == parents[best] and at < begins[best])]
+
+
 def main_text(html: str, weights: Weights) -> str:
     """The page's main text: blocks in order joined by a newline, white space inside a block made one blank."""
-    page = runs(html, weights)
     blocks: dict[int, list[str]] = {}
-    for start, stop in content_regions(page):
-        for run in page[start:stop]:
-            if run.score > 0 or not run.words:
-                blocks.setdefault(run.block, []).append(run.text)
+    for run in content_runs(runs(html, weights)):
+        if run.score > 0 or not run.words:
+            blocks.setdefault(run.block, []).append(run.text)
     joined = (" ".join("".join(parts).split()) for parts in blocks.values())
     return "\n".join(block for block in joined if block)
 

@@ -121,3 +121,34 @@ def test_operator(spark):
     expected = [(1, "u", PROSE, len(PROSE)), (None, None, "", 0), (1, "u", "", 0), (1, "u", "", 0), (2, "l", whole, len(whole))]
     assert sorted(str(tuple(r)) for r in extract(pages).collect()) == sorted(map(str, expected))
     assert extract(pages.limit(0)).count() == 0
+
+
+ARTICLE = f"<h1>Titel</h1><p>{PROSE}</p><p>{PROSE} {PROSE}</p>"
+WANTED = f"Titel\n{PROSE}\n{PROSE} {PROSE}"
+REMARKS = "".join(f"<div><b>Anna {n}</b><p>Ganz anderer Meinung, {PROSE}</p></div>" for n in range(4))
+
+
+@pytest.mark.parametrize("page", [
+    f"<article>{ARTICLE}</article><section id='discussion'>{REMARKS}</section>",
+    f"<article>{ARTICLE}</article><div class='kommentare'>{REMARKS}</div>",
+    f"<div class='cmp-dialog'><p>Wir und unsere Partner, {PROSE}</p><button>Ja</button></div><article>{ARTICLE}</article>",
+    f"<main><article>{ARTICLE}</article><section class='opinions-lecteurs'>{REMARKS}</section></main>",
+    f"<main><h1>Titel</h1><article><p>{PROSE}</p><p>{PROSE} {PROSE}</p></article><div id='opiniones'>{REMARKS}</div></main>",
+    f"<article>{ARTICLE}<div>{''.join(f'<article><p>{r} {PROSE}</p></article>' for r in 'abc')}</div></article>",
+    f"<article>{ARTICLE}{ARTICLE.replace('Titel', 'Mehr')}</article>" + "".join(f"<article><p>Teaser {n}</p></article>" for n in range(5)),
+    f"<main>{ARTICLE}</main><div class='x9f3'>{REMARKS}</div><div class='q1'><p>Publicité: {PROSE}</p></div>",
+    f"<div class='wrapper'><article>{ARTICLE}</article><div class='ugc'>{REMARKS}</div></div>",
+])
+def test_what_stands_outside_the_article_goes_whatever_its_name(page):
+    wanted = f"{WANTED}\n{WANTED.replace('Titel', 'Mehr')}" if "Mehr" in page else WANTED
+    assert text(page) == wanted
+
+
+def test_two_articles_of_a_page_stay():
+    assert text(f"<article>{ARTICLE}</article><article>{ARTICLE}</article>") == f"{WANTED}\n{WANTED}"
+
+
+def test_a_teaser_inside_the_main_element_is_not_the_page():
+    body = "".join(f"<p>{n} {PROSE} {PROSE}</p>" for n in range(6))
+    page = f"<main><h1>Titel</h1>{body}<article><p>{PROSE}</p><p>{PROSE}</p></article></main>"
+    assert text(page) == "\n".join(["Titel", *[f"{n} {PROSE} {PROSE}" for n in range(6)]])
