@@ -311,7 +311,11 @@ def content_runs(page: Sequence[Run]) -> list[Run]:
     own = [main for main, score in scores.items() if main and (2 * score >= whole or score >= REGION_SHARE * whole and titled(main))]
     if not own:
         return [run for _, run in kept]
-    best = max(own, key=lambda main: (titled(main), scores[main] * (1 + bool(parents[main])), -main))  # an inner one counts twice
+    # an article inside a main element is the text if little stands before it there, else what stands before it is
+    before = {main: sum(run.score * run.words for at, run in kept if run.score > 0 and run.main == parents[main] and at < begins[main]) for main in own if parents[main]}
+    inner = {main for main, score in before.items() if score < scores[main] and titled(main)}
+    own = [main for main in own if main in inner or not parents[main]] or own
+    best = max(own, key=lambda main: (titled(main), main in inner, scores[main], -main))
     chosen = {main for main, score in scores.items() if main and score >= REGION_SHARE * scores[best]}
     chosen = {main for main in chosen if main == best or not (parents[main] == best or parents[best] == main)}
     return [run for at, run in kept if run.main in chosen or (run.main and run.main == parents[best] and at < begins[best])]
