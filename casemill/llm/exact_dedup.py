@@ -1,62 +1,60 @@
 """Exact duplicates by an exchange of Golomb-coded fingerprints.
 
-1. Senders hash every text to 64 bits and write (id, digest, hash, block) to the shared folder; a block is
-   a bounded run of one task's rows.
-2. Each block sends every owner (a range of hash values) its sorted hashes as a Golomb-Rice code of the
-   gaps. An owner merges what it got and returns to each block a bitmap of the hashes seen more than once.
-3. Rows whose bit is set are suspects. A bitmap of their hashes, bounded in size, lets the scan pass their texts
-   (and few others) to the shuffle; the texts of a digest are compared byte by byte, and digests whose texts differ
-   are grouped by the text itself.
+1. Every text is hashed to 64 bits; (id, digest, hash) are written to the shared folder.
+2. Senders read their own part of these hashes, without a shuffle, in blocks of a bounded number of rows. A block becomes one row: for
+   every owner (a range of hash values) the Golomb-Rice code of the gaps between its sorted hashes. Only codes travel.
+3. An owner merges what it got and returns to each block a bitmap of the hashes seen more than once; a block's row meets its
+   bitmaps and gives the hashes of suspects.
+4. A bitmap of these, bounded in size, lets the scan pass the suspects' texts (and few others) to the shuffle; the texts of
+   a digest are compared byte by byte, and digests whose texts differ are grouped by the text itself.
 
 What an owner holds is bounded by the number of owners, which follows the number of rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casemill.llm.shared import only_possible, remove, ship_package, text_of, written
+from casemill.llm.shared import only_possible, remove, ship_package, text_of, tidied, written
 
 #: Hashes an owner sees on average; sets the number of owners.
 ROWS_PER_OWNER = 1_000_000
 #: Rows of one block.
 BLOCK_ROWS = 100_000
 
+
 def rice_encode(gaps: np.ndarray, shift: int) -> bytes:
-    """Golomb-Rice code of non-negative gaps with divisor 2**shift: unary quotient, then the remainder's bits."""
+    """Golomb-Rice code of non-negative gaps with divisor 2**shift: the quotients in unary, each ended by a zero, and behind them the remainders' bits."""
     if not gaps.size:
         return b""
     gaps = gaps.astype(np.uint64)
-    quotient = (gaps >> np.uint64(shift)).astype(np.int64)
-    ends = np.cumsum(quotient + 1 + shift)
-    bits = np.ones(int(ends[-1]), np.uint8)
-    bits[ends - shift - 1] = 0  # ends the unary part
-    for place in range(shift):
-        bits[ends - 1 - place] = (gaps >> np.uint64(place)) & np.uint64(1)
-    return np.packbits(bits).tobytes()
+    ends = np.cumsum((gaps >> np.uint64(shift)).astype(np.int64) + 1)
+    unary = np.ones(int(ends[-1]), np.uint8)
+    unary[ends - 1] = 0
+    places = np.arange(shift - 1, -1, -1, dtype=np.uint64)
+    rest = ((gaps[:, None] >> places[None, :]) & np.uint64(1)).astype(np.uint8)
+    return np.packbits(unary).tobytes() + np.packbits(rest.ravel()).tobytes()
 
 
 def rice_decode(coded: bytes, count: int, shift: int) -> np.ndarray:
     """The gaps behind :func:`rice_encode`."""
-    gaps = np.empty(count, np.uint64)
     if not count:
-        return gaps
-    bits = np.unpackbits(np.frombuffer(coded, np.uint8))
-    zeros = np.flatnonzero(bits == 0)
-    stops, at, seen = np.empty(count, np.int64), 0, 0
-    zero_list = zeros.tolist()
-    for row in range(count):
-        while zero_list[seen] < at:  # zeros inside the last remainder
-            seen += 1
-        stops[row] = zero_list[seen]
-        at = zero_list[seen] + 1 + shift
-    starts = np.concatenate(([0], stops[:-1] + 1 + shift))
-    gaps[:] = (stops - starts).astype(np.uint64) << np.uint64(shift)
+        return np.empty(0, np.uint64)
+    rest_bytes = -(-count * shift // 8)
+    data = np.frombuffer(coded, np.uint8)
+    unary, rest = data[: len(data) - rest_bytes], data[len(data) - rest_bytes :]
+    stops = np.flatnonzero(np.unpackbits(unary) == 0)[:count]  # zeros behind the last one fill its byte
+    gaps = np.diff(stops, prepend=-1).astype(np.uint64) - np.uint64(1) << np.uint64(shift)
+    bits = np.unpackbits(rest)[: count * shift].reshape(count, shift)
     for place in range(shift):
-        gaps |= bits[stops + shift - place].astype(np.uint64) << np.uint64(place)
+        gaps |= bits[:, place].astype(np.uint64) << np.uint64(shift - 1 - place)
     return gaps
 
 
@@ -65,28 +63,47 @@ def rice_shift(span: int, count: int) -> int:
     return max(0, (max(1, span // max(1, count))).bit_length() - 1)
 
 
-def _as_unsigned(values: pd.Series | np.ndarray) -> np.ndarray:
-    return np.asarray(values, np.int64).view(np.uint64)
+def _span(owners: int) -> int:
+    """Hash values of one owner; a single one would have more than 64 bits can count."""
+    return (1 << 64) // max(2, owners) + 1
+
+
+def sealed(hashes: np.ndarray, owners: int) -> list[dict]:
+    """One block's messages: per owner its sorted distinct hashes, coded, and which of them the block repeats."""
+    span = _span(owners)
+    values, counts = np.unique(hashes.view(np.uint64), return_counts=True)
+    owner = (values // np.uint64(span)).astype(np.int64)
+    cuts = np.flatnonzero(np.diff(owner, prepend=-1))
+    out = []
+    for start, stop in zip(cuts, [*cuts[1:], len(owner)], strict=True):
+        part = values[start:stop] - np.uint64(int(owner[start]) * span)
+        shift = rice_shift(span, len(part))
+        coded = rice_encode(np.diff(part, prepend=np.uint64(0)), shift)
+        out.append({"owner": int(owner[start]), "n": len(part), "shift": shift, "coded": coded, "again": np.packbits(counts[start:stop] > 1).tobytes()})
+    return out
+
+
+_MESSAGES = "array<struct<owner:long,n:long,shift:int,coded:binary,again:binary>>"
+_MESSAGE = pa.list_(pa.struct([("owner", pa.int64()), ("n", pa.int64()), ("shift", pa.int32()), ("coded", pa.binary()), ("again", pa.binary())]))
+
 
+def _send(owners: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, block = [], 0, TaskContext.get().partitionId() << 32
 
-def _sender(owners: int):
-    span = (1 << 64) // owners + 1
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sealed(np.concatenate(held), owners)], _MESSAGE)], ["block", "messages"])
 
-    def send(rows: pd.DataFrame) -> pd.DataFrame:
-        """One block's messages: per owner its sorted distinct hashes, coded, and which of them the block repeats."""
-        values, counts = np.unique(_as_unsigned(rows["hash"]), return_counts=True)
-        owner = (values // np.uint64(span)).astype(np.int64)
-        cuts = np.flatnonzero(np.diff(owner, prepend=-1))
-        out = []
-        for start, stop in zip(cuts, [*cuts[1:], len(owner)], strict=True):
-            part = values[start:stop] - np.uint64(int(owner[start]) * span)
-            shift = rice_shift(span, len(part))
-            coded = rice_encode(np.diff(part, prepend=np.uint64(0)), shift)
-            again = np.packbits(counts[start:stop] > 1).tobytes()
-            out.append((int(owner[start]), rows["block"].iloc[0], len(part), shift, coded, again))
-        return pd.DataFrame(out, columns=["owner", "block", "n", "shift", "coded", "again"])
+        for batch in batches:
+            held.append(batch.column(0).to_numpy(zero_copy_only=False))
+            rows += batch.num_rows
+            if rows >= BLOCK_ROWS:
+                yield row()
+                held, rows, block = [], 0, block + 1
+        if rows:
+            yield row()
 
-    return send
+    return run
 
 
 def _reply(sent: pd.DataFrame) -> pd.DataFrame:
@@ -105,18 +122,28 @@ def _reply(sent: pd.DataFrame) -> pd.DataFrame:
 
 
 def _suspects(owners: int):
-    span = (1 << 64) // owners + 1
+    span = _span(owners)
 
-    def mark(key: tuple, rows: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        """A block's distinct hashes whose bit is set."""
-        distinct = np.unique(_as_unsigned(rows["hash"]))
-        flags = np.zeros(len(distinct), bool)
-        starts = np.searchsorted((distinct // np.uint64(span)).astype(np.int64), replies["owner"].to_numpy())
-        for start, n, bitmap in zip(starts, replies["n"], replies["bitmap"], strict=True):
-            flags[start : start + n] = np.unpackbits(np.frombuffer(bitmap, np.uint8))[:n].astype(bool)
-        return pd.DataFrame({"hash": distinct[flags].view(np.int64)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's distinct hashes whose bit is set."""
+        for batch in batches:
+            for at in range(batch.num_rows):
+                replies = {r["owner"]: r["bitmap"] for r in batch.column(1)[at].as_py()}
+                found = [np.empty(0, np.uint64)]
+                for part in batch.column(0)[at].as_py():
+                    values = np.cumsum(rice_decode(part["coded"], part["n"], part["shift"]), dtype=np.uint64) + np.uint64(part["owner"] * span)
+                    found.append(values[np.unpackbits(np.frombuffer(replies[part["owner"]], np.uint8))[: part["n"]].astype(bool)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["hash"])
 
-    return mark
+    return run
+
+
+def _digest(text: Column) -> Column:
+    return F.unhex(F.sha2(text, 256))
+
+
+def _hash(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def dedup_exact(
@@ -138,41 +165,33 @@ def dedup_exact(
     ship_package(spark)
     text = text_of(normalise if normalise is not None else text_col)
     source = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-    # blocks: runs of a task's rows; written once, so that blocks stay as they are
-    hashed = source.select(
-        "id", F.unhex(F.sha2("text", 256)).alias("digest"), F.xxhash64("text").alias("hash"),
-        F.floor(F.monotonically_increasing_id() / BLOCK_ROWS).alias("block"),
-    )
+    hashed = source.select("id", _digest(F.col("text")).alias("digest"), _hash(F.col("text")).alias("hash"))
     prints, _ = written(spark, hashed, "fingerprints")
     if owners is None:
         owners = max(spark.sparkContext.defaultParallelism, -(-prints.count() // ROWS_PER_OWNER))
-    # a block's rows lie in one file, but readers may split it: gather them by block
-    by_block = prints.select("block", "hash")
-    sent = (
-        by_block.groupBy("block")
-        .applyInPandas(
-            _sender(owners),
-            "owner long, block long, n long, shift int, coded binary, again binary",
-        )
-    )
+    send, mark = _send(owners), _suspects(owners)
+    blocks, blocks_path = written(spark, prints.select("hash").mapInArrow(lambda batches: tidied(send(batches)), f"block long, messages {_MESSAGES}"), "blocks")
+    sent = blocks.select("block", F.inline("messages"))
     replies = sent.groupBy("owner").applyInPandas(_reply, "owner long, block long, n long, bitmap binary")
-    marks = by_block.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(_suspects(owners), "hash long")
+    gathered = replies.groupBy("block").agg(F.collect_list(F.struct("owner", "bitmap")).alias("replies"))  # a bit for each of a block's hashes
+    marks = blocks.join(gathered, "block").select("messages", "replies").mapInArrow(lambda batches: tidied(mark(batches)), "hash long")
     marks, marks_path = written(spark, marks.distinct(), "suspects")
-    suspects = only_possible(source, F.xxhash64("text"), marks, marks.count())
+    remove(spark, blocks_path)
+    suspects = only_possible(source, _hash(F.col("text")), marks, marks.count())
     # a digest's rows are summed, and equal texts become one, before they are shuffled
-    groups = suspects.groupBy(F.unhex(F.sha2("text", 256)).alias("digest")).agg(
+    groups = suspects.groupBy(_digest(F.col("text")).alias("digest"), _hash(F.col("text")).alias("hash")).agg(
         F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), F.collect_set("text").alias("texts")
     )
-    groups = groups.where("group_size > 1").select("digest", "keep_id", "group_size", (F.size("texts") == 1).alias("same"))
+    groups = groups.where("group_size > 1").select("digest", "hash", "keep_id", "group_size", (F.size("texts") == 1).alias("same"))
     groups, _ = written(spark, groups, "groups")
     remove(spark, marks_path)
-    plain = prints.join(groups.where("same").drop("same"), "digest", "left").select("id", "digest", "keep_id", "group_size")
-    clashing = groups.where(~F.col("same")).select("digest")
-    if not clashing.isEmpty():  # different texts of one digest: group by the text itself
-        theirs = source.withColumn("digest", F.unhex(F.sha2("text", 256))).join(clashing, "digest", "left_semi")
+    plain = prints.join(groups.where("same").drop("same"), ["digest", "hash"], "left").select("id", "digest", "hash", "keep_id", "group_size")
+    clashing = groups.where(~F.col("same")).select("digest", "hash")
+    if not clashing.isEmpty():  # different texts of one digest and hash: group by the text itself
+        theirs = source.withColumns({"digest": _digest(F.col("text")), "hash": _hash(F.col("text"))}).join(clashing, ["digest", "hash"], "left_semi")
         exact = theirs.groupBy("text").agg(F.max("id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        plain = plain.join(clashing, "digest", "left_anti").unionByName(
-            theirs.join(exact, "text").select("id", "digest", "keep_id", "group_size")
+        plain = plain.join(clashing, ["digest", "hash"], "left_anti").unionByName(
+            theirs.join(exact, "text").select("id", "digest", "hash", "keep_id", "group_size")
         )
     single = F.col("group_size").isNull()
     keep = F.when(single, F.col("id")).otherwise(F.col("keep_id"))
