@@ -17,7 +17,7 @@ from casemill.scratch import written
 
 #: Characters of a core by which hits are compared from their beginning: all of them, but those of the shorter one if it has at least LEAST.
 HEAD, LEAST = 130, 80
-#: Hits of a query that are looked at first, and how many times as many next time.
+#: Hits of a query that are looked at first, about, and how many times as many next time.
 FIRST, FURTHER = 64, 16
 
 
@@ -29,26 +29,24 @@ def keep_distinct_hits(hits: DataFrame, most: int = 10, query: str = "query_id",
     query share, from whatever number on and with gaps. Only hits up to rank ``candidate_limit`` count (the search's own oversampling; None: all of
     them). A null query is a query; an empty table gives no rows.
     """
-    usable = hits.where(F.coalesce(F.col(core), F.lit("")) != "")
-    if candidate_limit is not None:
-        usable = usable.where(F.col(rank) <= candidate_limit)
+    usable = hits if candidate_limit is None else hits.where(F.col(rank) <= candidate_limit)
     named = usable.select(F.to_json(F.struct(query)).alias("q"), F.col(rank).cast("long").alias("rank"), F.col(core).alias("core"))
     # of equal cores the first alone can be accepted
-    firsts = written(named.groupBy("q", "core").agg(F.min("rank").alias("rank")), "greedy-cores")
-    accepted, open_queries, reach = [], None, FIRST
+    firsts = written(named.groupBy("q", "core").agg(F.min("rank").alias("rank")), "greedy-cores").where("core <> ''")  # tested when it is there: cores are dear
+    spread = firsts.groupBy("q").agg(F.min("rank").alias("low"), F.max("rank").alias("high"), F.count(F.lit(1)).alias("n"))
+    # ranks may have gaps: so many of them hold FIRST hits
+    queries = written(spread.select("q", "low", "high", ((F.col("high") - F.col("low") + 1) * FIRST / F.col("n")).alias("reach")), "greedy-queries")
+    accepted, further = [], 1
     while True:
-        # the first ``reach`` ranks of each query that is not done yet
-        low = firsts.groupBy("q").agg(F.min("rank").alias("low"), F.max("rank").alias("high"))
-        if open_queries is not None:
-            low = low.join(open_queries, "q", "left_semi")
-        part = firsts.join(written(low, "greedy-queries"), "q").where(F.col("rank") < F.col("low") + reach)
+        end = F.col("low") + F.col("reach") * further
+        part = firsts.join(queries, "q").where(F.col("rank") < end)
         chosen = written(_rounds(part.select("q", "rank", "core"), most), "greedy-chosen")
         done = chosen.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= most)
-        left = written(low.where(F.col("high") >= F.col("low") + reach).join(done, "q", "left_anti").select("q"), "greedy-open")
-        accepted.append(chosen.join(left, "q", "left_anti"))
+        left = written(queries.where(F.col("high") >= end).join(done, "q", "left_anti"), "greedy-open")
+        accepted.append(chosen.join(left.select("q"), "q", "left_anti"))
         if left.isEmpty():
             break
-        open_queries, reach = left, reach * FURTHER
+        queries, further = left, further * FURTHER
     found = accepted[0]
     for more in accepted[1:]:
         found = found.unionByName(more)
@@ -71,12 +69,12 @@ def _rounds(cores: DataFrame, most: int) -> DataFrame:
         fresh = written(undecided.join(blocked, ["q", "rank"], "left_anti"), "greedy-fresh")
         accepted.append(fresh)
         # keys of the accepted: whoever holds one beside them, with one of the two as its own, is refused
-        taken = written(keys.join(fresh, ["q", "rank"], "left_semi").groupBy("q", "key").agg(F.max("own").alias("taken_own")), "greedy-taken")
+        taken = keys.join(fresh, ["q", "rank"], "left_semi").groupBy("q", "key").agg(F.max("own").alias("taken_own"))
         refused = keys.join(taken, ["q", "key"]).where(F.col("own") | F.col("taken_own")).select("q", "rank").distinct()
         so_far = accepted[0]
         for more in accepted[1:]:
             so_far = so_far.unionByName(more)
-        last = written(_first(so_far, most).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last")).where(F.col("n") >= most).drop("n"), "greedy-last")
+        last = _first(so_far, most).groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("last")).where(F.col("n") >= most).drop("n")
         rest = undecided.join(fresh, ["q", "rank"], "left_anti").join(refused, ["q", "rank"], "left_anti").join(last, "q", "left").where("last IS NULL OR rank < last")
         undecided = written(rest.select("q", "rank"), "greedy-hits")
         if undecided.isEmpty():

@@ -8,7 +8,8 @@ from pyspark.sql import SparkSession
 def register_match(spark: SparkSession, name: str, table: str, metric: str = "cosine", id_col: str = "id", vector_col: str = "embedding") -> None:
     """``name(query, threshold, most, own)`` over the view or table ``table``: all its columns but the vector, ``similarity`` and ``rank``.
 
-    ``SELECT q.id, m.* FROM asked q, LATERAL name(q.embedding, 0.2D, 10, q.id) m`` searches for every row. The threshold is strict and
+    ``SELECT q.id, m.* FROM asked q, LATERAL name(q.embedding, 0.2D, 10, q.id) m`` searches for every row; filters on
+    ``q`` belong into a subquery, as Spark forms the distinct queries before it looks at what stands behind. The threshold is strict and
     holds for the cosine metric only, as in the other searches; null means none. ``own`` is an id that is left out, null
     for none. Ties go to the smaller id. Spark turns the lateral call into a join of the distinct queries with the table and
     keeps ``most`` rows of each before it shuffles them. Null vectors, vectors of another length and scores that are no numbers
@@ -29,12 +30,12 @@ def register_match(spark: SparkSession, name: str, table: str, metric: str = "co
     if metric == "cosine":
         score = f"try_divide({score}, sqrt({total(vector, vector)}) * sqrt({total(query, query)}))"
     above = f" AND ({name}.threshold IS NULL OR similarity > {name}.threshold)" if metric == "cosine" else ""
+    # scores that are no numbers come last, and what is under the threshold comes behind what is above it: ranks hold without them
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {name}(query ARRAY<DOUBLE>, threshold DOUBLE, most INT, own {own})
         RETURNS TABLE ({returned}, similarity DOUBLE, rank INT)
         RETURN SELECT {names}, similarity, place FROM (
-            SELECT *, row_number() OVER (ORDER BY similarity DESC, `{id_col}`) AS place FROM (
-                SELECT {columns}, {score} AS similarity FROM {table} t
-                WHERE size({vector}) = size({query}) AND NOT (t.`{id_col}` <=> {name}.own AND {name}.own IS NOT NULL))
-            WHERE similarity IS NOT NULL AND NOT isnan(similarity){above})
-        WHERE place <= {name}.most""")
+            SELECT *, row_number() OVER (ORDER BY similarity DESC NULLS LAST, `{id_col}`) AS place FROM (
+                SELECT {columns}, nullif({score}, DOUBLE('NaN')) AS similarity FROM {table} t
+                WHERE size({vector}) = size({query}) AND NOT (t.`{id_col}` <=> {name}.own AND {name}.own IS NOT NULL)))
+        WHERE place <= {name}.most AND similarity IS NOT NULL{above}""")

@@ -191,7 +191,7 @@ def similarity_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents of each source, in the order of their ids, through the greedy near-duplicate filter."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", tx.core_text(F.col("text")).alias("core"))
-    return greedy.keep_distinct_hits(docs, 10, "source", candidate_limit=None, rank="doc_id")
+    return greedy.keep_distinct_hits(docs, 10, "source", candidate_limit=None, rank="doc_id").select("doc_id", "source")
 
 
 def _built(spark: SparkSession, sf_dir: str) -> tuple[vector_index.VectorIndex, DataFrame]:
@@ -220,7 +220,7 @@ def match_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     _vectors(spark, sf_dir).createOrReplaceTempView("casemill_units")
     table_functions.register_match(spark, "match_units", "casemill_units", "ip")
     return spark.sql("""SELECT q.id AS query_id, m.id, m.label, round(m.similarity, 6) AS similarity, m.rank
-        FROM casemill_units q, LATERAL match_units(CAST(q.embedding AS ARRAY<DOUBLE>), NULL, 10, q.id) m WHERE q.id % 20 = 0""")
+        FROM (SELECT * FROM casemill_units WHERE id % 20 = 0) q, LATERAL match_units(CAST(q.embedding AS ARRAY<DOUBLE>), NULL, 10, q.id) m""")
 
 
 _LETTERS = "list_transform(range(97, 123), lambda i: CAST(length({0}.text) - length(replace({0}.text, chr(CAST(i AS INTEGER)), '')) AS DOUBLE))"
