@@ -49,3 +49,13 @@ def test_a_query_meets_vectors_of_its_length_only(spark):
     queries = spark.createDataFrame([(10, [1.0, 0.0, 1.0]), (11, [1.0, 1.0]), (12, [1.0] * 5)], "query_id long, embedding array<float>")
     got = sorted((r.query_id, r.id, r.score) for r in retrieval.top_k(corpus, queries, 5).collect())
     assert got == [(10, 5, 4.0), (11, 1, 1.0), (11, 3, 2.0)]
+
+
+def test_one_query_equals_the_batch_of_one(spark):
+    corpus = spark.createDataFrame([(n, [float(n % 7), float(n % 5 - 2), 1.0]) for n in range(40)], "id long, embedding array<double>")
+    queries = corpus.where("id = 3").withColumnRenamed("id", "query_id")
+    vector = list(queries.first()["embedding"])
+    for metric, threshold in (("ip", None), ("cosine", 0.5)):
+        one = [(r.id, round(r.score, 9)) for r in retrieval.top_k_one(corpus, vector, 6, metric, threshold).collect()]
+        batch = retrieval.top_k(corpus, queries, 6, metric, threshold, drop_self=False).orderBy("rank").collect()
+        assert one == [(r.id, round(r.score, 9)) for r in batch]
