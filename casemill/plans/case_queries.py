@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from casemill.functions import judgments as jd
 from casemill.functions import text as tx
 from casemill.models import VARIANTS
-from casemill.operators import cases, relational
+from casemill.operators import cases, relational, reports
 from casemill.plans.registry import Registry
 from casemill.plans.tables import table
 from casemill.plans.text_queries import PARAGRAPHS_SQL
@@ -163,6 +163,34 @@ def sentence_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired.join(named.select("document", "doc_id"), "document").select("doc_id", "cell", "repaired", "tier")
 
 
+_REPORT = f"""d AS ({_PIECES}), p AS (SELECT doc_id, s, list_transform(s, lambda x: substr(x, 1, 30) || ' Smith v. Jones ' || substr(x, 31)) AS w FROM d),
+    u AS (SELECT doc_id, unnest(w) AS sentence, generate_subscripts(w, 1) AS pos FROM p),
+    r AS (SELECT doc_id, substr(s[1], 1, 30) || ' Smith v.' AS top, substr(s[2], 6, 25) || ' Smith v.' AS second, w[3] AS third FROM p),
+    c AS (SELECT doc_id, 1 AS slot, trim(top, {_WS}) AS cell FROM r WHERE top IS NOT NULL UNION ALL SELECT doc_id, 2, trim(second, {_WS}) FROM r WHERE second IS NOT NULL),
+    t AS (SELECT c.doc_id, slot, sentence, pos, CASE WHEN starts_with(sentence, cell) OR contains(sentence, cell) AND starts_with(sentence, substr(cell, 1, 50)) THEN 1 WHEN contains(sentence, cell) THEN 2 END AS tier FROM c JOIN u USING (doc_id)),
+    m AS (SELECT doc_id, slot, arg_min(sentence, tier * 100000 + pos) AS whole FROM t WHERE tier IS NOT NULL GROUP BY ALL)"""
+
+
+@register(f"""WITH {_REPORT} SELECT r.doc_id, coalesce(a.whole || ' (CASE  ' || r.doc_id || ')', top) AS top_suggestion, coalesce(b.whole, second) AS second, third, CAST((a.whole IS NOT NULL)::INT + (b.whole IS NOT NULL)::INT AS INTEGER) AS repaired
+    FROM r LEFT JOIN m a ON a.doc_id = r.doc_id AND a.slot = 1 LEFT JOIN m b ON b.doc_id = r.doc_id AND b.slot = 2""")
+def report_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report whose cells were cut off within a case's name, written back whole: the first from its beginning, the second from within."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    parts = F.filter(F.transform(F.split("text", r"\. "), tx.strip), lambda x: F.length(x) >= 40)
+    cited = F.transform("s", lambda x: F.concat(F.substring(x, 1, 30), F.lit(" Smith v. Jones "), F.substr(x, F.lit(31))))
+    named = texts.select("doc_id", parts.alias("s")).withColumn("w", cited)
+    first, second = F.get("s", F.lit(0)), F.get("s", F.lit(1))
+    citation = F.concat(F.lit("CASE  "), F.col("doc_id").cast("string"))
+    report = named.select(
+        "doc_id", F.concat(F.substring(first, 1, 30), F.lit(" Smith v.")).alias(reports.TOP), citation.alias(reports.TOP_CITATION),
+        F.concat(F.substring(second, 6, 25), F.lit(" Smith v.")).alias("Suggestion 2 Text"), citation.alias("Suggestion 2 Citation"),
+        F.get("w", F.lit(2)).alias("Suggestion 3 Text"), citation.alias("Suggestion 3 Citation"),
+    )
+    sentences = named.select(F.concat(F.lit("Case "), F.col("doc_id").cast("string")).alias("document"), F.col("doc_id").alias("rank"), F.posexplode("w").alias("position", "sentence"))
+    whole = reports.repaired_report(report, sentences, ["doc_id"])
+    return whole.select("doc_id", F.col(reports.TOP).alias("top_suggestion"), F.col("Suggestion 2 Text").alias("second"), F.col("Suggestion 3 Text").alias("third"), F.col("__repaired").alias("repaired"))
+
+
 @register("""SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN count(*) >= 3 ELSE count(*) FILTER (text = upper(text)) >= 3 END AS resume FROM conversations WHERE turn < 5 GROUP BY conv_id""")
 def resume_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether at least three of the first five stored paragraphs are the current ones; those of odd cases have changed."""

@@ -58,10 +58,11 @@ def write_metadata(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
 
 
-def write_report(rows: DataFrame, path: str) -> None:
-    """A quoted tab-separated report; cells are cleaned of tabs and newlines."""
-    cells = [tx.sanitize_cell(F.col(c).cast("string")).alias(c) for c in rows.columns]
-    rows.select(*cells).write.mode("overwrite").csv(path, sep="\t", header=True, quoteAll=True, escape='"')
+def write_report(rows: DataFrame, path: str, by: str | None = None, mode: str = "overwrite") -> None:
+    """A quoted tab-separated report; cells are cleaned of tabs and newlines. ``by`` gives each value of a column a folder of its own."""
+    cells = [F.col(c) if c == by else tx.sanitize_cell(F.col(f"`{c}`").cast("string")).alias(c) for c in rows.columns]
+    writer = rows.select(*cells).write.mode(mode)
+    (writer.partitionBy(by) if by else writer).csv(path, sep="\t", header=True, quoteAll=True, escape='"')
 
 
 def write_partitioned(rows: DataFrame, path: str, by: tuple[str, ...] = ("court", "decision")) -> None:
