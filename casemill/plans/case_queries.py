@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casemill.functions import judgments as jd
 from casemill.functions import text as tx
-from casemill.models import VARIANTS
-from casemill.operators import cases, relational, reports
+from casemill.models import ROLE_WORDS, VARIANTS, HashingEmbedder
+from casemill.operators import cases, corpus, relational, reports
 from casemill.plans.registry import Registry
 from casemill.plans.tables import table
-from casemill.plans.text_queries import PARAGRAPHS_SQL
+from casemill.plans.text_queries import PARAGRAPHS_SQL, _split_sql
+from casemill.scratch import fresh
 from casemill.sources.html import extracted_paragraphs
 
 register = Registry()
@@ -455,3 +458,46 @@ def rechunk_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     chunks = even_chunks(table(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("paragraphs")))
     return chunks.groupBy("doc_id").agg(F.sum(F.length(F.regexp_replace("chunk", r"\s", ""))).alias("chars"))
+
+
+# ---- the build of a corpus -----------------------------------------------------------------------------------------
+
+
+def _role_sql(column: str) -> str:
+    said = f"trim(regexp_replace(substr({column}, 1, 400), '\\s+', ' ', 'g'))"
+    return "CASE " + " ".join(f"WHEN regexp_matches({said}, '{pattern}') THEN '{role}'" for role, pattern in ROLE_WORDS) + " ELSE 'Reasoning' END"
+
+
+_BUILD = f"""l AS (SELECT doc_id, source, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {_WS})), lambda x: length(x) >= 10) AS s FROM documents),
+    p AS (SELECT doc_id, source, len(s) AS n, unnest(s) AS text, generate_subscripts(s, 1) - 1 AS position FROM l),
+    r AS (SELECT doc_id, source, text, position, doc_id % 3 <> 0 AND (n + 1) // 2 >= 3 AND position < (n + 1) // 2 AS kept FROM p),
+    c AS (SELECT doc_id, source, text, position, kept, CASE WHEN kept THEN 'Facts' ELSE {_role_sql('text')} END AS role FROM r),
+    z AS (SELECT *, unnest({_split_sql('text')}) AS s, generate_subscripts({_split_sql('text')}, 1) AS nth FROM c),
+    u AS (SELECT doc_id, source, position, role AS paragraph_role, trim(replace(s, chr(1), '.'), {_WS}) AS text, nth FROM z WHERE length(trim(replace(s, chr(1), '.'), {_WS})) >= 10)"""
+
+
+def _corpus(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The build over all documents; an earlier one had classified the first half of each, and texts of every third have changed since."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    lines = corpus.line_paragraphs(docs)
+    half = lines.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("doc_id"))).where("position < int((n + 1) / 2)")
+    before = half.select("doc_id", "position", F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text")).alias("text"), F.lit("Facts").alias("role"))
+    names = docs.select("doc_id", F.concat(F.lit("In re "), "source").alias("short_name"), F.lit(None).cast("string").alias("year"), F.lit(None).cast("array<string>").alias("judges"))
+    return corpus.build(spark, docs, names, fresh(spark, "corpus"), before)
+
+
+@register(f"""WITH {_BUILD} SELECT u.doc_id, row_number() OVER (PARTITION BY u.doc_id ORDER BY u.position, nth) - 1 AS sentence_index, u.position, u.text, {_role_sql('u.text')} AS role, paragraph_role, f.text AS summary,
+    coalesce('In re ' || source, CAST(u.doc_id AS VARCHAR)) || '  Judges: Various. ' || replace(substr(u.text, 1, 100), chr(10), ' ') AS tag FROM u JOIN (SELECT doc_id, text FROM c WHERE position = 0) f ON f.doc_id = u.doc_id""")
+def corpus_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with roles, context and summaries, built in stages; the earlier build's roles are kept where a document goes on."""
+    found = _corpus(spark, sf_dir)["units"]
+    return found.withColumns({"sentence_index": F.col("sentence_index").cast("long"), "position": F.col("position").cast("long")})
+
+
+@register()
+def corpus_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best sentences of other documents for the first sentence of every twentieth document, by each of the four variants."""
+    units = _corpus(spark, sf_dir)["units"]
+    queries = corpus.first_units(units).where("doc_id % 20 = 0")
+    found = [corpus.comparison(units, queries, HashingEmbedder(), variant).withColumn("variant", F.lit(variant)) for variant in VARIANTS]
+    return reduce(DataFrame.unionByName, found)
