@@ -111,12 +111,16 @@ def case_law_paragraphs(pages: DataFrame, id_col: str = "page_id", html_col: str
     return blocks.select(id_col, F.posexplode(F.when(usable, numbered).otherwise(F.slice(kept, 1, 600))).alias("position", "text"))
 
 
-def classified_paragraphs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", default: str | None = None) -> DataFrame:
-    """(text, role) of classified pages: the role is named by the paragraph's class; without one the row goes, or takes ``default``."""
+def classified_paragraphs(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", default: str | None = None, titled: bool = False) -> DataFrame:
+    """(text, role) of classified pages: the role is named by the paragraph's class; without one the row goes, or takes ``default``.
+
+    ``titled`` gives the class itself with capitals ("Doctrine And Policy"), as a page that is read back has it, known or not.
+    """
     p = F.explode(F.regexp_extract_all(html_col, F.lit(r"(?s)(<p\b[^>]*>.*?</p>)"), 1)).alias("p")
     rows = pages.select(id_col, p)
     slug = F.regexp_extract("p", r"class=[\"']([^\"'\s]+)", 1)
-    role = F.coalesce(tx.canonical_role(F.when(slug != "", slug)), F.lit(default) if default else F.lit(None))
+    named = F.initcap(F.replace(slug, F.lit("-"), F.lit(" "))) if titled else tx.canonical_role(slug)
+    role = F.coalesce(F.when(slug != "", named), F.lit(default) if default else F.lit(None))
     return rows.select(id_col, tx.collapse(F.regexp_replace("p", "<[^>]+>", "")).alias("text"), role.alias("role")).where("role IS NOT NULL")
 
 

@@ -86,8 +86,11 @@ def full_text(raw: str) -> str:
 PARSERS = {"judgment": judgment_paragraphs, "judgment_p": lambda raw: judgment_paragraphs(raw, True), "lenient": lenient_paragraphs, "simple": simple_paragraphs}
 
 
-def read_files(spark: SparkSession, folder: str, pattern: str = "*.xml") -> DataFrame:
-    """path, doc_id (file stem), folder names as court and decision, content; sub-folders included."""
+def read_files(spark: SparkSession, folder: str | list[str], pattern: str = "*.xml") -> DataFrame:
+    """path, doc_id (file stem), folder names as court and decision, content, of the folders' files; sub-folders included.
+
+    ``pattern`` may hold alternatives, as ``*.{html,htm,HTML,HTM}`` does; a file that is reached twice counts twice.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
     path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
     parts = F.split(path, "/")
@@ -97,6 +100,21 @@ def read_files(spark: SparkSession, folder: str, pattern: str = "*.xml") -> Data
     )
 
 
+#: Files of pages, and how many a sample holds (fixed values).
+PAGES, SAMPLE = "*.{html,htm,HTML,HTM}", 20
+
+
+def sampled_files(spark: SparkSession, folder: str | list[str], n: int = SAMPLE, pattern: str = PAGES, seed: int = 0) -> DataFrame:
+    """``n`` files of the folders at random, the same ones whenever the files and the seed are; all where there are fewer.
+
+    Files are ordered by a hash of seed and path, and only the chosen ones are opened: the paths are listed without their content first.
+    """
+    order = F.xxhash64(F.lit(seed), "path")
+    chosen = read_files(spark, folder, pattern).select("path").distinct().orderBy(order, "path").limit(n).select("path")
+    paths = [r["path"] for r in chosen.collect()]  # n at most
+    return read_files(spark, folder, pattern).where(F.col("path").isin(paths)).dropDuplicates(["path"])
+
+
 def with_court(files: DataFrame) -> DataFrame:
     """Court codes from folder names, unknown ones as UNKNOWN; rows of other decision folders go."""
     court = F.coalesce(*[F.when(F.col("court_folder") == k, v) for k, v in COURT_FOLDERS.items()], F.lit("UNKNOWN"))
