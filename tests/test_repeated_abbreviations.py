@@ -13,7 +13,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("name", ["corpus_build", "paragraph_stats"])
+@pytest.mark.parametrize("name", ["corpus_build", "paragraph_stats", "sentence_index"])
 def test_query_matches_its_oracle(spark, tmp_path, name):
     rows = pa.table({"doc_id": list(range(len(TEXTS))), "source": ["a", "b", "a", "b", "a"], "text": TEXTS})
     pq.write_table(rows, tmp_path / "documents.parquet")
