@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+#: Rows of the table that a call compares at a time: of each block it keeps its best and no more.
+BLOCK = 256
+
 
 def register_match(spark: SparkSession, name: str, table: str, metric: str = "cosine", id_col: str = "id", vector_col: str = "embedding") -> None:
     """``name(query, threshold, most, own)`` over the view or table ``table``: all its columns but the vector, ``similarity`` and ``rank``.
@@ -11,31 +14,42 @@ def register_match(spark: SparkSession, name: str, table: str, metric: str = "co
     ``SELECT q.id, m.* FROM asked q, LATERAL name(q.embedding, 0.2D, 10, q.id) m`` searches for every row; filters on
     ``q`` belong into a subquery, as Spark forms the distinct queries before it looks at what stands behind. The threshold is strict and
     holds for the cosine metric only, as in the other searches; null means none. ``own`` is an id that is left out, null
-    for none. Ties go to the smaller id. Spark turns the lateral call into a join of the distinct queries with the table and
-    keeps ``most`` rows of each before it shuffles them. Null vectors, vectors of another length and scores that are no numbers
-    are no hits.
+    for none. Ties go to the smaller id. Spark turns the lateral call into a join of the distinct queries with blocks of about ``BLOCK`` rows
+    (the view ``name_blocks``; their number is set here, by the rows that the table has now), and of each query and block the ``most`` best are rows that carry the query on: what is sorted
+    and shuffled is these, not all pairs. Null vectors, vectors of another length and scores that are no numbers are no hits.
     """
     frame = spark.table(table)
     kept = [field for field in frame.schema.fields if field.name != vector_col]
     own = frame.schema[id_col].dataType.simpleString()
     returned = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in kept)
-    columns = ", ".join(f"t.`{field.name}`" for field in kept)
     names = ", ".join(f"`{field.name}`" for field in kept)
+    blocks = max(1, frame.count() // BLOCK)
+    row = ", ".join(f"'{field.name}', `{field.name}`" for field in kept)
+    spark.sql(f"""
+        CREATE OR REPLACE TEMPORARY VIEW {name}_blocks AS
+        SELECT collect_list(unit) AS units, collect_list(vector) AS vectors FROM (
+            SELECT named_struct({row}) AS unit, CAST(`{vector_col}` AS ARRAY<DOUBLE>) AS vector, pmod(xxhash64(`{id_col}`), {blocks}) AS block
+            FROM {table} WHERE `{vector_col}` IS NOT NULL)
+        GROUP BY block""")
 
     def total(a: str, b: str) -> str:
-        return f"aggregate(zip_with({a}, {b}, (x, y) -> CAST(x AS DOUBLE) * CAST(y AS DOUBLE)), CAST(0 AS DOUBLE), (s, x) -> s + x)"
+        return f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), CAST(0 AS DOUBLE), (s, x) -> s + x)"
 
-    vector, query = f"t.`{vector_col}`", f"{name}.query"
-    score = total(vector, query)
+    score = total("v", "q")
     if metric == "cosine":
-        score = f"try_divide({score}, sqrt({total(vector, vector)}) * sqrt({total(query, query)}))"
-    above = f" AND ({name}.threshold IS NULL OR similarity > {name}.threshold)" if metric == "cosine" else ""
-    # scores that are no numbers come last, and what is under the threshold comes behind what is above it: ranks hold without them
+        score = f"try_divide({score}, sqrt({total('v', 'v')}) * sqrt({total('q', 'q')}))"
+    above = f" AND ({name}.threshold IS NULL OR -h.below > {name}.threshold)" if metric == "cosine" else ""
+    # the best of a block come first: by the negated score, then the id; vectors of another length have no score
+    scored = f"transform(b.vectors, (v, i) -> named_struct('below', -CASE WHEN size(v) = size(q) THEN {score} END, 'id', b.units[i].`{id_col}`, 'at', i))"
+    wanted = f"filter({scored}, h -> h.below IS NOT NULL AND NOT isnan(h.below) AND NOT (h.id <=> {name}.own AND {name}.own IS NOT NULL){above})"
+    best = f"transform(slice(sort_array({wanted}), 1, greatest({name}.most, 0)), h -> named_struct('similarity', -h.below, 'unit', b.units[h.at]))"
+    best = f"transform(array({name}.query), q -> {best})[0]"  # the query is cast once a block, not once a row
+    columns = ", ".join(f"unit.`{field.name}` AS `{field.name}`" for field in kept)
+    # inline_outer, as for inline Spark asks below it whether there are hits and scores all pairs for that once more
     spark.sql(f"""
         CREATE OR REPLACE TEMPORARY FUNCTION {name}(query ARRAY<DOUBLE>, threshold DOUBLE, most INT, own {own})
         RETURNS TABLE ({returned}, similarity DOUBLE, rank INT)
-        RETURN SELECT {names}, similarity, place FROM (
-            SELECT *, row_number() OVER (ORDER BY similarity DESC NULLS LAST, `{id_col}`) AS place FROM (
-                SELECT {columns}, nullif({score}, DOUBLE('NaN')) AS similarity FROM {table} t
-                WHERE size({vector}) = size({query}) AND NOT (t.`{id_col}` <=> {name}.own AND {name}.own IS NOT NULL)))
-        WHERE place <= {name}.most AND similarity IS NOT NULL{above}""")
+        RETURN SELECT {names}, similarity, __place FROM (
+            SELECT *, row_number() OVER (ORDER BY similarity DESC, `{id_col}`) AS __place FROM (
+                SELECT {columns}, similarity FROM (SELECT inline_outer(hits) FROM (SELECT {best} AS hits FROM {name}_blocks b)) WHERE similarity IS NOT NULL))
+        WHERE __place <= {name}.most""")

@@ -16,3 +16,16 @@ def test_lateral_calls_equal_the_batch_search(spark, metric):
     assert sorted((r.query_id, r["rank"], r.similarity) for r in found.collect()) == sorted((r.query_id, r["rank"], round(r.score, 9)) for r in exact.collect())
     single = spark.sql("SELECT id, label, rank FROM match_test(array(0.0D, 2.0D, 1.0D), NULL, 2, NULL)").collect()
     assert [r["rank"] for r in sorted(single, key=lambda r: r["rank"])] == [1, 2]
+
+
+def test_of_each_query_and_block_only_the_best_are_sorted(spark, monkeypatch):
+    monkeypatch.setattr(table_functions, "BLOCK", 16)
+    units = spark.range(200).selectExpr("id % 190 AS id", "array(CAST(id % 7 AS FLOAT), CAST(id % 5 AS FLOAT)) AS embedding", "id AS place")
+    units.createOrReplaceTempView("block_units")
+    table_functions.register_match(spark, "match_blocks", "block_units", "ip")
+    found = spark.sql("SELECT q.place AS asked, m.id, m.similarity, m.rank FROM (SELECT * FROM block_units WHERE place < 9) q, LATERAL match_blocks(CAST(q.embedding AS ARRAY<DOUBLE>), NULL, 4, q.id) m").collect()
+    rows = [(n % 190, [n % 7, n % 5]) for n in range(200)]
+    for n in range(9):
+        scores = sorted((-float(v[0] * (n % 7) + v[1] * (n % 5)), i) for i, v in rows if i != n)[:4]
+        assert sorted((r["rank"], r.id, r.similarity) for r in found if r.asked == n) == [(k, i, -s + 0.0) for k, (s, i) in enumerate(scores, 1)]
+    assert spark.table("match_blocks_blocks").count() == 12
