@@ -25,6 +25,9 @@ SAMPLE_ROWS, ROWS_A_LIST, MOST_LISTS = 65_536, 16, 2_048
 #: Rounds of k-means, sample queries that set the number of probed lists, and the share of their neighbours that must be found.
 ROUNDS, TRIALS, SHARE = 8, 256, 0.97
 
+#: Rows of queries and lists that a search makes at a time.
+SPREAD_ROWS = 8_192
+
 
 @dataclass
 class VectorIndex:
@@ -98,10 +101,12 @@ def search(index: VectorIndex, queries: DataFrame, k: int, probes: int | None =
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            near = nearest_lists(np.nan_to_num(_scaled(vectors, metric)), shared.value, probed) if batch.num_rows else np.empty((0, probed), int)
-            twice = batch.take(pa.array(np.repeat(np.arange(batch.num_rows), probed)))
-            yield pa.RecordBatch.from_arrays([twice.column(0).cast(to_arrow_type(query_type)), twice.column(1), pa.array(near.ravel().astype(np.int64))], ["query_id", "vector", "list"])
+            step = max(1, SPREAD_ROWS // probed)  # a query becomes as many rows as it probes lists
+            for part in (batch.slice(start, step) for start in range(0, batch.num_rows, step)):
+                vectors = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                near = nearest_lists(np.nan_to_num(_scaled(vectors, metric)), shared.value, probed)
+                again = part.take(pa.array(np.repeat(np.arange(part.num_rows), probed)))
+                yield pa.RecordBatch.from_arrays([again.column(0).cast(to_arrow_type(query_type)), again.column(1), pa.array(near.ravel().astype(np.int64))], ["query_id", "vector", "list"])
 
     spread = asked.mapInArrow(choose, f"query_id {query_type.simpleString()}, vector array<double>, list bigint")
     packed = retrieval.vector_blocks(spread.repartition("list").sortWithinPartitions("list"), "query_id", "vector", F.lit(""), retrieval.QUERY_BLOCK, key="list")
