@@ -16,6 +16,8 @@ from casemill.functions import vector as vx
 
 #: Vectors of one block of queries and of one block of the corpus: what a task holds of each at a time.
 QUERY_BLOCK, CORPUS_BLOCK = 512, 2048
+#: Candidates that wait at least until they are merged, and numbers of a query and a label that a task holds before it passes them on.
+MERGE_ROWS, LABEL_CELLS = 1 << 18, 1 << 24
 
 
 def rank_hits(scored: DataFrame, k: int, query: str = "query_id", score: str = "score", id_col: str = "id") -> DataFrame:
@@ -45,52 +47,99 @@ def top_k(corpus: DataFrame, queries: DataFrame, k: int, metric: str = "ip", thr
 
     Queries and corpus are packed into blocks where they lie, and every block of the one meets every block of the other
     (Spark broadcasts the queries only if it knows them to be small, and pairs partitions otherwise): nothing passes the driver, and a task
-    holds a block of each and k candidates a query. Only those are shuffled. ``same`` names a column that must agree (a filter
+    holds a block of each and k candidates a query, merged by block of queries. Only those are shuffled. ``same`` names a column that must agree (a filter
     below the top-k); ``drop_self`` leaves out the query's own id. Rows and queries with a null vector are left out, and a
     query meets only rows whose vector is as long as its own; a score that is not a number is none. Ids may be of any type that
     Spark orders and keep it; null query ids are one query, and a null id is nobody's own.
     """
     rows = vector_blocks(corpus, id_col, vector_col, F.col(same) if same else F.lit(""), CORPUS_BLOCK)
-    wanted = vector_blocks(queries, query_col, vector_col, F.col(same) if same else F.lit(""), QUERY_BLOCK)
+    wanted = vector_blocks(queries, query_col, vector_col, F.col(same) if same else F.lit(""), QUERY_BLOCK).withColumn("block", F.monotonically_increasing_id())
     met = rows.crossJoin(wanted.withColumnsRenamed({c: f"q_{c}" for c in wanted.columns}))  # a stated query set against all rows, in blocks
     return rank_hits(block_search(met, k, metric, threshold, bool(same), drop_self), k)
 
 
 def block_search(met: DataFrame, k: int, metric: str = "ip", threshold: float | None = None, same: bool = False, drop_self: bool = True) -> DataFrame:
-    """query_id, id, score: the k best of each query among the pairs of blocks that a task holds."""
+    """query_id, id, score: the k best of each query among the pairs of blocks that a task holds.
+
+    With ``q_block``, a number of the block of queries, each block's candidates are kept and merged by themselves, and what is
+    worse than a query's k is no candidate; without, a query may stand in many blocks and all are merged together.
+    """
     id_type, query_type = (met.schema[c].dataType.elementType for c in ("ids", "q_ids"))
-    empty = {"query_id": to_arrow_type(query_type), "id": to_arrow_type(id_type), "score": pa.float64()}
+    whole = pa.schema({"query_id": to_arrow_type(query_type), "id": to_arrow_type(id_type), "score": pa.float64()}.items())
+    apart = "q_block" in met.columns
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = pa.schema(empty.items()).empty_table()
+        kept: dict[int, _Best] = {}
         for batch in batches:
-            found = [best]
             for at in range(batch.num_rows):
-                found.append(block_hits({n: c[at] for n, c in zip(batch.schema.names, batch.columns, strict=True)}, k, metric, threshold, same, drop_self))
-            best = best_hits(pa.concat_tables([t.cast(best.schema) for t in found if t is not None]), k)
-        yield from best.combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], best.schema)]
+                row = {n: c[at] for n, c in zip(batch.schema.names, batch.columns, strict=True)}
+                key = row["q_block"].as_py() if apart else 0
+                if key not in kept:
+                    kept[key] = _Best(k, whole, row["q_ids"].values if apart else None)
+                best = kept[key]
+                best.add(block_hits(row, k, metric, threshold, same, drop_self, best.floor))
+        for key in list(kept):
+            yield from kept.pop(key).hits().to_batches(max_chunksize=1 << 16)
 
     return met.mapInArrow(search, f"query_id {query_type.simpleString()}, id {id_type.simpleString()}, score double")
 
 
-def block_hits(row: dict[str, pa.Scalar], k: int, metric: str, threshold: float | None, same: bool, drop_self: bool) -> pa.Table | None:
-    """query_id, id, score of a block of queries among a block of rows: the k best of each with all that equal the last of them."""
+class _Best:
+    """The k best candidates of each query; those of one block of queries (``ids``) by their place in it."""
+
+    def __init__(self, k: int, whole: pa.Schema, ids: pa.Array | None):
+        self.k, self.whole = k, whole
+        self.ids = None if ids is None else ids.take(pa.array(np.arange(len(ids))))  # a copy: the batch goes
+        self.floor = None if ids is None else np.full(len(ids), -np.inf)
+        self.schema = whole if ids is None else whole.set(0, pa.field("query_id", pa.int64()))
+        self.best, self.waiting, self.rows = self.schema.empty_table(), [], 0
+
+    def add(self, found: tuple[np.ndarray, pa.Table] | None) -> None:
+        if found is None:
+            return
+        which, table = found
+        table = table if self.ids is None else table.set_column(0, "query_id", pa.array(which.astype(np.int64)))
+        self.waiting.append(table.cast(self.schema))
+        self.rows += table.num_rows
+        if self.rows > max(MERGE_ROWS, self.best.num_rows):
+            self.merge()
+
+    def merge(self) -> None:
+        self.best = best_hits(pa.concat_tables([self.best, *self.waiting]), self.k)
+        self.waiting, self.rows = [], 0
+        if self.ids is not None:
+            counts = np.bincount(self.best["query_id"].to_numpy(), minlength=len(self.ids))
+            full = counts == self.k
+            self.floor[full] = self.best["score"].to_numpy()[np.cumsum(counts)[full] - 1]
+
+    def hits(self) -> pa.Table:
+        self.merge()
+        return self.best if self.ids is None else self.best.set_column(0, "query_id", self.ids.take(self.best["query_id"].combine_chunks())).cast(self.whole)
+
+
+def block_hits(row: dict[str, pa.Scalar], k: int, metric: str, threshold: float | None, same: bool, drop_self: bool, floor: np.ndarray | None = None) -> tuple[np.ndarray, pa.Table] | None:
+    """A block of queries among a block of rows: the places of the queries, and query_id, id, score, of the k best of each with all that equal the last of them.
+
+    ``floor`` has a score for each query that hits reach.
+    """
     ids, q_ids, dim = row["ids"].values, row["q_ids"].values, row["dim"].as_py()
     if dim != row["q_dim"].as_py():
         return None
     scores = block_scores(row, metric)
     allowed = ~np.isnan(scores)
+    if floor is not None:
+        allowed &= scores >= floor[None, :]
     if drop_self:
         allowed &= ~_equal(ids, q_ids)
     if same:
         allowed &= _equal(row["labels"].values, row["q_labels"].values)
     if metric == "cosine" and threshold is not None:
         allowed &= scores > threshold
-    if len(ids) > k:
+    if len(ids) > k and (allowed.sum(axis=0) > k).any():
         ranked = np.where(allowed, scores, -np.inf)
         allowed &= ranked >= np.partition(ranked, len(ids) - k, axis=0)[len(ids) - k][None, :]
     at, which = np.nonzero(allowed)
-    return pa.table({"query_id": q_ids.take(pa.array(which)), "id": ids.take(pa.array(at)), "score": scores[at, which]})
+    return which, pa.table({"query_id": q_ids.take(pa.array(which)), "id": ids.take(pa.array(at)), "score": scores[at, which]})
 
 
 def block_scores(row: dict[str, pa.Scalar], metric: str) -> np.ndarray:
