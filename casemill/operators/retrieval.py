@@ -175,18 +175,25 @@ def best_hits(found: pa.Table, k: int) -> pa.Table:
 def best_per_label(corpus: DataFrame, queries: DataFrame, label: str, id_col: str = "id", vector_col: str = "embedding", query_col: str = "query_id") -> DataFrame:
     """query, label, best: the highest cosine of each query among the rows of each label, its own id left out.
 
-    In blocks as :func:`top_k`; a task keeps one number for each query and label it has seen, and these are shuffled. A null
+    In blocks as :func:`top_k`; a task keeps one number for each query and label it has seen (``LABEL_CELLS`` at most, then it passes them on), and these are shuffled. A null
     label is a label.
     """
     rows = vector_blocks(corpus, id_col, vector_col, F.col(label), CORPUS_BLOCK)
-    wanted = vector_blocks(queries, query_col, vector_col, F.lit(""), QUERY_BLOCK)
+    wanted = vector_blocks(queries, query_col, vector_col, F.lit(""), QUERY_BLOCK).withColumn("block", F.monotonically_increasing_id())
     query_type, label_type = queries.schema[query_col].dataType, corpus.schema[label].dataType
-    empty = {"query_id": to_arrow_type(query_type), "label": pa.string(), "best": pa.float64()}
+    whole = pa.schema({"query_id": to_arrow_type(query_type), "label": pa.string(), "best": pa.float64()}.items())
+
+    def told(kept: dict[int, tuple[pa.Array, dict, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for key in list(kept):
+            q_ids, places, top = kept.pop(key)
+            which, query = np.nonzero(top > -np.inf)
+            named = pa.array(list(places), pa.string()).take(pa.array(which))
+            yield from pa.table({"query_id": q_ids.take(pa.array(query)), "label": named, "best": top[which, query]}).cast(whole).to_batches(max_chunksize=1 << 16)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = pa.schema(empty.items()).empty_table()
+        kept: dict[int, tuple[pa.Array, dict, np.ndarray]] = {}  # of a block of queries its ids, the labels seen and their best scores
+        cells = 0
         for batch in batches:
-            found = [best]
             for at in range(batch.num_rows):
                 row = {n: c[at] for n, c in zip(batch.schema.names, batch.columns, strict=True)}
                 if row["dim"] != row["q_dim"]:
@@ -195,13 +202,23 @@ def best_per_label(corpus: DataFrame, queries: DataFrame, label: str, id_col: st
                 scores = np.where(np.isnan(scores) | _equal(row["ids"].values, row["q_ids"].values), -np.inf, scores)
                 labels = row["labels"].values.dictionary_encode(null_encoding="encode")
                 codes = labels.indices.to_numpy(zero_copy_only=False)
-                top = np.full((len(labels.dictionary), scores.shape[1]), -np.inf)
-                np.maximum.at(top, codes, scores)
-                which, query = np.nonzero(top > -np.inf)
-                found.append(pa.table({"query_id": row["q_ids"].values.take(pa.array(query)), "label": labels.dictionary.take(pa.array(which)), "best": top[which, query]}))
-            merged = pa.concat_tables([t.cast(best.schema) for t in found]).group_by(["query_id", "label"]).aggregate([("best", "max")])
-            best = merged.rename_columns({"best_max": "best"}).select(["query_id", "label", "best"])
-        yield from best.combine_chunks().to_batches() or [pa.RecordBatch.from_pylist([], best.schema)]
+                order = np.argsort(codes, kind="stable")
+                begins = np.flatnonzero(np.diff(codes[order], prepend=-1))
+                found = np.maximum.reduceat(scores[order], begins, axis=0)
+                key, asked = row["q_block"].as_py(), row["q_ids"].values
+                if key not in kept:
+                    kept[key] = (asked.take(pa.array(np.arange(len(asked)))), {}, np.empty((0, len(asked))))
+                q_ids, places, top = kept[key]
+                at_label = [places.setdefault(name, len(places)) for name in labels.dictionary.take(pa.array(codes[order][begins])).to_pylist()]
+                if more := len(places) - len(top):
+                    top = np.concatenate([top, np.full((more, len(q_ids)), -np.inf)])
+                    cells += more * len(q_ids)
+                top[at_label] = np.maximum(top[at_label], found)
+                kept[key] = (q_ids, places, top)
+                if cells > LABEL_CELLS:
+                    cells = 0
+                    yield from told(kept)
+        yield from told(kept)
 
     met = rows.crossJoin(wanted.withColumnsRenamed({c: f"q_{c}" for c in wanted.columns}))
     scored = met.mapInArrow(search, f"query_id {query_type.simpleString()}, label string, best double")
