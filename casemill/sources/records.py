@@ -15,6 +15,8 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RANGE_BYTES, CHUNK = 64 << 20, 1 << 20
+#: Short ranges share a task: TASK_BYTES of them at most, and fewer where there would be less than LEAST_TASKS tasks.
+TASK_BYTES, LEAST_TASKS = 32 << 20, 64
 
 
 def records_between(file, start: int, end: int, words: tuple[str, ...], chunk: int = CHUNK) -> Iterator[tuple[int, bytes]]:
@@ -70,13 +72,17 @@ class _Reader(DataSourceReader):
         self.size = max(1, int(options.get("rangeBytes", RANGE_BYTES)))
 
     def partitions(self) -> list[_Range]:
-        return [_Range(path, at, min(at + self.size, size)) for path, size in map(tuple, _files(self.paths)) for at in range(0, size, self.size)] or [_Range("", 0, 0)]
+        files = list(_files(self.paths))
+        ranges = sum(-(-size // self.size) for _, size in files)
+        step = self.size * max(1, min(TASK_BYTES // self.size, ranges // LEAST_TASKS))
+        return [_Range(path, at, min(at + step, size)) for path, size in files for at in range(0, size, step)] or [_Range("", 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[tuple[str, int, str]]:
         if not partition.path:
             return
         system, path = file_system(partition.path)
         with system.open_input_file(path) as file:
+            # the ranges of a task lie side by side and are read as one: a record belongs to the range of its first byte
             for at, record in records_between(file, partition.start, partition.end, self.words):
                 yield partition.path, at, record.decode("utf-8", "replace")
 
@@ -107,7 +113,7 @@ def _files(uris: list[str]) -> Iterator[tuple[str, int]]:
 class RecordSource(DataSource):
     """``spark.read.format("casemill_records").load("file:///folder,...")``: file, at (the record's first byte), record.
 
-    Options: starts (the words that begin records, by "|") and rangeBytes, the bytes of a task.
+    Options: starts (the words that begin records, by "|") and rangeBytes, the bytes of a range; a task has one or, of short ones, several (``TASK_BYTES``).
     What stands before a file's first newline and word is no record. Files are opened by Arrow's file systems.
     """
 

@@ -140,3 +140,14 @@ frame.mapInPandas(some, frame.schema).write.format("casemill_batches").mode("app
 """)
     subprocess.run([sys.executable, str(program)], check=True, timeout=200, capture_output=True)
     assert [r[0] for r in held(database)] == sorted(range(1000), key=lambda i: repr((i, f"t{i}", None)))
+
+
+def test_short_ranges_share_tasks(tmp_path):
+    from casemill.sources import records
+
+    whole = b"".join(b"\nUKSC\t%d\ttext %d" % (n, n) for n in range(20_000))
+    (tmp_path / "a.tsv").write_bytes(whole)
+    reader = records._Reader({"path": str(tmp_path), "rangeBytes": "64"})
+    parts = reader.partitions()
+    assert len(parts) <= 2 * records.LEAST_TASKS < len(whole) // 64
+    assert [r[2] for p in parts for r in reader.read(p)] == [f"UKSC\t{n}\ttext {n}" for n in range(20_000)]
