@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +12,8 @@ from casemill.functions import text as tx
 
 TARGET, LEAST, MOST = 1000, 800, 1200
 EVEN_TARGET, EVEN_LEAST, EVEN_MOST, EVEN_MERGE = 600, 300, 1200, 1250
+#: Documents that a task cuts at a time.
+ROWS = 64
 
 
 #: A paragraph and, of long ones only, its sentences.
@@ -76,10 +78,12 @@ def even(parts: list[Part]) -> list[str]:
 
 
 def _chunks(df: DataFrame, cut, id_col: str) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch["chunks"] = [cut([(p["text"], list(p["sentences"])) for p in parts]) for parts in batch["parts"]]
-            yield batch[[id_col, "chunks"]]
+            for start in range(0, batch.num_rows, ROWS):  # few documents are Python objects at a time
+                part = batch.slice(start, ROWS)
+                chunks = [cut([(p["text"], p["sentences"]) for p in parts]) for parts in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(chunks, pa.list_(pa.string()))], [id_col, "chunks"])
 
     least = min(MOST, EVEN_MOST)
     stripped = F.filter(F.transform(F.coalesce("paragraphs", F.array().cast("array<string>")), lambda p: tx.strip(tx.or_empty(p))), lambda p: p != "")
@@ -87,7 +91,7 @@ def _chunks(df: DataFrame, cut, id_col: str) -> DataFrame:
         stripped, lambda p: F.struct(p.alias("text"), F.when(F.length(p) > least, tx.sentences(p, 1)).otherwise(F.array().cast("array<string>")).alias("sentences"))
     )
     id_type = df.schema[id_col].dataType.simpleString()
-    cutted = df.select(id_col, parts.alias("parts")).mapInPandas(run, f"`{id_col}` {id_type}, chunks array<string>")
+    cutted = df.select(id_col, parts.alias("parts")).mapInArrow(run, f"`{id_col}` {id_type}, chunks array<string>")
     return cutted.select(id_col, F.posexplode("chunks").alias("chunk_index", "chunk"))
 
 
