@@ -98,8 +98,11 @@ def word_offsets(rows: DataFrame, id_cols: str | list[str], text_col: str) -> Da
     """
     ids = [id_cols] if isinstance(id_cols, str) else id_cols
     pattern = "[A-Za-z0-9_]+"
-    found, gaps = F.regexp_extract_all(text_col, F.lit(f"({pattern})"), 1), F.split(text_col, pattern)
-    pieces = rows.select(*ids, F.posexplode(F.arrays_zip(found.alias("word"), F.slice(gaps, F.lit(1), F.size(found)).alias("gap"))).alias("nth", "piece"))
+    # rows are dealt by id before they become words, so that texts travel and words don't; both arrays are formed once a row
+    dealt = rows.select(*ids, text_col).repartition(*ids)
+    listed = dealt.select(*ids, F.regexp_extract_all(text_col, F.lit(f"({pattern})"), 1).alias("__words"), F.split(text_col, pattern).alias("__gaps"))
+    zipped = F.arrays_zip(F.col("__words").alias("word"), F.slice("__gaps", F.lit(1), F.size("__words")).alias("gap"))
+    pieces = listed.select(*ids, F.posexplode(zipped).alias("nth", "piece"))
     stop = F.sum(F.length("piece.gap") + F.length("piece.word")).over(Window.partitionBy(*ids).orderBy("nth").rowsBetween(Window.unboundedPreceding, 0))
     return pieces.withColumn("stop", stop).select(*ids, "nth", "piece.word", (F.col("stop") - F.length("piece.word")).alias("start"), "stop")
 
