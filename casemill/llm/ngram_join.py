@@ -14,9 +14,11 @@
    expanded to members, filtered by the members' own masks and verified on the sets.
 
 :func:`ngram_links` verifies all pairs. :func:`ngram_components` needs fewer: first each group meets only a few
-hubs of its shingles and verified links are merged into components; the pairs that remain between different
-components are then all verified. Pairs inside a component need no verification, as their link cannot change the
-result; a group of copies of any size costs its length, and no link between components is lost.
+hubs of its shingles and verified links are merged into components. Where many pairs could still meet, a share of
+them, drawn by a hash of the pair, is verified and merged before the rest: of a family of near copies most links then lie
+inside a component. The pairs that remain between different components are at last all verified. Pairs inside a component
+need no verification, as their link cannot change the result; a group of copies of any size costs its length, and no link
+between components is lost.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ BLOCK_TOKENS = 500_000
 OWNER_TOKENS = 1_000_000
 #: Hubs that a group meets before the pairs that are left are taken.
 HUBS = 3
+#: Meetings of groups for each of their postings, and pairs for each member, beyond which a share of them is merged first.
+MEETINGS, OPEN_PAIRS = 32, 2
 #: Bits of a set's parity mask, in 64-bit words.
 MASK_WORDS = 8
 PARITY_BITS = 64 * MASK_WORDS
@@ -239,7 +243,7 @@ class _Verifier:
     """Checks class pairs on their sets, each pair once."""
 
     def __init__(self, sets: DataFrame, percent: int):
-        self.sets, self.percent, self.tried = sets, percent, None
+        self.sets, self.percent, self.tried, self.last = sets, percent, None, None
         self.paths: list[str] = []
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
@@ -248,6 +252,7 @@ class _Verifier:
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         pairs, pairs_path = written(spark, pairs, "pairs")
+        self.last = pairs
         self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
         left = self.sets.select(F.col("sig").alias("a"), F.col("set").alias("left"))
         right = self.sets.select(F.col("sig").alias("b"), F.col("set").alias("right"))
@@ -347,17 +352,28 @@ def _tables(docs: DataFrame, words: int, percent: int, id_col: str, text_col: st
     return _Tables(classes, members, groups, posts, _Verifier(sets, percent), [posts_path, members_path, groups_path, sets_path])
 
 
-def _member_pairs(tables: _Tables, rooted: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members of different roots that may link: groups are paired, filtered, then expanded.
-
-    ``rooted`` has the members (sig, n, grp, mask, root). Groups meet on the shingles whose groups have more than one root.
-    """
+def _open_sides(tables: _Tables, rooted: DataFrame) -> DataFrame:
+    """Postings (tok, place, grp, n, low, high) of the shingles whose groups have more than one root, with their groups' roots."""
     spark = rooted.sparkSession
     roots = rooted.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     sides = tables.posts.select("tok", "place", "grp", "n").join(roots, "grp")
     open_toks = sides.groupBy("tok").agg(F.min("low").alias("x"), F.max("high").alias("y")).where("x <> y").select("tok")
     sides, sides_path = written(spark, sides.join(open_toks, "tok", "left_semi"), "open-sides")
     tables.paths.append(sides_path)
+    return sides
+
+
+def _drawn(a: str, b: str, share: float) -> Column:
+    """Whether a pair belongs to this share of all pairs."""
+    return F.lit(True) if share >= 1 else F.pmod(F.xxhash64(F.least(a, b), F.greatest(a, b)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
+
+
+def _member_pairs(tables: _Tables, rooted: DataFrame, sides: DataFrame, percent: int, share: float = 1.0) -> DataFrame:
+    """Pairs (a, b) of members of different roots that may link: groups are paired, filtered, then expanded.
+
+    ``rooted`` has the members (sig, n, grp, mask, root), ``sides`` their open postings. A ``share`` below 1 draws so many of the pairs.
+    """
+    roots = rooted.groupBy("grp").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     # what pairs of different roots have in common are open shingles: only they can stand before another
     ordered = sides.select("grp", "n", "low", "high", "place", "tok").groupBy("grp", "n", "low", "high").agg(F.array_sort(F.collect_list(F.struct("place", "tok"))).alias("posts"))
     posted = ordered.join(tables.groups.drop("n"), "grp").select(*ordered.columns, "ones", "mixed", F.col("posts.tok").alias("toks"), F.posexplode("posts").alias("nth", "post"))
@@ -372,7 +388,7 @@ def _member_pairs(tables: _Tables, rooted: DataFrame, percent: int) -> DataFrame
 
     one_root = (F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))
     met = x.join(y, F.col("x.tok") == F.col("y.tok")).where(
-        (F.col("x.grp") < F.col("y.grp")) & ~one_root
+        (F.col("x.grp") < F.col("y.grp")) & _drawn("x.grp", "y.grp", share) & ~one_root
         & _may_link(F.col("x.n"), F.col("x.place"), F.col("y.n"), F.col("y.place"), percent)
         & _alike_enough(differing("x.ones", "y.ones", "x.mixed", "y.mixed"), F.col("x.n"), F.col("y.n"), percent)
         & ~F.arrays_overlap("x.before", "y.before")
@@ -383,7 +399,8 @@ def _member_pairs(tables: _Tables, rooted: DataFrame, percent: int) -> DataFrame
     lefts = rooted.select(F.col("grp").alias("xg"), F.col("root").alias("ar"), F.col("sig").alias("a"), F.col("n").alias("an"), F.col("mask").alias("am"))
     rights = rooted.select(F.col("grp").alias("yg"), F.col("root").alias("br"), F.col("sig").alias("b"), F.col("mask").alias("bm"))
     half = met.unionByName(own).join(lefts, "xg").where(_alike_enough(differing("am", "ones", "mixed"), F.col("an"), F.col("yn"), percent))
-    pairs = half.select("a", "ar", "an", "am", "yg", "yn").join(rights, "yg").where((F.col("ar") != F.col("br")) & _alike_enough(differing("am", "bm"), F.col("an"), F.col("yn"), percent))
+    drawn = (F.col("xg") != F.col("yg")) | _drawn("a", "b", share)
+    pairs = half.select("a", "ar", "an", "am", "xg", "yg", "yn").join(rights, "yg").where((F.col("ar") != F.col("br")) & drawn & _alike_enough(differing("am", "bm"), F.col("an"), F.col("yn"), percent))
     return pairs.select("a", "b")
 
 
@@ -409,6 +426,24 @@ def _hub_pairs(posts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return members.join(best.distinct(), "grp").select(F.col("sig").alias("a"), F.col("to").alias("b"))
 
 
+def _next_share(tables: _Tables, rooted: DataFrame, sides: DataFrame, before: float, share: float) -> float:
+    """The share of the open pairs to verify next, 1 where they are few; ``share`` is the last one, ``before`` that before it, 0 at first.
+
+    At first the meetings of groups are counted. Later the pairs drawn last tell: those that still lie between different
+    roots, divided by the share that they are of all pairs, are about as many as all that are left. Each share is at least
+    four times the last, and holds its pairs.
+    """
+    if not share:
+        met = sides.groupBy("tok").agg(F.count(F.lit(1)).alias("groups"))
+        posts, meetings = met.agg(F.sum("groups"), F.sum(F.col("groups").cast("double") * (F.col("groups") - 1) / 2)).first()
+        wanted = MEETINGS * posts / meetings if meetings else 1.0
+    else:
+        a, b = (rooted.select(F.col("sig").alias(side), F.col("root").alias(f"{side}r")) for side in "ab")
+        apart = tables.verify.last.join(a, "a").join(b, "b").where("ar <> br").count() / (share - before)
+        wanted = max(4 * share, OPEN_PAIRS * rooted.count() / apart if apart else 1.0)
+    return wanted if wanted < 0.5 else 1.0
+
+
 def ngram_links(
     docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
@@ -420,7 +455,7 @@ def ngram_links(
     """
     tables = _tables(docs, words, percent, id_col, text_col)
     rooted = tables.members.withColumn("root", F.col("sig"))
-    links = tables.verify(_ordered(_member_pairs(tables, rooted, percent)))
+    links = tables.verify(_ordered(_member_pairs(tables, rooted, _open_sides(tables, rooted), percent)))
     return links, tables.classes.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("sig").alias("class"))
 
 
@@ -444,13 +479,19 @@ def ngram_components(
     links = tables.verify(_ordered(pairs.unionByName(_hub_pairs(tables.posts, members, percent))))
     roots = components(links)
 
-    # all that remains between different components
-    rooted = members.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    rooted, rooted_path = written(spark, rooted, "rooted")
-    found = tables.verify(_ordered(_member_pairs(tables, rooted, percent)))
-    if not found.isEmpty():
-        roots = components(links.unionByName(found))
-    for path in (*tables.paths, *tables.verify.paths, rooted_path):
+    # all that remains between different components; of many pairs first a share, whose links are merged
+    before = share = 0.0
+    while share < 1:
+        rooted = members.join(roots.select(F.col("node").alias("sig"), "root"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
+        rooted, rooted_path = written(spark, rooted, "rooted")
+        tables.paths.append(rooted_path)
+        sides = _open_sides(tables, rooted)
+        before, share = share, _next_share(tables, rooted, sides, before, share)
+        found = tables.verify(_ordered(_member_pairs(tables, rooted, sides, percent, share)))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = components(links)
+    for path in (*tables.paths, *tables.verify.paths):
         remove(spark, path)
 
     # classes are summed before they meet their roots, and both right sides are written, so that Spark can split the joins

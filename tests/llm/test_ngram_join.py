@@ -75,3 +75,23 @@ def test_very_long_texts_and_clashing_columns(spark):
     assert found[1] == (59_997, 1) and found[2] == (59_998, 1) and found[3][1] == 3 and found[4] == (1, 4)
     kept = ngram_join.keep_one(docs, 4, 85)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
+def test_links_of_a_family_without_a_middle_are_merged_before_the_rest_meets(spark, monkeypatch):
+    places = 9  # a member for each choice of words at these places; it links with the 45 that differ in at most two, 11,520 links in all
+    texts = []
+    for choice in range(1 << places):
+        text = [f"w{n}" for n in range(130)]
+        for at in range(places):
+            text[7 + 13 * at] = f"p{at}c{choice >> at & 1}"
+        texts.append(" ".join(text))
+    tried, verify = [], ngram_join._Verifier.__call__
+
+    def counting(self, pairs):
+        links = verify(self, pairs)
+        tried.append(self.tried.count())
+        return links
+
+    monkeypatch.setattr(ngram_join._Verifier, "__call__", counting)
+    check(spark, [*texts, *near_copies()], 4, 85)
+    assert tried[-1] < 11_520 / 2
