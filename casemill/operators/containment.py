@@ -33,9 +33,13 @@ def candidates(needles: DataFrame, hays: DataFrame, gram: int = GRAM) -> DataFra
     lengths = sorted(r[0] for r in n.select(F.least(F.length("needle"), F.lit(gram)).alias("n")).distinct().collect())  # at most ``gram`` numbers
     if not lengths:
         return n.crossJoin(h.drop("by")).select("by", "needle", "hay").where("false")
-    asked = written(n.select("by", "needle_id", F.explode(grams(F.col("needle"), F.least(F.length("needle"), F.lit(gram)))).alias("gram")), "needle-grams")
-    wanted = written(asked.select("by", "gram").distinct(), "wanted-grams")
     every = F.flatten(F.array(*[grams(F.col("hay"), F.lit(size)) for size in lengths]))
+    # a needle whose last gram no hay holds meets none: the others alone become grams
+    ends = n.select("by", F.right("needle", F.lit(gram)).alias("gram")).distinct()
+    known = written(h.select("by", F.explode(every).alias("gram")).join(ends, ["by", "gram"], "left_semi").distinct(), "known-ends")
+    possible = n.withColumn("gram", F.right("needle", F.lit(gram))).join(known, ["by", "gram"], "left_semi")
+    asked = written(possible.select("by", "needle_id", F.explode(grams(F.col("needle"), F.least(F.length("needle"), F.lit(gram)))).alias("gram")), "needle-grams")
+    wanted = written(asked.select("by", "gram").distinct(), "wanted-grams")
     held = written(h.select("by", "hay_id", F.explode(every).alias("gram")).join(wanted, ["by", "gram"], "left_semi"), "hay-grams")
     counts = written(held.groupBy("by", "gram").agg(F.count(F.lit(1)).alias("n")), "gram-counts")
     chosen = asked.join(counts, ["by", "gram"], "left").groupBy("by", "needle_id").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")

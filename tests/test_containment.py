@@ -100,3 +100,20 @@ def test_segments_cover_each_text_once(spark):
         marked = [any(i == n and None not in (a, b) and max(a, 0) <= at < b for i, a, b in spans) for at in range(len(text or ""))]
         edges = [at for at in range(len(marked) + 1) if at in (0, len(marked)) or marked[at] != marked[at - 1]] if marked else []
         assert got[n] == [(a, b, marked[a], text[a:b]) for a, b in zip(edges, edges[1:], strict=False)], (n, text)
+
+
+def test_needles_whose_end_no_hay_holds_form_no_grams(spark, monkeypatch):
+    needles = spark.createDataFrame([(f"the case number {n} [1999]",) for n in range(50)] + [("number 7",), ("n",), ("7 ",)], "needle string")
+    hays = spark.createDataFrame([(f"the case number {n} (uk)",) for n in range(50)], "hay string")
+    rows, write = {}, containment.written
+
+    def counting(frame, tag, path=None):
+        made = write(frame, tag, path)
+        rows[tag] = made.count()
+        return made
+
+    monkeypatch.setattr(containment, "written", counting)
+    found = sorted((r.needle, r.hay) for r in containment.containing_pairs(needles, hays).collect())
+    texts = [f"the case number {n} (uk)" for n in range(50)]
+    assert found == sorted((needle, hay) for needle in ("number 7", "n", "7 ") for hay in texts if needle in hay)
+    assert rows["needle-grams"] == 5  # three of "number 7", one of each other; those of the 50 aren't formed
