@@ -1,3 +1,7 @@
+import functools
+import math
+
+import numpy as np
 import pytest
 
 from casemill.operators import retrieval, table_functions
@@ -29,3 +33,27 @@ def test_of_each_query_and_block_only_the_best_are_sorted(spark, monkeypatch):
         scores = sorted((-float(v[0] * (n % 7) + v[1] * (n % 5)), i) for i, v in rows if i != n)[:4]
         assert sorted((r["rank"], r.id, r.similarity) for r in found if r.asked == n) == [(k, i, -s + 0.0) for k, (s, i) in enumerate(scores, 1)]
     assert spark.table("match_blocks_blocks").count() == 12
+
+
+def total(one, two):
+    return functools.reduce(lambda s, x: s + x, (a * b for a, b in zip(one, two, strict=True)), 0.0)
+
+
+def test_calls_carry_numbers_of_blocks_and_no_vectors_of_the_table(spark, monkeypatch):
+    """Blocks are read by the workers; rows in several slices and steps, equal vectors, nulls and several columns give what all pairs give."""
+    monkeypatch.setattr(table_functions, "BLOCK", 100)
+    rng = np.random.default_rng(3)
+    rows = [(n if n else None, (rng.integers(-3, 4, 5) / 7.0).tolist() if n % 9 else [0.1, 0.2, 0.3, 0.4, 0.5], f"t{n % 3}" if n % 4 else None) for n in range(700)] + [(900, None, "x"), (901, [1.0, None, 1.0, 1.0, 1.0], "x")]
+    units = spark.createDataFrame(rows, "id int, embedding array<double>, label string").repartition(3)
+    units.createOrReplaceTempView("sliced_units")
+    table_functions.register_match(spark, "match_sliced", "sliced_units")
+    assert spark.table("match_sliced_blocks").columns == ["block"] and spark.table("match_sliced_blocks").count() == 7
+    found = spark.sql("SELECT q.id AS asked, m.id, m.label, m.similarity, m.rank FROM (SELECT * FROM sliced_units WHERE id % 50 = 1) q, LATERAL match_sliced(q.embedding, 0.3D, 12, q.id) m").collect()
+    whole = [(i, v, label) for i, v, label in rows if v and None not in v and any(v)]
+    for asked, query, _ in rows:
+        if asked is not None and asked % 50 == 1 and query and any(query) and asked < 900:
+            scored = [(total(v, query) / (math.sqrt(total(v, v)) * math.sqrt(total(query, query))), i, label) for i, v, label in whole if i != asked]
+            best = sorted((-s, -1 if i is None else i, label or "") for s, i, label in scored if s > 0.3)[:12]
+            got = sorted((r["rank"], -1 if r.id is None else r.id, r.label or "", r.similarity) for r in found if r.asked == asked)
+            assert [(r, i, label) for r, i, label, _ in got] == [(n, i, label) for n, (_, i, label) in enumerate(best, 1)]
+            assert [s for *_, s in got] == [-s for s, _, _ in best]
